@@ -162,11 +162,11 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 # ---------------------------------------------------------------- groups and buckets
 
 
-def grouped(docs: DataFrame, total: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(g, doc_id, text), dealt out by g.  Used several times in one plan, its exchange runs once."""
+def grouped(docs: DataFrame, total: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(g, doc_id, text) and the carried columns, dealt out by g.  Used several times in one plan, its exchange runs once."""
     n = max(1, math.ceil(total / GROUP_BYTES))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (32 << 20)))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     return d.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(parts, "g")
 
 

@@ -111,9 +111,9 @@ class Group:
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def remove_repeats(docs: DataFrame, width: int = WINDOW, texts: bool = True, total: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WINDOW, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (texts) kept: the words outside repeated windows, one space apart."""
-    total = c.text_bytes(docs) if total is None else total
+    total = c.text_bytes(docs)
     g = c.grouped(docs, total)
     buckets = max(8, total // (16 << 20))
     schema = OUT if texts else OUT.rsplit(",", 1)[0]

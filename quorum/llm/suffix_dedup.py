@@ -17,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from . import common as c
 from .induced import MEMORY, SENTINEL, SEPARATOR, SHIFT, suffix_array
@@ -181,12 +181,25 @@ def _out(full: bool) -> pa.Schema:
     return pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + ([("kept", pa.binary()), ("spans", pa.list_(pa.int32()))] if full else []))
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = True, total: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept (bytes) and spans (start, end, start, ...)."""
-    total = c.text_bytes(docs) if total is None else total
-    g = c.grouped(docs, total)
+def cleaned(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs, its other columns as they are, without repeated strings; a character goes when all its bytes go, n_chars follows, and texts that become empty go."""
+    carry = tuple(x for x in docs.columns if x not in ("doc_id", "text"))
+    out = remove_repeats(docs, width, carry=carry).where("n_removed = 0 OR kept_text <> ''")
+    text = F.when(F.col("was_null"), None).otherwise(F.col("kept_text"))
+    new = {"text": text} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars"))} if "n_chars" in carry else {})
+    return out.select(*(new.get(x, F.col(x)).cast(docs.schema[x].dataType).alias(x) for x in docs.columns))
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = True, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept (bytes) and spans (start, end, start, ...); with carry instead the carried columns, kept_text and was_null."""
+    total = c.text_bytes(docs)
+    g = c.grouped(docs, total, carry or ())
+    texts = texts and carry is None
     buckets, shards = max(8, total // (16 << 20)), max(8, total // SHARD_BYTES)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<int>" if texts else "")
+    arrow = _out(texts)
+    if carry is not None:
+        schema += ", kept_text string, was_null boolean" + "".join(f", `{x}` {docs.schema[x].dataType.simpleString()}" for x in carry)
 
     def send_anchors(t: pa.Table) -> pa.Table:
         keys, many, _ = Group(t, width).anchor_keys()
@@ -219,7 +232,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = True, tota
 
     def finish(t: pa.Table, rows: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return _out(texts).empty_table()
+            return pa.table([]) if carry is not None else arrow.empty_table()
         x = Group(t, width)
         n = np.diff(x.off)
         gone = np.zeros(len(x.data), bool)
@@ -254,6 +267,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = True, tota
             firsts = x.off[:-1][n > 0]
             edge[firsts] = gone[firsts]
         spans = np.bincount(doc, weights=edge, minlength=x.t.num_rows).astype(np.int64)
+        if carry is not None and gone.any():  # whole characters only
+            heads = np.flatnonzero((x.data & 0xC0) != 0x80)
+            whole = np.logical_and.reduceat(gone, heads)
+            gone = np.repeat(whole, np.diff(np.r_[heads, len(gone)]))
         raw, kept, cut = x.data.tobytes(), [], []
         for i in range(x.t.num_rows):
             a, b = int(x.off[i]), int(x.off[i + 1])
@@ -262,7 +279,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = True, tota
                 d = np.diff(np.r_[0, gone[a:b].astype(np.int8), 0])
                 cut.append(np.flatnonzero(d).astype(np.int32))
         cols = [x.t.column("doc_id"), pa.array(n), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
-        return pa.Table.from_arrays(cols + ([pa.array(kept, pa.binary()), pa.array(cut, pa.list_(pa.int32()))] if texts else []), schema=_out(texts))
+        if carry is not None:
+            more = {"kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "was_null": x.t.column("text").is_null()} | {k: x.t.column(k) for k in carry}
+            return pa.table(dict(zip(arrow.names, cols)) | more)
+        return pa.Table.from_arrays(cols + ([pa.array(kept, pa.binary()), pa.array(cut, pa.list_(pa.int32()))] if texts else []), schema=arrow)
 
     bits = g.groupBy("g").applyInArrow(send_anchors, c.KEYS).groupBy("b").applyInArrow(c.answer(1), c.BITS)
     runs = g.groupBy("g").cogroup(bits.groupBy("g")).applyInArrow(send_runs, RUNS)
