@@ -170,6 +170,26 @@ def grouped(docs: DataFrame, total: int, carry: tuple[str, ...] = ()) -> DataFra
     return d.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(parts, "g")
 
 
+HOT_BYTES = 8 << 20
+HOT_TEXTS = 1_000_000
+
+
+def grouped_by_text(docs: DataFrame, total: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """As grouped(), but copies of a text share a group, so that a group reads each text once.
+
+    Copies of one text that together exceed HOT_BYTES, or a millionth of the corpus if that is more, are split over several groups
+    by their ids; so at most HOT_TEXTS hashes are broadcast.
+    """
+    n = max(1, math.ceil(total / GROUP_BYTES))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (32 << 20)))
+    most = max(HOT_BYTES, total // HOT_TEXTS)
+    h = F.xxhash64(F.col("text").cast("string"))
+    hot = docs.groupBy(h.alias("h")).agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("bytes")).where(F.col("bytes") > most)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry).withColumn("h", h).join(F.broadcast(hot), "h", "left")
+    sub = F.when(F.col("bytes").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("bytes") / most))).otherwise(0)
+    return d.withColumn("g", F.pmod(F.xxhash64("h", sub), F.lit(n)).cast("int")).drop("h", "bytes").repartition(parts, "g")
+
+
 def in_order(t: pa.Table) -> pa.Table:
     """A group's rows in an order that the contents fix, whatever order a shuffle read them in."""
     if t.num_rows < 2:

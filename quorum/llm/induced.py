@@ -121,7 +121,7 @@ def _names(t: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
 
 def _order(r: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of a string of names, sorted to `depth` names: induced again while names are few, else by doubling."""
-    if len(r) > 64 and int(r.max()) < 2000 and depth > 4:
+    if len(r) > 64 * (int(r.max()) + 1) and depth > 4:
         sa, _ = suffix_array(np.r_[r + SHIFT, SENTINEL].astype(np.uint16), depth)
         return sa[1:]
     rank, h = r, 1

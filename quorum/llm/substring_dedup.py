@@ -115,7 +115,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, texts: bool = True) ->
     """doc_id, n_words, n_removed, kept_sha256 and (texts) kept: the words outside repeated windows, one space apart."""
     total = c.text_bytes(docs)
     g = c.grouped(docs, total)
-    buckets = max(8, total // (16 << 20))
+    buckets = max(64, total // (16 << 20))
     schema = OUT if texts else OUT.rsplit(",", 1)[0]
 
     def send_cores(t: pa.Table) -> pa.Table:

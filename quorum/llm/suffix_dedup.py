@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import common as c
@@ -24,7 +25,7 @@ from .induced import MEMORY, SENTINEL, SEPARATOR, SHIFT, suffix_array
 
 WIDTH = 50
 ANCHOR = 16
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 LAST_ID = np.iinfo(np.int64).max
 U = np.uint64
 
@@ -32,9 +33,9 @@ U = np.uint64
 def _anchor_hashes(data: np.ndarray) -> np.ndarray:
     h, step = c.byte_values(5)[data], 1
     while step < ANCHOR:
-        h = c.mix(h[:-step] * U(0x9E3779B97F4A7C15) + h[step:]) if step >= 4 else h[:-step] * U(0x9E3779B97F4A7C15 ^ step << 7) + h[step:]
+        h = h[:-step] * U(0x9E3779B97F4A7C15 ^ step << 7) + h[step:]
         step *= 2
-    return h
+    return c.mix(h)
 
 
 def _sliding_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -45,28 +46,28 @@ def _sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (w - step)], h[w - step :]) if w > step else h
 
 
-def anchors(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the `width`-byte strings that lie in one document, and their anchors' positions (ascending)."""
+def anchors(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the `width`-byte strings that lie in one document, their anchors' positions (ascending), and the hashes of all places."""
     if len(data) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h, w = _anchor_hashes(data), width - ANCHOR + 1
     low = _sliding_min(h, w)
     fine = np.ones(len(low), bool)
     for o in off[1:-1]:
         fine[max(0, o - width + 1) : o] = False
     at = np.flatnonzero(fine)
-    # candidates: positions that are the least of some window; the first of them at or after a window's start with its least value
-    least = low[at]
+    # the anchor is the first place at or after a string's start that has the string's least value
     hits = _places(h, low)
-    j = np.searchsorted(hits, at)
-    j = np.minimum(j, len(hits) - 1)
+    mask = np.zeros(len(h), np.int32)
+    mask[hits] = 1
+    j = (np.cumsum(mask, dtype=np.int32) - mask)[at]
     got = hits[j]
-    wrong = np.flatnonzero(h[got] != least)
+    wrong = np.flatnonzero(h[got] != low[at])
     while len(wrong):
         j[wrong] += 1
         got[wrong] = hits[np.minimum(j[wrong], len(hits) - 1)]
-        wrong = wrong[h[got[wrong]] != least[wrong]]
-    return at, got
+        wrong = wrong[h[got[wrong]] != low[at[wrong]]]
+    return at, got, h
 
 
 def _places(h: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -82,53 +83,60 @@ def _places(h: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 class Group:
+    """The distinct texts of a group; `ids` has the smallest doc_id of each."""
+
     def __init__(self, t: pa.Table, width: int):
-        self.t, self.width = c.in_order(t), width
-        self.data, self.off = c.flat(self.t.column("text"))
-        ids = self.t.column("doc_id").to_pandas()
-        self.ids = ids.fillna(LAST_ID).to_numpy().astype(np.int64)
+        self.t, self.width = t, width
+        col = t.column("text").combine_chunks()
+        col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
+        coded = pc.fill_null(col, "").dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)  # whatever order the rows came in
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        self.text = place[coded.indices.to_numpy()]
+        self.data, self.off = c.flat(coded.dictionary.take(order))
+        self.row_ids = t.column("doc_id").to_pandas().fillna(LAST_ID).to_numpy().astype(np.int64)
+        self.ids = np.full(len(order), LAST_ID)
+        np.minimum.at(self.ids, self.text, self.row_ids)
 
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.off, at, "right") - 1
 
     def anchor_keys(self):
-        """Distinct anchor hashes, whether two documents here have them, and each string's index among them."""
-        self.at, where = anchors(self.data, self.off, self.width)
-        if not len(self.at):
-            return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
-        new = np.r_[True, where[1:] != where[:-1]]
-        place = where[new]
-        side = self.data[ragged_rows(place)].reshape(-1, ANCHOR)
-        h = np.zeros(len(place), np.uint64)
-        for k in range(ANCHOR):
-            h = c.mix(h * U(31) + c.byte_values(6)[side[:, k]])
-        keys, inv, _ = c.distinct(h)
+        """Distinct anchor hashes, whether two documents here have them, and each run's index among them; a run is of strings with one anchor."""
+        at, where, h = anchors(self.data, self.off, self.width)
+        new = np.r_[True, (where[1:] != where[:-1]) | (at[1:] != at[:-1] + 1)] if len(at) else np.zeros(0, bool)
+        lo = np.flatnonzero(new)
+        self.start, self.n, place = at[lo], np.diff(np.r_[lo, len(at)]), where[lo]
+        keys, inv, _ = c.distinct(h[place] if len(lo) else h)
         first = np.full(len(keys), LAST_ID)
         ids = self.ids[self.doc(place)]
         np.minimum.at(first, inv, ids)
         many = np.zeros(len(keys), bool)
         many[inv[ids != first[inv]]] = True
-        self.where = where
-        return keys, many, inv[np.cumsum(new) - 1]
-
-    def runs(self, hit: np.ndarray):
-        """Runs of candidate strings with one anchor: starts and counts; then the distinct ones among them."""
-        at, where = self.at[hit], self.where[hit]
-        new = np.r_[True, (where[1:] != where[:-1]) | (at[1:] != at[:-1] + 1)] if len(at) else np.zeros(0, bool)
-        lo = np.flatnonzero(new)
-        n = np.diff(np.r_[lo, len(at)])
-        start = at[lo]
-        sides = [c.Rolling(c.byte_values(s)[self.data], s).of(start, start + n + self.width - 1) for s in (7, 8)]
-        keys, inv, _ = c.distinct(np.stack(sides, 1))
-        one = np.zeros(len(keys), np.int64)
+        return keys, many, inv
+
+    def runs(self, hit: np.ndarray, anchor: np.ndarray):
+        """Of the candidate runs: starts, lengths, index among the distinct ones, and one of each."""
+        start, n = self.start[hit], self.n[hit]
+        side = c.Rolling(c.byte_values(7)[self.data], 7).of(start, start + n + self.width - 1)
+        _, inv, _ = c.distinct(np.stack([side, anchor[hit]], 1))
+        return start, n, inv
+
+    def lowest(self, start: np.ndarray, inv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One run and the smallest doc_id of each distinct run."""
+        k = int(inv.max()) + 1 if len(inv) else 0
+        one, low = np.zeros(k, np.int64), np.full(k, LAST_ID)
         one[inv] = np.arange(len(inv))
-        low = np.full(len(keys), LAST_ID)
         np.minimum.at(low, inv, self.ids[self.doc(start)])
-        return start, n, inv, one, low
+        return one, low
 
 
-def ragged_rows(place: np.ndarray) -> np.ndarray:
-    return (place[:, None] + np.arange(ANCHOR)).ravel()
+def by_shard(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct runs in order of their shards, and each shard's first and last."""
+    order = np.argsort(of, kind="stable")
+    lo = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0])
+    return order, lo, np.r_[lo[1:], len(order)]
 
 
 RUNS = "b int, g int, kind int, n binary, low binary, bytes binary"
@@ -136,27 +144,27 @@ _RUNS = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("kind", pa.int32()), (
 
 
 def sort_shard(n: np.ndarray, low: np.ndarray, raw: np.ndarray, width: int, memory: int = MEMORY) -> np.ndarray:
-    """For every string of every run, whether a run with a smaller doc_id has it too."""
+    """For every string of every run, the smallest doc_id of a run that has it."""
     length = n + width - 1
     ends = np.cumsum(length)
     size = len(raw) + len(n)
-    t = np.full(size + 1, SEPARATOR, np.uint16)
-    owner = np.repeat(np.arange(len(n), dtype=np.int32), length)
-    t[np.arange(len(raw)) + owner] = raw.astype(np.uint16) + SHIFT
+    kind = np.uint8 if not len(raw) or int(raw.max()) + SHIFT < 255 else np.uint16
+    t = np.full(size + 1, SEPARATOR, kind)
+    t[np.arange(len(raw)) + np.repeat(np.arange(len(n), dtype=np.int32), length)] = raw.astype(kind) + kind(SHIFT)
     t[size] = SENTINEL
-    begin = ends - length + np.arange(len(n))
     sa, shared = suffix_array(t, width, memory)
     base = np.cumsum(n) - n
-    out = np.zeros(int(n.sum()), bool)
+    string = np.full(size + 1, -1, np.int32)  # of the places where a string starts, its number
+    string[c.ragged(ends - length + np.arange(len(n)), n)] = np.arange(int(n.sum()))
     run = np.cumsum(shared < width)
-    k = np.searchsorted(begin, sa, "right") - 1
-    k = np.maximum(k, 0)
-    o = sa - begin[k]
-    ok = (o >= 0) & (o < n[k])
-    k, o, run = k[ok], o[ok], run[ok]
-    best = np.full(int(run[-1]) + 1 if len(run) else 0, LAST_ID)
-    np.minimum.at(best, run, low[k])
-    out[base[k] + o] = best[run] < low[k]
+    k = string[sa]
+    ok = k >= 0
+    k, run = k[ok], run[ok]
+    own = np.repeat(low, n)[k]
+    new = np.r_[True, run[1:] != run[:-1]]
+    best = np.minimum.reduceat(own, np.flatnonzero(new))
+    out = np.empty(len(k), np.int64)
+    out[k] = best[np.cumsum(new) - 1]
     return out
 
 
@@ -165,11 +173,21 @@ def _shard(width: int):
         t = t.combine_chunks()
         if t.column("b")[0].as_py() < 0:
             return pa.table([t.column("g"), t.column("kind"), t.column("b"), t.column("bytes")], names=["g", "kind", "b", "bits"])
-        ns = [np.frombuffer(x, np.int32) for x in t.column("n").to_pylist()]
+        ns = [np.frombuffer(x, np.int16) for x in t.column("n").to_pylist()]
         n = np.concatenate(ns).astype(np.int64)
         low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.int64)
         raw, _ = c.flat(t.column("bytes"))
-        hit = sort_shard(n, low, raw, width)
+        # equal runs of several groups are sorted once
+        length = n + width - 1
+        start = np.cumsum(length) - length
+        _, inv, _ = c.distinct(np.stack([c.Rolling(c.byte_values(s)[raw], s).of(start, start + length) for s in (7, 8)], 1))
+        k = int(inv.max()) + 1
+        one, least = np.zeros(k, np.int64), np.full(k, LAST_ID)
+        one[inv] = np.arange(len(inv))
+        np.minimum.at(least, inv, low)
+        best = sort_shard(n[one], least, raw[c.ragged(start[one], length[one])], width)
+        base = np.cumsum(n[one]) - n[one]
+        hit = best[c.ragged(base[inv], n)] < np.repeat(low, n)
         at = np.cumsum([0] + [int(x.sum()) for x in ns])
         bits = [np.packbits(hit[i:j]).tobytes() for i, j in zip(at, at[1:])]
         return pa.table([t.column("g"), t.column("kind"), t.column("b"), pa.array(bits, pa.binary())], names=["g", "kind", "b", "bits"])
@@ -193,9 +211,9 @@ def cleaned(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = True, carry: tuple[str, ...] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept (bytes) and spans (start, end, start, ...); with carry instead the carried columns, kept_text and was_null."""
     total = c.text_bytes(docs)
-    g = c.grouped(docs, total, carry or ())
+    g = c.grouped_by_text(docs, total, carry or ())
     texts = texts and carry is None
-    buckets, shards = max(8, total // (16 << 20)), max(8, total // SHARD_BYTES)
+    buckets, shards = max(64, total // (16 << 20)), max(64, total // SHARD_BYTES)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<int>" if texts else "")
     arrow = _out(texts)
     if carry is not None:
@@ -209,80 +227,75 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = True, carr
         if not t.num_rows:
             return _RUNS.empty_table()
         x, own = Group(t, width), t.column("g")[0].as_py()
-        keys, _, back = x.anchor_keys()
-        hit = c.flags(rows, 0, keys, buckets)
-        hit = hit[back] if len(back) else np.zeros(0, bool)
+        keys, _, anchor = x.anchor_keys()
+        hit = c.flags(rows, 0, keys, buckets)[anchor]
         out = {k: [] for k in _RUNS.names}
+        note = [np.zeros(0, np.uint8)]
         if hit.any():
-            start, n, inv, one, low = x.runs(hit)
-            shard = c.bucket_of(keys, shards).astype(np.int64)
-            anchor = np.zeros(len(x.data), np.int64)
-            anchor[x.at] = back
-            of = shard[anchor[start[one]]]
-            order = np.argsort(of, kind="stable")
-            lo = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0])
-            for i, j in zip(lo, np.r_[lo[1:], len(order)]):
+            start, n, inv = x.runs(hit, keys[anchor])
+            one, low = x.lowest(start, inv)
+            of = c.bucket_of(keys[anchor[hit][one]], shards).astype(np.int32)
+            order, lo, hi = by_shard(of)
+            for i, j in zip(lo, hi):
                 pick = order[i:j]
                 s, m = start[one[pick]], n[one[pick]]
-                for k, v in zip(_RUNS.names, (int(of[pick[0]]), own, 1, m.astype(np.int32).tobytes(), low[pick].tobytes(), x.data[c.ragged(s, m + width - 1)].tobytes())):
+                for k, v in zip(_RUNS.names, (int(of[pick[0]]), own, 1, m.astype(np.int16).tobytes(), low[pick].tobytes(), x.data[c.ragged(s, m + width - 1)].tobytes())):
                     out[k].append(v)
-        for k, v in zip(_RUNS.names, (-1 - own, own, 2, b"", b"", np.packbits(hit).tobytes())):
+            note = [np.array([len(start)], np.int64), start.astype(np.int32), n.astype(np.int16), inv.astype(np.int32), of]
+        for k, v in zip(_RUNS.names, (-1 - own, own, 2, b"", b"", b"".join(v.tobytes() for v in note))):
             out[k].append(v)
         return pa.table(out, schema=_RUNS)
 
+    def removed(x: Group, rows: pa.Table) -> np.ndarray:
+        """Mask of the bytes of the group's texts that go, for the smallest doc_id of each text."""
+        kinds, bits = rows.column("kind").to_pylist(), rows.column("bits").to_pylist()
+        note = bits[kinds.index(2)] if 2 in kinds else b""
+        if not note:
+            return np.zeros(len(x.data), bool)
+        k = int(np.frombuffer(note, np.int64, 1)[0])
+        start, n, inv = np.frombuffer(note, np.int32, k, 8).astype(np.int64), np.frombuffer(note, np.int16, k, 8 + 4 * k).astype(np.int64), np.frombuffer(note, np.int32, k, 8 + 6 * k).astype(np.int64)
+        of = np.frombuffer(note, np.int32, -1, 8 + 10 * k)
+        one, low = x.lowest(start, inv)
+        order, lo, hi = by_shard(of)
+        got = {b: v for kind, b, v in zip(kinds, rows.column("b").to_pylist(), bits) if kind == 1}
+        mine = n[one]
+        base = np.cumsum(mine) - mine
+        less = np.zeros(int(mine.sum()), bool)  # a smaller doc_id than any of this run in this group has the string
+        for i, j in zip(lo, hi):
+            idx = c.ragged(base[order[i:j]], mine[order[i:j]])
+            less[idx] = np.unpackbits(np.frombuffer(got[int(of[order[i]])], np.uint8), count=len(idx)).astype(bool)
+        bad = less[c.ragged(base[inv], n)] | np.repeat(x.ids[x.doc(start)] > low[inv], n)
+        return c.covered(c.ragged(start, n)[bad], width, len(x.data))
+
     def finish(t: pa.Table, rows: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table([]) if carry is not None else arrow.empty_table()
         x = Group(t, width)
-        n = np.diff(x.off)
-        gone = np.zeros(len(x.data), bool)
-        kinds = rows.column("kind").to_pylist()
-        if len(kinds) > 1:
-            keys, _, back = x.anchor_keys()
-            bits = rows.column("bits").to_pylist()
-            hit = np.unpackbits(np.frombuffer(bits[kinds.index(2)], np.uint8), count=len(x.at)).astype(bool)
-            start, m, inv, one, low = x.runs(hit)
-            shard = c.bucket_of(keys, shards).astype(np.int64)
-            anchor = np.zeros(len(x.data), np.int64)
-            anchor[x.at] = back
-            of = shard[anchor[start[one]]]
-            order = np.argsort(of, kind="stable")
-            lo = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0])
-            got = {b: v for k, b, v in zip(kinds, rows.column("b").to_pylist(), bits) if k == 1}
-            mine = m[one]
-            base = np.cumsum(mine) - mine
-            less = np.zeros(int(mine.sum()), bool)  # of each distinct run's strings: a smaller doc_id has it, in another group
-            for i, j in zip(lo, np.r_[lo[1:], len(order)]):
-                pick = order[i:j]
-                idx = c.ragged(base[pick], mine[pick])
-                less[idx] = np.unpackbits(np.frombuffer(got[int(of[pick[0]])], np.uint8), count=len(idx)).astype(bool)
-            strings = c.ragged(start, m)
-            bad = less[c.ragged(base[inv], m)] | np.repeat(x.ids[x.doc(start)] > low[inv], m)
-            gone = c.covered(strings[bad], width, len(x.data))
-        doc = np.repeat(np.arange(x.t.num_rows), n)
-        removed = np.bincount(doc, weights=gone, minlength=x.t.num_rows).astype(np.int64)
-        edge = gone.copy()
-        if len(edge):
-            edge[1:] &= ~gone[:-1]
-            firsts = x.off[:-1][n > 0]
-            edge[firsts] = gone[firsts]
-        spans = np.bincount(doc, weights=edge, minlength=x.t.num_rows).astype(np.int64)
+        gone = removed(x, rows)
         if carry is not None and gone.any():  # whole characters only
             heads = np.flatnonzero((x.data & 0xC0) != 0x80)
-            whole = np.logical_and.reduceat(gone, heads)
-            gone = np.repeat(whole, np.diff(np.r_[heads, len(gone)]))
-        raw, kept, cut = x.data.tobytes(), [], []
-        for i in range(x.t.num_rows):
-            a, b = int(x.off[i]), int(x.off[i + 1])
-            kept.append(raw[a:b] if not removed[i] else x.data[a:b][~gone[a:b]].tobytes())
-            if texts:
-                d = np.diff(np.r_[0, gone[a:b].astype(np.int8), 0])
-                cut.append(np.flatnonzero(d).astype(np.int32))
-        cols = [x.t.column("doc_id"), pa.array(n), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+            gone = np.repeat(np.logical_and.reduceat(gone, heads), np.diff(np.r_[heads, len(gone)]))
+        n, raw = np.diff(x.off), x.data.tobytes()
+        total = np.r_[0, np.cumsum(gone)]
+        cut_n = total[x.off[1:]] - total[x.off[:-1]]
+        kept, sha, spans, count = [], [], [], np.zeros(len(n), np.int64)
+        for i, (a, b) in enumerate(zip(x.off[:-1].tolist(), x.off[1:].tolist())):
+            d = np.flatnonzero(np.diff(np.r_[0, gone[a:b].astype(np.int8), 0])) if cut_n[i] else np.zeros(0, np.int64)
+            count[i] = len(d) // 2
+            kept.append(raw[a:b] if not len(d) else x.data[a:b][~gone[a:b]].tobytes())
+            sha.append(hashlib.sha256(kept[-1]).hexdigest())
+            spans.append(d.astype(np.int32))
+        # a copy of a text that a smaller doc_id has loses all of it, unless it is too short to hold a string
+        copy = (x.row_ids > x.ids[x.text]) & (n[x.text] >= width)
+        none = hashlib.sha256(b"").hexdigest()
+        of = x.text.tolist()
+        cols = [t.column("doc_id"), pa.array(n[x.text]), pa.array(np.where(copy, n[x.text], cut_n[x.text])), pa.array(np.where(copy, 1, count[x.text])), pa.array([none if y else sha[i] for i, y in zip(of, copy)], pa.string())]
+        if carry is not None or texts:
+            mine = pa.array([b"" if y else kept[i] for i, y in zip(of, copy)], pa.binary())
         if carry is not None:
-            more = {"kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "was_null": x.t.column("text").is_null()} | {k: x.t.column(k) for k in carry}
-            return pa.table(dict(zip(arrow.names, cols)) | more)
-        return pa.Table.from_arrays(cols + ([pa.array(kept, pa.binary()), pa.array(cut, pa.list_(pa.int32()))] if texts else []), schema=arrow)
+            return pa.table(dict(zip(arrow.names, cols)) | {"kept_text": mine.cast(pa.string()), "was_null": t.column("text").is_null()} | {k: t.column(k) for k in carry})
+        more = [mine, pa.array([np.array([0, n[i]], np.int32) if y else spans[i] for i, y in zip(of, copy)], pa.list_(pa.int32()))] if texts else []
+        return pa.Table.from_arrays(cols + more, schema=arrow)
 
     bits = g.groupBy("g").applyInArrow(send_anchors, c.KEYS).groupBy("b").applyInArrow(c.answer(1), c.BITS)
     runs = g.groupBy("g").cogroup(bits.groupBy("g")).applyInArrow(send_runs, RUNS)
