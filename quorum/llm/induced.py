@@ -134,14 +134,21 @@ def _order(r: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _shared(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Lengths of the common prefixes of suffixes a[i] and b[i], at most depth."""
+    """Lengths of the common prefixes of suffixes a[i] and b[i], at most depth; eight bytes of symbols at a time."""
+    per = 8 // t.itemsize
+    padded = np.concatenate([t, np.zeros(depth + 8, t.dtype)])
+    word = np.ndarray((len(padded) - per,), np.uint64, padded.view(np.uint8).data, 0, (t.itemsize,))
     out = np.zeros(len(a), np.uint8)
-    live, last = np.arange(len(a)), len(t) - 1
-    for k in range(depth):
-        live = live[t[np.minimum(a[live] + k, last)] == t[np.minimum(b[live] + k, last)]]
-        if not len(live):
-            break
-        out[live] = k + 1
+    live, k = np.arange(len(a)), 0
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    while k < depth and len(live):
+        x = word[a + k] ^ word[b + k]
+        same = x == 0
+        low = x & (~x + np.uint64(1))  # the lowest bit that differs
+        bit = np.log2(np.where(same, 1, low).astype(np.float64)).astype(np.int64)
+        out[live] = np.minimum(k + np.where(same, per, bit // (8 * t.itemsize)), depth)
+        live, a, b = live[same], a[same], b[same]
+        k += per
     return out
 
 
@@ -167,22 +174,24 @@ class _Induce:
         if len(ok):
             ch = self.t[q[ok]]
             order = np.argsort(ch, kind="stable")
-            ch, at = ch[order], ok[order]
-            lo = np.flatnonzero(np.r_[True, ch[1:] != ch[:-1]])
-            hi = np.r_[lo[1:], len(ch)]
-            for i, j in zip(lo.tolist(), hi.tolist()):
-                x, idx = int(ch[i]), at[i:j]
-                ends = np.r_[0, idx + 1]
-                open_end = ends[-1] < len(lcp)
-                seg = np.minimum.reduceat(lcp, ends if open_end else ends[:-1])
-                got = seg[: len(idx)].copy()
-                got[0] = min(got[0], self.carry[x]) if self.seen[x] else 0
-                first = not self.seen[x]
-                got = np.minimum(got.astype(np.int16) + 1, self.depth).astype(np.uint8)
-                if first:
+            at = ok[order]
+            count = np.bincount(ch)
+            i, size = 0, len(lcp)
+            ends = np.zeros(len(ok) + 1, np.int64)
+            for x in np.flatnonzero(count).tolist():
+                m = int(count[x])
+                idx = at[i : i + m]
+                i += m
+                np.add(idx, 1, out=ends[1 : m + 1])
+                open_end = ends[m] < size
+                seg = np.minimum.reduceat(lcp, ends[: m + open_end])
+                got = np.minimum(seg[:m], self.depth - 1) + np.uint8(1)
+                if self.seen[x]:
+                    got[0] = min(int(seg[0]), int(self.carry[x]), self.depth - 1) + 1
+                else:
                     got[0] = 0
-                self.seen[x] = True
-                carry[x] = seg[-1] if open_end else 255
+                    self.seen[x] = True
+                carry[x] = seg[m] if open_end else 255
                 self.queue.push(x, q[idx], got)
         self.carry = carry
 
