@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType
 
 
 def flex_ranks(df: DataFrame, group: str, points: str, ident: str, slots: DataFrame, openings: int) -> DataFrame:
@@ -63,7 +64,7 @@ def exact_tiers(values: np.ndarray, low: int = 2, high: int = 8) -> np.ndarray:
 
 def assign_tiers(df: DataFrame, group: str, points: str, keep: list[str]) -> DataFrame:
     """keep, group, points and tier; a group (a position) is small by nature."""
-    schema = df.select(*keep, group, points).schema.add("tier", "int")
+    schema = df.select(*keep, group, points).schema.add("tier", IntegerType())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf.copy()
