@@ -77,7 +77,7 @@ def best_lineup(df: DataFrame, team: list[str], player: str, points: str, eligib
     order = sorted(slots, key=lambda s: (len(s), s))
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in team) + ", best double, used int"
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf.sort_values([points, player], ascending=[False, True]).to_dict("records")
         total, used = 0.0, 0
         for s in order:

@@ -36,7 +36,7 @@ def odds(places: DataFrame, spots: int) -> DataFrame:
 
 def place_distribution(places: DataFrame, teams: int) -> DataFrame:
     """Percentage of trials in which a team takes each place."""
-    p = places.groupBy("team").pivot("place", list(range(1, teams + 1))).agg(F.count("*"))
+    p = places.groupBy("team").pivot("place", list(range(1, teams + 1))).agg(F.count("wins"))
     n = sum((F.coalesce(F.col(str(i)), F.lit(0)) for i in range(2, teams + 1)), F.coalesce(F.col("1"), F.lit(0)))
     return p.select("team", *((100 * F.coalesce(F.col(str(i)), F.lit(0)) / n).alias(f"place_{i}") for i in range(1, teams + 1)))
 
