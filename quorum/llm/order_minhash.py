@@ -169,13 +169,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _pairs_across(t: pa.Table) -> pa.Table:
-    """Of one bucket: pairs of different components whose lengths and sketches allow the threshold."""
+    """Of one bucket: pairs of different components whose lengths and sketches allow the threshold, each pair in one bucket."""
     t = t.combine_chunks()
     rep, comp, n = (t.column(x).to_numpy() for x in ("rep", "comp", "n"))
     _, code, size = np.unique(comp, return_inverse=True, return_counts=True)
     order = np.lexsort((rep, code, size[code]))  # the largest component last: nothing starts from its members
     rep, code, n = rep[order], code[order], n[order]
     oph = np.frombuffer(b"".join(t.column("oph").to_pylist()), np.uint8).reshape(-1, BINS)[order]
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int64).reshape(-1, SKETCHES)[order]
+    slot = np.flatnonzero(sig[0] == t.column("key")[0].as_py()) if len(rep) else np.zeros(0, int)  # none in a finer bucket
     end = np.flatnonzero(np.r_[code[1:] != code[:-1], True]) + 1
     stop = np.repeat(end, np.diff(np.r_[0, end]))
     a, b = [], []
@@ -189,6 +191,8 @@ def _pairs_across(t: pa.Table) -> pa.Table:
             used = np.count_nonzero(other | own, axis=1)
             same = np.count_nonzero((other == own) & (own > 0), axis=1)
             hit = part[same >= NEAR * used]
+            if len(slot):  # of the buckets that a pair shares, the first one reports it
+                hit = hit[(sig[hit] == sig[i]).argmax(1) == slot[0]]
             a.append(np.full(len(hit), rep[i]))
             b.append(rep[hit])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -232,10 +236,10 @@ def classes(docs: DataFrame) -> DataFrame:
                     sig = np.frombuffer(r["sig"], np.uint64)
                     sub = c.mix(sig[sig != U(r["key"] & (1 << 64) - 1)] * U(31) + U(r["key"] & (1 << 64) - 1)).view(np.int64).tolist()
                 k = len(sub)
-                yield pa.RecordBatch.from_pydict({"key": sub, "rep": [r["rep"]] * k, "comp": [r["comp"]] * k, "n": [r["n"]] * k, "oph": [r["oph"]] * k}, schema=pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("oph", pa.binary())]))
+                yield pa.RecordBatch.from_pydict({"key": sub, "rep": [r["rep"]] * k, "comp": [r["comp"]] * k, "n": [r["n"]] * k, "oph": [r["oph"]] * k, "sig": [r["sig"]] * k}, schema=pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("oph", pa.binary()), ("sig", pa.binary())]))
 
-    small = left.where(F.col("size") <= LARGE).select("key", "rep", "comp", "n", "oph")
-    large = left.where(F.col("size") > LARGE).mapInArrow(finer, "key long, rep long, comp long, n long, oph binary")
+    small = left.where(F.col("size") <= LARGE).select("key", "rep", "comp", "n", "oph", "sig")
+    large = left.where(F.col("size") > LARGE).mapInArrow(finer, "key long, rep long, comp long, n long, oph binary, sig binary")
     across = c.stored(small.union(large).groupBy("key").applyInArrow(_pairs_across, "a long, b long").distinct())
     more = c.stored(verified(across, texts))
     links = links.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
