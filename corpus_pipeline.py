@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quorum.llm import langid, order_minhash, packing, quality, suffix_dedup
-from quorum.llm.common import docs_of, stored
+from quorum.llm.common import docs_of, plainly, stored
 
 LEAST_SCORE = 0.5
 
@@ -13,13 +13,13 @@ LEAST_SCORE = 0.5
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the calibrated model."""
     model = quality.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judged(docs, model, keep=tuple(docs.columns)).where("kept").select(docs.columns)
+    return plainly(lambda d: quality.judged(d, model, keep=tuple(d.columns)).where("kept"), docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with a probability of at least LEAST_SCORE."""
-    out = langid.identified(docs, langid.fit(docs), keep=tuple(docs.columns))
-    return out.where((out["lang_pred"] != langid.UND) & (out["score"] >= LEAST_SCORE)).select(docs.columns)
+    model = langid.fit(docs)
+    return plainly(lambda d: langid.identified(d, model, keep=tuple(d.columns)).where(f"lang_pred <> '{langid.UND}' AND score >= {LEAST_SCORE}"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 50 bytes that a document of smaller id has."""
-    return suffix_dedup.cleaned(docs)
+    return plainly(suffix_dedup.cleaned, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from . import common as c
 
 VOCABULARY = "byte_bpe_50k.json"
-SLICE = 4 << 20
-CACHE = 2_000_000
+SLICE = 2 << 20
+CACHE = 1_000_000
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 

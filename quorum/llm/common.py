@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 GROUP_BYTES = 3 << 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 _M1, _M2, _BASE = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15 | 3)
 
@@ -39,6 +39,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def plainly(stage: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
+    """stage(docs) for a stage that keeps all columns, with columns other than a document's under names that clash with nothing."""
+    names = {c: f"_extra{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT}
+    out = stage(docs.withColumnsRenamed(names)) if names else stage(docs)
+    return out.withColumnsRenamed({v: k for k, v in names.items()}).select(docs.columns)
+
+
 def text_bytes(df: DataFrame, col: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(F.col(col))).alias("b")).first()["b"] or 0)
 
@@ -194,7 +204,7 @@ def in_order(t: pa.Table) -> pa.Table:
     """A group's rows in an order that the contents fix, whatever order a shuffle read them in."""
     if t.num_rows < 2:
         return t
-    ids = t.column("doc_id").to_pandas().to_numpy()
+    ids = t.column("doc_id").fill_null(0).to_numpy()
     if t.column("doc_id").null_count or len(np.unique(ids)) < len(ids):
         rows = sorted(range(t.num_rows), key=lambda i: ((v := t.column("doc_id")[i].as_py()) is not None, v or 0, (w := t.column("text")[i].as_py()) is not None, w or ""))
         return t.take(pa.array(rows))

@@ -12,6 +12,7 @@ Rows with one id all count for themselves.  Whole texts are scored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,20 +46,21 @@ def _bucket(h: np.ndarray, block: int) -> np.ndarray:
     return ((h >> U(64 - DIM_BITS)).astype(np.int64)) + (block << DIM_BITS)
 
 
-def features(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def features(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each block, the hashed feature of every occurrence and its document."""
     s, e, doc = c.words(data, off)
     w = c.word_hashes(data, s, e)
     pair = doc[1:] == doc[:-1]
+    yield _bucket(w, 0), doc
     two = c.mix(w[:-1] * U(3) + w[1:])[pair]
+    yield _bucket(two, 1), doc[:-1][pair] if len(doc) else doc
+    del s, e, w, two, pair, doc
     v = c.byte_values(3)[data]
-    byte_doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    out = [(_bucket(w, 0), doc), (_bucket(two, 1), doc[:-1][pair] if len(doc) else doc)]
+    byte_doc = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
     for block, k in ((2, 1), (3, 3)):
         gram = v[: len(v) - k + 1] if k == 1 else v[:-2] * U(9) + v[1:-1] * U(3) + v[2:]
         same = byte_doc[: len(gram)] == byte_doc[k - 1 :][: len(gram)]
-        out.append((_bucket(c.mix(gram), block)[same], byte_doc[: len(gram)][same]))
-    return out
+        yield _bucket(c.mix(gram), block)[same], byte_doc[: len(gram)][same]
 
 
 def _per_doc(idx: np.ndarray, doc: np.ndarray, n: int):

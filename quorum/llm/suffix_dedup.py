@@ -95,7 +95,7 @@ class Group:
         place[order.to_numpy()] = np.arange(len(order))
         self.text = place[coded.indices.to_numpy()]
         self.data, self.off = c.flat(coded.dictionary.take(order))
-        self.row_ids = t.column("doc_id").to_pandas().fillna(LAST_ID).to_numpy().astype(np.int64)
+        self.row_ids = pc.fill_null(t.column("doc_id"), LAST_ID).to_numpy()
         self.ids = np.full(len(order), LAST_ID)
         np.minimum.at(self.ids, self.text, self.row_ids)
 
