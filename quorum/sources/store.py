@@ -34,7 +34,7 @@ class Store:
             fs.rename(jvm.org.apache.hadoop.fs.Path(stage), p)
             meta["artifacts"][name] = {"rows": self.spark.read.parquet(final).count(), "columns": len(df.columns)}
         meta["written_at"] = datetime.now(timezone.utc).isoformat()
-        self._put(f"{folder}/_meta.json", json.dumps(meta, sort_keys=True))
+        self._put(f"{folder}/meta.json", json.dumps(meta, sort_keys=True))
 
     def _put(self, path: str, text: str) -> None:
         fs, p, jvm = self._fs(path)
@@ -47,7 +47,7 @@ class Store:
 
     def meta(self, season: int, league: str) -> dict | None:
         """The metadata, or None where the store is incomplete."""
-        path = f"{self.folder(season, league)}/_meta.json"
+        path = f"{self.folder(season, league)}/meta.json"
         fs, p, _ = self._fs(path)
         return json.loads("\n".join(r.value for r in self.spark.read.text(path).collect())) if fs.exists(p) else None
 
