@@ -42,12 +42,11 @@ def fold() -> np.ndarray:
     if not _fold:
         import regex
 
-        every = [x for x in range(0x110000) if not 0xD800 <= x < 0xE000]
-        text = "".join(map(chr, every))
         out = np.zeros(0x110000, np.uint32)
-        for m in regex.finditer(r"\p{L}", text):
-            low = m[0].lower()
-            out[ord(m[0])] = ord(low[0])
+        for lo in range(0, 0x110000, 0x800):  # in blocks, so that a worker never holds a string object per code point
+            if not 0xD800 <= lo < 0xE000:
+                for m in regex.finditer(r"\p{L}", "".join(map(chr, range(lo, lo + 0x800)))):
+                    out[ord(m[0])] = ord(m[0].lower()[0])
         _fold.append(out)
     return _fold[0]
 
