@@ -5,35 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quorum.llm import langid, order_minhash, packing, quality, suffix_dedup
-from quorum.llm.common import docs_of, plainly, stored
+from quorum.llm.common import docs_of, plainly, small_batches, stored
 
 LEAST_SCORE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the calibrated model."""
+    small_batches(spark)
     model = quality.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return plainly(lambda d: quality.judged(d, model, keep=tuple(d.columns)).where("kept"), docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with a probability of at least LEAST_SCORE."""
+    small_batches(spark)
     model = langid.fit(docs)
     return plainly(lambda d: langid.identified(d, model, keep=tuple(d.columns)).where(f"lang_pred <> '{langid.UND}' AND score >= {LEAST_SCORE}"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    small_batches(spark)
     return order_minhash.one_each(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 50 bytes that a document of smaller id has."""
+    small_batches(spark)
     return plainly(suffix_dedup.cleaned, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences."""
+    small_batches(spark)
     return packing.pack(stored(packing.pieces(docs)))
 
 
