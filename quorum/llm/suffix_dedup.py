@@ -102,13 +102,19 @@ class Group:
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.off, at, "right") - 1
 
-    def anchor_keys(self):
-        """Distinct anchor hashes, whether two documents here have them, and each run's index among them; a run is of strings with one anchor."""
-        at, where, h = anchors(self.data, self.off, self.width)
+    def _anchored(self, first: int, stop: int) -> tuple[np.ndarray, ...]:
+        """Starts, lengths, anchors and anchor hashes of the runs in some of the texts."""
+        o = self.off[first]
+        at, where, h = anchors(self.data[o : self.off[stop]], self.off[first : stop + 1] - o, self.width)
         new = np.r_[True, (where[1:] != where[:-1]) | (at[1:] != at[:-1] + 1)] if len(at) else np.zeros(0, bool)
         lo = np.flatnonzero(new)
-        self.start, self.n, place = at[lo], np.diff(np.r_[lo, len(at)]), where[lo]
-        keys, inv, _ = c.distinct(h[place] if len(lo) else h)
+        return at[lo] + o, np.diff(np.r_[lo, len(at)]), where[lo] + o, h[where[lo]]
+
+    def anchor_keys(self):
+        """Distinct anchor hashes, whether two documents here have them, and each run's index among them; a run is of strings with one anchor."""
+        runs = [self._anchored(*x) for x in c.cuts(np.diff(self.off))]  # a few texts at a time: the arrays over all bytes are many
+        self.start, self.n, place, h = (np.concatenate(x) for x in zip(*runs)) if runs else (np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64))
+        keys, inv, _ = c.distinct(h)
         first = np.full(len(keys), LAST_ID)
         ids = self.ids[self.doc(place)]
         np.minimum.at(first, inv, ids)
