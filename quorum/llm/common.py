@@ -8,7 +8,6 @@ answers with one bit per key, and the group's texts, still in the same shuffle o
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,24 +18,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 GROUP_BYTES = 3 << 20
 SLICE_BYTES = 1 << 20
-BATCH_BYTES = 4 << 20
 U = np.uint64
 _M1, _M2, _BASE = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15 | 3)
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows go to Python workers a few MB at a time, whatever their length; a smaller setting of the session, in plain bytes, stays.  Results do not depend on it."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)b?", str(spark.conf.get(name)).lower())
-    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's checkpoint folder; set only where the session names none, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
