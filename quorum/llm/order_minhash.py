@@ -9,7 +9,8 @@ Documents with one word sequence are copies and count once.  Documents that shar
    copies, the one most like all others): as many pairs as members.
 2. Verified pairs are joined to components.  In buckets whose members then still belong to several components, all
    pairs across components are estimated from a one-permutation sketch of BINS bins (nearly exact up to a few hundred
-   k-mers, a standard deviation of 0.018 beyond) and those estimated at NEAR or more are verified too.
+   k-mers, a standard deviation of 0.018 beyond) and those estimated at NEAR or more are verified too.  Buckets of over
+   LARGE members are compared in blocks, over many tasks.
 A pair is verified by aligning the labelled k-mers within the band that the threshold leaves: with m aligned, the
 similarity is m / (n1 + n2 - m), 0.8 or more.  Components are found by Spark; nothing of them reaches the driver.
 
@@ -34,6 +35,7 @@ PICK = 4
 LARGE = 16384
 BINS = 512
 NEAR = 0.74
+WHOLE, START, OUTER, MAIN = range(4)
 U = np.uint64
 _ORDERS = (c.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * U(0xA24BAED4963EE407)) | U(1))[:, None]
 
@@ -168,38 +170,71 @@ def components(edges: DataFrame) -> DataFrame:
             return lab
 
 
+def _arrays(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of a bucket's rows: rep, comp, n, the one-permutation sketches and the signatures."""
+    return *(t.column(x).to_numpy() for x in ("rep", "comp", "n")), np.frombuffer(b"".join(t.column("oph").to_pylist()), np.uint8).reshape(-1, BINS), np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int64).reshape(-1, SKETCHES)
+
+
+def _alike(own: np.ndarray, sig: np.ndarray, key: int, among: np.ndarray, oph: np.ndarray, sigs: np.ndarray) -> np.ndarray:
+    """Of the rows `among`, those whose sketches are near enough to `own`; of the buckets that a pair shares, the first one reports it."""
+    out = []
+    for part in (among[p : p + 4096] for p in range(0, len(among), 4096)):
+        other = oph[part]
+        used = np.count_nonzero(other | own, axis=1)
+        same = np.count_nonzero((other == own) & (own > 0), axis=1)
+        hit = part[same >= NEAR * used]
+        out.append(hit[sig[(sigs[hit] == sig).argmax(1)] == key])
+    return np.concatenate(out) if out else among[:0]
+
+
 def _pairs_across(t: pa.Table) -> pa.Table:
-    """Of one bucket: pairs of different components whose lengths and sketches allow the threshold, each pair in one bucket."""
+    """Pairs of different components whose lengths and sketches allow the threshold, of one bucket or of one block of a large one."""
     t = t.combine_chunks()
-    rep, comp, n = (t.column(x).to_numpy() for x in ("rep", "comp", "n"))
-    _, code, size = np.unique(comp, return_inverse=True, return_counts=True)
-    order = np.lexsort((rep, code, size[code]))  # the largest component last: nothing starts from its members
-    rep, code, n = rep[order], code[order], n[order]
-    oph = np.frombuffer(b"".join(t.column("oph").to_pylist()), np.uint8).reshape(-1, BINS)[order]
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int64).reshape(-1, SKETCHES)[order]
-    slot = np.flatnonzero(sig[0] == t.column("key")[0].as_py()) if len(rep) else np.zeros(0, int)  # none in a finer bucket
-    end = np.flatnonzero(np.r_[code[1:] != code[:-1], True]) + 1
-    stop = np.repeat(end, np.diff(np.r_[0, end]))
-    a, b = [], []
-    for i in range(len(rep)):
-        j = stop[i]
-        if j >= len(rep):
-            break
-        k = np.flatnonzero(np.minimum(n[j:], n[i]) >= SIMILARITY * np.maximum(n[j:], n[i])) + j
-        for part in (k[p : p + 4096] for p in range(0, len(k), 4096)):
-            other, own = oph[part], oph[i]
-            used = np.count_nonzero(other | own, axis=1)
-            same = np.count_nonzero((other == own) & (own > 0), axis=1)
-            hit = part[same >= NEAR * used]
-            if len(slot):  # of the buckets that a pair shares, the first one reports it
-                hit = hit[(sig[hit] == sig[i]).argmax(1) == slot[0]]
+    key, side = t.column("key")[0].as_py(), t.column("side").to_numpy()
+    rep, comp, n, oph, sig = _arrays(t)
+    a, b = [rep[:0]], [rep[:0]]
+    if side[0] == WHOLE:
+        _, code, size = np.unique(comp, return_inverse=True, return_counts=True)
+        order = np.lexsort((rep, code, size[code]))  # the largest component last: nothing starts from its members
+        rep, code, n, oph, sig = rep[order], code[order], n[order], oph[order], sig[order]
+        end = np.flatnonzero(np.r_[code[1:] != code[:-1], True]) + 1
+        stop = np.repeat(end, np.diff(np.r_[0, end]))
+        for i in range(np.searchsorted(stop, len(rep))):
+            j = stop[i]
+            k = np.flatnonzero(np.minimum(n[j:], n[i]) >= SIMILARITY * np.maximum(n[j:], n[i])) + j
+            hit = _alike(oph[i], sig[i], key, k, oph, sig)
             a.append(np.full(len(hit), rep[i]))
             b.append(rep[hit])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    else:
+        met = np.flatnonzero(side != START)
+        met = met[np.argsort(n[met], kind="stable")]
+        for i in np.flatnonzero(side == START).tolist():
+            lo, hi = np.searchsorted(n[met], (SIMILARITY * n[i] - 1e-6, n[i] / SIMILARITY + 1e-6))
+            k = met[lo:hi]
+            k = k[(comp[k] != comp[i]) & ((side[k] == MAIN) | (rep[k] > rep[i]))]
+            hit = _alike(oph[i], sig[i], key, k, oph, sig)
+            a.append(np.full(len(hit), rep[i]))
+            b.append(rep[hit])
+    a, b = np.concatenate(a), np.concatenate(b)
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def _blocks(left: DataFrame, large: int) -> DataFrame:
+    """Rows of buckets with the block (i, j) that compares them: a bucket of at most `large` members is one, and a larger one is
+    dealt to blocks of about that many rows, in which every member outside its largest component meets every member once."""
+    columns = ("key", "rep", "comp", "n", "oph", "sig")
+    whole = left.where(F.col("size") <= large).select(*columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(WHOLE).alias("side"))
+    big = left.where(F.col("size") > large)
+    main = big.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("members"), F.max("m").alias("most"))
+    parts = lambda m: F.ceil(m / max(1, large // 2)).cast("int")
+    big = big.join(main, "key").withColumns({"outer": F.col("comp") != F.col("main"), "rows": parts(F.col("members") - F.col("most")), "cols": parts(F.col("members"))})
+    place, every = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    start = big.where("outer").select(*columns, place("rows", 1).alias("i"), every("cols").alias("j"), F.lit(START).alias("side"))
+    met = big.select(*columns, every("rows").alias("i"), place("cols", 2).alias("j"), F.when(F.col("outer"), OUTER).otherwise(MAIN).alias("side"))
+    return whole.unionByName(start).unionByName(met)
+
+
+def classes(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), n_kmers and links (verified pairs of its word sequence)."""
     sk = c.stored(sketch(docs))
     reps = c.stored(sk.where("doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("oph").alias("oph")))
@@ -227,20 +262,7 @@ def classes(docs: DataFrame) -> DataFrame:
     open_keys = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     left = own.join(open_keys, "key").join(reps.select("rep", "n", "sig", "oph"), "rep")
 
-    def finer(batches):
-        # members of a large bucket go to the finer buckets of those that share one more signature
-        for b in batches:
-            for r in b.to_pylist():
-                sub = [r["key"]]
-                if r["size"] > LARGE:
-                    sig = np.frombuffer(r["sig"], np.uint64)
-                    sub = c.mix(sig[sig != U(r["key"] & (1 << 64) - 1)] * U(31) + U(r["key"] & (1 << 64) - 1)).view(np.int64).tolist()
-                k = len(sub)
-                yield pa.RecordBatch.from_pydict({"key": sub, "rep": [r["rep"]] * k, "comp": [r["comp"]] * k, "n": [r["n"]] * k, "oph": [r["oph"]] * k, "sig": [r["sig"]] * k}, schema=pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("oph", pa.binary()), ("sig", pa.binary())]))
-
-    small = left.where(F.col("size") <= LARGE).select("key", "rep", "comp", "n", "oph", "sig")
-    large = left.where(F.col("size") > LARGE).mapInArrow(finer, "key long, rep long, comp long, n long, oph binary, sig binary")
-    across = c.stored(small.union(large).groupBy("key").applyInArrow(_pairs_across, "a long, b long").distinct())
+    across = c.stored(_blocks(left, large).groupBy("key", "i", "j").applyInArrow(_pairs_across, "a long, b long").distinct())
     more = c.stored(verified(across, texts))
     links = links.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     lab = components(links)

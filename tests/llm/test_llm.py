@@ -133,6 +133,23 @@ def test_near_dedup(spark):
     assert order_minhash.classes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("large", [1, 5, 40])
+def test_pairs_in_blocks(spark, large):
+    """A bucket's blocks find the pairs that the whole bucket finds, each once."""
+    r = np.random.default_rng(2)
+    base = r.integers(1, 256, order_minhash.BINS).astype(np.uint8)
+    rows = []
+    for i in range(60):
+        oph = np.where(r.random(order_minhash.BINS) < r.choice([0.0, 0.1, 0.5]), r.integers(1, 256, order_minhash.BINS), base).astype(np.uint8)
+        sig = r.integers(100, 110, order_minhash.SKETCHES)
+        sig[1] = 7  # the signature that the bucket stands for; some pairs share the one before, and with it a bucket that reports them
+        rows.append((7, i, int(i if i > 25 else 0 if i > 10 else 100), int(r.integers(80, 130)), bytearray(oph.tobytes()), bytearray(sig.tobytes()), 60))
+    left = spark.createDataFrame(rows, "key long, rep long, comp long, n long, oph binary, sig binary, size long")
+    pairs = lambda n: sorted(map(tuple, order_minhash._blocks(left, n).groupBy("key", "i", "j").applyInArrow(order_minhash._pairs_across, "a long, b long").collect()))
+    want = pairs(60)
+    assert len(want) > 50 and pairs(large) == want
+
+
 def test_packing(docs, rows):
     got = packing.pack(stored(packing.pieces(docs, size=64)), size=64).collect()
     by = {}
