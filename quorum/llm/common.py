@@ -95,34 +95,50 @@ def mixed(x: int) -> int:
     return int(mix(np.array([x], np.uint64))[0])
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+BLOCK_BITS = 16
+BLOCK = 1 << BLOCK_BITS
+_powers: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
 
 
-def _power(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    got = _powers.get(seed)
-    if got is None or len(got[0]) < n:
+def _power(seed: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The first BLOCK powers of a seed's base and of its inverse, and the base."""
+    if seed not in _powers:
         r = (mixed(seed + 77) & ~7) | 3
-        size = max(n, 1 << 16)
-        p = np.full(size, r, np.uint64)
-        q = np.full(size, pow(r, -1, 1 << 64), np.uint64)
+        p, q = np.full(BLOCK, r, np.uint64), np.full(BLOCK, pow(r, -1, 1 << 64), np.uint64)
         p[0] = q[0] = 1
-        np.multiply.accumulate(p, out=p)
-        np.multiply.accumulate(q, out=q)
-        got = _powers[seed] = (p, q)
-    return got
+        _powers[seed] = (np.multiply.accumulate(p), np.multiply.accumulate(q), r)
+    return _powers[seed]
 
 
 class Rolling:
-    """Content hash of any span of a value sequence, by prefix sums of a polynomial modulo 2^64."""
+    """Content hash of any span of a value sequence, by prefix sums of a polynomial modulo 2^64.
 
-    def __init__(self, values: np.ndarray, seed: int = 0):
-        p, self.q = _power(seed, len(values) + 1)
-        self.c = np.empty(len(values) + 1, np.uint64)
-        self.c[0] = 0
-        np.cumsum(values * p[: len(values)], out=self.c[1:])
+    Works in blocks: besides the sums it holds no array as long as the sequence.  With a table, the sequence is of indices into it.
+    """
+
+    def __init__(self, values: np.ndarray, seed: int = 0, table: np.ndarray | None = None):
+        p, self.q, r = _power(seed)
+        n = len(values)
+        self.c = np.zeros(n + 1, np.uint64)
+        step, scale = pow(r, BLOCK, 1 << 64), 1
+        for lo in range(0, n, BLOCK):
+            v = values[lo : lo + BLOCK]
+            v = (v if table is None else table[v]) * p[: len(v)]
+            if lo:
+                v *= U(scale)
+            part = self.c[lo + 1 : lo + 1 + len(v)]
+            np.cumsum(v, out=part)
+            part += self.c[lo]
+            scale = scale * step % (1 << 64)
+        self.far = np.full(n // BLOCK + 1, pow(step, -1, 1 << 64), np.uint64)
+        self.far[0] = 1
+        np.multiply.accumulate(self.far, out=self.far)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.c[end] - self.c[start]) * self.q[start] + (end - start).astype(np.uint64) * _BASE)
+        x = (self.c[end] - self.c[start]) * self.q[start & (BLOCK - 1)]
+        if len(self.far) > 1:
+            x *= self.far[start >> BLOCK_BITS]
+        return mix(x + (end - start).astype(np.uint64) * _BASE)
 
 
 _byte_values: dict[int, np.ndarray] = {}
@@ -148,7 +164,7 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0) -> np.ndarray:
-    return Rolling(byte_values(seed)[data], seed).of(s, e)
+    return Rolling(data, seed, byte_values(seed)).of(s, e)
 
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -162,7 +162,7 @@ def base(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     has = np.unique(line_of)
     lo, hi = lo[has], hi[has]
     ld = np.searchsorted(off, lo, "right") - 1
-    h = c.Rolling(c.byte_values(4)[data], 4).of(lo, hi)
+    h = c.Rolling(data, 4, c.byte_values(4)).of(lo, hi)
     order = np.lexsort((h, ld))
     same = (h[order][1:] == h[order][:-1]) & (ld[order][1:] == ld[order][:-1])
     n_dup = np.bincount(ld[order][1:][same], minlength=n) if len(ld) > 1 else np.zeros(n, np.int64)

@@ -125,7 +125,7 @@ class Group:
     def runs(self, hit: np.ndarray, anchor: np.ndarray):
         """Of the candidate runs: starts, lengths, index among the distinct ones, and one of each."""
         start, n = self.start[hit], self.n[hit]
-        side = c.Rolling(c.byte_values(7)[self.data], 7).of(start, start + n + self.width - 1)
+        side = c.Rolling(self.data, 7, c.byte_values(7)).of(start, start + n + self.width - 1)
         _, inv, _ = c.distinct(np.stack([side, anchor[hit]], 1))
         return start, n, inv
 
@@ -186,7 +186,7 @@ def _shard(width: int):
         # equal runs of several groups are sorted once
         length = n + width - 1
         start = np.cumsum(length) - length
-        _, inv, _ = c.distinct(np.stack([c.Rolling(c.byte_values(s)[raw], s).of(start, start + length) for s in (7, 8)], 1))
+        _, inv, _ = c.distinct(np.stack([c.Rolling(raw, s, c.byte_values(s)).of(start, start + length) for s in (7, 8)], 1))
         k = int(inv.max()) + 1
         one, least = np.zeros(k, np.int64), np.full(k, LAST_ID)
         one[inv] = np.arange(len(inv))
