@@ -2,9 +2,10 @@
 
 A page is cut into text lines (blocks).  Scripts, styles, forms, and elements that their name, role or class marks as menu,
 header, footer, sidebar, notice, advert or reader comments give none.  Pages are paired with the page of their host whose URL path stands next to
-theirs in path order and shares the longest prefix; the two pages' lines are aligned by longest common
-subsequence, and shared lines are deleted.  What a page itself declares as its article (article, main) is never
-deleted: copies of an article under two URLs keep it, and where a page declares one, only that is its main text.
+theirs in path order and shares the longest prefix; every page's lines are aligned with its partner's by longest
+common subsequence, and shared lines are deleted, in and outside of what a page declares as its article (article,
+main).  One check follows: an article that shares over half of its characters is a copy under another URL, and keeps
+them.
 
 Pairing sorts (host, path) by range and joins the ends of neighbouring ranges, so a host with a third of all pages is
 spread over many tasks.  Nulls are empty pages; a page alone on its host, or with a null id, has no partner; of rows
@@ -129,6 +130,8 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
 
 def shared_lines(a: list[int], b: list[int]) -> list[int]:
     """Indices of a's lines in a longest common subsequence with b, by bit-parallel rows."""
+    both = set(a) & set(b)  # other lines stand in no common subsequence
+    at, a, b = [i for i, x in enumerate(a) if x in both], [x for x in a if x in both], [y for y in b if y in both]
     where: dict[int, int] = {}
     for j, y in enumerate(b):
         where[y] = where.get(y, 0) | 1 << j
@@ -152,7 +155,7 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
         # line i is needed: its partner is the column where the count first reaches this length
         zeros = ~after & mask
         j = zeros.bit_length() - 1
-        out.append(i)
+        out.append(at[i])
     return out[::-1]
 
 
@@ -220,20 +223,19 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def choose(text: list[str], main: list[bool], keys: np.ndarray, other: np.ndarray | None) -> list[str]:
-    """A page's main text lines: its declared article, or else the lines that its partner does not share."""
-    if any(main):
-        return [t for t, m in zip(text, main) if m]
+    """A page's main text lines: those that its partner does not share; a declared article of which most is shared is a copy and stays."""
     gone = set(shared_lines(keys.tolist(), other.tolist())) if other is not None else set()
+    whole = sum(len(t) for t, m in zip(text, main) if m)
+    if 2 * sum(len(text[i]) for i in gone if main[i]) > whole:
+        gone = {i for i in gone if not main[i]}
     return [t for i, t in enumerate(text) if i not in gone]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     p = parsed(pages)
-    loose = p.where("NOT exists(main, x -> x)")  # only pages that declare no article need a partner's lines
     other = parsed(pages).where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("keys").alias("other")).withColumnRenamed("page_id", "partner")
-    need = pairs(pages).join(loose.select("page_id").distinct(), "page_id", "left_semi")
-    partner = need.join(other, "partner").select("page_id", "other")
+    partner = pairs(pages).join(other, "partner").select("page_id", "other")
 
     def run(batches):
         for b in batches:
