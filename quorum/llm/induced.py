@@ -4,7 +4,8 @@ Suffixes at left-most S positions are sorted first (their substrings are named a
 turn); all others are induced from them.  Induction runs over one priority queue per direction whose priority is
 (first symbol, order of arrival): entries carry the suffix and the prefix length that it shares with the entry
 before it, which is one more than the least such value between the two suffixes that induced them.  Queues work on
-whole blocks of entries and move to disk beyond their memory budget, so a shard may be far larger than memory.
+whole blocks of entries and move to disk beyond their memory budget; the text, the types, the names and the suffix array
+itself stay in memory, so a shard has to fit there.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def _names(t: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
 
 def _order(r: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of a string of names, sorted to `depth` names: induced again while names are few, else by doubling."""
-    if len(r) > 64 * (int(r.max()) + 1) and depth > 4:
+    if len(r) > 64 * (int(r.max()) + 1) and depth > 4 and int(r.max()) + SHIFT < 0xFFFF:  # as many names as _words() tells apart
         sa, _ = suffix_array(np.r_[r + SHIFT, SENTINEL].astype(np.uint16), depth)
         return sa[1:]
     rank, h = r, 1

@@ -7,6 +7,9 @@ the shard that the anchor names; equal runs of a group go once, with the smalles
 sorts its suffixes to `width` bytes; neighbours that share `width` bytes hold one string, and the smallest doc_id of
 such a stretch decides.  One bit per string goes back to the group.
 
+An anchor of HOT_RUNS runs or more is hot: its runs are cut into single strings, each of which goes to the shard that its
+own hash names, once a group.  So the edges of a passage that many documents have are spread over all shards.
+
 Nulls count as empty.  Copies of a string within one document, or in rows of one doc_id, stay.  A null doc_id counts as larger
 than any other.  Strings are judged on the input.
 """
@@ -26,6 +29,8 @@ from .induced import MEMORY, SENTINEL, SEPARATOR, SHIFT, suffix_array
 WIDTH = 50
 ANCHOR = 16
 SHARD_BYTES = 3 << 20
+HOT_RUNS = SHARD_BYTES // 128
+FEW = 8  # a group reports no fewer runs of an anchor
 LAST_ID = np.iinfo(np.int64).max
 U = np.uint64
 
@@ -122,12 +127,16 @@ class Group:
         many[inv[ids != first[inv]]] = True
         return keys, many, inv
 
-    def runs(self, hit: np.ndarray, anchor: np.ndarray):
-        """Of the candidate runs: starts, lengths, index among the distinct ones, and one of each."""
-        start, n = self.start[hit], self.n[hit]
+    def runs(self, hit: np.ndarray, anchor: np.ndarray, hot: np.ndarray):
+        """Of the candidate runs, those of hot anchors as single strings: starts, lengths, index among the distinct ones, and the hashes that name their shards."""
+        start, n, shard, hot = self.start[hit], self.n[hit], anchor[hit], hot[hit]
+        if hot.any():
+            cut = c.ragged(start[hot], n[hot])
+            own = c.Rolling(self.data, 8, c.byte_values(8)).of(cut, cut + self.width)
+            start, n, shard = np.r_[start[~hot], cut], np.r_[n[~hot], np.ones(len(cut), n.dtype)], np.r_[shard[~hot], own]
         side = c.Rolling(self.data, 7, c.byte_values(7)).of(start, start + n + self.width - 1)
-        _, inv, _ = c.distinct(np.stack([side, anchor[hit]], 1))
-        return start, n, inv
+        _, inv, _ = c.distinct(np.stack([side, shard], 1))
+        return start, n, inv, shard
 
     def lowest(self, start: np.ndarray, inv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One run and the smallest doc_id of each distinct run."""
@@ -145,6 +154,36 @@ def by_shard(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, lo, np.r_[lo[1:], len(order)]
 
 
+def with_counts(rows: pa.RecordBatch, keys: np.ndarray, counts: np.ndarray, least: int) -> pa.RecordBatch:
+    """key_rows() whose `many` ends in (index, count) of the row's keys that have `least` runs or more."""
+    out = []
+    for blob, many in zip(rows.column("keys").to_pylist(), rows.column("many").to_pylist()):
+        n = counts[np.searchsorted(keys, np.frombuffer(blob, np.uint64))]
+        i = np.flatnonzero(n >= least)
+        out.append(many + np.stack([i, n[i]], 1).astype(np.int32).tobytes())
+    return rows.set_column(rows.schema.get_field_index("many"), "many", pa.array(out, pa.binary()))
+
+
+def _answer(hot: int):
+    """c.answer(1), and as kind 1 which keys have `hot` runs or more in all groups together."""
+    plain = c.answer(1)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        out = plain(t)
+        keys = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
+        told = [np.frombuffer(x[(len(k) + 7) // 8 :], np.int32).reshape(-1, 2) for k, x in zip(keys, t.column("many").to_pylist())]
+        some, inv, _ = c.distinct(np.concatenate([k[x[:, 0]] for k, x in zip(keys, told)]))
+        big = some[np.bincount(inv, weights=np.concatenate([x[:, 1] for x in told]), minlength=len(some)) >= hot]
+        if not len(big):
+            return out
+        bits = [np.isin(k, big) for k in keys]
+        more = pa.table([t.column("g"), pa.array(np.ones(len(bits), np.int32)), t.column("b"), pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())], names=["g", "kind", "b", "bits"])
+        return pa.concat_tables([out, more.filter(pa.array([bool(x.any()) for x in bits]))])
+
+    return run
+
+
 RUNS = "b int, g int, kind int, n binary, low binary, bytes binary"
 _RUNS = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("kind", pa.int32()), ("n", pa.binary()), ("low", pa.binary()), ("bytes", pa.binary())])
 
@@ -214,7 +253,7 @@ def cleaned(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return out.select(*(new.get(x, F.col(x)).cast(docs.schema[x].dataType).alias(x) for x in docs.columns))
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = True, carry: tuple[str, ...] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = True, carry: tuple[str, ...] | None = None, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept (bytes) and spans (start, end, start, ...); with carry instead the carried columns, kept_text and was_null."""
     total = c.text_bytes(docs)
     g = c.grouped_by_text(docs, total, carry or ())
@@ -226,8 +265,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = True, carr
         schema += ", kept_text string, was_null boolean" + "".join(f", `{x}` {docs.schema[x].dataType.simpleString()}" for x in carry)
 
     def send_anchors(t: pa.Table) -> pa.Table:
-        keys, many, _ = Group(t, width).anchor_keys()
-        return pa.Table.from_batches([c.key_rows(t.column("g")[0].as_py(), 0, keys, many, buckets)])
+        keys, many, anchor = Group(t, width).anchor_keys()
+        rows = c.key_rows(t.column("g")[0].as_py(), 0, keys, many, buckets)
+        return pa.Table.from_batches([with_counts(rows, keys, np.bincount(anchor, minlength=len(keys)), min(FEW, hot_runs))])
 
     def send_runs(t: pa.Table, rows: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -238,9 +278,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = True, carr
         out = {k: [] for k in _RUNS.names}
         note = [np.zeros(0, np.uint8)]
         if hit.any():
-            start, n, inv = x.runs(hit, keys[anchor])
+            start, n, inv, shard = x.runs(hit, keys[anchor], c.flags(rows, 1, keys, buckets)[anchor])
             one, low = x.lowest(start, inv)
-            of = c.bucket_of(keys[anchor[hit][one]], shards).astype(np.int32)
+            of = c.bucket_of(shard[one], shards).astype(np.int32)
             order, lo, hi = by_shard(of)
             for i, j in zip(lo, hi):
                 pick = order[i:j]
@@ -303,7 +343,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = True, carr
         more = [mine, pa.array([np.array([0, n[i]], np.int32) if y else spans[i] for i, y in zip(of, copy)], pa.list_(pa.int32()))] if texts else []
         return pa.Table.from_arrays(cols + more, schema=arrow)
 
-    bits = g.groupBy("g").applyInArrow(send_anchors, c.KEYS).groupBy("b").applyInArrow(c.answer(1), c.BITS)
+    bits = g.groupBy("g").applyInArrow(send_anchors, c.KEYS).groupBy("b").applyInArrow(_answer(hot_runs), c.BITS)
     runs = g.groupBy("g").cogroup(bits.groupBy("g")).applyInArrow(send_runs, RUNS)
     back = runs.groupBy("b").applyInArrow(_shard(width), c.BITS)
     return g.groupBy("g").cogroup(back.groupBy("g")).applyInArrow(finish, schema)

@@ -5,8 +5,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from quorum.llm import common as c
 from quorum.llm import bpe, flac, html_main, induced, langid, order_minhash, packing, quality, substring_dedup, suffix_dedup, warc
 from quorum.llm.common import stored
 
@@ -69,6 +71,43 @@ def test_suffix_dedup(spark, docs, rows):
     assert clean.columns == ["doc_id", "text", "lang", "source", "n_chars"] and clean.count() > 10
 
 
+def test_suffix_dedup_hot_anchor(spark):
+    r = random.Random(8)
+    passage = "".join(word(r) + " " for _ in range(30))
+    texts = ["".join(word(r) + " " for _ in range(20)) + passage + "".join(word(r) + " " for _ in range(20)) for _ in range(300)] + ["short"]
+    g = suffix_dedup.Group(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}), 50)
+    keys, _, anchor = g.anchor_keys()
+    n = np.bincount(anchor)
+    hit = (n > 1)[anchor]
+    most = []
+    for hot in (n > len(anchor), n >= 20):
+        start, length, inv, shard = g.runs(hit, keys[anchor], hot[anchor])
+        one, _ = g.lowest(start, inv)
+        assert set(c.ragged(start, length)) == set(c.ragged(g.start[hit], g.n[hit]))
+        most.append(np.unique(shard[one], return_counts=True)[1].max())
+    assert most[0] >= 200 and most[1] <= 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, hot = (sorted(tuple(x)[:5] for x in suffix_dedup.remove_repeats(docs, hot_runs=k).collect()) for k in (1 << 20, 4))
+    seen, want = {}, []
+    raw = [t.encode() for t in texts]
+    for b in raw:
+        gone = bytearray(len(b))
+        mine = [b[i : i + 50] for i in range(len(b) - 49)]
+        for i, x in enumerate(mine):
+            if x in seen:
+                gone[i : i + 50] = b"\1" * 50
+        seen.update(dict.fromkeys(mine))
+        want.append(sum(gone))
+    assert got == hot and [x[2] for x in hot] == want and sum(want) > 0
+
+
+def test_order_of_many_names():
+    r = np.random.default_rng(3).integers(0, 70_000, 64 * 70_001 + 10)
+    r[:70_000] = np.arange(70_000)
+    sa = induced._order(r, 5)[: 4_000_000 : 1000]
+    assert (np.diff(r[sa]) >= 0).all()
+
+
 @pytest.mark.parametrize("memory", [64, 1 << 20])
 def test_suffix_array(memory):
     r = random.Random(1)
