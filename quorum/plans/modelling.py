@@ -225,27 +225,33 @@ def simulate_uniform(t):
     return g.select("a", "b", F.round(e.hash_uniform("a", "b"), 12).alias("u"))
 
 
+TRIALS = 1000
+
+
 def _season(t):
+    """Drawn games of every pair of teams, and the number of teams."""
     f = _facts(t)
-    strength = f.groupBy("team").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd")).where("team < 10")
+    strength = f.groupBy("team").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"))
     pairs = strength.select(F.col("team").alias("home")).crossJoin(strength.select(F.col("team").alias("away"))).where("home < away").withColumn("game", F.col("home") * 100 + F.col("away"))
-    return simulate.trials(pairs, strength, 200)
+    return simulate.trials(pairs, strength, TRIALS), strength.count()
 
 
 @query()
 def simulate_season(t):
-    return simulate.odds(simulate.standings(_season(t)), 4)
+    drawn, _ = _season(t)
+    return simulate.odds(simulate.standings(drawn), 4)
 
 
 @query()
 def simulate_places(t):
-    return simulate.place_distribution(simulate.standings(_season(t)), 10)
+    drawn, teams = _season(t)
+    return simulate.place_distribution(simulate.standings(drawn), teams)
 
 
 @query()
 def playoff_swing(t):
-    d = _season(t)
-    return simulate.swing(simulate.standings(d), d, 1, 4)
+    drawn, _ = _season(t)
+    return simulate.swing(simulate.standings(drawn), drawn, 1, 4)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN o < 0 THEN -o / (-o + 100) WHEN o > 0 THEN 100 / (o + 100) END, 9) AS p FROM (SELECT *, (l_quantity - 25) * 10 AS o FROM lineitem) WHERE l_quantity > 48")

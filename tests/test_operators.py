@@ -124,3 +124,15 @@ def test_every_oracle_has_a_query():
     from quorum import catalogue
 
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries()) and len(catalogue.queries()) > 80
+
+
+def test_season_has_every_team(spark):
+    from quorum import catalogue
+
+    odds, places, swing = (catalogue.queries()[x](spark, "/root/testdata/sf0.001").toPandas() for x in ("simulate_season", "simulate_places", "playoff_swing"))
+    teams = set(range(25))
+    assert set(odds.team) == set(places.team) == set(swing.team) == teams
+    assert abs(odds.playoff_odds.sum() - 4) < 1e-9 and abs(odds.mean_wins.sum() - 300) < 1e-9
+    table = places.set_index("team")
+    assert table.shape == (25, 25) and np.allclose(table.sum(axis=0), 100) and np.allclose(table.sum(axis=1), 100)
+    assert np.allclose(table * 10, (table * 10).round())  # 1,000 trials
