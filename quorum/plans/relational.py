@@ -153,7 +153,7 @@ def name_key(t):
 
 @query()
 def name_key_folded(t):
-    return t.documents.select("doc_id", e.name_key(F.substring_index("text", "\n", 1)).alias("key"))
+    return t.documents.select("doc_id", e.name_key("text").alias("key"))
 
 
 @query("SELECT p_partkey, CASE WHEN regexp_matches(p_name, '^(red|blue|green) ') THEN 'colour' WHEN regexp_matches(p_name, 'ring$') THEN 'ring' ELSE 'other' END AS code FROM part")

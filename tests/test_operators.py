@@ -136,3 +136,10 @@ def test_season_has_every_team(spark):
     table = places.set_index("team")
     assert table.shape == (25, 25) and np.allclose(table.sum(axis=0), 100) and np.allclose(table.sum(axis=1), 100)
     assert np.allclose(table * 10, (table * 10).round())  # 1,000 trials
+
+
+def test_name_key_takes_all_lines(spark, tmp_path):
+    from quorum import catalogue
+
+    spark.createDataFrame([(1, "\nAndré Smith-Jones\nand O'Neil Jr.\n"), (2, "One"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert vals(catalogue.queries()["name_key_folded"](spark, str(tmp_path)), "doc_id", "key") == [(1, "ANDRE SMITH JONES AND ONEIL"), (2, "ONE"), (3, None)]
