@@ -272,8 +272,16 @@ def classes(docs: DataFrame, large: int = LARGE) -> DataFrame:
 
 
 def one_each(docs: DataFrame) -> DataFrame:
-    """docs with the document of smallest id of each class; of rows that repeat its id, one."""
-    kept = c.stored(classes(docs).where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")))
+    """docs with one row of each class, that of smallest id; where ids repeat or are null, the first in order of id (null last), text and row.
+
+    Such rows are numbered in that order first and the numbers serve as ids, so each text, also of a null or repeated id, is in its own class.
+    """
+    n = docs.agg(F.count("*").alias("rows"), F.count_distinct(F.col("doc_id").cast("long")).alias("ids")).first()
+    rows, row = docs, "doc_id"
+    if n["rows"] > n["ids"]:
+        row = "_row"
+        order = F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(*docs.columns)
+        rows = c.stored(docs.orderBy(*order).withColumn(row, F.monotonically_increasing_id()))
+    kept = c.stored(classes(rows.select(F.col(row).alias("doc_id"), "text")).where("doc_id = class_id").select(F.col("doc_id").alias(row)))
     # sorted on both sides at every size, so that small inputs show the plan that large ones get
-    out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
-    return out.dropDuplicates(["doc_id"]) if kept.where("n > 1").limit(1).count() else out
+    return rows.join(kept.hint("merge"), row, "left_semi").select(docs.columns)

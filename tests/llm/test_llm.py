@@ -172,6 +172,15 @@ def test_near_dedup(spark):
     assert order_minhash.classes(df.limit(0)).count() == 0
 
 
+def test_one_each_of_null_and_repeated_ids(spark):
+    r = random.Random(12)
+    a, b, d, e = (" ".join(word(r) + str(r.randint(0, 999)) for _ in range(60)) for _ in range(4))
+    rows = [(1, a, "s"), (2, b, "s"), (2, d, "s"), (2, d, "s"), (3, d + " more", "s"), (5, a + " more", "s"), (5, e, "s"), (None, e, "s"), (None, b, "s"), (None, "alone here", "s"), (None, "alone here", "s")]
+    out = order_minhash.one_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted((x.doc_id or 0, x.text) for x in out.collect()) == sorted([(1, a), (2, b), (2, d), (5, e), (0, "alone here")])
+    assert out.columns == ["doc_id", "text", "source"]
+
+
 @pytest.mark.parametrize("large", [1, 5, 40])
 def test_pairs_in_blocks(spark, large):
     """A bucket's blocks find the pairs that the whole bucket finds, each once."""
