@@ -27,8 +27,12 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder; set only where the session names none, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    """A new folder below the cluster's checkpoint folder.  Only a local master, as in tests, may name none; on a cluster its executors share no other folder."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        top = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     return f"{top}/{uuid.uuid4().hex}"
 
 
@@ -95,50 +99,77 @@ def mixed(x: int) -> int:
     return int(mix(np.array([x], np.uint64))[0])
 
 
-BLOCK_BITS = 16
-BLOCK = 1 << BLOCK_BITS
-_powers: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+LONG_SPAN = 128
+
+
+def span_names(data: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit name of the bytes of each span: eight bytes after another go through a mixer, spans of over LONG_SPAN bytes through xxh3."""
+    n = e - s
+    out = np.full(len(s), mixed(seed + 77), np.uint64) ^ (n.astype(np.uint64) * _BASE)
+    if not len(s):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(padded) - 7,), np.uint64, padded.data, 0, (1,))
+    short = n <= LONG_SPAN
+    live = np.flatnonzero(short) if not short.all() else None
+    at, left = (s, n) if live is None else (s[live], n[live])
+    while len(at):
+        v = lanes[at] & _FIRST[np.minimum(left, 8)]
+        if live is None:
+            out = mix(out * _BASE ^ v)
+            live = np.arange(len(s))
+        else:
+            out[live] = mix(out[live] * _BASE ^ v)
+        go = left > 8
+        live, at, left = live[go], at[go] + 8, left[go] - 8
+    if not short.all():
+        import xxhash
+
+        raw = memoryview(data)
+        for i in np.flatnonzero(~short).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(raw[s[i] : e[i]], seed + 1)
+    return out
 
 
-def _power(seed: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The first BLOCK powers of a seed's base and of its inverse, and the base."""
-    if seed not in _powers:
-        r = (mixed(seed + 77) & ~7) | 3
-        p, q = np.full(BLOCK, r, np.uint64), np.full(BLOCK, pow(r, -1, 1 << 64), np.uint64)
-        p[0] = q[0] = 1
-        _powers[seed] = (np.multiply.accumulate(p), np.multiply.accumulate(q), r)
-    return _powers[seed]
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first bytes of a lane
 
 
-class Rolling:
-    """Content hash of any span of a value sequence, by prefix sums of a polynomial modulo 2^64.
+class Windows:
+    """Names of windows of a value sequence: windows of 1, 2, 4, ... values are named from two halves, each through a mixer, and any
+    window from the two largest of those that cover it, with its length."""
 
-    Works in blocks: besides the sums it holds no array as long as the sequence.  With a table, the sequence is of indices into it.
-    """
+    def __init__(self, values: np.ndarray, width: int, seed: int = 0):
+        self.levels, step = [mix(values * _BASE + U(mixed(seed + 5)))], 1
+        while 2 * step <= width:
+            h = self.levels[-1]
+            self.levels.append(mix(h[: max(0, len(h) - step)] * _BASE ^ (h[step:] + U(mixed(seed + step)))))
+            step *= 2
+
+    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        """Lengths lie between 0 and the width."""
+        if isinstance(length, int):
+            k = length.bit_length() - 1
+            h = self.levels[k]
+            return mix(h[start] * U(length | 1) ^ (h[start + length - (1 << k)] + U(length)))
+        out = np.full(len(start), _M1, np.uint64)
+        for k, h in enumerate(self.levels):
+            rows = np.flatnonzero((length >> k) == 1)
+            if len(rows):
+                a, n = start[rows], length[rows]
+                m = n.astype(np.uint64)
+                out[rows] = mix(h[a] * (m | U(1)) ^ (h[a + n - (1 << k)] + m))
+        return out
+
+
+def text_names(data: np.ndarray, off: np.ndarray, lower: bool = False) -> np.ndarray:
+    """128 bits (two columns) of each text's word sequence, from its words joined by one blank."""
+    import xxhash
 
-    def __init__(self, values: np.ndarray, seed: int = 0, table: np.ndarray | None = None):
-        p, self.q, r = _power(seed)
-        n = len(values)
-        self.c = np.zeros(n + 1, np.uint64)
-        step, scale = pow(r, BLOCK, 1 << 64), 1
-        for lo in range(0, n, BLOCK):
-            v = values[lo : lo + BLOCK]
-            v = (v if table is None else table[v]) * p[: len(v)]
-            if lo:
-                v *= U(scale)
-            part = self.c[lo + 1 : lo + 1 + len(v)]
-            np.cumsum(v, out=part)
-            part += self.c[lo]
-            scale = scale * step % (1 << 64)
-        self.far = np.full(n // BLOCK + 1, pow(step, -1, 1 << 64), np.uint64)
-        self.far[0] = 1
-        np.multiply.accumulate(self.far, out=self.far)
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        x = (self.c[end] - self.c[start]) * self.q[start & (BLOCK - 1)]
-        if len(self.far) > 1:
-            x *= self.far[start >> BLOCK_BITS]
-        return mix(x + (end - start).astype(np.uint64) * _BASE)
+    raw = data.tobytes()
+    if lower:
+        raw = raw.lower()  # of bytes: A to Z only
+    got = b"".join(xxhash.xxh3_128_digest(b" ".join(raw[a:b].split())) for a, b in zip(off[:-1].tolist(), off[1:].tolist()))
+    return np.frombuffer(got, np.int64).reshape(-1, 2)
 
 
 _byte_values: dict[int, np.ndarray] = {}
@@ -164,7 +195,7 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0) -> np.ndarray:
-    return Rolling(data, seed, byte_values(seed)).of(s, e)
+    return span_names(data, s, e, seed)
 
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:

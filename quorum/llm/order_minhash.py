@@ -9,13 +9,14 @@ Documents with one word sequence are copies and count once.  Documents that shar
    copies, the one most like all others): as many pairs as members.
 2. Verified pairs are joined to components.  In buckets whose members then still belong to several components, all
    pairs across components are estimated from a one-permutation sketch of BINS bins (nearly exact up to a few hundred
-   k-mers, a standard deviation of 0.018 beyond) and those estimated at NEAR or more are verified too.  Buckets of over
+   k-mers, a standard deviation of 0.018 beyond) and those estimated at NEAR or more, five such deviations below the threshold, are verified too.  Buckets of over
    LARGE members are compared in blocks, over many tasks.
 A pair is verified by aligning the labelled k-mers within the band that the threshold leaves: with m aligned, the
 similarity is m / (n1 + n2 - m), 0.8 or more.  Components are found by Spark; nothing of them reaches the driver.
 
-Texts without words are copies of one another; a text of fewer than five words is one k-mer; null ids stand in no
-class (class_id null, unless their words are another document's); repeated rows share their class.
+Texts without words are copies of one another; a text of fewer than five words is one k-mer; repeated rows share their
+class.  A class goes by its smallest doc_id; class_key tells classes apart also where rows of one doc_id, or of none,
+have different texts (class_id is null where no row of the class has an id).  Whole texts are read, in slices of whole texts.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ SKETCHES = 28
 PICK = 4
 LARGE = 16384
 BINS = 512
-NEAR = 0.74
+NEAR = 0.7
 WHOLE, START, OUTER, MAIN = range(4)
 U = np.uint64
 _ORDERS = (c.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * U(0xA24BAED4963EE407)) | U(1))[:, None]
@@ -44,19 +45,17 @@ def _lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8)
 
 
-def labelled(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Labelled k-mers of all texts with n + 1 offsets, and two hashes of each text's word sequence."""
+def labelled(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled k-mers of all texts with n + 1 offsets."""
     n = len(off) - 1
     s, e, doc = c.words(data, off)
     w = c.word_hashes(_lower(data), s, e)
     count = np.bincount(doc, minlength=n)
     end = np.cumsum(count)
     begin = end - count
-    whole = [c.Rolling(c.mix(w + U(seed)), seed).of(begin, end) for seed in (11, 12)]
     kmers = np.where(count >= WORDS, count - WORDS + 1, np.minimum(count, 1))
     at = c.ragged(begin, kmers)
-    width = np.minimum(np.repeat(count, kmers), WORDS)
-    k = c.Rolling(w, 13).of(at, at + width)
+    k = c.Windows(w, WORDS, 13).of(at, np.minimum(np.repeat(count, kmers), WORDS))
     d = np.repeat(np.arange(n), kmers)
     order = np.lexsort((at, k, d))
     kk, dd = k[order], d[order]
@@ -64,7 +63,7 @@ def labelled(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     lo = np.flatnonzero(new)
     occurrence = np.empty(len(k), np.uint64)
     occurrence[order] = (np.arange(len(k)) - lo[np.cumsum(new) - 1]).astype(np.uint64) if len(k) else 0
-    return c.mix(k + occurrence * U(0xD1342543DE82EF95)), np.r_[0, np.cumsum(kmers)], whole[0], whole[1]
+    return c.mix(k + occurrence * U(0xD1342543DE82EF95)), np.r_[0, np.cumsum(kmers)]
 
 
 def signatures(x: np.ndarray) -> np.ndarray:
@@ -96,10 +95,12 @@ def sketch(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in c.slices(batches):
-            x, at, h1, h2 = labelled(*c.flat(b.column("text")))
+            data, off = c.flat(b.column("text"))
+            x, at = labelled(data, off)
+            h = c.text_names(data, off, lower=True)
             sig = [signatures(x[i:j]).tobytes() if j > i else b"" for i, j in zip(at, at[1:])]
             oph = pa.array([r.tobytes() for r in bins(x, at)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.diff(at)), pa.array(sig, pa.binary()), oph], names=["doc_id", "k1", "k2", "n", "sig", "oph"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.diff(at)), pa.array(sig, pa.binary()), oph], names=["doc_id", "k1", "k2", "n", "sig", "oph"])
 
     return docs.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(text AS STRING) text").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, sig binary, oph binary")
 
@@ -234,10 +235,26 @@ def _blocks(left: DataFrame, large: int) -> DataFrame:
     return whole.unionByName(start).unionByName(met)
 
 
+def _texts(docs: DataFrame, reps: DataFrame, member: DataFrame) -> DataFrame:
+    """rep, text of the word sequences in member: of the rows with the sequence's own id, one that has its words."""
+
+    def run(batches):
+        for b in c.slices(batches):
+            h = c.text_names(*c.flat(b.column("text")), lower=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), b.column("text")], names=["k1", "k2", "text"])
+
+    need = reps.join(member.select("rep").distinct(), "rep").select("rep", "doc_id", "k1", "k2")
+    ids = need.select("doc_id").distinct().withColumnRenamed("doc_id", "own")
+    d = docs.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(text AS STRING) text").where("text IS NOT NULL")
+    d = d.join(ids, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi").select("text").mapInArrow(run, "k1 long, k2 long, text string")
+    return d.join(need, ["k1", "k2"]).groupBy("rep").agg(F.min("text").alias("text"))
+
+
 def classes(docs: DataFrame, large: int = LARGE) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), n_kmers and links (verified pairs of its word sequence)."""
+    """doc_id, class_id (the smallest doc_id of its class), n_kmers, links (verified pairs of its word sequence) and class_key."""
     sk = c.stored(sketch(docs))
-    reps = c.stored(sk.where("doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("oph").alias("oph")))
+    reps = sk.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("oph").alias("oph"))
+    reps = c.stored(reps.withColumn("rep", F.monotonically_increasing_id()))
 
     def explode(batches):
         for b in batches:
@@ -251,10 +268,7 @@ def classes(docs: DataFrame, large: int = LARGE) -> DataFrame:
     score = member.groupBy("rep").agg(F.sum("size").alias("score"))
     pivot = member.join(score, "rep").groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("pivot"))
     star = c.stored(member.join(pivot, "key").where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
-    involved = member.select(F.col("rep").alias("doc_id")).distinct()
-    # several rows may carry a representative's id: the text with its words counts
-    texts = docs.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(text AS STRING) text").where("text IS NOT NULL").join(involved, "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
-    texts = c.stored(texts)
+    texts = c.stored(_texts(docs, reps, member))
     links = c.stored(verified(star, texts))
     lab = components(links)
 
@@ -267,8 +281,9 @@ def classes(docs: DataFrame, large: int = LARGE) -> DataFrame:
     links = links.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     lab = components(links)
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
-    of = reps.select("k1", "k2", "rep").join(lab.withColumnRenamed("v", "rep"), "rep", "left").join(degree, "rep", "left").select("k1", "k2", F.coalesce("c", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return sk.select("doc_id", "k1", "k2", F.col("n").alias("n_kmers")).join(of, ["k1", "k2"], "left").select("doc_id", "class_id", "n_kmers", F.coalesce("links", F.lit(0)).alias("links"))
+    of = reps.select("k1", "k2", "rep", "doc_id").join(lab.withColumnRenamed("v", "rep"), "rep", "left").withColumn("class_key", F.coalesce("c", "rep"))
+    of = of.join(of.groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "class_key").join(degree, "rep", "left").select("k1", "k2", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "class_key")
+    return sk.select("doc_id", "k1", "k2", F.col("n").alias("n_kmers")).join(of, ["k1", "k2"]).select("doc_id", "class_id", "n_kmers", "links", "class_key")
 
 
 def one_each(docs: DataFrame) -> DataFrame:

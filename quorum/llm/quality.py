@@ -1,7 +1,7 @@
 """Quality rules and a calibrated hashed n-gram logistic regression.
 
 Base rules count words, characters in words, symbols, repeated lines and words in repeated 8-word windows.  The model
-is a logistic regression on hashed word unigrams, word bigrams, bytes and byte 3-grams (relative counts within
+is a logistic regression on hashed words, word bigrams, characters and character 3-grams (code points; relative counts within
 each kind), fitted by full-batch gradient steps on a bounded sample of labelled rows (the `sample` labelled documents with the
 smallest hashes of their ids), then calibrated (Platt) on a fifth of the sample that the fit does not see.  A document is kept
 if it passes the base rules and its probability of good quality reaches the fixed threshold.
@@ -12,6 +12,7 @@ Rows with one id all count for themselves.  Whole texts are scored.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ SCALE = 10.0
 SAMPLE = 2500
 THRESHOLD = 0.3
 MIN_WORDS = 20
-REPEAT_WINDOW = 8
+REPEAT_WINDOW = 8  # a power of two
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -55,12 +56,14 @@ def features(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np
     two = c.mix(w[:-1] * U(3) + w[1:])[pair]
     yield _bucket(two, 1), doc[:-1][pair] if len(doc) else doc
     del s, e, w, two, pair, doc
-    v = c.byte_values(3)[data]
-    byte_doc = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
+    head = (data & 0xC0) != 0x80
+    cp = data if head.all() else np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-" + ("le" if sys.byteorder == "little" else "be")), np.uint32)
+    v = c.mix(cp.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(3))
+    of = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(np.r_[0, np.cumsum(head)][off]))
     for block, k in ((2, 1), (3, 3)):
         gram = v[: len(v) - k + 1] if k == 1 else v[:-2] * U(9) + v[1:-1] * U(3) + v[2:]
-        same = byte_doc[: len(gram)] == byte_doc[k - 1 :][: len(gram)]
-        yield _bucket(c.mix(gram), block)[same], byte_doc[: len(gram)][same]
+        same = of[: len(gram)] == of[k - 1 :][: len(gram)]
+        yield _bucket(c.mix(gram), block)[same], of[: len(gram)][same]
 
 
 def _per_doc(idx: np.ndarray, doc: np.ndarray, n: int):
@@ -145,6 +148,24 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([r.text.encode() for r in rows], np.array([r.quality > 0 for r in rows], float) if rows else np.zeros(0))
 
 
+def _repeating(key: np.ndarray, doc: np.ndarray) -> list[int]:
+    """Documents that have a key twice; what repeats in them is then counted on the bytes themselves."""
+    order = np.lexsort((key, doc))
+    k, d = key[order], doc[order]
+    return np.unique(d[1:][(k[1:] == k[:-1]) & (d[1:] == d[:-1])]).tolist()
+
+
+def _repeat_words(words: list[bytes]) -> int:
+    """Words in windows that stand in the text twice or more: numbers of words, then of pairs of numbers, and so on."""
+    number: dict[bytes, int] = {}
+    v, step = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)), 1
+    while step < REPEAT_WINDOW:
+        v = np.unique(v[:-step] << 32 | v[step:], return_inverse=True)[1]
+        step *= 2
+    again = np.flatnonzero(np.bincount(v)[v] > 1)
+    return int(c.covered(again, REPEAT_WINDOW, len(words)).sum())
+
+
 def base(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """Counts of the base rules for every text."""
     n = len(off) - 1
@@ -162,23 +183,22 @@ def base(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     has = np.unique(line_of)
     lo, hi = lo[has], hi[has]
     ld = np.searchsorted(off, lo, "right") - 1
-    h = c.Rolling(data, 4, c.byte_values(4)).of(lo, hi)
-    order = np.lexsort((h, ld))
-    same = (h[order][1:] == h[order][:-1]) & (ld[order][1:] == ld[order][:-1])
-    n_dup = np.bincount(ld[order][1:][same], minlength=n) if len(ld) > 1 else np.zeros(n, np.int64)
+    raw = data.tobytes()
+    h = c.span_names(data, lo, hi, 4)
+    n_dup = np.zeros(n, np.int64)
+    for d in _repeating(h, ld):
+        a, b = np.searchsorted(ld, (d, d + 1))
+        mine = [raw[x:y] for x, y in zip(lo[a:b].tolist(), hi[a:b].tolist())]
+        n_dup[d] = len(mine) - len(set(mine))
     # words in windows found twice or more in their text
-    w = c.word_hashes(data, s, e)
     end = np.cumsum(n_words)
     at = np.arange(len(s))
     at = at[at + REPEAT_WINDOW <= end[doc]] if len(s) else at
-    key = c.Rolling(w, 1).of(at, at + REPEAT_WINDOW)
     wd = doc[at]
-    order = np.lexsort((key, wd))
-    k, d = key[order], wd[order]
-    eq = (k[1:] == k[:-1]) & (d[1:] == d[:-1])
-    again = (np.r_[eq, False] | np.r_[False, eq])[: len(k)]
-    inside = c.covered(np.sort(at[order[again]]), REPEAT_WINDOW, len(s))
-    n_repeat = np.bincount(doc, weights=inside, minlength=n).astype(np.int64)
+    key = c.Windows(c.word_hashes(data, s, e), REPEAT_WINDOW, 1).of(at, REPEAT_WINDOW) if len(at) else np.zeros(0, np.uint64)
+    n_repeat = np.zeros(n, np.int64)
+    for d in _repeating(key, wd):
+        n_repeat[d] = _repeat_words(raw[off[d] : off[d + 1]].split())
     return {"n_words": n_words.astype(np.int64), "word_chars": word_chars, "n_symbols": n_symbols.astype(np.int64), "n_dup_lines": n_dup.astype(np.int64), "n_repeat_words": n_repeat, "base_failed": (n_words < MIN_WORDS) | (100 * n_repeat > 30 * n_words)}
 
 

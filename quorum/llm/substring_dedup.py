@@ -1,18 +1,21 @@
 """Exact removal of repeated word windows by recompression (Jez).
 
-Every round renames maximal runs of one symbol, then pairs of a left and a right symbol, and a symbol's name is a hash
-of what it spells, so equal text gets equal names on every executor without a dictionary job per round.  Each symbol also carries
-the span of words that its existence depends on.  A symbol whose span lies inside a window stands in every copy of
-that window: the highest such symbol (the leftmost of them) is the window's core.
-
-Spark's rounds: count the cores; windows whose core occurs twice are named by 128 bits of their words and counted in
-turn; words covered by a repeated window go.  Nulls and empty texts have no word; repeated rows are copies of one
-another; every text is read whole.
+Every round renames maximal runs of one symbol, then pairs of a left and a right symbol.  A symbol's name is 128 bits
+of what it spells (of a word's bytes, of a symbol and its count, of two symbols), so a name is global: equal text gets
+equal names on every executor, and no round needs a shuffle for a dictionary.  Each symbol also carries the words it
+spells and the span of words that its existence depends on.  A symbol whose span lies inside a window stands, at the
+same place, in every copy of that window: the highest such symbol (the leftmost of them) is the window's core.
+
+Spark's rounds: count the cores; windows whose core occurs twice are told apart by their core's name, its place, and
+the symbols before and after it, and counted in turn; words covered by a repeated window go.  So equal windows get equal names, and
+windows of equal names spell the same words, up to collisions of 128 bits.  Nulls and empty texts have no word;
+repeated rows are copies of one another; every text is read whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
@@ -24,59 +27,91 @@ from . import common as c
 WINDOW = 35
 FAR = 1 << 40
 U = np.uint64
-
-
-def cores(names: np.ndarray, doc: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window start: the name of its core, and a number that tells occurrences of cores apart."""
-    pos = np.arange(len(names), dtype=np.int64)
-    sym, d, cl, cr = names, doc, pos, pos + 1
-    levels = [(cl, cr, sym)]
-    rnd = 0
-    while len(sym) > 1 and rnd < 40:
-        rnd += 1
-        joint = d[1:] == d[:-1]
-        # runs
-        same = joint & (sym[1:] == sym[:-1])
-        lo = np.flatnonzero(np.r_[True, ~same])
-        hi = np.r_[lo[1:], len(sym)] - 1
-        left = np.where(np.r_[False, joint][lo], cl[np.maximum(lo - 1, 0)], -FAR)
-        right = np.where(np.r_[joint, False][hi], cr[np.minimum(hi + 1, len(sym) - 1)], FAR)
-        n = (hi - lo + 1).astype(np.uint64)
-        sym, d, cl, cr = np.where(n > 1, c.mix(sym[lo] + n * U(0xD6E8FEB86659FD93)), sym[lo]), d[lo], left, right
-        # pairs
-        if len(sym) > 1:
-            joint = d[1:] == d[:-1]
-            second = c.mix(sym + U(c.mixed(rnd))) >> U(63) == 1
-            pair = joint & ~second[:-1] & second[1:]
-            head, tail = np.r_[pair, False], np.r_[False, pair]
-            ncl = np.where(second & ~tail, np.r_[-FAR, np.where(joint, cl[:-1], -FAR)], cl)
-            ncr = np.where(~second & ~head, np.r_[np.where(joint, cr[1:], FAR), FAR], cr)
-            at = np.flatnonzero(pair)
-            ncr[at] = cr[at + 1]
-            sym = sym.copy()
-            sym[at] = c.mix(sym[at] * U(0x9FB21C651E98DF25) + c.mix(sym[at + 1]))
-            keep = ~tail
-            sym, d, cl, cr = sym[keep], d[keep], ncl[keep], ncr[keep]
-        ok = (cl >= 0) & (cr - cl <= width)
+_RUN, _LEFT = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)), (U(0x9FB21C651E98DF25), U(0xE7037ED1A0B428DB))
+
+
+@dataclass
+class Symbols:
+    """Symbols of one level: two names, document, the words [lo, hi) that each spells and the span [left, right) it depends on."""
+
+    names: tuple[np.ndarray, np.ndarray]
+    doc: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+    def pick(self, m: np.ndarray) -> "Symbols":
+        return Symbols(tuple(x[m] for x in self.names), self.doc[m], self.lo[m], self.hi[m], self.left[m], self.right[m])
+
+
+def runs(x: Symbols) -> Symbols:
+    """Names maximal runs of one symbol."""
+    joint = x.doc[1:] == x.doc[:-1]
+    same = joint & (x.names[0][1:] == x.names[0][:-1]) & (x.names[1][1:] == x.names[1][:-1])
+    a = np.flatnonzero(np.r_[True, ~same])
+    b = np.r_[a[1:], len(x)] - 1
+    left = np.where(np.r_[False, joint][a], x.left[np.maximum(a - 1, 0)], -FAR)
+    right = np.where(np.r_[joint, False][b], x.right[np.minimum(b + 1, len(x) - 1)], FAR)
+    n = (b - a + 1).astype(np.uint64)
+    names = tuple(np.where(n > 1, c.mix(v[a] ^ n * k), v[a]) for v, k in zip(x.names, _RUN))
+    return Symbols(names, x.doc[a], x.lo[a], x.hi[b], left, right)
+
+
+def paired(x: Symbols, rnd: int) -> Symbols:
+    """Names pairs of a left and a right symbol; a round's coin, from the name, says which a symbol is."""
+    joint = x.doc[1:] == x.doc[:-1]
+    second = c.mix(x.names[0] + U(c.mixed(rnd))) >> U(63) == 1
+    pair = joint & ~second[:-1] & second[1:]
+    head, tail = np.r_[pair, False], np.r_[False, pair]
+    left = np.where(second & ~tail, np.r_[-FAR, np.where(joint, x.left[:-1], -FAR)], x.left)
+    right = np.where(~second & ~head, np.r_[np.where(joint, x.right[1:], FAR), FAR], x.right)
+    at = np.flatnonzero(pair)
+    right[at] = x.right[at + 1]
+    hi = x.hi.copy()
+    hi[at] = x.hi[at + 1]
+    names = tuple(v.copy() for v in x.names)
+    for v, k in zip(names, _LEFT):
+        v[at] = c.mix(v[at] * k ^ c.mix(v[at + 1] + k))
+    return Symbols(names, x.doc, x.lo, hi, left, right).pick(~tail)
+
+
+def levels(names: tuple[np.ndarray, np.ndarray], doc: np.ndarray, width: int) -> list[Symbols]:
+    """Of every round, the symbols whose span fits a window; rounds end when none does."""
+    pos = np.arange(len(doc), dtype=np.int64)
+    x = Symbols(names, doc, pos, pos + 1, pos, pos + 1)
+    out = [x]
+    while len(x) > 1:
+        x = paired(runs(x), len(out))
+        ok = (x.left >= 0) & (x.right - x.left <= width)
         if not ok.any():
             break
-        levels.append((cl[ok], cr[ok], sym[ok]))
-    name, which = np.zeros(len(starts), np.uint64), np.full(len(starts), -1, np.int64)
-    todo = np.arange(len(starts))
-    base = sum(len(x[0]) for x in levels)
-    for level in range(len(levels) - 1, -1, -1):
-        cl, cr, sym = levels[level]
-        base -= len(cl)
+        out.append(x.pick(ok))
+    return out
+
+
+def cores(levels: list[Symbols], starts: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """For each window start: its core's two names, first word and end, and a number that tells occurrences of cores apart."""
+    one, two = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    lo, hi, which = (np.zeros(len(starts), np.int64) for _ in range(3))
+    todo, base = np.arange(len(starts)), sum(map(len, levels))
+    for n in range(len(levels) - 1, -1, -1):
+        x = levels[n]
+        base -= len(x)
         at = starts[todo]
-        j = np.searchsorted(cl, at)
-        jj = np.minimum(j, len(cl) - 1)
-        ok = (j < len(cl)) & (cr[jj] <= at + width)
-        name[todo[ok]] = c.mix(sym[jj[ok]] + U(level + 1))
-        which[todo[ok]] = base + jj[ok]
+        j = np.searchsorted(x.left, at)
+        jj = np.minimum(j, len(x) - 1)
+        ok = (j < len(x)) & (x.right[jj] <= at + width)
+        rows, jj = todo[ok], jj[ok]
+        one[rows], two[rows] = c.mix(x.names[0][jj] + U(n + 1)), c.mix(x.names[1][jj] + U(n + 1))
+        lo[rows], hi[rows], which[rows] = x.lo[jj], x.hi[jj], base + jj
         todo = todo[~ok]
         if not len(todo):
             break
-    return name, which
+    return one, two, lo, hi, which
 
 
 class Group:
@@ -92,19 +127,25 @@ class Group:
         pos = np.arange(len(self.s))
         self.starts = pos[pos + width <= end[self.doc]] if len(pos) else pos
 
-    def names(self, seed: int = 0) -> np.ndarray:
-        return c.word_hashes(self.data, self.s, self.e, seed)
-
     def core_keys(self):
-        name, which = cores(self.names(), self.doc, self.starts, self.width)
+        """Distinct cores, whether each occurs more than once here, and the index of every window's core."""
+        self.words = tuple(c.word_hashes(self.data, self.s, self.e, seed) for seed in (0, 1))
+        self.cores = cores(levels(self.words, self.doc, self.width), self.starts, self.width)
+        name, which = self.cores[0], self.cores[4]
         w, at = np.unique(which, return_index=True)
         keys, inv, n = c.distinct(name[at])
-        back = inv[np.searchsorted(w, which)]
-        return keys, n > 1, back
-
-    def window_keys(self, starts: np.ndarray):
-        sides = [c.Rolling(self.names(seed), seed).of(starts, starts + self.width) for seed in (1, 2)]
-        keys, inv, n = c.distinct(np.stack(sides, 1))
+        return keys, n > 1, inv[np.searchsorted(w, which)]
+
+    def window_keys(self, hit: np.ndarray):
+        """Distinct names of the windows in the mask: each from its core, the core's place and the symbols of the words around it."""
+        at = self.starts[hit]
+        one, two, lo, hi = (x[hit] for x in self.cores[:4])
+        names = []
+        for core, words, seed in ((one, self.words[0], 1), (two, self.words[1], 2)):
+            w = c.Windows(words, self.width, seed)
+            before, after = w.of(at, lo - at), w.of(hi, at + self.width - hi)
+            names.append(c.mix(c.mix(core * _RUN[0] ^ before) * _LEFT[0] ^ after + (lo - at).astype(np.uint64)))
+        keys, inv, n = c.distinct(np.stack(names, 1))
         return keys, n > 1, inv
 
 
@@ -131,7 +172,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, texts: bool = True) ->
             return pa.Table.from_batches([], pa.schema([("b", pa.int32()), ("g", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("many", pa.binary())]))
         x, own = Group(t, width), t.column("g")[0].as_py()
         hit = candidates(x, rows)
-        keys, many, _ = x.window_keys(x.starts[hit])
+        keys, many, _ = x.window_keys(hit)
         out = c.key_rows(own, 1, keys, many, buckets)
         # the candidates themselves travel to the last step as a row of a bucket of their own, which only passes on
         note = pa.record_batch([pa.array([-1 - own], pa.int32()), pa.array([own], pa.int32()), pa.array([2], pa.int32()), pa.array([np.packbits(hit).tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=out.schema.names)
@@ -149,10 +190,11 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, texts: bool = True) ->
         gone = np.zeros(len(x.s), bool)
         if len(x.starts):
             note = next(b for k, b in zip(rows.column("kind").to_pylist(), rows.column("bits").to_pylist()) if k == 2)
-            at = x.starts[np.unpackbits(np.frombuffer(note, np.uint8), count=len(x.starts)).astype(bool)]
-            keys, _, inv = x.window_keys(at)
-            if len(at):
-                gone = c.covered(at[c.flags(rows, 1, keys, buckets)[inv]], width, len(x.s))
+            hit = np.unpackbits(np.frombuffer(note, np.uint8), count=len(x.starts)).astype(bool)
+            if hit.any():
+                x.core_keys()
+                keys, _, inv = x.window_keys(hit)
+                gone = c.covered(x.starts[hit][c.flags(rows, 1, keys, buckets)[inv]], width, len(x.s))
         kept, removed = [], np.bincount(x.doc, weights=gone, minlength=x.t.num_rows).astype(np.int64)
         raw = x.data.tobytes()
         for i in range(x.t.num_rows):

@@ -132,12 +132,14 @@ class Group:
         start, n, shard, hot = self.start[hit], self.n[hit], anchor[hit], hot[hit]
         if hot.any():
             cut = c.ragged(start[hot], n[hot])
-            own = c.Rolling(self.data, 8, c.byte_values(8)).of(cut, cut + self.width)
+            own = c.span_names(self.data, cut, cut + self.width, 8)
             start, n, shard = np.r_[start[~hot], cut], np.r_[n[~hot], np.ones(len(cut), n.dtype)], np.r_[shard[~hot], own]
-        side = c.Rolling(self.data, 7, c.byte_values(7)).of(start, start + n + self.width - 1)
-        _, inv, _ = c.distinct(np.stack([side, shard], 1))
+        _, inv, _ = c.distinct(self._two_names(start, n))
         return start, n, inv, shard
 
+    def _two_names(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.stack([c.span_names(self.data, start, start + n + self.width - 1, seed) for seed in (6, 7)], 1)
+
     def lowest(self, start: np.ndarray, inv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One run and the smallest doc_id of each distinct run."""
         k = int(inv.max()) + 1 if len(inv) else 0
@@ -225,7 +227,7 @@ def _shard(width: int):
         # equal runs of several groups are sorted once
         length = n + width - 1
         start = np.cumsum(length) - length
-        _, inv, _ = c.distinct(np.stack([c.Rolling(raw, s, c.byte_values(s)).of(start, start + length) for s in (7, 8)], 1))
+        _, inv, _ = c.distinct(np.stack([c.span_names(raw, start, start + length, s) for s in (6, 7)], 1))
         k = int(inv.max()) + 1
         one, least = np.zeros(k, np.int64), np.full(k, LAST_ID)
         one[inv] = np.arange(len(inv))
