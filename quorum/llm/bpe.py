@@ -1,32 +1,38 @@
 """Byte-level BPE with the tokenizers library over Arrow batches, and decoding by the reversed byte table.
 
-A batch's texts are cut into pre-tokens (below, on whole arrays of code points), each distinct pre-token of a slice is encoded
-once by the library, and ids are gathered back in text order with the byte and character offsets of every token.
-A token may end inside a character: byte offsets are exact, and a character offset counts the characters that are complete before it.
-Distinct pre-tokens are recognised by 64 bits of their bytes and their length; a worker keeps the ids of up to CACHE of them.
+A text is cut into the matches of the vocabulary's pattern, each distinct match is encoded once by the library, and ids
+are gathered back in text order with the byte and character offsets of every token.  A token may end inside a
+character: byte offsets are exact, and a character offset counts the characters that are complete before it.
 
-Null texts are empty; texts that spell a special token are ordinary text.
+A vocabulary is a file of the library (.json) or one of ranks (.tiktoken).  From ranks the library's model is built with
+every way to put a token together from two, in order of rank, and whole matches that are tokens are taken as they are, as
+ranks prescribe.  Special tokens that a text spells are ordinary text, unless `special` asks for the library's own
+handling, which takes them out of the text first.
+
+Null and empty texts have no token; repeated rows are encoded each for itself.  Very long texts are matched PART characters at a time, and
+a worker keeps the ids of up to CACHE matches.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
-import sys
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common as c
 
 VOCABULARY = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 SLICE = 2 << 20
-CACHE = 1_000_000
-LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
+PART = 1 << 20
+MARGIN = 3  # characters of the longest match that a shorter one can stand for
+CACHE = 300_000
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -42,79 +48,45 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-_classes: list[np.ndarray] = []
-
+def from_ranks(path: str):
+    """The library's byte-level BPE model with the vocabulary of a file of ranks."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
-def classes() -> np.ndarray:
-    """Letter, number, white space or other for every code point, as \\p{L}, \\p{N} and \\s of the pattern."""
-    if not _classes:
-        import regex
-
-        out = np.full(0x110000, OTHER, np.uint8)
-        every = "".join(map(chr, (x for x in range(0x110000) if not 0xD800 <= x < 0xE000)))
-        for kind, p in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-            for m in regex.finditer(p, every):
-                a, b = m.span()
-                lo, hi = ord(every[a]), ord(every[b - 1])
-                if hi - lo == b - a - 1:
-                    out[lo : hi + 1] = kind
-                else:
-                    out[np.fromiter(map(ord, every[a:b]), np.int64)] = kind
-        _classes.append(out)
-    return _classes[0]
-
-
-def pretoken_starts(cp: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """Mask of the code points that begin a pre-token; edge marks those that begin a text.
-
-    Runs of one class are pre-tokens.  White space before a word gives up its last character: a blank joins the word,
-    anything else stands alone.  A lone apostrophe that no blank precedes takes s, t, m, d, re, ve or ll with it.
-    """
-    n = len(cp)
-    k = classes()[cp]
-    run = np.r_[True, k[1:] != k[:-1]] | edge
-    begin = run.copy()
-    space = k == SPACE
-    last = np.r_[run[1:], True]  # the last of its run
-    ends_text = np.r_[edge[1:], True]
-    give = space & last & ~ends_text  # the white space character before a word
-    begin |= give
-    blank = give & (cp == 32)
-    after = np.r_[False, blank[:-1]]
-    begin &= ~after  # the word joins its blank
-    lone = np.flatnonzero((cp == 39) & run & last & ~after & ~ends_text)
-    if len(lone):
-        nxt = cp[np.minimum(lone + 1, n - 1)]
-        two = np.where((lone + 2 < n) & ~edge[np.minimum(lone + 2, n - 1)], cp[np.minimum(lone + 2, n - 1)], 0)
-        one = np.isin(nxt, [ord(x) for x in "stmd"])
-        pair = ((nxt == 114) & (two == 101)) | ((nxt == 118) & (two == 101)) | ((nxt == 108) & (two == 108))
-        for at, width in ((lone[one], 1), (lone[pair], 2)):
-            begin[at + 1] = False
-            rest = at + 1 + width
-            rest = rest[rest < n]
-            # what is left of the word is a pre-token of its own
-            begin[rest[(k[rest] == LETTER) | begin[rest]]] = True
-    return begin
+    spelled = {b: x for x, b in byte_chars().items()}
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+    text = {t: "".join(map(spelled.__getitem__, t)) for t in ranks}
+    order = sorted(ranks, key=ranks.get)
+    merges = [(text[t[:i]], text[t[i:]]) for t in order for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    tok = Tokenizer(models.BPE({text[t]: r for t, r in ranks.items()}, merges, ignore_merges=True, cache_capacity=0))
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return tok
 
 
 class Encoder:
     """Encodes texts of UTF-8 bytes; one per Python worker."""
 
-    _made: dict[str, "Encoder"] = {}
+    _made: dict[tuple[str, bool], "Encoder"] = {}
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, special: bool = False) -> "Encoder":
+        if (path, special) not in cls._made:
+            cls._made[path, special] = cls(path, special)
+        return cls._made[path, special]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.forget()
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.tok = Tokenizer.from_file(path) if path.endswith(".json") else from_ranks(path)
+        self.tok.encode_special_tokens = True  # of single matches; special ones are taken out before
+        own = self.tok.get_added_tokens_decoder() if special else {}
+        self.special = {t.content: i for i, t in own.items()}
+        self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if own else None
+        self.known: dict[str, bytes] = {}
         table = byte_chars()
         vocab = self.tok.get_vocab()
         size = max(vocab.values()) + 1
@@ -126,59 +98,45 @@ class Encoder:
         self.at = np.cumsum(self.width) - self.width
         self.decimal = [str(i) for i in range(size)]
 
-    def forget(self) -> None:
-        self.keys, self.starts, self.counts, self.ids = np.array([2**64 - 1], np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
-
-    def learn(self, keys: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
-        """Adds pre-tokens' ids to what this worker knows."""
-        at = np.r_[self.starts, len(self.ids) + np.cumsum(n) - n]
-        keys, n = np.r_[self.keys, keys], np.r_[self.counts, n]
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.starts, self.counts, self.ids = keys[order], at[order], n[order], np.r_[self.ids, ids]
-
-    def pieces(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Byte starts and ends of the pre-tokens."""
-        if not len(data):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        head = (data & 0xC0) != 0x80
-        where = np.flatnonzero(head)
-        if len(where) == len(data):
-            cp = data.astype(np.uint32)
-        else:
-            cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-" + ("le" if sys.byteorder == "little" else "be")), np.uint32)
-        edge = np.zeros(len(data) + 1, bool)
-        edge[off] = True
-        s = where[pretoken_starts(cp, edge[where])]
-        return s, np.r_[s[1:], len(data)]
+    def matches(self, text: str) -> Iterator[list[str]]:
+        """The pattern's matches, a part of a long text at a time; matches in a part's last characters may be others in the whole text, so the next part begins with them."""
+        if len(text) <= PART:
+            yield self.pattern.findall(text)
+            return
+        at, size = 0, PART
+        while at < len(text):
+            got = self.pattern.findall(text, at, at + size)
+            done = sum(map(len, got))
+            while got and at + size < len(text) and done > size - MARGIN:
+                done -= len(got.pop())
+            size = PART if done else 2 * size
+            at += done
+            yield got
+
+    def _ids(self, got: list[str]) -> np.ndarray:
+        known = self.known
+        try:
+            return np.frombuffer(b"".join(map(known.__getitem__, got)), np.int32)
+        except KeyError:
+            pass
+        if len(known) > CACHE:
+            known.clear()
+        new = [x for x in set(got) if x not in known]
+        known.update((x, array("i", y.ids).tobytes()) for x, y in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)))
+        return np.frombuffer(b"".join(map(known.__getitem__, got)), np.int32)
+
+    def one(self, text: str) -> np.ndarray:
+        """ids of one text."""
+        parts = []
+        for i, x in enumerate(self.apart.split(text) if self.apart else (text,)):
+            parts += [np.array([self.special[x]], np.int32)] if i % 2 else map(self._ids, self.matches(x))
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, one after another, and n + 1 offsets."""
-        s, e = self.pieces(data, off)
-        if not len(s):
-            return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
-        key = c.word_hashes(data, s, e, 9)
-        code, uniq = pd.factorize(key)
-        place = np.searchsorted(self.keys, uniq)
-        seen = self.keys[np.minimum(place, len(self.keys) - 1)] == uniq
-        if not seen.all():
-            if len(self.keys) > CACHE:
-                self.forget()
-                seen[:] = False
-            first = np.zeros(len(uniq), np.int64)
-            first[code[::-1]] = np.arange(len(code))[::-1]
-            first = first[~seen]
-            raw = data.tobytes()
-            got = self.tok.encode_batch_fast([raw[a:b].decode() for a, b in zip(s[first].tolist(), e[first].tolist())], add_special_tokens=False)
-            rows = [y.ids for y in got]
-            n = np.fromiter(map(len, rows), np.int64, len(rows))
-            self.learn(uniq[~seen], n, np.fromiter(chain.from_iterable(rows), np.int32, int(n.sum())))
-            place = np.searchsorted(self.keys, uniq)
-        at, count = self.starts[place], self.counts[place]
-        all_ids = self.ids
-        n = count[code]
-        ids = all_ids[c.ragged(at[code], n)]
-        ends = np.r_[0, np.cumsum(n)]
-        return ids, ends[np.searchsorted(s, off)] if len(off) else ends[:1]
+        raw = data.tobytes()
+        rows = [self.one(raw[a:b].decode()) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+        return np.concatenate([np.zeros(0, np.int32), *rows]), np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int64)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that ids spell, through the reversed byte table; characters split between tokens come out whole."""
@@ -192,9 +150,9 @@ class Encoder:
         return end, whole
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, col: str = "text"):
+def encoded(batches: Iterator[pa.RecordBatch], path: str, col: str = "text", special: bool = False):
     """For slices of the batches: the slice, its bytes and offsets, ids and id offsets."""
-    tok = Encoder.of(path)
+    tok = Encoder.of(path, special)
     for b in c.slices(batches, col, SLICE):
         data, off = c.flat(b.column(col))
         yield tok, b, data, off, *tok.encode(data, off)

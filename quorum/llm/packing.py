@@ -5,7 +5,8 @@ lengths, at most `size` rows whatever the corpus, goes to the driver, which plac
 patterns with the most room (the shortest packs) that it fits, splitting a pattern's count where fewer pieces are left
 than packs.  Pieces get ranks within their length, and a pattern's slots take pieces by rank.
 
-Null and empty texts are the end id alone.  Repeated rows are packed each for itself.
+Null and empty texts are the end id alone.  Repeated rows are packed each for itself; pieces that agree in doc_id, start and checksum are
+told apart by nothing, so which of them takes which slot is open.  A text of any length is read in slices of whole texts and cut into pieces.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ def cut(n: int, size: int = SIZE) -> list[int]:
     return [size] * (n // size) + [n % size] * (n % size > 0)
 
 
-def pieces(docs: DataFrame, size: int = SIZE, ids: bool = False, path: str | None = None) -> DataFrame:
-    """The pieces of all documents; with ids also their ids."""
+def pieces(docs: DataFrame, size: int = SIZE, ids: bool = False, path: str | None = None, special: bool = True) -> DataFrame:
+    """The pieces of all documents; with ids also their ids.  Special tokens that a text spells are the library's, unless `special` is false."""
     path = path or vocabulary()
     schema = PIECES + (", ids array<int>" if ids else "")
 
     def run(batches):
-        for _, b, _, _, tokens, at in encoded(batches, path):
+        for _, b, _, _, tokens, at in encoded(batches, path, special=special):
             doc = b.column("doc_id").to_pylist()
             cols = [[] for _ in range(6)]
             ends = np.array([END_ID], np.int32)

@@ -17,11 +17,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.digests(flac.store(docs_of(spark, sf_dir)))
+    return flac.digests(stored(flac.store(docs_of(spark, sf_dir))))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs_of(spark, sf_dir), bpe.vocabulary())
+    return bpe.digests(docs_of(spark, sf_dir), bpe.vocabulary(bpe.RANKS))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read(stored(warc.write(_table(spark, sf_dir, "pages"))), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    scanned = stored(warc.scan(stored(warc.write(_table(spark, sf_dir, "pages")))))
+    return warc.records(scanned).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,16 +4,20 @@ Every page becomes one record in a gzip member of its own.  Of records with equa
 one with the smallest page_id is a response and the others are revisits of it that carry no payload.  Archives are
 rows of a table in the shared folder, a few MB each.
 
-The reader checks every member (gzip checksum, header block, Content-Length, payload digest).  After a failed check it looks for
-the next offset at which a valid gzip member or a version line begins a record, goes on from there, and logs the bytes
-between as a quarantined gap.
-
-A null html is an empty payload, a null page_id a response that nothing refers to; repeated rows are separate records.
+The reader checks every member (gzip checksum) and record (version 1.0 or 1.1, header block, Content-Length, payload
+digest); a member may hold several records.  After a failed check it looks for the next offset at which a valid gzip member or a
+version line begins a record, goes on from there, and logs the bytes between as a quarantined gap; a sound member with
+damaged records gives its sound ones and is logged whole.  A revisit counts only if the response that it refers to was
+read, with the digest and length that the revisit names; others are logged as unmatched.
+
+A null html is an empty payload, a null page_id a response that nothing refers to; repeated rows are separate records.  A
+record of any length is one member; other columns of pages are not written.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from dataclasses import dataclass, field
@@ -26,11 +30,13 @@ from pyspark.sql.types import BinaryType
 from . import common as c
 
 # Fixed values of the format.
-VERSION = b"WARC/1.1\r\n"
+VERSIONS = (b"WARC/1.1\r\n", b"WARC/1.0\r\n")
 END = b"\r\n\r\n"
 MEMBER = b"\x1f\x8b\x08"
 MIN_SHARED = 100
 ARCHIVE_BYTES = 4 << 20
+NUMBER = re.compile(r"-?[0-9]{1,18}")
+SHA256 = re.compile(r"sha256:[0-9a-f]{64}")
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -51,7 +57,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         lines += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _id(refers_to)), ("X-Refers-To-Page-Id", str(refers_to))]
     body = payload if refers_to is None else b""
     lines += [("Content-Type", "text/html"), ("Content-Length", str(len(body)))]
-    return VERSION + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n" + body + END
+    return VERSIONS[0] + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n" + body + END
 
 
 def member(raw: bytes, level: int = 5) -> bytes:
@@ -88,13 +94,13 @@ def _member(raw: bytes, at: int) -> tuple[bytes, int] | None:
 
 def _record(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     """Header, payload and end of the record at a version line, or None where a check fails."""
-    if not raw.startswith(VERSION, at):
+    if not raw.startswith(VERSIONS, at):
         return None
     stop = raw.find(END, at)
     if stop < 0:
         return None
     head = {}
-    for line in raw[at + len(VERSION) : stop].split(b"\r\n"):
+    for line in raw[at + len(VERSIONS[0]) : stop].split(b"\r\n"):
         k, sep, v = line.partition(b":")
         if not sep:
             return None
@@ -102,42 +108,55 @@ def _record(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
             head[k.decode().strip().lower()] = v.decode().strip()
         except UnicodeDecodeError:
             return None
-    if not head.get("content-length", "").isdigit():
+    if any(not NUMBER.fullmatch(head.get(k, "0")) for k in ("x-page-id", "x-refers-to-page-id", "x-payload-length")):
+        return None
+    length, said = head.get("content-length", ""), head.get("warc-payload-digest", "")
+    if not NUMBER.fullmatch(length) or int(length) < 0:
         return None
     begin = stop + len(END)
-    end = begin + int(head["content-length"])
+    end = begin + int(length)
     if raw[end : end + len(END)] != END:
         return None
     body = raw[begin:end]
-    said = head.get("warc-payload-digest", "")
-    if head.get("warc-type") == "response" and said.startswith("sha256:") and hashlib.sha256(body).hexdigest() != said[7:]:
+    if head.get("warc-type") == "revisit":
+        if not SHA256.fullmatch(said) or "x-refers-to-page-id" not in head:
+            return None
+    elif said.startswith("sha256:") and hashlib.sha256(body).hexdigest() != said[7:]:
         return None
     return head, body, end + len(END)
 
 
-def salvage(raw: bytes) -> Read:
-    """All records of an archive that pass their checks, and the gaps between them."""
+def _inside(content: bytes, offset: int, out: Read) -> bool:
+    """Adds a member's sound records; whether it holds nothing else."""
+    inner = salvage(content, members=False)
+    out.records += [Record(offset, r.head, r.payload) for r in inner.records]
+    return bool(inner.records) and not inner.gaps
+
+
+def salvage(raw: bytes, members: bool = True) -> Read:
+    """All records of an archive (or, without members, of plain bytes) that pass their checks, and the gaps between them."""
     out, at, bad = Read(), 0, None
     while at < len(raw):
-        got = None
-        if raw.startswith(MEMBER, at):
+        end = None
+        if members and raw.startswith(MEMBER, at):
             if m := _member(raw, at):
-                r = _record(m[0], 0)
-                if r and r[2] == len(m[0]):
-                    got = (r[0], r[1], m[1])
-        elif raw.startswith(VERSION, at):
-            got = _record(raw, at)
-        if got:
+                end = m[1]
+                if not _inside(m[0], at, out):
+                    out.gaps.append((at if bad is None else bad, end))
+                    bad = None
+        elif r := _record(raw, at):
+            out.records.append(Record(at, r[0], r[1]))
+            end = r[2]
+        if end is not None:
             if bad is not None:
                 out.gaps.append((bad, at))
                 bad = None
-            out.records.append(Record(at, got[0], got[1]))
-            at = got[2]
+            at = end
             continue
         if bad is None:
             bad = at
-        found = [x for x in (raw.find(MEMBER, at + 1), raw.find(VERSION, at + 1)) if x >= 0]
-        at = min(found, default=len(raw))
+        found = [raw.find(x, at + 1) for x in ((MEMBER, *VERSIONS) if members else VERSIONS)]
+        at = min((x for x in found if x >= 0), default=len(raw))
     if bad is not None:
         out.gaps.append((bad, len(raw)))
     return out
@@ -147,8 +166,11 @@ def write(pages: DataFrame) -> DataFrame:
     """Rows (archive, bytes) of records for pages (page_id, url, html)."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast(BinaryType()).alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
-    first = p.where(F.octet_length("payload") >= MIN_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    p = p.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first"))).select("page_id", "url", "payload", "digest", "refers_to")
+    # digests decide on ids alone; payloads then meet the decision by their own id, so a digest of millions of pages is no key of theirs
+    ids = p.where(F.octet_length("payload") >= MIN_SHARED).select("page_id", "digest")
+    first = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = ids.join(first, "digest").where("page_id > refers_to").distinct()
+    p = p.join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches):
         def row(k, parts):
@@ -170,38 +192,54 @@ def write(pages: DataFrame) -> DataFrame:
     return p.mapInArrow(run, "archive long, bytes binary")
 
 
-READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+SCAN = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive long, gap_start long, gap_end long, payload binary"
+_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 
-def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of (archive, bytes), salvaged; a revisit's payload is null."""
-    schema = READ if payloads else READ.rsplit(",", 1)[0]
+def scan(archives: DataFrame, payloads: bool = False) -> DataFrame:
+    """One salvage of (archive, bytes): a row per sound record, and one of record_type 'gap' per quarantined gap."""
+    schema = SCAN if payloads else SCAN.rsplit(",", 1)[0]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         for b in batches:
-            for raw in b.column("bytes"):
-                rows = []
-                for r in salvage(raw.as_py()).records:
+            for k, raw in zip(b.column("archive").to_pylist(), b.column("bytes")):
+                got, rows = salvage(raw.as_py()), []
+                for r in got.records:
                     h = r.head
                     revisit = h.get("warc-type") == "revisit"
-                    num = {k: int(h[k]) if k in h else None for k in ("x-page-id", "x-refers-to-page-id")}
+                    page, to = (int(h[x]) if x in h else None for x in ("x-page-id", "x-refers-to-page-id"))
                     length = int(h.get("x-payload-length", "0")) if revisit else len(r.payload)
-                    rows.append((num["x-page-id"], h.get("warc-target-uri"), length, h.get("warc-payload-digest", "").removeprefix("sha256:"), "revisit" if revisit else "response", num["x-refers-to-page-id"], None if revisit else r.payload))
-                cols = list(zip(*rows)) if rows else [()] * 7
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in list(zip(cols, kinds))[: len(names)]], names=names)
+                    digest = h.get("warc-payload-digest", "").removeprefix("sha256:") if revisit else hashlib.sha256(r.payload).hexdigest()
+                    rows.append((page, h.get("warc-target-uri"), length, digest, "revisit" if revisit else "response", to, k, None, None, None if revisit else r.payload))
+                rows += [(None, None, None, None, "gap", None, k, i, j, None) for i, j in got.gaps]
+                cols = list(zip(*rows)) if rows else [()] * len(_KINDS)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in list(zip(cols, _KINDS))[: len(names)]], names=names)
 
-    return archives.select("bytes").mapInArrow(run, schema)
+    return archives.select("archive", "bytes").mapInArrow(run, schema)
 
 
-def gaps(archives: DataFrame) -> DataFrame:
-    """The quarantine log: archive, gap_start, gap_end."""
+def _sides(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The revisits, and the distinct responses under the names by which revisits refer to them."""
+    return scanned.where("record_type = 'revisit'"), scanned.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+
+
+REFERENCE = ["refers_to", "payload_digest", "payload_bytes"]
+
+
+def records(scanned: DataFrame) -> DataFrame:
+    """The responses, and the revisits whose response is there with the same digest and length."""
+    revisits, responses = _sides(scanned)
+    return scanned.where("record_type = 'response'").unionByName(revisits.join(responses, REFERENCE, "left_semi").select(scanned.columns)).drop("gap_start", "gap_end")
+
+
+def quarantined(scanned: DataFrame) -> DataFrame:
+    """The log: gaps of archives (archive, gap_start, gap_end) and unmatched revisits (archive, page_id, refers_to)."""
+    revisits, responses = _sides(scanned)
+    names = ["archive", "gap_start", "gap_end", "page_id", "refers_to"]
+    return scanned.where("record_type = 'gap'").select(*names).union(revisits.join(responses, REFERENCE, "left_anti").select(*names))
 
-    def run(batches):
-        for b in batches:
-            for k, raw in zip(b.column("archive").to_pylist(), b.column("bytes")):
-                g = salvage(raw.as_py()).gaps
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k, np.int64)), pa.array([x[0] for x in g], pa.int64()), pa.array([x[1] for x in g], pa.int64())], names=["archive", "gap_start", "gap_end"])
 
-    return archives.select("archive", "bytes").mapInArrow(run, "archive long, gap_start long, gap_end long")
+def read(archives: DataFrame) -> DataFrame:
+    """The verified records of (archive, bytes) with their payloads; a revisit's is null."""
+    return records(scan(archives, payloads=True))
