@@ -1,20 +1,26 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is cut into text lines (blocks).  Scripts, styles, forms, and elements that their name, role or class marks as menu,
-header, footer, sidebar, notice, advert or reader comments give none.  Pages are paired with the page of their host whose URL path stands next to
-theirs in path order and shares the longest prefix; every page's lines are aligned with its partner's by longest
+header, footer, sidebar, notice, advert or reader comments give none.  A class marks an element by a whole token: a word
+of WORDS ("sidebar"), or words of WORDS and PLACES together ("site-footer", not "has-sidebar"); on a page without a declared article,
+an element that holds over half of the page's text is no boilerplate, whatever its class.
+
+Pages of a host with the same lines are copies and count once.  Each is paired with the one whose URL path stands next to
+its own in path order and shares the longest prefix; every page's lines are aligned with its partner's by longest
 common subsequence, and shared lines are deleted, in and outside of what a page declares as its article (article,
-main).  One check follows: an article that shares over half of its characters is a copy under another URL, and keeps
+main).  One check follows: an article that shares over half of its characters is an edition of the same text under another URL, and keeps
 them.
 
-Pairing sorts (host, path) by range and joins the ends of neighbouring ranges, so a host with a third of all pages is
-spread over many tasks.  Nulls are empty pages; a page alone on its host, or with a null id, has no partner; of rows
-with one page_id, one serves as partner.
+Pages are parsed once.  Pairing sorts (host, path) by range and joins the ends of neighbouring ranges, so a host with a third of all
+pages is spread over many tasks.  Nulls are empty pages; a page alone on its host (copies aside) has no partner; repeated
+rows, and rows that share a page_id, are pages of their own; ties of path go by the lines' digest.  Very long pages are read whole;
+the alignment keeps one row of bits for every square root of their lines.  Other columns of pages are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 
 import numpy as np
@@ -25,36 +31,41 @@ from . import common as c
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTR = re.compile(r"(class|id|role|hidden|itemprop|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-# Names of elements, and words in class, id and role.
+# Names of elements, and words in class, id and role.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "option", "math", "canvas", "audio", "video"}
 BOILER = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "label", "datalist", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
 IMPLIED = {"p", "li", "dt", "dd", "option", "tr", "td", "th"}
 WORDS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "masthead", "footer", "sidebar", "aside", "widget", "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "share", "sharing", "social", "comment", "comments", "disqus", "respond", "replies", "related", "recommended", "pagination", "pager", "login", "signin", "search", "toolbar", "skip", "copyright", "legal", "disclaimer", "contentinfo", "complementary", "alert", "alertdialog"}
+PLACES = {"site", "main", "page", "global", "local", "top", "bottom", "left", "right", "upper", "lower", "primary", "secondary", "list", "box", "block", "wrap", "wrapper", "container", "section", "area", "bar", "panel", "item", "items", "links", "slot", "unit", "header", "form", "button", "buttons", "col", "column", "region", "group", "inner", "outer", "post", "article", "entry", "content", "reader", "user", "text", "signup", "1", "2", "3"}
 OUTSIDE = {"header", "banner"}  # these mark the page's header, not an article's
 MAIN = {"article", "main"}
+ALWAYS = {"nav", "footer", "header", "head", "button", "dialog", "menu"}  # boilerplate however much text they hold
 
 
 def _marks(attrs: str, inside: bool) -> bool:
     for m in ATTR.finditer(attrs):
-        k, v = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        k, v = m[1].lower(), m[2] or m[3] or m[4] or ""
         if k == "hidden" and attrs[m.start() - 1 : m.start()].isspace():
             return True
-        if k == "aria-hidden" and v == "true":
+        if k == "aria-hidden" and v.lower() == "true":
             return True
         if k in ("class", "id", "role"):
-            got = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower()))
-            if got & WORDS or not inside and got & OUTSIDE:
-                return True
+            for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", v).lower().split():
+                parts = set(re.findall(r"[a-z0-9]+", token))
+                if not inside and parts and parts <= OUTSIDE | PLACES and parts & OUTSIDE or parts & WORDS and parts <= WORDS | PLACES:
+                    return True
     return False
 
 
 def lines(page: str) -> tuple[list[str], list[bool]]:
     """Text lines outside of boilerplate elements, and whether each lies in an article or main element."""
-    out, main = [], []
-    stack: list[tuple[str, bool]] = []  # open elements other than inline ones; True: its text is dropped
-    drop = inside = 0
+    out, main, marks = [], [], []  # with each line, the marked elements around it
+    stack: list[tuple[str, int]] = []  # open elements other than inline ones, and the number of a marked one
+    around: tuple[int, ...] = ()
+    firm: set[int] = {0}
+    number = inside = declared = 0
     parts: list[str] = []
     at = 0
 
@@ -65,18 +76,18 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
             if text:
                 out.append(text)
                 main.append(inside > 0)
+                marks.append(around)
 
     def close(k: int):
-        nonlocal drop, inside
-        for name, bad in stack[k:]:
-            drop -= bad
+        nonlocal inside, around
+        for name, mark in stack[k:]:
+            around = around[:-1] if mark else around
             inside -= name in MAIN
         del stack[k:]
 
     while True:
         m = TAG.search(page, at)
-        if not drop:
-            parts.append(page[at : m.start() if m else len(page)])
+        parts.append(page[at : m.start() if m else len(page)])
         if not m:
             break
         at = m.end()
@@ -99,98 +110,115 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
                 at = len(page)
             continue
         inline = name in INLINE
-        if not inline:
+        bad = not ending and (name in BOILER or name == "header" and not inside or (name not in ("html", "body") and name not in MAIN and bool(attrs) and _marks(attrs, inside > 0)))
+        if not inline or bad:
             flush()
         if name in VOID:
             continue
         if ending:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            if k is not None:
+                flush()
+                close(k)
             continue
         if not inline and stack and stack[-1][0] in IMPLIED and (name in IMPLIED or stack[-1][0] == "p"):
             close(len(stack) - 1)
-        if name in MAIN and drop:  # an article cannot lie in a menu: the marked element was left open
-            k = next(i for i, x in enumerate(stack) if x[1])
-            close(k)
-        bad = name in BOILER or name == "header" and not inside or (name not in ("html", "body") and name not in MAIN and bool(attrs) and _marks(attrs, inside > 0))
-        if name == "head":
-            bad = True
-        if name == "body" and drop:
+        if name in MAIN and around:  # an article cannot lie in a menu: the marked element was left open, or is a wrapper
+            close(next(i for i, x in enumerate(stack) if x[1]))
+        if name == "body" and around:
             close(0)
         if inline and not bad:
             continue
-        stack.append((name, bad))
-        drop += bad
+        mark = 0
+        if bad:
+            number += 1
+            mark, around = number, (*around, number)
+            if name in ALWAYS:
+                firm.add(number)
+        stack.append((name, mark))
         inside += name in MAIN
+        declared += name in MAIN
     flush()
-    return out, main
+    total, held = sum(map(len, out)), [0] * (number + 1)
+    for text, around in zip(out, marks):
+        for k in around:
+            held[k] += len(text)
+    wrapper = {k for k in range(1, number + 1) if not declared and k not in firm and 2 * held[k] > total}
+    keep = [wrapper.issuperset(x) for x in marks]
+    return [x for x, k in zip(out, keep) if k], [x for x, k in zip(main, keep) if k]
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[int]:
-    """Indices of a's lines in a longest common subsequence with b, by bit-parallel rows."""
+    """Indices of a's lines in a longest common subsequence with b, by bit-parallel rows; of the rows one in `step` is kept and the others are computed again."""
     both = set(a) & set(b)  # other lines stand in no common subsequence
     at, a, b = [i for i, x in enumerate(a) if x in both], [x for x in a if x in both], [y for y in b if y in both]
     where: dict[int, int] = {}
     for j, y in enumerate(b):
         where[y] = where.get(y, 0) | 1 << j
     full = (1 << len(b)) - 1
-    v, rows = full, []
-    for x in a:
-        rows.append(v)
-        m = where.get(x, 0)
-        u = v & m
-        v = ((v + u) | (v - u)) & full
+    step = math.isqrt(len(a)) + 1
+
+    def rows(v: int, lo: int, hi: int) -> list[int]:
+        out = [v]
+        for x in a[lo:hi]:
+            u = v & where[x]
+            v = ((v + u) | (v - u)) & full
+            out.append(v)
+        return out
+
+    kept = [full]
+    for lo in range(0, len(a), step):
+        kept.append(rows(kept[-1], lo, min(len(a), lo + step))[-1])
     out, j = [], len(b)
-    for i in range(len(a) - 1, -1, -1):
-        # zeros of a row count the length up to each column
-        if not j:
-            break
-        after = rows[i + 1] if i + 1 < len(a) else v
-        mask = (1 << j) - 1
-        here = j - (after & mask).bit_count()
-        if here == j - (rows[i] & mask).bit_count():
-            continue
-        # line i is needed: its partner is the column where the count first reaches this length
-        zeros = ~after & mask
-        j = zeros.bit_length() - 1
-        out.append(at[i])
+    for k in range(len(kept) - 2, -1, -1):
+        part = rows(kept[k], k * step, min(len(a), (k + 1) * step))
+        for i in range(len(part) - 2, -1, -1):
+            if not j:
+                break
+            mask = (1 << j) - 1
+            here = j - (part[i + 1] & mask).bit_count()  # zeros of a row count the length up to each column
+            if here == j - (part[i] & mask).bit_count():
+                continue
+            # the line is needed: its partner is the column where the count first reaches this length
+            j = (~part[i + 1] & mask).bit_length() - 1
+            out.append(at[k * step + i])
     return out[::-1]
 
 
-
-
-def _keys(pages: DataFrame) -> DataFrame:
-    u = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    rest = F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)).alias("host"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"))
+PAGE_RANGE = 100_000
+PLACE = "STRUCT<host: STRING, path: STRING, digest: STRING>"
 
 
 def pairs(pages: DataFrame) -> DataFrame:
-    """page_id, partner: the neighbour in path order on its host with the longer common path; of equals the one before."""
+    """host, digest, partner (a digest) of distinct pages (host, path, digest): the neighbour in path order with the longer common path; of equals the one before."""
     spark = pages.sparkSession
-    k = _keys(pages).where("page_id IS NOT NULL").groupBy("page_id").agg(F.min("host").alias("host"), F.min("path").alias("path"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["host", "path", "page_id"]
-    near = "STRUCT<host: STRING, path: STRING, page_id: BIGINT>"
+    # copies stand where their first path is
+    k = pages.groupBy("host", "digest").agg(F.min("path").alias("path")).select(F.struct("host", "path", "digest").alias("here"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-k.count() // PAGE_RANGE))
 
     def run(batches):
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
-            return
-        h, p, i = (t.column(x).combine_chunks() for x in order)
-        rows = pa.StructArray.from_arrays([h, p, i], names=order)
-        none = pa.nulls(1, rows.type)
-        before, after = pa.concat_arrays([none, rows[:-1]]), pa.concat_arrays([rows[1:], none])
-        yield pa.RecordBatch.from_arrays([rows, before, after], names=["here", "before", "after"])
-
-    local = k.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, f"here {near}, before {near}, after {near}")
-    # the ends of ranges: two rows a range, whatever the input's size
+        """Each row with those before and after it in its range."""
+        last, kind = None, None  # the row that waits for its successor, with the one before it
+        for b in batches:
+            here = b.column("here")
+            kind = here.type
+            if not len(here):
+                continue
+            rows = here if last is None else pa.concat_arrays([last[0], here])
+            before = pa.concat_arrays([pa.nulls(1, kind) if last is None else last[1], rows[:-1]])
+            if len(rows) > 1:
+                yield pa.RecordBatch.from_arrays([rows[:-1], before[:-1], rows[1:]], names=["here", "before", "after"])
+            last = rows[-1:], before[-1:]
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([*last, pa.nulls(1, kind)], names=["here", "before", "after"])
+
+    local = k.repartitionByRange(n, "here").sortWithinPartitions("here").mapInArrow(run, f"here {PLACE}, before {PLACE}, after {PLACE}")
+    local = c.stored(local)  # small beside the pages: no text; range bounds are sampled, so one materialisation has to serve all uses
+    # the ends of ranges: two rows a range
     ends = local.where("before IS NULL OR after IS NULL").select("here", F.col("before").isNull().alias("b"), F.col("after").isNull().alias("a"))
     w = Window.orderBy("here")
-    ends = ends.withColumns({"prev": F.lag("here").over(w), "next": F.lead("here").over(w)}).select(F.col("here.page_id").alias("page_id"), F.when(F.col("b"), F.col("prev")).alias("prev"), F.when(F.col("a"), F.col("next")).alias("next"))
-    full = local.withColumn("page_id", F.col("here.page_id")).join(ends, "page_id", "left").select("page_id", "here", F.coalesce("before", "prev").alias("before"), F.coalesce("after", "next").alias("after"))
+    ends = ends.withColumns({"prev": F.lag("here").over(w), "next": F.lead("here").over(w)}).select("here", F.when(F.col("b"), F.col("prev")).alias("prev"), F.when(F.col("a"), F.col("next")).alias("next"))
+    full = local.join(ends, "here", "left").select("here", F.coalesce("before", "prev").alias("before"), F.coalesce("after", "next").alias("after"))
 
     def common(x):
         a, b = F.split(F.col("here.path"), "/"), F.split(F.col(f"{x}.path"), "/")
@@ -198,32 +226,35 @@ def pairs(pages: DataFrame) -> DataFrame:
         return F.when(F.col(f"{x}.host") == F.col("here.host"), same)
 
     full = full.withColumns({"cb": common("before"), "ca": common("after")})
-    pick = F.when(F.col("cb").isNotNull() & (F.col("ca").isNull() | (F.col("cb") >= F.col("ca"))), F.col("before.page_id")).when(F.col("ca").isNotNull(), F.col("after.page_id"))
-    return full.select("page_id", pick.alias("partner")).where("partner IS NOT NULL")
+    pick = F.when(F.col("cb").isNotNull() & (F.col("ca").isNull() | (F.col("cb") >= F.col("ca"))), F.col("before.digest")).when(F.col("ca").isNotNull(), F.col("after.digest"))
+    return full.select("here.host", "here.digest", pick.alias("partner")).where("partner IS NOT NULL")
 
 
-PARSED = "page_id long, url string, text array<string>, main array<boolean>, keys binary"
+PARSED = "page_id long, url string, text array<string>, main array<boolean>, keys binary, host string, path string, digest string"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, text lines, whether each is in the declared article, and the lines' hashes."""
+    """page_id, url, text lines, whether each is in the declared article, the lines' hashes, and the page's host, path and digest of its lines."""
     import xxhash
 
     def run(batches):
         for b in c.slices(batches, "html"):
-            cols = [[], [], []]
+            cols = [[], [], [], []]
             for x in b.column("html").to_pylist():
                 t, m = lines(x or "")
                 cols[0].append(t)
                 cols[1].append(m)
-                cols[2].append(np.fromiter((xxhash.xxh64_intdigest(y) for y in t), np.uint64, len(t)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(cols[0], pa.list_(pa.string())), pa.array(cols[1], pa.list_(pa.bool_())), pa.array(cols[2], pa.binary())], names=["page_id", "url", "text", "main", "keys"])
+                cols[2].append(np.fromiter((xxhash.xxh3_64_intdigest(y) for y in t), np.uint64, len(t)).tobytes())
+                cols[3].append(xxhash.xxh3_128_hexdigest("\n".join(t)))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(cols[0], pa.list_(pa.string())), pa.array(cols[1], pa.list_(pa.bool_())), pa.array(cols[2], pa.binary()), b.column("host"), b.column("path"), pa.array(cols[3], pa.string())], names=[x.split()[0] for x in PARSED.split(", ")])
 
-    return pages.selectExpr("CAST(page_id AS LONG) page_id", "CAST(url AS STRING) url", "CAST(html AS STRING) html").mapInArrow(run, PARSED)
+    rest = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    own = pages.selectExpr("CAST(page_id AS LONG) page_id", "CAST(url AS STRING) url", "CAST(html AS STRING) html")
+    return own.withColumns({"host": F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)}).mapInArrow(run, PARSED)
 
 
 def choose(text: list[str], main: list[bool], keys: np.ndarray, other: np.ndarray | None) -> list[str]:
-    """A page's main text lines: those that its partner does not share; a declared article of which most is shared is a copy and stays."""
+    """A page's main text lines: those that its partner does not share; a declared article of which most is shared stays."""
     gone = set(shared_lines(keys.tolist(), other.tolist())) if other is not None else set()
     whole = sum(len(t) for t, m in zip(text, main) if m)
     if 2 * sum(len(text[i]) for i in gone if main[i]) > whole:
@@ -233,9 +264,13 @@ def choose(text: list[str], main: list[bool], keys: np.ndarray, other: np.ndarra
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
-    p = parsed(pages)
-    other = parsed(pages).where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("keys").alias("other")).withColumnRenamed("page_id", "partner")
-    partner = pairs(pages).join(other, "partner").select("page_id", "other")
+    p = c.stored(parsed(pages))
+    # copies are spread: a group of them has as many rows here as salts that its pages have
+    spread = max(64, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(spread)).cast("int"))
+    lines_of = p.groupBy("host", "digest").agg(F.first("keys").alias("other")).withColumnRenamed("digest", "partner")
+    partner = pairs(p.select("host", "path", "digest")).join(lines_of, ["host", "partner"]).select("host", "digest", "other")
+    partner = p.select("host", "digest", "salt").distinct().join(partner, ["host", "digest"])
 
     def run(batches):
         for b in batches:
@@ -244,4 +279,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 out.append("\n\n".join(choose(t, m, np.frombuffer(k, np.uint64), None if o is None else np.frombuffer(o, np.uint64))))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return p.join(partner, "page_id", "left").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return p.join(partner, ["host", "digest", "salt"], "left").select("page_id", "url", "text", "main", "keys", "other").mapInArrow(run, "page_id long, url string, text string, n_chars long")
