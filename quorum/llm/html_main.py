@@ -11,7 +11,7 @@ common subsequence, and shared lines are deleted, in and outside of what a page
 main).  One check follows: an article that shares over half of its characters is an edition of the same text under another URL, and keeps
 them.
 
-Pages are parsed once.  Pairing sorts (host, path) by range and joins the ends of neighbouring ranges, so a host with a third of all
+Pages are parsed twice, for the lines' hashes and for their text, so that the text moves once and is stored nowhere.  Pairing sorts (host, path) by range and joins the ends of neighbouring ranges, so a host with a third of all
 pages is spread over many tasks.  Nulls are empty pages; a page alone on its host (copies aside) has no partner; repeated
 rows, and rows that share a page_id, are pages of their own; ties of path go by the lines' digest.  Very long pages are read whole;
 the alignment keeps one row of bits for every square root of their lines.  Other columns of pages are not read.
@@ -230,32 +230,34 @@ def pairs(pages: DataFrame) -> DataFrame:
     return full.select("here.host", "here.digest", pick.alias("partner")).where("partner IS NOT NULL")
 
 
-PARSED = "page_id long, url string, text array<string>, main array<boolean>, keys binary, host string, path string, digest string"
+PLACED = "page_id long, url string, host string, path string, digest string"
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, text lines, whether each is in the declared article, the lines' hashes, and the page's host, path and digest of its lines."""
+def _keys(text: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter((xxhash.xxh3_64_intdigest(y) for y in text), np.uint64, len(text))
+
+
+def parsed(pages: DataFrame, text: bool) -> DataFrame:
+    """page_id, url, host, path and digest of the lines of each page; with `text` its lines and whether each is in the declared article, else the lines' hashes."""
     import xxhash
 
     def run(batches):
         for b in c.slices(batches, "html"):
-            cols = [[], [], [], []]
-            for x in b.column("html").to_pylist():
-                t, m = lines(x or "")
-                cols[0].append(t)
-                cols[1].append(m)
-                cols[2].append(np.fromiter((xxhash.xxh3_64_intdigest(y) for y in t), np.uint64, len(t)).tobytes())
-                cols[3].append(xxhash.xxh3_128_hexdigest("\n".join(t)))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(cols[0], pa.list_(pa.string())), pa.array(cols[1], pa.list_(pa.bool_())), pa.array(cols[2], pa.binary()), b.column("host"), b.column("path"), pa.array(cols[3], pa.string())], names=[x.split()[0] for x in PARSED.split(", ")])
+            got = [lines(x or "") for x in b.column("html").to_pylist()]
+            digest = pa.array([xxhash.xxh3_128_hexdigest("\n".join(t)) for t, _ in got], pa.string())
+            more = [pa.array([t for t, _ in got], pa.list_(pa.string())), pa.array([m for _, m in got], pa.list_(pa.bool_()))] if text else [pa.array([_keys(t).tobytes() for t, _ in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("page_id", "url", "host", "path")), digest, *more], names=["page_id", "url", "host", "path", "digest", *(("text", "main") if text else ("keys",))])
 
     rest = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     own = pages.selectExpr("CAST(page_id AS LONG) page_id", "CAST(url AS STRING) url", "CAST(html AS STRING) html")
-    return own.withColumns({"host": F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)}).mapInArrow(run, PARSED)
+    return own.withColumns({"host": F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)}).mapInArrow(run, PLACED + (", text array<string>, main array<boolean>" if text else ", keys binary"))
 
 
-def choose(text: list[str], main: list[bool], keys: np.ndarray, other: np.ndarray | None) -> list[str]:
+def choose(text: list[str], main: list[bool], other: np.ndarray | None) -> list[str]:
     """A page's main text lines: those that its partner does not share; a declared article of which most is shared stays."""
-    gone = set(shared_lines(keys.tolist(), other.tolist())) if other is not None else set()
+    gone = set(shared_lines(_keys(text).tolist(), other.tolist())) if other is not None else set()
     whole = sum(len(t) for t, m in zip(text, main) if m)
     if 2 * sum(len(text[i]) for i in gone if main[i]) > whole:
         gone = {i for i in gone if not main[i]}
@@ -264,19 +266,20 @@ def choose(text: list[str], main: list[bool], keys: np.ndarray, other: np.ndarra
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
-    p = c.stored(parsed(pages))
     # copies are spread: a group of them has as many rows here as salts that its pages have
     spread = max(64, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(spread)).cast("int"))
-    lines_of = p.groupBy("host", "digest").agg(F.first("keys").alias("other")).withColumnRenamed("digest", "partner")
-    partner = pairs(p.select("host", "path", "digest")).join(lines_of, ["host", "partner"]).select("host", "digest", "other")
-    partner = p.select("host", "digest", "salt").distinct().join(partner, ["host", "digest"])
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(spread)).cast("int").alias("salt")
+    k = c.stored(parsed(pages, text=False).select("host", "path", "digest", "keys", salt))
+    lines_of = k.groupBy("host", "digest").agg(F.first("keys").alias("other")).withColumnRenamed("digest", "partner")
+    partner = pairs(k.select("host", "path", "digest")).join(lines_of, ["host", "partner"]).select("host", "digest", "other")
+    partner = k.select("host", "digest", "salt").distinct().join(partner, ["host", "digest"])
 
     def run(batches):
         for b in batches:
             out = []
-            for t, m, k, o in zip(*(b.column(x).to_pylist() for x in ("text", "main", "keys", "other"))):
-                out.append("\n\n".join(choose(t, m, np.frombuffer(k, np.uint64), None if o is None else np.frombuffer(o, np.uint64))))
+            for t, m, o in zip(*(b.column(x).to_pylist() for x in ("text", "main", "other"))):
+                out.append("\n\n".join(choose(t, m, None if o is None else np.frombuffer(o, np.uint64))))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return p.join(partner, ["host", "digest", "salt"], "left").select("page_id", "url", "text", "main", "keys", "other").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    p = parsed(pages, text=True).select("page_id", "url", "text", "main", "host", "digest", salt)
+    return p.join(partner, ["host", "digest", "salt"], "left").select("page_id", "url", "text", "main", "other").mapInArrow(run, "page_id long, url string, text string, n_chars long")
