@@ -32,9 +32,9 @@ _RUN, _LEFT = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)), (U(0x9FB21C651E98D
 
 @dataclass
 class Symbols:
-    """Symbols of one level: two names, document, the words [lo, hi) that each spells and the span [left, right) it depends on."""
+    """Symbols of one level: one or two names (the first decides how symbols are joined), document, the words [lo, hi) that each spells and the span [left, right) it depends on."""
 
-    names: tuple[np.ndarray, np.ndarray]
+    names: tuple[np.ndarray, ...]
     doc: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
@@ -51,7 +51,7 @@ class Symbols:
 def runs(x: Symbols) -> Symbols:
     """Names maximal runs of one symbol."""
     joint = x.doc[1:] == x.doc[:-1]
-    same = joint & (x.names[0][1:] == x.names[0][:-1]) & (x.names[1][1:] == x.names[1][:-1])
+    same = joint & (x.names[0][1:] == x.names[0][:-1])
     a = np.flatnonzero(np.r_[True, ~same])
     b = np.r_[a[1:], len(x)] - 1
     left = np.where(np.r_[False, joint][a], x.left[np.maximum(a - 1, 0)], -FAR)
@@ -79,7 +79,7 @@ def paired(x: Symbols, rnd: int) -> Symbols:
     return Symbols(names, x.doc, x.lo, hi, left, right).pick(~tail)
 
 
-def levels(names: tuple[np.ndarray, np.ndarray], doc: np.ndarray, width: int) -> list[Symbols]:
+def levels(names: tuple[np.ndarray, ...], doc: np.ndarray, width: int) -> list[Symbols]:
     """Of every round, the symbols whose span fits a window; rounds end when none does."""
     pos = np.arange(len(doc), dtype=np.int64)
     x = Symbols(names, doc, pos, pos + 1, pos, pos + 1)
@@ -93,10 +93,18 @@ def levels(names: tuple[np.ndarray, np.ndarray], doc: np.ndarray, width: int) ->
     return out
 
 
-def cores(levels: list[Symbols], starts: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """For each window start: its core's two names, first word and end, and a number that tells occurrences of cores apart."""
-    one, two = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-    lo, hi, which = (np.zeros(len(starts), np.int64) for _ in range(3))
+@dataclass
+class Cores:
+    """For each window start: its core's names, first word and end, and a number that tells occurrences of cores apart."""
+
+    names: tuple[np.ndarray, ...]
+    lo: np.ndarray
+    hi: np.ndarray
+    which: np.ndarray
+
+
+def cores(levels: list[Symbols], starts: np.ndarray, width: int) -> Cores:
+    out = Cores(tuple(np.zeros(len(starts), np.uint64) for _ in levels[0].names), *(np.zeros(len(starts), np.int64) for _ in range(3)))
     todo, base = np.arange(len(starts)), sum(map(len, levels))
     for n in range(len(levels) - 1, -1, -1):
         x = levels[n]
@@ -106,12 +114,13 @@ def cores(levels: list[Symbols], starts: np.ndarray, width: int) -> tuple[np.nda
         jj = np.minimum(j, len(x) - 1)
         ok = (j < len(x)) & (x.right[jj] <= at + width)
         rows, jj = todo[ok], jj[ok]
-        one[rows], two[rows] = c.mix(x.names[0][jj] + U(n + 1)), c.mix(x.names[1][jj] + U(n + 1))
-        lo[rows], hi[rows], which[rows] = x.lo[jj], x.hi[jj], base + jj
+        for mine, name in zip(out.names, x.names):
+            mine[rows] = c.mix(name[jj] + U(n + 1))
+        out.lo[rows], out.hi[rows], out.which[rows] = x.lo[jj], x.hi[jj], base + jj
         todo = todo[~ok]
         if not len(todo):
             break
-    return one, two, lo, hi, which
+    return out
 
 
 class Group:
@@ -127,24 +136,22 @@ class Group:
         pos = np.arange(len(self.s))
         self.starts = pos[pos + width <= end[self.doc]] if len(pos) else pos
 
-    def core_keys(self):
+    def core_keys(self, names: int = 1):
         """Distinct cores, whether each occurs more than once here, and the index of every window's core."""
-        self.words = tuple(c.word_hashes(self.data, self.s, self.e, seed) for seed in (0, 1))
+        self.words = tuple(c.word_hashes(self.data, self.s, self.e, seed) for seed in range(names))
         self.cores = cores(levels(self.words, self.doc, self.width), self.starts, self.width)
-        name, which = self.cores[0], self.cores[4]
-        w, at = np.unique(which, return_index=True)
-        keys, inv, n = c.distinct(name[at])
-        return keys, n > 1, inv[np.searchsorted(w, which)]
+        w, at = np.unique(self.cores.which, return_index=True)
+        keys, inv, n = c.distinct(self.cores.names[0][at])
+        return keys, n > 1, inv[np.searchsorted(w, self.cores.which)]
 
     def window_keys(self, hit: np.ndarray):
         """Distinct names of the windows in the mask: each from its core, the core's place and the symbols of the words around it."""
-        at = self.starts[hit]
-        one, two, lo, hi = (x[hit] for x in self.cores[:4])
+        at, lo, hi = self.starts[hit], self.cores.lo[hit], self.cores.hi[hit]
         names = []
-        for core, words, seed in ((one, self.words[0], 1), (two, self.words[1], 2)):
+        for seed, (core, words) in enumerate(zip(self.cores.names, self.words), 1):
             w = c.Windows(words, self.width, seed)
             before, after = w.of(at, lo - at), w.of(hi, at + self.width - hi)
-            names.append(c.mix(c.mix(core * _RUN[0] ^ before) * _LEFT[0] ^ after + (lo - at).astype(np.uint64)))
+            names.append(c.mix(c.mix(core[hit] * _RUN[0] ^ before) * _LEFT[0] ^ after + (lo - at).astype(np.uint64)))
         keys, inv, n = c.distinct(np.stack(names, 1))
         return keys, n > 1, inv
 
@@ -163,38 +170,39 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, texts: bool = True) ->
         keys, many, _ = Group(t, width).core_keys()
         return pa.Table.from_batches([c.key_rows(t.column("g")[0].as_py(), 0, keys, many, buckets)])
 
-    def candidates(x: Group, rows: pa.Table) -> np.ndarray:
-        keys, _, back = x.core_keys()
-        return c.flags(rows, 0, keys, buckets)[back] if len(x.starts) else np.zeros(0, bool)
-
     def send_windows(t: pa.Table, rows: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.Table.from_batches([], pa.schema([("b", pa.int32()), ("g", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("many", pa.binary())]))
         x, own = Group(t, width), t.column("g")[0].as_py()
-        hit = candidates(x, rows)
-        keys, many, _ = x.window_keys(hit)
+        keys, _, back = x.core_keys(2)
+        hit = c.flags(rows, 0, keys, buckets)[back] if len(x.starts) else np.zeros(0, bool)
+        keys, many, inv = x.window_keys(hit)
         out = c.key_rows(own, 1, keys, many, buckets)
-        # the candidates themselves travel to the last step as a row of a bucket of their own, which only passes on
-        note = pa.record_batch([pa.array([-1 - own], pa.int32()), pa.array([own], pa.int32()), pa.array([2], pa.int32()), pa.array([np.packbits(hit).tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=out.schema.names)
+        # the candidates travel to the last step as a row of a bucket of their own, which only passes on: where they start, and
+        # which of the keys each has, counted as the buckets' answers will stand one after another
+        place = np.empty(len(keys), np.int32)
+        place[np.argsort(c.bucket_of(keys[:, 0], buckets), kind="stable")] = np.arange(len(keys))
+        blobs = pa.array([np.packbits(hit).tobytes()], pa.binary()), pa.array([place[inv].tobytes()], pa.binary())
+        note = pa.record_batch([pa.array([-1 - own], pa.int32()), pa.array([own], pa.int32()), pa.array([2], pa.int32()), *blobs], names=out.schema.names)
         return pa.Table.from_batches([out, note])
 
     def count_windows(t: pa.Table) -> pa.Table:
-        if t.column("b")[0].as_py() < 0:
-            return pa.table([t.column("g"), t.column("kind"), t.column("b"), t.column("keys")], names=["g", "kind", "b", "bits"])
-        return c.answer(2)(t)
+        if t.column("b")[0].as_py() >= 0:
+            counts = [len(k) // 16 for k in t.column("keys").to_pylist()]
+            out = c.answer(2)(t)
+            return out.append_column("many", pa.array([np.int32(n).tobytes() for n in counts], pa.binary()))
+        return pa.table([t.column("g"), t.column("kind"), t.column("b"), t.column("keys"), t.column("many")], names=["g", "kind", "b", "bits", "many"])
 
     def finish(t: pa.Table, rows: pa.Table) -> pa.Table:
         x = Group(t, width) if t.num_rows else None
         if x is None:
             return pa.Table.from_batches([], _schema(texts))
         gone = np.zeros(len(x.s), bool)
-        if len(x.starts):
-            note = next(b for k, b in zip(rows.column("kind").to_pylist(), rows.column("bits").to_pylist()) if k == 2)
-            hit = np.unpackbits(np.frombuffer(note, np.uint8), count=len(x.starts)).astype(bool)
-            if hit.any():
-                x.core_keys()
-                keys, _, inv = x.window_keys(hit)
-                gone = c.covered(x.starts[hit][c.flags(rows, 1, keys, buckets)[inv]], width, len(x.s))
+        got = sorted(zip(rows.column("kind").to_pylist(), rows.column("b").to_pylist(), rows.column("bits").to_pylist(), rows.column("many").to_pylist()))
+        if len(x.starts) and got[0][0] == 1:
+            hit = np.unpackbits(np.frombuffer(got[-1][2], np.uint8), count=len(x.starts)).astype(bool)
+            again = np.concatenate([np.unpackbits(np.frombuffer(bits, np.uint8), count=int(np.frombuffer(n, np.int32)[0])) for kind, _, bits, n in got[:-1]]).astype(bool)
+            gone = c.covered(x.starts[hit][again[np.frombuffer(got[-1][3], np.int32)]], width, len(x.s))
         kept, removed = [], np.bincount(x.doc, weights=gone, minlength=x.t.num_rows).astype(np.int64)
         raw = x.data.tobytes()
         for i in range(x.t.num_rows):
@@ -208,7 +216,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, texts: bool = True) ->
 
     bits = g.groupBy("g").applyInArrow(send_cores, c.KEYS).groupBy("b").applyInArrow(c.answer(1), c.BITS)
     wins = g.groupBy("g").cogroup(bits.groupBy("g")).applyInArrow(send_windows, c.KEYS)
-    back = wins.groupBy("b").applyInArrow(count_windows, c.BITS)
+    back = wins.groupBy("b").applyInArrow(count_windows, c.BITS + ", many binary")
     return g.groupBy("g").cogroup(back.groupBy("g")).applyInArrow(finish, schema)
 
 
