@@ -19,7 +19,8 @@ import base64
 import hashlib
 import os
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ RANKS = "byte_bpe_50k.tiktoken"
 SLICE = 2 << 20
 PART = 1 << 20
 MARGIN = 3  # characters of the longest match that a shorter one can stand for
-CACHE = 300_000
+LONG = 8 << 20
+GROUP = 1000
+CACHE = 600_000
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -84,9 +87,9 @@ class Encoder:
         self.tok = Tokenizer.from_file(path) if path.endswith(".json") else from_ranks(path)
         self.tok.encode_special_tokens = True  # of single matches; special ones are taken out before
         own = self.tok.get_added_tokens_decoder() if special else {}
-        self.special = {t.content: i for i, t in own.items()}
+        self.special = {t.content: array("i", [i]).tobytes() for i, t in own.items()}
         self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if own else None
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = dict(self.special)
         table = byte_chars()
         vocab = self.tok.get_vocab()
         size = max(vocab.values()) + 1
@@ -113,30 +116,48 @@ class Encoder:
             at += done
             yield got
 
-    def _ids(self, got: list[str]) -> np.ndarray:
+    def _pieces(self, text: str) -> Iterator[list[str]]:
+        """The matches of a text, special tokens as one each; a part of a long text at a time."""
+        if self.apart is None:
+            yield from self.matches(text)
+            return
+        for i, x in enumerate(self.apart.split(text)):
+            if i % 2:
+                yield [x]
+            else:
+                yield from self.matches(x)
+
+    def _learn(self, got: Iterable[list[str]]) -> None:
         known = self.known
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, got)), np.int32)
-        except KeyError:
-            pass
         if len(known) > CACHE:
             known.clear()
-        new = [x for x in set(got) if x not in known]
-        known.update((x, array("i", y.ids).tobytes()) for x, y in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)))
-        return np.frombuffer(b"".join(map(known.__getitem__, got)), np.int32)
-
-    def one(self, text: str) -> np.ndarray:
-        """ids of one text."""
-        parts = []
-        for i, x in enumerate(self.apart.split(text) if self.apart else (text,)):
-            parts += [np.array([self.special[x]], np.int32)] if i % 2 else map(self._ids, self.matches(x))
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+            known.update(self.special)
+        new = [x for x in set(chain.from_iterable(got)) if x not in known]
+        groups = [new[i : i + GROUP] for i in range(0, len(new), GROUP)]
+        for words, e in zip(groups, self.tok.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)):
+            # a group is one encoding; the widths of its tokens say where each match ends
+            ids = np.array(e.ids, np.int32)
+            ends = np.cumsum([len(x.encode()) for x in words])
+            at = (4 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()
+            raw = ids.tobytes()
+            known.update((x, raw[i:j]) for x, i, j in zip(words, [0, *at], at))
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, one after another, and n + 1 offsets."""
-        raw = data.tobytes()
-        rows = [self.one(raw[a:b].decode()) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-        return np.concatenate([np.zeros(0, np.int32), *rows]), np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int64)
+        raw, rows, of = data.tobytes(), [], self.known.__getitem__
+        if len(raw) > LONG:  # a long text, whose matches are not held together
+            for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+                parts = []
+                for got in self._pieces(raw[a:b].decode()):
+                    self._learn([got])
+                    parts.append(b"".join(map(of, got)))
+                rows.append(b"".join(parts))
+        else:
+            got = [list(chain.from_iterable(self._pieces(raw[a:b].decode()))) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+            self._learn(got)
+            rows = [b"".join(map(of, x)) for x in got]
+        ids = np.frombuffer(b"".join(rows), np.int32)
+        return ids, np.r_[0, np.cumsum([len(x) // 4 for x in rows])].astype(np.int64)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that ids spell, through the reversed byte table; characters split between tokens come out whole."""
