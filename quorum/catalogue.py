@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import blending, modelling, relational  # noqa: F401  (registers its queries)
+from .plans import blending, extras, modelling, relational, season, usage  # noqa: F401  (registers their queries)
 from .plans.registry import QUERIES, SQL
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -59,14 +60,50 @@ def bins(c, bounds: list[float], labels: list[str]) -> Column:
     return out
 
 
-# Latin letters with marks and their plain forms.
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
-SUFFIXES = "JR|SR|II|III|IV|V"
+SUFFIXES = "JR|SR|II|III|IV|V"  # fixed values: generation suffixes
 
 
 def fold(c) -> Column:
-    return F.translate(col(c), MARKED, PLAIN)
+    """Compatibility decomposition without combining marks (NFKD), by an Arrow UDF: it has no built-in form."""
+    import unicodedata
+
+    def plain(x):
+        return x if x is None or x.isascii() else "".join(y for y in unicodedata.normalize("NFKD", x) if not unicodedata.combining(y))
+
+    @F.pandas_udf("string")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(plain, na_action="ignore")
+
+    return run(col(c))
+
+
+def multi_replace(c, table: dict[str, str]) -> Column:
+    """Literal replacements, one after another in the table's order."""
+    return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), table.items(), col(c))
+
+
+def contains_any(c, parts: list[str]) -> Column:
+    """Whether a text has any of some literal parts."""
+    return reduce(lambda a, b: a | b, (F.contains(col(c), F.lit(p)) for p in parts))
+
+
+def capitalised(c) -> Column:
+    """Words that are all lower case get a capital; others stay as written."""
+    words = F.split(col(c), " ")
+    return F.array_join(F.transform(words, lambda w: F.when(w == F.lower(w), F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))).otherwise(w)), " ")
+
+
+def row_max(cols) -> Column:
+    return F.greatest(*map(col, cols))
+
+
+def row_min(cols) -> Column:
+    return F.least(*map(col, cols))
+
+
+def lenient(c, kind: str) -> Column:
+    """Cast that gives null where a text does not parse."""
+    return col(c).try_cast(kind)
 
 
 def name_key(c) -> Column:
@@ -118,3 +155,8 @@ def hash_uniform(*keys, mod: int = 2147483647) -> Column:
 
 def json_number(c, path: str) -> Column:
     return F.get_json_object(col(c), path).cast("double")
+
+
+def juice_adjusted(line, under, over, c: float | Column = 0.25) -> Column:
+    """A line moved by the difference of its prices: line + (under - over) * line * c."""
+    return col(line) + (col(under) - col(over)) * col(line) * c

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType
 
+from .present import global_rank
+
 
 def flex_ranks(df: DataFrame, group: str, points: str, ident: str, slots: DataFrame, openings: int) -> DataFrame:
     """group, rank: dedicated places of each group (slots: group, dedicated) and its share of the open places, by points.
@@ -15,15 +19,41 @@ def flex_ranks(df: DataFrame, group: str, points: str, ident: str, slots: DataFr
     """
     by = Window.partitionBy(group).orderBy(F.col(points).desc(), ident)
     # only `openings` rows of a group can win one, so the global order sees a bounded number of rows
-    rest = df.join(F.broadcast(slots), group).withColumn("_n", F.row_number().over(by)).where((F.col("_n") > F.col("dedicated")) & (F.col("_n") <= F.col("dedicated") + openings))
+    rest = df.join(slots, group).withColumn("_n", F.row_number().over(by)).where((F.col("_n") > F.col("dedicated")) & (F.col("_n") <= F.col("dedicated") + openings))
     won = rest.orderBy(F.col(points).desc(), ident).limit(openings).groupBy(group).agg(F.count("*").alias("_won"))
     return slots.join(won, group, "left").select(group, F.greatest(F.lit(1).cast("long"), F.col("dedicated").cast("long") + F.coalesce("_won", F.lit(0).cast("long"))).alias("rank"))
 
 
+def starting_slots(slots: DataFrame, bench: tuple[str, ...] = ("BE", "IR")) -> DataFrame:
+    """The slots (slot, count) that a line-up starts."""
+    return slots.where(~F.col("slot").isin(*bench) & (F.col("count") > 0))
+
+
+def replacement_ranks(df: DataFrame, group: str, points: str, ident: str, slots: DataFrame, flex: dict[str, list[str]], teams: int) -> DataFrame:
+    """group, rank: how many of each group start in `teams` line-ups of the slots (slot, count).
+
+    A flexible slot's openings go to the best of its eligible groups beyond their dedicated places, scaled up where the pool runs
+    out and divided evenly where it has nobody; totals round half to even, and a group that rounds to none has no rank.
+    """
+    own = slots.where(~F.col("slot").isin(*flex)).groupBy(F.col("slot").alias(group)).agg((F.sum("count") * teams).alias("_ded"))
+    parts = [own.select(group, F.col("_ded").cast("double").alias("_share"))]
+    opened = {r["slot"]: teams * int(r["n"]) for r in slots.where(F.col("slot").isin(*flex)).groupBy("slot").agg(F.sum("count").alias("n")).collect()}  # a handful of slots
+    by = Window.partitionBy(group).orderBy(F.col(points).desc(), ident)
+    for slot, n in sorted(opened.items()):
+        even = df.sparkSession.createDataFrame([(g, n / len(flex[slot])) for g in flex[slot]], f"`{group}` string, _even double")
+        x = df.where(F.col(group).isin(*flex[slot]) & F.col(points).isNotNull()).join(own, group, "left").withColumn("_beyond", F.row_number().over(by) - F.coalesce("_ded", F.lit(0)))
+        won = x.where((F.col("_beyond") >= 1) & (F.col("_beyond") <= n)).orderBy(F.col(points).desc(), ident).limit(n).groupBy(group).agg(F.count("*").alias("_won"))
+        filled = won.agg(F.coalesce(F.sum("_won"), F.lit(0)).alias("_filled"))
+        share = F.when(F.col("_filled") == 0, F.col("_even")).otherwise(F.coalesce("_won", F.lit(0)) * (F.lit(float(n)) / F.nullif(F.col("_filled"), F.lit(0))))
+        parts.append(even.join(won, group, "left").crossJoin(filled).select(group, share.alias("_share")))
+    total = reduce(DataFrame.union, parts).groupBy(group).agg(F.bround(F.sum("_share"), 0).cast("long").alias("rank"))
+    return total.where("rank >= 1")
+
+
 def value_over_replacement(df: DataFrame, group: str, points: str, ranks: DataFrame) -> DataFrame:
     """points less the best points at or below the group's replacement rank (the lowest points where the group is short)."""
     pos = F.when(F.col(points).isNotNull(), F.rank().over(Window.partitionBy(group).orderBy(F.col(points).desc_nulls_last())))
-    x = df.join(F.broadcast(ranks), group, "left").withColumn("pos_rank", pos)
+    x = df.join(ranks, group, "left").withColumn("pos_rank", pos)
     w = Window.partitionBy(group)
     base = F.coalesce(F.max(F.when(F.col("pos_rank") >= F.coalesce("rank", F.lit(1)), F.col(points))).over(w), F.min(points).over(w))
     return x.withColumn("vor", F.col(points) - base)
@@ -44,15 +74,22 @@ def exact_tiers(values: np.ndarray, low: int = 2, high: int = 8) -> np.ndarray:
         return c2[j] - c2[i] - (c1[j] - c1[i]) ** 2 / m
 
     m = len(x)
-    best = np.array([0.0] + [cost(0, j) for j in range(1, m + 1)])
+    best = np.r_[0.0, cost(np.zeros(m, int), np.arange(1, m + 1))]
     cuts = []
     for t in range(2, k + 1):
         new, arg = np.full(m + 1, np.inf), np.zeros(m + 1, int)
-        for j in range(t, m + 1):
-            i = np.arange(t - 1, j)
+        # the best cut never moves left as the end moves right: halves of the range search halves of the cuts
+        todo = [(t, m, t - 1, m - 1)]
+        while todo:
+            lo, hi, a, b = todo.pop()
+            if lo > hi:
+                continue
+            j = (lo + hi) // 2
+            i = np.arange(a, min(b, j - 1) + 1)
             v = best[i] + cost(i, j)
-            a = int(v.argmin())
-            new[j], arg[j] = v[a], i[a]
+            at = int(v.argmin())
+            new[j], arg[j] = v[at], i[at]
+            todo += [(lo, j - 1, a, int(i[at])), (j + 1, hi, int(i[at]), b)]
         best = new
         cuts.append(arg)
     label, j = np.zeros(m, int), m
@@ -63,7 +100,7 @@ def exact_tiers(values: np.ndarray, low: int = 2, high: int = 8) -> np.ndarray:
 
 
 def assign_tiers(df: DataFrame, group: str, points: str, keep: list[str]) -> DataFrame:
-    """keep, group, points and tier; a group (a position) is small by nature."""
+    """keep, group, points and tier; O(k m log m) for a group of m distinct values, which one task holds."""
     schema = df.select(*keep, group, points).schema.add("tier", IntegerType())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -105,3 +142,17 @@ def agreement(df: DataFrame, delta: str, by: str, least: int = 8, spread: float
     w = Window.partitionBy(by)
     n, sd = F.count(delta).over(w), F.stddev_samp(delta).over(w)
     return df.withColumn("z", F.when((n >= least) & (sd >= spread), (F.col(delta) - F.avg(delta).over(w)) / sd))
+
+
+def market_comparison(df: DataFrame, value: str, price: str, place: str, group: str, pos_rank: str, ident: str, priced, streamed) -> DataFrame:
+    """df with vor_rank, value (rank by price less rank by value, over priced rows that are not streamed), rank_delta and pos_rank_delta.
+
+    Positive says that the board rates a row higher than the market, or another's ranking (place), does.
+    """
+    ok = F.coalesce(priced & ~streamed, F.lit(False))
+    x = global_rank(df, F.col(value), ident, "vor_rank", ties=True)
+    x = global_rank(x, F.when(ok, F.col(price)), ident, "_adp", desc=False, ties=True)
+    x = global_rank(x, F.when(ok, F.col(value)), ident, "_vor", ties=True)
+    own = F.rank().over(Window.partitionBy(group).orderBy(F.col(place).asc_nulls_last()))
+    x = x.withColumns({"value": F.col("_adp") - F.col("_vor"), "rank_delta": F.col(place) - F.col("vor_rank"), "pos_rank_delta": F.when(F.col(place).isNotNull(), own) - F.col(pos_rank)})
+    return x.drop("_adp", "_vor")

@@ -35,6 +35,12 @@ def top_n_hits(df: DataFrame, by: str, ident: str, predicted: str, actual: str,
     return x.groupBy(by).agg((F.count_if((F.col("_p") <= n) & (F.col("_a") <= n)) / F.least(F.lit(n), F.count("*"))).alias("hit_rate"))
 
 
+def top_n_hits_by_season(df: DataFrame, season: str, by: str, ident: str, predicted: str, actual: str, n: int) -> DataFrame:
+    """top_n_hits() of every season, averaged over the seasons."""
+    x = top_n_hits(df.withColumn("_k", F.struct(season, by)), "_k", ident, predicted, actual, n)
+    return x.groupBy(F.col(f"_k.{by}").alias(by)).agg(F.avg("hit_rate").alias("hit_rate"), F.count("*").alias("seasons"))
+
+
 def residual_correlations(df: DataFrame, keys: list[str], source: str, residual: str) -> DataFrame:
     """Pearson correlation of every pair of sources' residuals on common keys."""
     a, b = df.select(*keys, F.col(source).alias("a"), F.col(residual).alias("_x")), df.select(*keys, F.col(source).alias("b"), F.col(residual).alias("_y"))
@@ -68,6 +74,105 @@ def collapse(df: DataFrame, keys: list[str], value: str, order: str) -> DataFram
     return df.groupBy(*keys).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias(value), (F.max(value) - F.min(value)).alias("disagreement"), F.count(value).alias("pools"))
 
 
-def verdict(delta_rank, delta_error, least: float = 0.005, worst: float = 0.0):
-    """Ordered clauses fixed beforehand: harm first, then a gain in both, in one, or none."""
-    return F.when((delta_rank < worst - least) | (delta_error > least), "reject").when((delta_rank >= least) & (delta_error <= -least), "adopt").when((delta_rank >= least) | (delta_error <= -least), "promising").otherwise("no effect")
+# The rule's limits.
+LEAST_GAIN, MOST_LOSS, MOST_REGRESSIONS, MOST_MEAN_MAE, MOST_STAT_MAE = 0.005, 0.005, 1, 0.5, 2.0
+
+
+def verdict(ranks: DataFrame, errors: DataFrame, by: list[str]) -> DataFrame:
+    """by, mean_gain, worst_gain, regressions, mean_mae, worst_mae, verdict and the clause that decided it.
+
+    ranks: by, group, base_rho, rho, base_top, top; errors: by, stat, base_mae, mae.  Clauses in order: too small a mean gain in rank
+    correlation, too large a loss in one group, hit rates that fall in too many groups, errors (in per cent) that grow too much
+    on the mean or in one stat; whatever passes all merges.  Rows with an unknown side are not compared.
+    """
+    gain = F.col("rho") - F.col("base_rho")
+    r = ranks.groupBy(*by).agg(F.avg(gain).alias("mean_gain"), F.min(gain).alias("worst_gain"), F.count_if(F.col("top") < F.col("base_top")).alias("regressions"))
+    change = F.when(F.col("base_mae") > 0, 100 * (F.col("mae") - F.col("base_mae")) / F.col("base_mae"))
+    e = errors.groupBy(*by).agg(F.avg(change).alias("mean_mae"), F.max(change).alias("worst_mae"))
+    x = r.join(e, by, "left")
+    clause = (
+        F.when(F.col("mean_gain").isNull(), "nothing comparable")
+        .when(F.col("mean_gain") < LEAST_GAIN, "mean gain")
+        .when(F.col("worst_gain") < -MOST_LOSS, "group loss")
+        .when(F.col("regressions") > MOST_REGRESSIONS, "hit rates")
+        .when(F.col("mean_mae") > MOST_MEAN_MAE, "mean error")
+        .when(F.col("worst_mae") > MOST_STAT_MAE, "stat error")
+        .otherwise("passed")
+    )
+    return x.withColumn("clause", clause).withColumn("verdict", F.when(F.col("clause") == "passed", "merge").otherwise("reject"))
+
+
+def weighted_mean(df: DataFrame, by: list[str], value: str, n: str) -> DataFrame:
+    """Mean of a value weighted by n, over rows that have both."""
+    ok = F.col(value).isNotNull() & F.col(n).isNotNull()
+    return df.groupBy(*by).agg(F.try_divide(F.sum(F.when(ok, F.col(value) * F.col(n))), F.sum(F.when(ok, F.col(n)))).alias(f"mean_{value}"), F.sum(F.when(ok, F.col(n))).alias(n))
+
+
+def blend_mae(df: DataFrame, by: list[str], base: str, source: str, actual: str, weights: list[float]) -> DataFrame:
+    """Mean absolute error of (1 - w) base + w source at several weights, on rows that have all three."""
+    x = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (base, source, actual))).withColumn("weight", F.explode(F.array(*map(F.lit, weights))))
+    guess = (1 - F.col("weight")) * F.col(base) + F.col("weight") * F.col(source)
+    return x.groupBy(*by, "weight").agg(F.count("*").alias("n"), F.avg(F.abs(guess - F.col(actual))).alias("mae"))
+
+
+def holdout_r2(df: DataFrame, by: list[str], predicted: str, actual: str) -> DataFrame:
+    """1 - squared errors over squared deviations from the mean; null where the actual never varies."""
+    e = F.col(actual) - F.col(predicted)
+    g = df.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.sum(e * e).alias("_sse"), F.var_pop(actual).alias("_v"))
+    return g.select(*by, "n", F.when(F.col("_v") > 0, 1 - F.col("_sse") / (F.col("_v") * F.col("n"))).alias("r2"))
+
+
+def prior_weight(df: DataFrame, by: list[str], n: str, k: float, at: float = 0.95) -> DataFrame:
+    """Weight k / (n + k) that a prior keeps at a high percentile of the evidence."""
+    return df.groupBy(*by).agg(F.percentile(n, at).alias("n")).withColumn("prior_weight", k / (F.col("n") + k))
+
+
+def match_share(df: DataFrame, dim: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """Rows, rows whose key the dimension has, and their percentage."""
+    d = dim.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_hit", F.lit(1))
+    g = df.join(d, key, "left").groupBy(*by).agg(F.count("*").alias("n"), F.count("_hit").alias("matched"))
+    return g.withColumn("matched_pct", F.round(100 * F.col("matched") / F.col("n"), 1))
+
+
+def spearman_without(df: DataFrame, by: str, blend: str, without: str, actual: str) -> DataFrame:
+    """Rank correlation of a blend, and of the blend without a source, with the outcome, on rows that both cover."""
+    d = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (blend, without, actual)))
+    return spearman(d, by, blend, actual).withColumnRenamed("rho", "rho_with").join(spearman(d, by, without, actual).select(by, F.col("rho").alias("rho_without")), by)
+
+
+def split_half(df: DataFrame, key: str, a: str, b: str, actual: str) -> DataFrame:
+    """Moments of two sources for non-negative least squares, per half of the keys (odd and even)."""
+    x, y, z = (F.col(c).cast("double") for c in (a, b, actual))
+    d = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (a, b, actual)))
+    return d.groupBy((F.col(key) % 2).cast("int").alias("half")).agg(F.count("*").alias("n"), F.sum(x * x).alias("aa"), F.sum(x * y).alias("ab"), F.sum(y * y).alias("bb"), F.sum(x * z).alias("az"), F.sum(y * z).alias("bz"))
+
+
+def nnls_weights(moments: DataFrame) -> DataFrame:
+    """Weights of two sources, none negative, from their moments: the free solution, or the better one-sided one."""
+    c = F.col
+    det = c("aa") * c("bb") - c("ab") * c("ab")
+    p, q = (c("az") * c("bb") - c("bz") * c("ab")) / F.nullif(det, F.lit(0.0)), (c("bz") * c("aa") - c("az") * c("ab")) / F.nullif(det, F.lit(0.0))
+    alone_a, alone_b = F.greatest(F.lit(0.0), F.try_divide(c("az"), c("aa"))), F.greatest(F.lit(0.0), F.try_divide(c("bz"), c("bb")))
+    gain = lambda w, y, m: w * y - w * w * m / 2
+    free = (p >= 0) & (q >= 0)
+    first = gain(alone_a, c("az"), c("aa")) >= gain(alone_b, c("bz"), c("bb"))
+    return moments.withColumns({"weight_a": F.when(free, p).when(first, alone_a).otherwise(0.0), "weight_b": F.when(free, q).when(first, 0.0).otherwise(alone_b)})
+
+
+def common_mask(column: str, rule: str):
+    """Populations of an evaluation: all rows, rows whose team played, rows that played themselves."""
+    return {"all": F.lit(True), "team": F.coalesce(F.col("team_played"), F.lit(False)), "played": F.coalesce(F.col(column), F.lit(False))}[rule]
+
+
+def attach_played(df: DataFrame, usage: DataFrame, keys: list[str], entity: str, team: str) -> DataFrame:
+    """played (the entity has a row in usage) and team_played (its team has one)."""
+    own = usage.select(*keys, entity).distinct().withColumn("played", F.lit(True))
+    its = usage.select(*keys, team).distinct().withColumn("team_played", F.lit(True))
+    x = df.join(own, [*keys, entity], "left").join(its, [*keys, team], "left")
+    return x.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("played", "team_played")})
+
+
+def worst_spread(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """The largest range that any of the columns has in a group."""
+    spread = [F.max(v) - F.min(v) for v in values]
+    return df.groupBy(*by).agg(F.greatest(*spread).alias("worst"))

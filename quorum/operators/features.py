@@ -36,7 +36,7 @@ def pooled_rate(df: DataFrame, by: list[str], num: str, den: str) -> DataFrame:
 
 def shrunk_rates(df: DataFrame, base: DataFrame, by: list[str], num: str, den: str, k: float) -> DataFrame:
     """Own rate drawn to the group's pooled rate by k units of evidence."""
-    x = df.join(F.broadcast(base), by, "left")
+    x = df.join(base, by, "left")
     own = F.when(F.col(den) > 0, F.col(num) / F.col(den))
     return x.withColumn("rate", shrunk(own, den, "base_rate", k))
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 
 def team_facts(games: DataFrame, period: str, home: str, away: str, home_score: str, away_score: str) -> DataFrame:
-    """Two rows per game, with outcome (1, 0, -1)."""
+    """Two rows per game, with outcome (1, 0, -1); one pass over the games."""
     def side(a, b, sa, sb):
-        return games.select(F.col(period), F.col(a).alias("team"), F.col(b).alias("opponent"), F.col(sa).alias("score"), F.col(sb).alias("against"))
+        return F.struct(F.col(a).alias("team"), F.col(b).alias("opponent"), F.col(sa).alias("score"), F.col(sb).alias("against"))
 
-    x = side(home, away, home_score, away_score).unionByName(side(away, home, away_score, home_score))
+    x = games.select(F.col(period), F.inline(F.array(side(home, away, home_score, away_score), side(away, home, away_score, home_score))))
     return x.withColumn("outcome", F.signum(F.col("score") - F.col("against")).cast("int"))
 
 
@@ -48,12 +47,59 @@ def head_to_head(facts: DataFrame) -> DataFrame:
     return facts.groupBy("team", "opponent").agg(F.count_if(F.col("outcome") == 1).alias("wins"), F.count_if(F.col("outcome") == -1).alias("losses"), F.count_if(F.col("outcome") == 0).alias("ties"), F.avg("score").alias("mean_score"))
 
 
-def luck(facts: DataFrame, period: str) -> DataFrame:
-    """Outcome against what the score would have earned versus everyone in its period, and the margin's share of it."""
+# Weights of the luck index, its constant shifts, and the shift of idle players by week.
+LUCK = {"scheduling": 0.30, "projection": 0.10, "idle": 0.25, "history": 0.10, "optimal_actual": 0.10, "optimal_optimal": 0.10, "margin": 0.05}
+SHIFTS = {"projection": -0.0140, "optimal_actual": -0.1872, "opp_optimal_actual": -0.4970}
+IDLE_SHIFTS = (-0.04821658498574727, -0.05462462377911275, -0.07378159473523208, -0.05988203396348101, -0.12914084334115997, -0.13103688629728863, -0.19256673733397794, -0.08341519059524279, -0.18534342059744405, -0.17147536390054255, -0.14725777569565657, -0.07753578793949584, -0.16768422902890318, -0.13733533055934166, -0.08955988712865509, -0.08746216288440906, -0.11969066586929249, -0.1611111111111111)
+
+
+def luck(facts: DataFrame, period: str, week: str) -> DataFrame:
+    """facts with the weekly luck index and its ten terms, each in [-1, 1] before its shift.
+
+    facts: period, week (1 to 18), team, opponent, score, against, outcome, and of the team's line-up projected (points), idle (players
+    who could not play), places, optimal (points of the best line-up); a team plays once a period.
+    """
+    c = F.col
     w = Window.partitionBy(period)
-    beaten = (F.count("*").over(w) - F.rank().over(w.orderBy(F.col("score").desc())) - (F.count("*").over(Window.partitionBy(period, "score")) - 1)) / F.nullif(F.count("*").over(w) - 1, F.lit(0))
-    x = facts.withColumn("all_play", beaten)
-    return x.groupBy("team").agg(F.sum((F.col("outcome") == 1).cast("double")).alias("won"), F.sum("all_play").alias("deserved")).withColumn("luck", F.col("won") - F.col("deserved"))
+    own = Window.partitionBy("team")
+    x = facts.withColumns({"_rank": F.rank().over(w.orderBy(c("score").desc())), "_n": F.count("*").over(w), "_mean": F.avg("score").over(own), "_sd": F.stddev_pop("score").over(own)})
+    opp = x.select(period, c("team").alias("opponent"), *(c(k).alias(f"_o{k}") for k in ("_rank", "_mean", "_sd", "score", "idle", "places", "optimal")))
+    x = x.join(opp, [period, "opponent"])
+    clip = lambda v, m: F.greatest(F.lit(-m), F.least(F.lit(m), v))
+    others = (c("_n") - 1).cast("double")
+    scheduling = (
+        F.when(c("_rank") < c("_o_rank"), (c("_rank") - 1) / others)
+        .when(c("_rank") > c("_o_rank"), -(c("_n") - c("_rank")) / others)
+        .when(c("_rank") < c("_n") / 2, -(c("_n") - c("_rank") - 1) / others / 2)
+        .otherwise((c("_rank") - 1) / others / 2)
+    )
+    z = lambda score, mean, sd: F.when(c(sd) > 0, clip((c(score) - c(mean)) / c(sd) / 2, 1.0)).otherwise(0.0)
+    gap = clip((c("score") - c("against")) / F.least("score", "against"), 0.2) / 0.2
+    margin = F.when((c("score") != 0) & (c("against") != 0), F.signum(gap) - gap).otherwise(0.0)
+    surprise = F.when(c("projected") != 0, clip((c("score") - c("projected")) / c("projected"), 0.25) / 0.25).otherwise(0.0)
+    idle = lambda n, of: -c(n) / c(of)
+    shift = F.element_at(F.array(*map(F.lit, IDLE_SHIFTS)), c(week))
+
+    def against_actual(best, theirs):
+        return F.when((c("outcome") == -1) & (c(best) > c(theirs)), -1.0).when((c("outcome") == -1) & (c(best) == c(theirs)), -0.5).when((c("outcome") == 0) & (c(best) > c(theirs)), -0.5).otherwise(0.0)
+
+    a, b = c("optimal"), c("_ooptimal")
+    both = F.when(c("outcome") == 1, F.when(a < b, 1.0).when(a == b, 0.5).otherwise(0.0)).when(c("outcome") == -1, F.when(a > b, -1.0).when(a == b, -0.5).otherwise(0.0)).otherwise(F.when(a > b, -0.5).when(a < b, 0.5).otherwise(0.0))
+    terms = {
+        "scheduling": (LUCK["scheduling"], scheduling),
+        "history": (LUCK["history"] * 2 / 3, z("score", "_mean", "_sd")),
+        "opp_history": (LUCK["history"] / 3, z("_oscore", "_o_mean", "_o_sd")),
+        "margin": (LUCK["margin"], margin),
+        "projection": (LUCK["projection"], surprise - SHIFTS["projection"]),
+        "idle": (LUCK["idle"] * 2 / 3, idle("idle", "places") - shift),
+        "opp_idle": (LUCK["idle"] / 3, idle("_oidle", "_oplaces") - shift),
+        "optimal_actual": (LUCK["optimal_actual"] * 2 / 3, against_actual("optimal", "_oscore") - SHIFTS["optimal_actual"]),
+        "opp_optimal_actual": (LUCK["optimal_actual"] / 3, against_actual("_ooptimal", "score") - SHIFTS["opp_optimal_actual"]),
+        "optimal_optimal": (LUCK["optimal_optimal"], both),
+    }
+    x = x.withColumns({f"luck_{k}": v for k, (_, v) in terms.items()})
+    total = sum((n * c(f"luck_{k}") for k, (n, _) in terms.items()), F.lit(0.0))
+    return x.select(*facts.columns, *(f"luck_{k}" for k in terms), total.alias("luck"))
 
 
 def remaining_difficulty(schedule: DataFrame, strength: DataFrame) -> DataFrame:
@@ -69,23 +115,72 @@ def year_adjusted(df: DataFrame, year: str, score: str, base_year: int):
     """Scores in units of the base year's median."""
     m = df.groupBy(year).agg(F.median(score).alias("_m"))
     b = m.where(F.col(year) == base_year).select(F.col("_m").alias("_b"))
-    return df.join(F.broadcast(m), year).crossJoin(F.broadcast(b)).withColumn("adjusted", F.col(score) / (F.col("_m") / F.col("_b"))).drop("_m", "_b")
+    return df.join(m, year).crossJoin(F.broadcast(b)).withColumn("adjusted", F.col(score) / (F.col("_m") / F.col("_b"))).drop("_m", "_b")
 
 
 def best_lineup(df: DataFrame, team: list[str], player: str, points: str, eligible: str, slots: dict[str, int]) -> DataFrame:
-    """Greedy line-up: slots by length of name then name, each takes its best eligible players who are left.  One team's roster is small."""
-    order = sorted(slots, key=lambda s: (len(s), s))
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in team) + ", best double, used int"
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf.sort_values([points, player], ascending=[False, True]).to_dict("records")
-        total, used = 0.0, 0
-        for s in order:
-            for _ in range(slots[s]):
-                pick = next((r for r in left if s in list(r[eligible])), None)
-                if pick:
-                    left.remove(pick)
-                    total, used = total + float(pick[points]), used + 1
-        return pd.DataFrame([[*key, total, used]], columns=[*team, "best", "used"])
-
-    return df.where(F.col(points).isNotNull()).select(*team, player, points, eligible).groupBy(*team).applyInPandas(run, schema)
+    """Greedy line-up: slots by length of name then name, each takes its best eligible players who are left; one window a slot, over one shuffle."""
+    x = df.where(F.col(points).isNotNull()).select(*team, player, points, eligible).withColumn("_used", F.lit(False))
+    for s in sorted(slots, key=lambda s: (len(s), s)):
+        free = ~F.col("_used") & F.array_contains(eligible, s)
+        place = F.sum(free.cast("int")).over(Window.partitionBy(*team).orderBy(F.col(points).desc(), player).rowsBetween(Window.unboundedPreceding, 0))
+        x = x.withColumn("_used", F.col("_used") | free & (place <= slots[s]))
+    return x.groupBy(*team).agg(F.sum(F.when(F.col("_used"), F.col(points)).otherwise(0.0)).alias("best"), F.count_if("_used").cast("int").alias("used"))
+
+
+def is_playoff(games: DataFrame, by: list[str], week: str, regular: int, spots: int) -> DataFrame:
+    """games with is_playoff: after the regular season, two teams, a home team that stands among the `spots`, and, beyond the first
+    such week, an away team that has not lost since and won its last game (a tie goes by points_for).
+
+    games: by, week, home, away, home_standing, away_losses (since the regular season), away_last, away_last_against, away_points_for, last_points_for.
+    """
+    first = F.col(week) == regular + 1
+    won = (F.col("away_last") > F.col("away_last_against")) | (F.col("away_last") == F.col("away_last_against")) & (F.col("away_points_for") > F.col("last_points_for"))
+    ok = (F.col(week) > regular) & F.col("away").isNotNull() & (F.col("home_standing") <= spots) & (first | (F.col("away_losses") == 0) & won)
+    return games.withColumn("is_playoff", F.coalesce(ok, F.lit(False)))
+
+
+def lineup_measures(df: DataFrame, by: list[str], slot: str, points: str, projected: str, status: str, tds: str, bench: tuple[str, ...] = ("BE", "IR")) -> DataFrame:
+    """Per line-up: points of starters and bench, projection, surprise, touchdowns, idle starters, the best three, mean per slot kept by the caller."""
+    starts = ~F.coalesce(F.col(slot).isin(*bench), F.lit(False))
+    s = lambda c: F.sum(F.when(starts, F.col(c)).otherwise(0.0))
+    top = F.slice(F.sort_array(F.collect_list(F.when(starts, F.col(points))), asc=False), 1, 3)
+    g = df.groupBy(*by).agg(s(points).alias("actual"), s(projected).alias("projected"), F.sum(F.when(F.col(slot) == bench[0], F.col(points)).otherwise(0.0)).alias("bench"), s(tds).alias("touchdowns"), F.count_if(starts & (F.col(status) == "bye")).alias("byes"), F.count_if(starts & (F.col(status) == "inactive")).alias("inactive"), F.aggregate(top, F.lit(0.0), lambda a, v: a + v).alias("trio"))
+    return g.withColumn("surprise", F.col("actual") - F.col("projected"))
+
+
+def weekly_finish(period: str, score: str):
+    return F.rank().over(Window.partitionBy(period).orderBy(F.col(score).desc()))
+
+
+def extremes(df: DataFrame, by: list[str], name: str, metrics: list[str]) -> DataFrame:
+    """Per metric the best and the worst value with all names that have them."""
+    x = df.unpivot([*by, name], metrics, "metric", "value").where("value IS NOT NULL")
+    w = Window.partitionBy(*by, "metric")
+    x = x.withColumns({"_hi": F.max("value").over(w), "_lo": F.min("value").over(w)})
+    names = lambda m: F.array_join(F.array_sort(F.collect_set(F.when(F.col("value") == F.col(m), F.col(name)))), ", ")
+    return x.groupBy(*by, "metric").agg(F.max("_hi").alias("best"), names("_hi").alias("best_names"), F.min("_lo").alias("worst"), names("_lo").alias("worst_names"))
+
+
+def division_standings(facts: DataFrame, division: str) -> DataFrame:
+    """Place of each team in its division by wins, then points, then name."""
+    g = facts.groupBy(division, "team").agg(F.count_if(F.col("outcome") == 1).alias("wins"), F.sum("score").alias("points"))
+    return g.withColumn("place", F.row_number().over(Window.partitionBy(division).orderBy(F.col("wins").desc(), F.col("points").desc(), "team")))
+
+
+def power_ranking(facts: DataFrame, period: str, last: int) -> DataFrame:
+    """Dominance: own wins and those of the teams beaten (two steps), scaled by recency of the last periods, per team."""
+    won = facts.where((F.col("outcome") == 1)).select("team", "opponent", F.col(period).alias("_p"))
+    one = won.groupBy("team").agg(F.count("*").alias("_one"))
+    two = won.alias("a").join(won.select(F.col("team").alias("opponent"), F.col("opponent").alias("_next")).alias("b"), "opponent").groupBy("team").agg(F.count("*").alias("_two"))
+    recent = facts.groupBy("team").agg(F.avg(F.when(F.col(period) > last, F.col("score"))).alias("_recent"), F.avg("score").alias("_mean"))
+    x = recent.join(one, "team", "left").join(two, "team", "left")
+    return x.select("team", (F.coalesce("_one", F.lit(0)) + F.coalesce("_two", F.lit(0)) / 10 + F.coalesce("_recent", "_mean") / 100).alias("power"))
+
+
+def expected_standings(facts: DataFrame, period: str) -> DataFrame:
+    """Wins against everybody every period (strength of a team without its schedule), beside the wins it got."""
+    w = Window.partitionBy(period)
+    below = F.count("*").over(w) - F.rank().over(w.orderBy(F.col("score").desc())) - (F.count("*").over(Window.partitionBy(period, "score")) - 1)
+    x = facts.withColumn("_ap", below / F.nullif(F.count("*").over(w) - 1, F.lit(0)))
+    return x.groupBy("team").agg(F.sum((F.col("outcome") == 1).cast("double")).alias("won"), F.sum("_ap").alias("deserved"))

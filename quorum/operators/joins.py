@@ -56,3 +56,27 @@ def keep_recorded_at(old: DataFrame, new: DataFrame, content: list[str], stamp:
     o = old.groupBy(*content).agg(F.min(stamp).alias("_old"))
     on = reduce(lambda a, b: a & b, (new[c].eqNullSafe(o[c]) for c in content))
     return new.join(o, on, "left").select(*(new[c] for c in new.columns if c != stamp), F.coalesce("_old", new[stamp]).alias(stamp))
+
+
+def left_suffixed(left: DataFrame, right: DataFrame, keys: list[str], suffix: str) -> DataFrame:
+    """Left join; right columns that left has too get a suffix."""
+    clash = {c: f"{c}{suffix}" for c in right.columns if c in left.columns and c not in keys}
+    return left.join(right.withColumnsRenamed(clash), keys, "left")
+
+
+def calendar_expansion(members: DataFrame, calendar: DataFrame, keys: list[str]) -> DataFrame:
+    """Every member against every date of its group: many to many within a key."""
+    return members.join(calendar, keys)
+
+
+def without_latest(df: DataFrame, order: list[str]) -> DataFrame:
+    """df without the rows of its greatest combination of columns."""
+    last = df.agg(F.max(F.struct(*order)).alias("_last"))  # one row
+    return df.crossJoin(last).where(~F.struct(*order).eqNullSafe(F.col("_last"))).drop("_last")
+
+
+def data_moved(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """One row: keys whose values differ or that one side lacks, keys of both, and whether anything moved."""
+    o, n = old.select(*keys, F.struct(*values).alias("_o")), new.select(*keys, F.struct(*values).alias("_n"))
+    g = o.join(n, keys, "full").agg(F.count_if(~F.col("_o").eqNullSafe(F.col("_n"))).alias("moved"), F.count("*").alias("keys"))
+    return g.withColumn("fresh", F.col("moved") > 0)

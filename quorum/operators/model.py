@@ -1,4 +1,4 @@
-"""Small regressions per group by moments: one aggregate job, a tiny solve on the driver, Column arithmetic to score."""
+"""Small regressions per group by moments: one aggregate job, a tiny solve per group, Column arithmetic to score."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 
 def moments(df: DataFrame, by: str, xs: list[str], y: str) -> DataFrame:
@@ -21,7 +21,7 @@ def solve(rows: list, by: str, xs: list[str], y: str, ridge: float = 0.0, least:
     out, terms = [], ["_one", *xs]
     cols = [*terms, y]
     for r in rows:
-        m = np.array([[r[f"{a}|{b}"] if f"{a}|{b}" in r.__fields__ else r[f"{b}|{a}"] for b in cols] for a in cols], float)
+        m = np.array([[r[f"{a}|{b}"] if f"{a}|{b}" in r else r[f"{b}|{a}"] for b in cols] for a in cols], float)
         n = m[0, 0]
         if n < least:
             continue
@@ -37,10 +37,42 @@ def solve(rows: list, by: str, xs: list[str], y: str, ridge: float = 0.0, least:
     return out
 
 
+def _solved(m: DataFrame, by: str, xs: list[str], y: str, ridge: float, least: int, centre: dict[str, float]) -> DataFrame:
+    """Coefficients (group, term, value) of moments taken around `centre`, solved where the groups are."""
+    kind = m.schema[by].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            rows = solve([Row(**r) for r in pdf.to_dict("records")], by, xs, y, ridge, least)
+            out = pd.DataFrame(rows, columns=[by, "term", "value"])
+            for g, part in out.groupby(by):
+                b = dict(zip(part["term"], part["value"]))
+                out.loc[(out[by] == g) & (out["term"] == "intercept"), "value"] = b["intercept"] + centre[y] - sum(b[x] * centre[x] for x in xs)
+            yield out
+
+    return m.mapInPandas(run, f"`{by}` {kind}, term string, value double")
+
+
+def _centre(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, float]]:
+    """df with the columns less their means, so that second moments do not cancel."""
+    mean = df.agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in columns)).first()
+    centre = {c: float(mean[c] or 0.0) for c in columns}
+    return df.withColumns({c: F.col(c).cast("double") - centre[c] for c in columns}), centre
+
+
 def fit(df: DataFrame, by: str, xs: list[str], y: str, ridge: float = 0.0, least: int = 1) -> DataFrame:
-    """Coefficients as rows (group, term, value); as many rows reach the driver as there are groups."""
-    kind = df.schema[by].dataType.simpleString()
-    return df.sparkSession.createDataFrame(solve(moments(df, by, xs, y).collect(), by, xs, y, ridge, least), f"`{by}` {kind}, term string, value double")
+    """Coefficients as rows (group, term, value); one row of moments a group is solved in Python, none reaches the driver."""
+    x, centre = _centre(df.select(by, *xs, y), [*xs, y])
+    return _solved(moments(x, by, xs, y), by, xs, y, ridge, least, centre)
+
+
+def fit_before(df: DataFrame, season: str, xs: list[str], y: str, least: int = 1) -> DataFrame:
+    """Coefficients for every season from all seasons before it: moments add up, so no row is read twice."""
+    x, centre = _centre(df.select(season, *xs, y), [*xs, y])
+    m = moments(x, season, xs, y)
+    w = Window.orderBy(season).rowsBetween(Window.unboundedPreceding, -1)  # one row a season
+    m = m.select(season, *(F.sum(c).over(w).alias(c) for c in m.columns if c != season)).where("`_one|_one` > 0")
+    return _solved(m, season, xs, y, 0.0, least, centre)
 
 
 def predict(df: DataFrame, coefs: DataFrame, by: str, xs: list[str], low: float | None = 0.0) -> DataFrame:
@@ -50,7 +82,7 @@ def predict(df: DataFrame, coefs: DataFrame, by: str, xs: list[str], low: float
     for x in xs:
         z = z + F.col(f"_b_{x}") * F.col(x)
     z = z if low is None else F.when(z.isNotNull(), F.greatest(z, F.lit(low)))
-    return df.join(F.broadcast(wide), by, "left").withColumn("prediction", z).drop(*wide.columns[1:])
+    return df.join(wide, by, "left").withColumn("prediction", z).drop(*wide.columns[1:])
 
 
 def nnls2(aa: float, ab: float, bb: float, ay: float, by: float) -> tuple[float, float]:
@@ -99,7 +131,9 @@ def gamma_cdf(x: float, shape: float) -> float:
         return min(1.0, lead * total)
     b, c = x + 1 - shape, 1e300
     d = h = 1 / b
-    for i in range(1, 500):
+    i = 0
+    while True:  # terms shrink geometrically once i exceeds x
+        i += 1
         an = -i * (i - shape)
         b += 2
         d = 1 / (an * d + b)
@@ -131,13 +165,28 @@ def negative_binomial_quantile(q: float, mean: float, var: float) -> int:
     r, p = mean * mean / (var - mean), mean / var
     k, term = 0, math.exp(r * math.log(p))
     total = term
-    while total < q and k < 100_000:
+    if mean > 1e4 or not term:  # steps of one would be many, or the first term is below the smallest number
+        return _by_halves(q, r, p, mean, var)
+    while total < q:
         term *= (k + r) / (k + 1) * (1 - p)
         k += 1
         total += term
+        if k > mean and term < 1e-18:  # what is left cannot reach q in these numbers
+            break
     return k
 
 
+def _by_halves(q: float, r: float, p: float, mean: float, var: float) -> int:
+    """The smallest k whose distribution function reaches q, summed outwards from the mode over 40 deviations."""
+    mode = max(0, math.floor((r - 1) * (1 - p) / p)) if r > 1 else 0
+    wide = math.ceil(40 * math.sqrt(var)) + 10
+    k = np.arange(max(0, mode - wide), mode + wide + 1, dtype=float)
+    steps = np.log(k[:-1] + r) - np.log(k[1:]) + math.log1p(-p)
+    logs = np.r_[0.0, np.cumsum(steps)]
+    f = np.exp(logs - logs.max())
+    return int(k[np.searchsorted(np.cumsum(f) / f.sum(), q)])
+
+
 def interval(mean: str, var: str, q: float, family: str = "gamma") -> Column:
     """A quantile column by an Arrow UDF: inverse distribution functions have no built-in form."""
     one = gamma_quantile if family == "gamma" else negative_binomial_quantile

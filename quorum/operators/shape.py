@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 
 def melt(df: DataFrame, keys: list[str], values: list[str], name: str = "stat", value: str = "value") -> DataFrame:
@@ -32,3 +34,14 @@ def prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
 
 def explode_delimited(df: DataFrame, column: str, sep: str, out: str) -> DataFrame:
     return df.withColumn(out, F.explode(F.split(column, sep)))
+
+
+def matching(df: DataFrame, pattern: str, keep: list[str]) -> DataFrame:
+    """keep and the columns whose names match."""
+    return df.select(*keep, *(c for c in df.columns if c not in keep and re.search(pattern, c)))
+
+
+def sum_numeric(df: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of all numeric columns."""
+    names = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in by]
+    return df.groupBy(*by).agg(*(F.sum(c).alias(c) for c in names))

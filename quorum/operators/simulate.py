@@ -13,6 +13,12 @@ def normal_draw(mean: Column, sd: Column, *keys) -> Column:
     return F.greatest(F.lit(0.0), mean + sd * F.sqrt(-2 * F.log(u)) * F.cos(2 * 3.141592653589793 * v))
 
 
+def strength(facts: DataFrame, period: str, last: int = 6, spread: float = 2.0) -> DataFrame:
+    """team, mean of its last scores that are not zero, and `spread` times the population deviation of all of them."""
+    x = facts.where(F.col("score") > 0).withColumn("_back", F.row_number().over(Window.partitionBy("team").orderBy(F.col(period).desc(), "opponent")))
+    return x.groupBy("team").agg(F.avg(F.when(F.col("_back") <= last, F.col("score"))).alias("mean"), (spread * F.stddev_pop("score")).alias("sd"))
+
+
 def trials(schedule: DataFrame, strength: DataFrame, n: int) -> DataFrame:
     """trial, game, and both teams' drawn scores; schedule (game, home, away), strength (team, mean, sd)."""
     spark = schedule.sparkSession
@@ -46,3 +52,16 @@ def swing(places: DataFrame, drawn: DataFrame, game: int, spots: int) -> DataFra
     w = drawn.where(F.col("game") == game).select("trial", (F.col("home_score") > F.col("away_score")).alias("_home"))
     x = places.join(w, "trial").groupBy("team").agg(F.avg(F.when(F.col("_home"), (F.col("place") <= spots).cast("double"))).alias("if_home"), F.avg(F.when(~F.col("_home"), (F.col("place") <= spots).cast("double"))).alias("if_away"))
     return x.withColumn("swing", F.abs(F.col("if_home") - F.col("if_away")))
+
+
+def seeding_outcomes(places: DataFrame, team: int) -> DataFrame:
+    """Of one team: the share of trials with each number of wins and place, and the mean points there."""
+    x = places.where(F.col("team") == team)
+    n = x.agg(F.count("*").alias("_n"))
+    return x.groupBy("wins", "place").agg(F.count("*").alias("trials"), F.avg("points").alias("mean_points")).crossJoin(n).withColumn("share", F.col("trials") / F.col("_n")).drop("_n")
+
+
+def with_results(drawn: DataFrame, known: DataFrame) -> DataFrame:
+    """drawn with the results that are given (game, home_score, away_score) in place of drawn ones."""
+    k = known.select("game", F.col("home_score").alias("_h"), F.col("away_score").alias("_a"))
+    return drawn.join(k, "game", "left").select("trial", "game", "home", "away", F.coalesce("_h", "home_score").alias("home_score"), F.coalesce("_a", "away_score").alias("away_score"))

@@ -48,9 +48,12 @@ def running_sum(value: str, by, order) -> Column:
     return F.sum(value).over(Window.partitionBy(*_by(by)).orderBy(*_by(order)).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def fill_median(value: str, by) -> Column:
-    """Group median, else the whole median, in place of null."""
-    return F.coalesce(F.col(value), F.median(value).over(Window.partitionBy(*_by(by))), F.median(value).over(Window.partitionBy()))
+def fill_median(df: DataFrame, value: str, by: str, out: str, default: float | None = None) -> DataFrame:
+    """Group median, else the whole median, else a constant, in place of null; the whole median is one aggregated row."""
+    g = df.groupBy(by).agg(F.median(value).alias("_group"))
+    whole = df.agg(F.median(value).alias("_whole"))
+    x = df.join(g.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left").crossJoin(whole)
+    return x.withColumn(out, F.coalesce(value, "_group", "_whole", F.lit(default).cast("double"))).drop("_by", "_group", "_whole")
 
 
 def streaks(df: DataFrame, outcome: str, by, order) -> DataFrame:

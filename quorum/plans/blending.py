@@ -1,26 +1,27 @@
-"""Queries of the blend, scoring and board families.  A part is the entity, its brand the group; four slices of lineitem are four opinions of its measures, and an empty slice is an imputed one."""
+"""Queries of the blend, scoring and board families.  A part is the entity, its brand the group; six slices of lineitem are six opinions of its measures, and a thin slice is an imputed one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import expr as e
-from ..operators import blend, board, joins, windows
+from ..operators import blend, board, joins, present, windows
 from .registry import Tables, query
 
-SOURCES = ("AF", "AO", "NF", "NO")
-WEIGHTS = {"AF": 0.25, "AO": 0.25, "NF": 0.0, "NO": 0.5}
+SOURCES = ("AF", "AO", "NF", "NO", "RF", "RO")
+WEIGHTS = {"AF": 0.25, "AO": 0.25, "NF": 0.0, "NO": 0.25, "RF": 0.15, "RO": 0.1}
+LEAST = 6  # lines that a slice needs to have an opinion
 RULES = {"qty": 2.0, "ext": 0.001}
 KEYS = ["p_partkey"]
 
 OPINIONS = """
-s AS (SELECT l_partkey, l_returnflag || l_linestatus AS source, avg(l_quantity) AS qty, avg(l_extendedprice) AS ext FROM lineitem WHERE l_quantity > 40 AND l_returnflag <> 'R' GROUP BY l_partkey, l_returnflag || l_linestatus),
-grid AS (SELECT p_partkey, source FROM part CROSS JOIN (VALUES ('AF'), ('AO'), ('NF'), ('NO')) v(source)),
+s AS (SELECT l_partkey, l_returnflag || l_linestatus AS source, avg(l_quantity) AS qty, avg(l_extendedprice) AS ext FROM lineitem GROUP BY l_partkey, l_returnflag || l_linestatus HAVING count(*) >= 6),
+grid AS (SELECT p_partkey, source FROM part CROSS JOIN (VALUES ('AF'), ('AO'), ('NF'), ('NO'), ('RF'), ('RO')) v(source)),
 w AS (SELECT g.p_partkey, g.source, s.qty, s.ext FROM grid g LEFT JOIN s ON s.l_partkey = g.p_partkey AND s.source = g.source),
 m AS (SELECT p_partkey, avg(qty) AS mq, avg(ext) AS me FROM w GROUP BY p_partkey),
 o AS (SELECT w.p_partkey, 'qty' AS stat, w.source, coalesce(qty, mq) AS value, qty IS NULL AS is_imputed FROM w JOIN m ON w.p_partkey = m.p_partkey
  UNION ALL SELECT w.p_partkey, 'ext', w.source, coalesce(ext, me), ext IS NULL FROM w JOIN m ON w.p_partkey = m.p_partkey),
-wt AS (SELECT * FROM (VALUES ('AF', 0.25::DOUBLE), ('AO', 0.25::DOUBLE), ('NF', 0.0::DOUBLE), ('NO', 0.5::DOUBLE)) t(source, weight)),
+wt AS (SELECT * FROM (VALUES ('AF', 0.25::DOUBLE), ('AO', 0.25::DOUBLE), ('NF', 0.0::DOUBLE), ('NO', 0.25::DOUBLE), ('RF', 0.15::DOUBLE), ('RO', 0.1::DOUBLE)) t(source, weight)),
 b AS (SELECT p_partkey, stat, CASE WHEN sum(weight * CASE WHEN is_imputed OR value IS NULL THEN 0 ELSE 1 END) > 0
   THEN sum(coalesce(value, 0) * weight * CASE WHEN is_imputed OR value IS NULL THEN 0 ELSE 1 END) / sum(weight * CASE WHEN is_imputed OR value IS NULL THEN 0 ELSE 1 END)
   ELSE sum(coalesce(value, 0) * weight) END AS value FROM o JOIN wt ON o.source = wt.source GROUP BY p_partkey, stat),
@@ -31,7 +32,7 @@ sc AS (SELECT p_partkey, CASE WHEN count(value) > 0 THEN sum(coalesce(value, 0)
 
 def opinions(t: Tables) -> DataFrame:
     """p_partkey, stat, source, value, is_imputed: long, one shuffle for both measures."""
-    s = t.lineitem.where("l_quantity > 40 AND l_returnflag <> 'R'").groupBy(F.col("l_partkey").alias("p_partkey"), F.concat("l_returnflag", "l_linestatus").alias("source")).agg(F.avg("l_quantity").alias("qty"), F.avg("l_extendedprice").alias("ext"))
+    s = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey"), F.concat("l_returnflag", "l_linestatus").alias("source")).agg(F.avg("l_quantity").alias("qty"), F.avg("l_extendedprice").alias("ext"), F.count("*").alias("n")).where(F.col("n") >= LEAST).drop("n")
     grid = t.part.select("p_partkey", F.explode(F.array(*map(F.lit, SOURCES))).alias("source"))
     w = grid.join(s, ["p_partkey", "source"], "left")
     m = Window.partitionBy("p_partkey")
@@ -51,12 +52,12 @@ def scored(t: Tables) -> DataFrame:
     return blend.score(blend.weighted(opinions(t), weights(t), KEYS), rules(t), KEYS)
 
 
-@query(f"WITH {OPINIONS}, x AS (SELECT p.p_partkey, p.p_brand, sc.points, rank() OVER (PARTITION BY p_brand ORDER BY points DESC) AS pos_rank FROM sc JOIN part p ON p.p_partkey = sc.p_partkey), y AS (SELECT p_brand, max(points) AS base FROM x WHERE pos_rank >= 10 GROUP BY p_brand) SELECT x.p_partkey, x.p_brand, round(x.points, 10) AS points, CAST(x.pos_rank AS INTEGER) AS pos_rank, round(x.points - y.base, 10) AS vor FROM x JOIN y ON x.p_brand = y.p_brand WHERE x.pos_rank <= 20")
+@query(f"WITH {OPINIONS}, x AS (SELECT p.p_partkey, p.p_brand, sc.points, rank() OVER (PARTITION BY p_brand ORDER BY points DESC) AS pos_rank FROM sc JOIN part p ON p.p_partkey = sc.p_partkey), y AS (SELECT p_brand, max(points) AS base FROM x WHERE pos_rank >= 10 GROUP BY p_brand) SELECT x.p_partkey, x.p_brand, round(x.points, 4) AS points, CAST(x.pos_rank AS INTEGER) AS pos_rank, round(x.points - y.base, 4) AS vor FROM x JOIN y ON x.p_brand = y.p_brand WHERE x.pos_rank <= 20")
 def flagship_board(t: Tables) -> DataFrame:
     brands = t.part.select("p_brand").distinct().withColumn("rank", F.lit(10))
     x = scored(t).join(t.part.select("p_partkey", "p_brand"), "p_partkey")
     v = board.value_over_replacement(x, "p_brand", "points", brands)
-    return v.where("pos_rank <= 20").select("p_partkey", "p_brand", F.round("points", 10).alias("points"), "pos_rank", F.round("vor", 10).alias("vor"))
+    return v.where("pos_rank <= 20").select("p_partkey", "p_brand", F.round("points", 4).alias("points"), "pos_rank", F.round("vor", 4).alias("vor"))
 
 
 @query(f"WITH {OPINIONS} SELECT p_partkey, stat, round(value, 6) AS value FROM b")
@@ -67,7 +68,7 @@ def blend_weighted(t):
 @query(f"WITH {OPINIONS} SELECT p_partkey, stat, round(sum(coalesce(value, 0) * weight), 6) AS value FROM o JOIN wt ON o.source = wt.source GROUP BY p_partkey, stat HAVING sum(weight * CASE WHEN is_imputed THEN 0 ELSE 1 END) = 0")
 def blend_face_fallback(t):
     o = opinions(t)
-    none = o.join(F.broadcast(weights(t)), "source").groupBy(*KEYS, "stat").agg(F.sum(F.col("weight") * (~F.col("is_imputed")).cast("int")).alias("d")).where("d = 0").drop("d")
+    none = o.join(weights(t), "source").groupBy(*KEYS, "stat").agg(F.sum(F.col("weight") * (~F.col("is_imputed")).cast("int")).alias("d")).where("d = 0").drop("d")
     return blend.weighted(o, weights(t), KEYS).join(none, [*KEYS, "stat"], "left_semi").withColumn("value", F.round("value", 6))
 
 
@@ -76,9 +77,9 @@ def coverage_report(t):
     return blend.coverage(opinions(t))
 
 
-@query(f"WITH {OPINIONS} SELECT p_partkey, round(points, 10) AS points FROM sc")
+@query(f"WITH {OPINIONS} SELECT p_partkey, round(points, 4) AS points FROM sc")
 def score_rules(t):
-    return scored(t).withColumn("points", F.round("points", 10))
+    return scored(t).withColumn("points", F.round("points", 4))
 
 
 @query("WITH a AS (SELECT l_partkey, avg(CASE WHEN l_returnflag = 'A' AND l_quantity > 30 THEN l_quantity END) AS a, avg(CASE WHEN l_returnflag = 'N' THEN l_quantity END) AS n FROM lineitem GROUP BY l_partkey) SELECT l_partkey, round(coalesce(a, n), 6) AS a, a IS NULL AS a_is_imputed FROM a")
@@ -87,9 +88,9 @@ def impute_with_flags(t):
     return blend.impute(x, "a", "n", "a_is_imputed").select("l_partkey", F.round("a", 6).alias("a"), "a_is_imputed")
 
 
-@query("WITH a AS (SELECT l_partkey, avg(CASE WHEN l_quantity > 45 AND l_returnflag = 'A' THEN l_tax END) AS a, avg(CASE WHEN l_quantity > 45 AND l_returnflag = 'N' THEN l_tax END) AS n FROM lineitem GROUP BY l_partkey) SELECT l_partkey, round(CASE WHEN a IS NULL THEN n WHEN n IS NULL THEN a ELSE (a + n) / 2 END, 8) AS mean, CAST((a IS NOT NULL)::INT + (n IS NOT NULL)::INT AS INTEGER) AS sources FROM a")
+@query("WITH a AS (SELECT l_partkey, avg(CASE WHEN l_returnflag = 'A' THEN l_tax END) AS a, avg(CASE WHEN l_returnflag = 'N' THEN l_tax END) AS n FROM lineitem GROUP BY l_partkey) SELECT l_partkey, round(CASE WHEN a IS NULL THEN n WHEN n IS NULL THEN a ELSE (a + n) / 2 END, 8) AS mean, CAST((a IS NOT NULL)::INT + (n IS NOT NULL)::INT AS INTEGER) AS sources FROM a")
 def row_mean_pair(t):
-    v = lambda f: F.avg(F.when((F.col("l_quantity") > 45) & (F.col("l_returnflag") == f), F.col("l_tax")))
+    v = lambda f: F.avg(F.when(F.col("l_returnflag") == f, F.col("l_tax")))
     x = t.lineitem.groupBy("l_partkey").agg(v("A").alias("a"), v("N").alias("n"))
     return x.select("l_partkey", F.round(F.when(e.row_count(["a", "n"]) > 0, e.row_sum(["a", "n"]) / F.nullif(e.row_count(["a", "n"]), F.lit(0))), 8).alias("mean"), e.row_count(["a", "n"]).alias("sources"))
 
@@ -153,7 +154,7 @@ def role_withdrawal_topk_median(t):
     top = windows.top_per(t.part, "p_type", 24, F.col("p_retailprice").desc(), F.col("p_partkey"))
     f = top.groupBy("p_type").agg((F.median("p_retailprice") * 0.75).alias("least"))
     gone = (F.col("p_size") >= 25) & (F.col("p_retailprice") < F.col("least"))
-    return t.part.join(F.broadcast(f), "p_type").select("p_partkey", F.round(F.when(~gone, F.col("p_retailprice")), 4).alias("kept"))
+    return t.part.join(f, "p_type").select("p_partkey", F.round(F.when(~gone, F.col("p_retailprice")), 4).alias("kept"))
 
 
 @query("WITH a AS (SELECT l_partkey, sum(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS x, sum(CASE WHEN l_linestatus = 'O' THEN l_quantity END) AS y FROM lineitem GROUP BY l_partkey) SELECT l_partkey, CASE WHEN x > 1.75 * y AND x > 40 THEN x / 2 ELSE x END AS x FROM a")
@@ -194,9 +195,9 @@ def adp_plateau(t):
     return board.plateau(t.part.withColumn("adp", F.col("p_size") / 4), "adp", "p_type")
 
 
-@query("WITH s AS (SELECT DISTINCT user_id, date_part('day', ts) AS d FROM events WHERE date_part('day', ts) <= 28), g AS (SELECT u.user_id, c.d FROM (SELECT DISTINCT user_id FROM s) u CROSS JOIN (SELECT DISTINCT d FROM s) c), x AS (SELECT g.user_id, min(g.d) AS missing, count(*) AS n FROM g LEFT JOIN s ON s.user_id = g.user_id AND s.d = g.d WHERE s.user_id IS NULL GROUP BY g.user_id) SELECT user_id, CAST(missing AS INTEGER) AS missing FROM x WHERE n = 1")
+@query("WITH s AS (SELECT DISTINCT user_id, date_part('day', ts) AS d FROM events), g AS (SELECT u.user_id, c.d FROM (SELECT DISTINCT user_id FROM s) u CROSS JOIN (SELECT DISTINCT d FROM s) c), x AS (SELECT g.user_id, min(g.d) AS missing, count(*) AS n FROM g LEFT JOIN s ON s.user_id = g.user_id AND s.d = g.d WHERE s.user_id IS NULL GROUP BY g.user_id) SELECT user_id, CAST(missing AS INTEGER) AS missing FROM x WHERE n = 1")
 def missing_week(t):
-    return board.missing_period(t.events.select("user_id", F.dayofmonth("ts").alias("d")).where("d <= 28"), "user_id", "d")
+    return board.missing_period(t.events.select("user_id", F.dayofmonth("ts").alias("d")), "user_id", "d")
 
 
 @query("WITH x AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice - 1200 DESC, p_partkey) <= 50 AS inn FROM part), y AS (SELECT *, CASE WHEN inn THEN greatest(p_retailprice - 1200, 0) ELSE 0 END AS pos, sum(CASE WHEN inn THEN 1 ELSE 0 END) OVER (PARTITION BY p_type) AS n, sum(CASE WHEN inn THEN greatest(p_retailprice - 1200, 0) ELSE 0 END) OVER (PARTITION BY p_type) AS total FROM x) SELECT p_partkey, round(CASE WHEN inn THEN 1 + CASE WHEN total > 0 THEN pos / total ELSE 0 END * (200 - n) END, 4) AS cash FROM y")
@@ -207,8 +208,9 @@ def cash_value_pool(t):
 
 @query("WITH d AS (SELECT p_partkey, p_type, rank() OVER (ORDER BY p_retailprice DESC) - rank() OVER (ORDER BY p_size DESC) AS delta FROM part), g AS (SELECT p_type, avg(delta) AS m, stddev_samp(delta) AS sd, count(*) AS n FROM d GROUP BY p_type) SELECT d.p_partkey, round(CASE WHEN n >= 8 AND sd >= 0.5 THEN (delta - m) / sd END, 6) AS z, coalesce(abs(CASE WHEN n >= 8 AND sd >= 0.5 THEN (delta - m) / sd END) >= 1.5, false) AS outlier FROM d JOIN g ON d.p_type = g.p_type")
 def agreement_z(t):
-    d = F.rank().over(Window.orderBy(F.col("p_retailprice").desc())) - F.rank().over(Window.orderBy(F.col("p_size").desc()))
-    x = board.agreement(t.part.withColumn("delta", d.cast("double")), "delta", "p_type")
+    x = present.global_rank(t.part, F.col("p_retailprice"), "p_partkey", "_a", ties=True)
+    x = present.global_rank(x, F.col("p_size"), "p_partkey", "_b", ties=True)
+    x = board.agreement(x.withColumn("delta", (F.col("_a") - F.col("_b")).cast("double")), "delta", "p_type")
     return x.select("p_partkey", F.round("z", 6).alias("z"), F.coalesce(F.abs("z") >= 1.5, F.lit(False)).alias("outlier"))
 
 
@@ -237,7 +239,7 @@ def filter_board(t):
 @query("WITH x AS (SELECT p_type, quantile_cont(abs(p_retailprice - 1400), 0.9) AS scale FROM part GROUP BY p_type) SELECT p_partkey, CAST(least(3, greatest(-3, round_even(3 * (p_retailprice - 1400) / scale, 0))) AS INTEGER) AS step FROM part JOIN x ON part.p_type = x.p_type")
 def shade_steps(t):
     s = t.part.groupBy("p_type").agg(F.percentile(F.abs(F.col("p_retailprice") - 1400), 0.9).alias("scale"))
-    return t.part.join(F.broadcast(s), "p_type").select("p_partkey", F.least(F.lit(3), F.greatest(F.lit(-3), F.bround(3 * (F.col("p_retailprice") - 1400) / F.col("scale"), 0).cast("int"))).alias("step"))
+    return t.part.join(s, "p_type").select("p_partkey", F.least(F.lit(3), F.greatest(F.lit(-3), F.bround(3 * (F.col("p_retailprice") - 1400) / F.col("scale"), 0).cast("int"))).alias("step"))
 
 
 @query()

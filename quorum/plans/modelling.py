@@ -6,14 +6,15 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import expr as e
 from ..operators import evaluate, history, model, simulate, tendencies
+from ..sources.scratch import written
 from .registry import query
 
 # actor: nation of the customer, kind: order priority, season: year, time: month
-_PICKS = "pk AS (SELECT year(o_orderdate) AS season, c_nationkey AS owner, o_orderpriority AS kind, month(o_orderdate) AS round, o_totalprice AS price, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 350000)"
+_PICKS = "pk AS (SELECT year(o_orderdate) AS season, c_nationkey AS owner, o_orderpriority AS kind, month(o_orderdate) AS round, o_totalprice AS price, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 
 def _picks(t):
-    return t.orders.where("o_totalprice > 350000").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.year("o_orderdate").alias("season"), F.col("c_nationkey").alias("owner"), F.col("o_orderpriority").alias("kind"), F.month("o_orderdate").alias("round"), F.col("o_totalprice").alias("price"), "o_orderkey")
+    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.year("o_orderdate").alias("season"), F.col("c_nationkey").alias("owner"), F.col("o_orderpriority").alias("kind"), F.month("o_orderdate").alias("round"), F.col("o_totalprice").alias("price"), "o_orderkey")
 
 
 @query(f"WITH {_PICKS}, f AS (SELECT season, owner, kind, min(round)::DOUBLE AS first FROM pk GROUP BY ALL), g AS (SELECT a.season, a.owner, k.kind FROM (SELECT DISTINCT season, owner FROM pk) a CROSS JOIN (SELECT DISTINCT kind FROM pk) k), x AS (SELECT g.*, coalesce(f.first, 13) AS first FROM g LEFT JOIN f ON f.season = g.season AND f.owner = g.owner AND f.kind = g.kind), d AS (SELECT season, owner, kind, first - (sum(first) OVER w - first) / (count(*) OVER w - 1) AS dev, count(*) OVER w AS n FROM x WINDOW w AS (PARTITION BY season, kind)), m AS (SELECT *, avg(dev) OVER (PARTITION BY owner, kind) AS mean FROM d WHERE n > 1) SELECT owner, kind, round(avg(dev), 6) AS mean_dev, round(avg(CASE WHEN sign(dev) = sign(mean) THEN 1.0 ELSE 0 END), 6) AS consistency, count(*) AS seasons FROM m GROUP BY owner, kind")
@@ -32,9 +33,9 @@ def lift_z(t):
     return tendencies.lean(_picks(t), "owner", "kind", "season").select("owner", "kind", "observed", r("expected"), r("lift"), r("z"))
 
 
-@query("WITH pk AS (SELECT DISTINCT year(o_orderdate) AS season, o_custkey % 40 AS owner, l_suppkey AS item FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 45), t AS (SELECT owner, item, count(DISTINCT season) AS times FROM pk GROUP BY ALL HAVING count(DISTINCT season) >= 3), c AS (SELECT t.owner, t.item, count(*) AS chances FROM t JOIN (SELECT DISTINCT owner, season FROM pk) a ON a.owner = t.owner JOIN (SELECT DISTINCT item, season FROM pk) i ON i.item = t.item AND i.season = a.season GROUP BY ALL) SELECT t.owner, t.item, t.times, CAST(c.chances AS INTEGER) AS chances, round(times / chances, 9) AS loyalty FROM t JOIN c ON c.owner = t.owner AND c.item = t.item")
+@query("WITH pk AS (SELECT DISTINCT year(o_orderdate) AS season, o_custkey % 40 AS owner, l_suppkey AS item FROM orders JOIN lineitem ON l_orderkey = o_orderkey), t AS (SELECT owner, item, count(DISTINCT season) AS times FROM pk GROUP BY ALL HAVING count(DISTINCT season) >= 3), c AS (SELECT t.owner, t.item, count(*) AS chances FROM t JOIN (SELECT DISTINCT owner, season FROM pk) a ON a.owner = t.owner JOIN (SELECT DISTINCT item, season FROM pk) i ON i.item = t.item AND i.season = a.season GROUP BY ALL) SELECT t.owner, t.item, t.times, CAST(c.chances AS INTEGER) AS chances, round(times / chances, 9) AS loyalty FROM t JOIN c ON c.owner = t.owner AND c.item = t.item")
 def loyalty_intersection(t):
-    x = t.lineitem.where("l_quantity > 45").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.year("o_orderdate").alias("season"), (F.col("o_custkey") % 40).alias("owner"), F.col("l_suppkey").alias("item"))
+    x = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.year("o_orderdate").alias("season"), (F.col("o_custkey") % 40).alias("owner"), F.col("l_suppkey").alias("item"))
     return tendencies.loyalty(x, "owner", "item", "season", 3).withColumn("loyalty", F.round("loyalty", 9))
 
 
@@ -49,7 +50,7 @@ def habits(t):
     return tendencies.habits(x, "owner", "urgent", "season").select("owner", F.round("rate", 7).alias("rate"), F.round("room", 7).alias("room"))
 
 
-@query()
+@query(f"WITH {_PICKS}, n AS (SELECT season, owner, count(*) AS n FROM pk GROUP BY ALL), p AS (SELECT season, kind, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY season) AS p FROM pk GROUP BY season, kind), g AS (SELECT season, owner, kind, count(*) AS got FROM pk GROUP BY ALL), x AS (SELECT n.owner, p.kind, coalesce(got, 0) AS got, n * p AS e, n * p * (1 - p) AS v FROM n JOIN p ON p.season = n.season LEFT JOIN g ON g.season = n.season AND g.owner = n.owner AND g.kind = p.kind), a AS (SELECT owner, kind, sum(got) AS observed, sum(e) AS expected, sum(v) AS var FROM x GROUP BY ALL), z AS (SELECT owner, kind, (observed - expected) / sqrt(var) AS z, CAST(round_even(100 * (observed / expected - 1), 0) AS BIGINT) AS pct FROM a WHERE observed > 0 AND var > 0), s AS (SELECT owner, z, 'takes ' || kind || ' ' || CASE WHEN pct >= 0 THEN '+' ELSE '' END || pct || '% against the room' AS text FROM z WHERE abs(z) >= 1), r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY abs(z) DESC, text) AS rn FROM s) SELECT owner, string_agg(text, '; ' ORDER BY rn) AS traits FROM r WHERE rn <= 3 GROUP BY owner")
 def trait_sentences(t):
     x = tendencies.lean(_picks(t), "owner", "kind", "season").where("abs(z) >= 1")
     text = F.concat(F.lit("takes "), "kind", F.lit(" "), e.signed_percent(F.col("lift") - 1), F.lit(" against the room"))
@@ -73,9 +74,9 @@ def ols_two_term(t):
     return model.fit(t.lineitem, "l_returnflag", ["l_quantity", "l_discount"], "l_extendedprice").withColumn("value", F.round("value", 3))
 
 
-@query()
+@query("WITH m AS (SELECT l_returnflag AS g, count(*) AS n, stddev_pop(l_quantity) AS s1, stddev_pop(l_discount) AS s2, corr(l_quantity, l_discount) AS r, covar_pop(l_quantity, l_extendedprice) / stddev_pop(l_quantity) AS r1, covar_pop(l_discount, l_extendedprice) / stddev_pop(l_discount) AS r2, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my FROM lineitem GROUP BY 1), b AS (SELECT *, 1 + 500.0 / n AS a FROM m), c AS (SELECT *, (r1 * a - r2 * r) / (a * a - r * r) / s1 AS b1, (r2 * a - r1 * r) / (a * a - r * r) / s2 AS b2 FROM b) SELECT g AS l_returnflag, 'intercept' AS term, round(my - b1 * m1 - b2 * m2, 3) AS value FROM c UNION ALL SELECT g, 'l_quantity', round(b1, 3) FROM c UNION ALL SELECT g, 'l_discount', round(b2, 3) FROM c")
 def ridge(t):
-    return model.fit(t.lineitem, "l_returnflag", ["l_quantity", "l_discount"], "l_extendedprice", ridge=500.0, least=30)
+    return model.fit(t.lineitem, "l_returnflag", ["l_quantity", "l_discount"], "l_extendedprice", ridge=500.0, least=30).withColumn("value", F.round("value", 3))
 
 
 @query(f"WITH {_LS} SELECT l_returnflag, round(avg(abs(l_extendedprice - greatest(0, my - b1 * mx - b2 * mz + b1 * l_quantity + b2 * l_discount))), 3) AS mae, count(*) AS n FROM lineitem JOIN b ON g = l_returnflag GROUP BY l_returnflag")
@@ -85,11 +86,10 @@ def predict_and_mae(t):
     return evaluate.mae(p, "l_returnflag", "l_extendedprice", ["prediction"]).select("l_returnflag", F.round("mae_prediction", 3).alias("mae"), "n")
 
 
-@query("WITH f AS (SELECT year(l_shipdate) AS season, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem GROUP BY 1) SELECT CAST(f.season + 1 AS INTEGER) AS season, round(avg(abs(l_extendedprice - greatest(0, a + b * l_quantity))), 3) AS mae, count(*) AS n FROM lineitem JOIN f ON year(l_shipdate) = f.season + 1 GROUP BY 1")
+@query("WITH x AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS season, l_extendedprice AS y, l_quantity AS q FROM lineitem), f AS (SELECT s.season, regr_slope(y, q) AS b, regr_intercept(y, q) AS a FROM (SELECT DISTINCT season FROM x) s JOIN x ON x.season < s.season GROUP BY 1) SELECT x.season, round(avg(abs(y - greatest(0, a + b * q))), 3) AS mae, count(*) AS n FROM x JOIN f ON x.season = f.season GROUP BY 1")
 def walk_forward(t):
     x = t.lineitem.withColumn("season", F.year("l_shipdate"))
-    fit = model.fit(x, "season", ["l_quantity"], "l_extendedprice").withColumn("season", F.col("season") + 1)
-    p = model.predict(x, fit, "season", ["l_quantity"])
+    p = model.predict(x, model.fit_before(x, "season", ["l_quantity"], "l_extendedprice"), "season", ["l_quantity"])
     return evaluate.mae(p, "season", "l_extendedprice", ["prediction"]).select("season", F.round("mae_prediction", 3).alias("mae"), "n")
 
 
@@ -136,10 +136,17 @@ def calibration_bands(t):
     return evaluate.calibration(x, b, "l_quantity", "guess", "l_extendedprice").select("band", "n", r("bias"), r("sd"), r("share_over", 7), r("median"))
 
 
-@query("SELECT * FROM (VALUES (-0.01::DOUBLE, 0.0::DOUBLE, 'reject'), (0.01, -0.01, 'adopt'), (0.01, 0.0, 'promising'), (0.0, 0.0, 'no effect'), (0.02, 0.02, 'reject')) v(dr, de, verdict)")
+_RANKS = "rk AS (SELECT p_brand, p_type, corr(p_size, p_retailprice) AS base_rho, corr(p_size + p_partkey % 7 * 0.5, p_retailprice) AS rho, avg(CASE WHEN p_size > 25 THEN 1.0::DOUBLE ELSE 0 END) AS base_top, avg(CASE WHEN p_size + p_partkey % 7 * 0.5 > 26.5 THEN 1.0::DOUBLE ELSE 0 END) AS top FROM part GROUP BY ALL), er AS (SELECT p_brand, l_returnflag AS stat, avg(abs(l_extendedprice - 1500 * l_quantity)) AS base_mae, avg(abs(l_extendedprice - 1490 * l_quantity)) AS mae FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
+
+
+@query(f"WITH {_RANKS}, r AS (SELECT p_brand, avg(rho - base_rho) AS mean_gain, min(rho - base_rho) AS worst_gain, sum(CASE WHEN top < base_top THEN 1 ELSE 0 END) AS regressions FROM rk GROUP BY 1), e AS (SELECT p_brand, avg(100 * (mae - base_mae) / base_mae) AS mean_mae, max(100 * (mae - base_mae) / base_mae) AS worst_mae FROM er GROUP BY 1), x AS (SELECT r.*, e.mean_mae, e.worst_mae, CASE WHEN mean_gain IS NULL THEN 'nothing comparable' WHEN mean_gain < 0.005 THEN 'mean gain' WHEN worst_gain < -0.005 THEN 'group loss' WHEN regressions > 1 THEN 'hit rates' WHEN mean_mae > 0.5 THEN 'mean error' WHEN worst_mae > 2 THEN 'stat error' ELSE 'passed' END AS clause FROM r LEFT JOIN e ON e.p_brand = r.p_brand) SELECT p_brand, round(mean_gain, 9) AS mean_gain, round(worst_mae, 7) AS worst_mae, CAST(regressions AS BIGINT) AS regressions, clause, CASE WHEN clause = 'passed' THEN 'merge' ELSE 'reject' END AS verdict FROM x")
 def decision_rule(t):
-    x = t.spark.createDataFrame([(-0.01, 0.0), (0.01, -0.01), (0.01, 0.0), (0.0, 0.0), (0.02, 0.02)], "dr double, de double")
-    return x.withColumn("verdict", evaluate.verdict(F.col("dr"), F.col("de")))
+    s = F.col("p_size") + F.col("p_partkey") % 7 * 0.5
+    share = lambda c: F.avg(c.cast("double"))
+    ranks = t.part.groupBy("p_brand", "p_type").agg(F.corr("p_size", "p_retailprice").alias("base_rho"), F.corr(s, F.col("p_retailprice")).alias("rho"), share(F.col("p_size") > 25).alias("base_top"), share(s > 26.5).alias("top"))
+    off = lambda k: F.avg(F.abs(F.col("l_extendedprice") - k * F.col("l_quantity")))
+    errors = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", F.col("l_returnflag").alias("stat")).agg(off(1500).alias("base_mae"), off(1490).alias("mae"))
+    return evaluate.verdict(ranks, errors, ["p_brand"]).select("p_brand", F.round("mean_gain", 9).alias("mean_gain"), F.round("worst_mae", 7).alias("worst_mae"), "regressions", "clause", "verdict")
 
 
 @query()
@@ -154,9 +161,11 @@ _GAMES = "sc AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS period, c
 
 
 def _facts(t):
+    """Games from one scan: a period's scores are one small row, in which its pairs are looked up."""
     sc = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy((F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("period"), F.col("c_nationkey").alias("team")).agg(F.round(F.sum("o_totalprice") / 1000, 0).alias("score"))
-    h, a = sc.toDF("period", "home", "hs"), sc.toDF("period", "away", "as")
-    g = h.where("home % 2 = 0").withColumn("away", (F.col("home") + 1 + F.col("period") % 11) % 25).join(a, ["period", "away"])
+    g = sc.groupBy("period").agg(F.map_from_entries(F.collect_list(F.struct("team", "score"))).alias("by"))  # at most 25 teams a period
+    g = g.select("period", "by", F.explode("by").alias("home", "hs")).where("home % 2 = 0").withColumn("away", (F.col("home") + 1 + F.col("period") % 11) % 25)
+    g = g.withColumn("as", F.try_element_at("by", F.col("away"))).where(F.col("as").isNotNull())
     return history.team_facts(g, "period", "home", "away", "hs", "as")
 
 
@@ -190,9 +199,42 @@ def h2h(t):
     return history.head_to_head(_facts(t)).withColumn("mean_score", F.round("mean_score", 6))
 
 
-@query(f"WITH {_GAMES}, x AS (SELECT f.team, f.outcome, (SELECT count(*) FROM facts g WHERE g.period = f.period AND g.score < f.score)::DOUBLE / nullif((SELECT count(*) FROM facts g WHERE g.period = f.period) - 1, 0) AS ap FROM facts f) SELECT team, CAST(count(*) FILTER (WHERE outcome = 1) AS DOUBLE) AS won, round(sum(ap), 6) AS deserved, round(count(*) FILTER (WHERE outcome = 1) - sum(ap), 6) AS luck FROM x GROUP BY team")
+@query(f"WITH {_GAMES}, x AS (SELECT f.team, f.outcome, (SELECT count(*) FROM facts g WHERE g.period = f.period AND g.score < f.score)::DOUBLE / nullif((SELECT count(*) FROM facts g WHERE g.period = f.period) - 1, 0) AS ap FROM facts f) SELECT team, CAST(count(*) FILTER (WHERE outcome = 1) AS DOUBLE) AS won, round(sum(ap), 6) AS deserved FROM x GROUP BY team")
+def expected_standings(t):
+    return history.expected_standings(_facts(t), "period").select("team", "won", F.round("deserved", 6).alias("deserved"))
+
+
+_LINEUPS = "lu AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS period, c_nationkey AS team, round(sum(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice ELSE 0 END) / 1000, 0) AS projected, CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS BIGINT) AS idle, count(*) AS places, round((sum(o_totalprice) + max(o_totalprice)) / 1000, 0) AS optimal FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), pl AS (SELECT facts.*, period % 12 + 1 AS week, projected, idle, places, optimal FROM facts JOIN lu USING (period, team))"
+_ONCE = "op AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period, team ORDER BY opponent) AS rn, count(*) OVER (PARTITION BY period, team) AS k FROM pl) WHERE rn = 1)"
+
+
+def _lineup_facts(t):
+    """Facts with line-up measures, one game a team and period (a team drawn twice keeps its first)."""
+    k = [(F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("period"), F.col("c_nationkey").alias("team")]
+    p = F.col("o_totalprice")
+    lu = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(*k).agg(F.round(F.sum(F.when(F.col("o_orderstatus") != "P", p).otherwise(0.0)) / 1000, 0).alias("projected"), F.count_if(F.col("o_orderstatus") == "P").alias("idle"), F.count("*").alias("places"), F.round((F.sum(p) + F.max(p)) / 1000, 0).alias("optimal"))
+    x = _facts(t).join(lu, ["period", "team"]).withColumn("week", F.col("period") % 12 + 1)
+    return x.withColumn("rn", F.row_number().over(Window.partitionBy("period", "team").orderBy("opponent"))).where("rn = 1").drop("rn")
+
+
+_LUCK_SQL = f"""WITH {_GAMES}, {_LINEUPS}, {_ONCE},
+a AS (SELECT *, rank() OVER (PARTITION BY period ORDER BY score DESC) AS rk, count(*) OVER (PARTITION BY period) AS n, avg(score) OVER (PARTITION BY team) AS mn, stddev_pop(score) OVER (PARTITION BY team) AS sd FROM op),
+b AS (SELECT a.*, o.rk AS ork, o.mn AS omn, o.sd AS osd, o.score AS osc, o.idle AS oidle, o.places AS opl, o.optimal AS oopt, greatest(-0.2, least(0.2, (a.score - a.against) / least(a.score, a.against))) / 0.2 AS gap,
+  ([{', '.join(map(repr, history.IDLE_SHIFTS))}])[a.week] AS shift FROM a JOIN a o ON o.period = a.period AND o.team = a.opponent),
+c AS (SELECT *, CASE WHEN rk < ork THEN (rk - 1) / (n - 1) WHEN rk > ork THEN -(n - rk) / (n - 1) WHEN rk < n / 2 THEN -(n - rk - 1) / (n - 1) / 2 ELSE (rk - 1) / (n - 1) / 2 END AS t1,
+  CASE WHEN sd > 0 THEN greatest(-1, least(1, (score - mn) / sd / 2)) ELSE 0 END AS t2, CASE WHEN osd > 0 THEN greatest(-1, least(1, (osc - omn) / osd / 2)) ELSE 0 END AS t3,
+  CASE WHEN score <> 0 AND against <> 0 THEN sign(gap) - gap ELSE 0 END AS t4, CASE WHEN projected <> 0 THEN greatest(-0.25, least(0.25, (score - projected) / projected)) / 0.25 ELSE 0 END + 0.014 AS t5,
+  -idle / places - shift AS t6, -oidle / opl - shift AS t7,
+  CASE WHEN outcome = -1 AND optimal > osc THEN -1 WHEN outcome = -1 AND optimal = osc THEN -0.5 WHEN outcome = 0 AND optimal > osc THEN -0.5 ELSE 0 END + 0.1872 AS t8,
+  CASE WHEN outcome = -1 AND oopt > score THEN -1 WHEN outcome = -1 AND oopt = score THEN -0.5 WHEN outcome = 0 AND oopt > score THEN -0.5 ELSE 0 END + 0.4970 AS t9,
+  CASE outcome WHEN 1 THEN CASE WHEN optimal < oopt THEN 1 WHEN optimal = oopt THEN 0.5 ELSE 0 END WHEN -1 THEN CASE WHEN optimal > oopt THEN -1 WHEN optimal = oopt THEN -0.5 ELSE 0 END ELSE CASE WHEN optimal > oopt THEN -0.5 WHEN optimal < oopt THEN 0.5 ELSE 0 END END AS t10 FROM b)
+"""
+
+
+@query(_LUCK_SQL + "SELECT team, count(*) AS weeks, round(sum(t1), 6) AS scheduling, round(sum(0.3 * t1 + 0.2 / 3 * t2 + 0.1 / 3 * t3 + 0.05 * t4 + 0.1 * t5 + 0.5 / 3 * t6 + 0.25 / 3 * t7 + 0.2 / 3 * t8 + 0.1 / 3 * t9 + 0.1 * t10), 6) AS luck FROM c GROUP BY team")
 def luck_index(t):
-    return history.luck(_facts(t), "period").select("team", "won", F.round("deserved", 6).alias("deserved"), F.round("luck", 6).alias("luck"))
+    x = history.luck(_lineup_facts(t), "period", "week")
+    return x.groupBy("team").agg(F.count("*").alias("weeks"), F.round(F.sum("luck_scheduling"), 6).alias("scheduling"), F.round(F.sum("luck"), 6).alias("luck"))
 
 
 @query(f"WITH {_GAMES}, y AS (SELECT *, period // 12 AS yr FROM facts), m AS (SELECT yr, median(score) AS m FROM y GROUP BY yr) SELECT period, team, opponent, round(score / (m.m / (SELECT m FROM m WHERE yr = 1996)), 6) AS adjusted FROM y JOIN m ON m.yr = y.yr")
@@ -201,17 +243,28 @@ def year_adjusted_score(t):
     return history.year_adjusted(x, "yr", "score", 1996).select("period", "team", "opponent", F.round("adjusted", 6).alias("adjusted"))
 
 
-@query(f"WITH {_GAMES}, s AS (SELECT team AS opponent, avg(score) AS ppg, avg(outcome) AS form FROM facts WHERE period < 24000 GROUP BY team), n AS (SELECT opponent, (ppg - min(ppg) OVER ()) / (max(ppg) OVER () - min(ppg) OVER ()) AS ppg, (form - min(form) OVER ()) / (max(form) OVER () - min(form) OVER ()) AS form FROM s) SELECT team, round((avg(ppg) + avg(form)) / 2, 6) AS difficulty FROM facts JOIN n ON n.opponent = facts.opponent WHERE period >= 24000 GROUP BY team")
+_POWER = "won AS (SELECT team, opponent FROM facts WHERE outcome = 1 AND period < 24000), pw AS (SELECT r.team, coalesce(o.one, 0) + coalesce(w.two, 0) / 10 + coalesce(recent, mn) / 100 AS power FROM (SELECT team, avg(CASE WHEN period > 23994 THEN score END) AS recent, avg(score) AS mn FROM facts WHERE period < 24000 GROUP BY team) r LEFT JOIN (SELECT team, count(*) AS one FROM won GROUP BY team) o ON o.team = r.team LEFT JOIN (SELECT a.team, count(*) AS two FROM won a JOIN won b ON b.team = a.opponent GROUP BY a.team) w ON w.team = r.team)"
+
+
+@query(f"WITH {_GAMES}, {_POWER} SELECT team, round(power, 6) AS power FROM pw")
+def power_ranking(t):
+    return history.power_ranking(_facts(t).where("period < 24000"), "period", 23994).select("team", F.round("power", 6).alias("power"))
+
+
+@query(f"WITH {_GAMES}, {_POWER}, s AS (SELECT team AS opponent, avg(score) AS ppg, count(*) FILTER (WHERE outcome = 1) / nullif(count(*) FILTER (WHERE outcome <> 0), 0) AS pct FROM facts WHERE period < 24000 GROUP BY team), j AS (SELECT s.*, pw.power FROM s JOIN pw ON pw.team = s.opponent), n AS (SELECT opponent, (ppg - min(ppg) OVER ()) / (max(ppg) OVER () - min(ppg) OVER ()) AS ppg, (pct - min(pct) OVER ()) / (max(pct) OVER () - min(pct) OVER ()) AS pct, (power - min(power) OVER ()) / (max(power) OVER () - min(power) OVER ()) AS power FROM j) SELECT team, round((avg(ppg) + avg(pct) + avg(power)) / 3, 6) AS difficulty FROM facts JOIN n ON n.opponent = facts.opponent WHERE period >= 24000 GROUP BY team")
 def schedule_difficulty(t):
-    f = _facts(t)
-    s = f.where("period < 24000").groupBy(F.col("team").alias("opponent")).agg(F.avg("score").alias("ppg"), F.avg("outcome").alias("form"))
+    f = written(_facts(t))
+    past = f.where("period < 24000")
+    won, lost = F.count_if(F.col("outcome") == 1), F.count_if(F.col("outcome") == -1)
+    s = past.groupBy(F.col("team").alias("opponent")).agg(F.avg("score").alias("ppg"), F.try_divide(won, won + lost).alias("pct"))
+    s = s.join(history.power_ranking(past, "period", 23994).withColumnRenamed("team", "opponent"), "opponent")
     return history.remaining_difficulty(f.where("period >= 24000").select("team", "opponent"), s).select("team", F.round("difficulty", 6).alias("difficulty"))
 
 
-@query()
+@query("WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice AS p, CASE o_orderpriority WHEN '1-URGENT' THEN 'A' WHEN '2-HIGH' THEN 'B' ELSE '' END AS s FROM orders), a AS (SELECT *, s <> '' AND row_number() OVER (PARTITION BY o_custkey, s ORDER BY p DESC, o_orderkey) = 1 AS used FROM o), b AS (SELECT *, used OR row_number() OVER (PARTITION BY o_custkey, used ORDER BY p DESC, o_orderkey) <= 2 AS in_line FROM a) SELECT o_custkey, round(sum(CASE WHEN in_line THEN p ELSE 0 END), 2) AS best, CAST(sum(CASE WHEN in_line THEN 1 ELSE 0 END) AS INTEGER) AS used FROM b GROUP BY o_custkey")
 def best_lineup_greedy(t):
     x = t.orders.select("o_custkey", "o_orderkey", "o_totalprice", F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("A"), F.lit("FLEX"))).when(F.col("o_orderpriority") == "2-HIGH", F.array(F.lit("B"), F.lit("FLEX"))).otherwise(F.array(F.lit("FLEX"))).alias("eligible"))
-    return history.best_lineup(x, ["o_custkey"], "o_orderkey", "o_totalprice", "eligible", {"A": 1, "B": 1, "FLEX": 2})
+    return history.best_lineup(x, ["o_custkey"], "o_orderkey", "o_totalprice", "eligible", {"A": 1, "B": 1, "FLEX": 2}).withColumn("best", F.round("best", 2))
 
 
 # ---------------------------------------------------------------- simulation and odds
@@ -228,35 +281,59 @@ def simulate_uniform(t):
 TRIALS = 1000
 
 
+_DRAW = "greatest(0, {m} + {s} * sqrt(-2 * ln({u})) * cos(2 * 3.141592653589793 * {v}))"
+_MIX = lambda x, k: f"((({x} * 48271 + {k} * 69621 + 7) % 2147483647) * 16807 + 11) % 2147483647"
+_TRIALS = f"""{_GAMES}, lk AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY period DESC, opponent) AS back FROM facts WHERE score > 0), st AS (SELECT team, avg(CASE WHEN back <= 6 THEN score END) AS m, 2 * stddev_pop(score) AS s FROM lk GROUP BY team),
+pr AS (SELECT h.team AS home, a.team AS away, h.m AS hm, h.s AS hs, a.m AS am, a.s AS ass, (h.team * 100 + a.team)::BIGINT AS game, r.range AS trial FROM st h JOIN st a ON h.team < a.team CROSS JOIN range({TRIALS}) r),
+x1 AS (SELECT *, {_MIX('12345::BIGINT', 'trial')} AS z1 FROM pr), x2 AS (SELECT *, {_MIX('z1', 'game')} AS z2 FROM x1), x3 AS (SELECT *, {_MIX('z2', '0')} AS h0, {_MIX('z2', '1')} AS a0 FROM x2),
+x4 AS (SELECT *, ({_MIX('h0', '1')} + 1) / 2147483649.0::DOUBLE AS hu, ({_MIX('h0', '2')} + 1) / 2147483649.0::DOUBLE AS hv, ({_MIX('a0', '1')} + 1) / 2147483649.0::DOUBLE AS au, ({_MIX('a0', '2')} + 1) / 2147483649.0::DOUBLE AS av FROM x3),
+dr AS (SELECT trial, game, home, away, {_DRAW.format(m='hm', s='hs', u='hu', v='hv')} AS hsc, {_DRAW.format(m='am', s='ass', u='au', v='av')} AS asc_ FROM x4),
+sd AS (SELECT trial, home AS team, hsc AS p, (hsc > asc_)::INT AS w FROM dr UNION ALL SELECT trial, away, asc_, (asc_ > hsc)::INT FROM dr), tt AS (SELECT trial, team, sum(w) AS wins, sum(p) AS points FROM sd GROUP BY ALL),
+pc AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY wins DESC, points DESC, team) AS place FROM tt)"""
+
+
 def _season(t):
-    """Drawn games of every pair of teams, and the number of teams."""
-    f = _facts(t)
-    strength = f.groupBy("team").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"))
+    """Drawn games of every pair of teams, and the teams' strengths, computed once."""
+    strength = written(simulate.strength(_facts(t), "period"))  # a row a team
     pairs = strength.select(F.col("team").alias("home")).crossJoin(strength.select(F.col("team").alias("away"))).where("home < away").withColumn("game", F.col("home") * 100 + F.col("away"))
-    return simulate.trials(pairs, strength, TRIALS), strength.count()
+    return simulate.trials(pairs, strength, TRIALS), strength
 
 
-@query()
+@query(f"WITH {_TRIALS} SELECT team, avg(CASE WHEN place <= 4 THEN 1.0::DOUBLE ELSE 0 END) AS playoff_odds, avg(wins) AS mean_wins FROM pc GROUP BY team")
 def simulate_season(t):
     drawn, _ = _season(t)
     return simulate.odds(simulate.standings(drawn), 4)
 
 
-@query()
+@query(f"WITH {_TRIALS} SELECT team, {', '.join(f'100 * count(*) FILTER (WHERE place = {i}) / count(*) AS place_{i}' for i in range(1, 26))} FROM pc GROUP BY team")
 def simulate_places(t):
-    drawn, teams = _season(t)
-    return simulate.place_distribution(simulate.standings(drawn), teams)
+    drawn, strength = _season(t)
+    return simulate.place_distribution(simulate.standings(drawn), strength.count())
 
 
-@query()
+@query(f"WITH {_TRIALS}, g AS (SELECT trial, hsc > asc_ AS hw FROM dr WHERE game = 1), o AS (SELECT team, avg(CASE WHEN hw THEN CASE WHEN place <= 4 THEN 1.0::DOUBLE ELSE 0 END END) AS if_home, avg(CASE WHEN NOT hw THEN CASE WHEN place <= 4 THEN 1.0::DOUBLE ELSE 0 END END) AS if_away FROM pc JOIN g ON g.trial = pc.trial GROUP BY team) SELECT team, if_home, if_away, abs(if_home - if_away) AS swing FROM o")
 def playoff_swing(t):
     drawn, _ = _season(t)
+    drawn = written(drawn)
     return simulate.swing(simulate.standings(drawn), drawn, 1, 4)
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN o < 0 THEN -o / (-o + 100) WHEN o > 0 THEN 100 / (o + 100) END, 9) AS p FROM (SELECT *, (l_quantity - 25) * 10 AS o FROM lineitem) WHERE l_quantity > 48")
+@query(f"WITH {_TRIALS}, x AS (SELECT * FROM pc WHERE team = 3) SELECT CAST(wins AS BIGINT) AS wins, CAST(place AS INTEGER) AS place, count(*) AS trials, round(avg(points), 4) AS mean_points, count(*) / (SELECT count(*) FROM x) AS share FROM x GROUP BY wins, place")
+def seeding_outcomes(t):
+    drawn, _ = _season(t)
+    return simulate.seeding_outcomes(simulate.standings(drawn), 3).withColumn("mean_points", F.round("mean_points", 4))
+
+
+@query(f"WITH {_TRIALS}, known AS (SELECT (home * 100 + away)::BIGINT AS game, 1000000.0::DOUBLE AS h, 0.0::DOUBLE AS a FROM (SELECT DISTINCT home, away FROM pr) WHERE home = 0), dk AS (SELECT dr.trial, dr.game, home, away, coalesce(known.h, hsc) AS hsc, coalesce(known.a, asc_) AS asc_ FROM dr LEFT JOIN known ON known.game = dr.game), sk AS (SELECT trial, home AS team, hsc AS p, (hsc > asc_)::INT AS w FROM dk UNION ALL SELECT trial, away, asc_, (asc_ > hsc)::INT FROM dk), tk AS (SELECT trial, team, sum(w) AS wins, sum(p) AS points FROM sk GROUP BY ALL), pk AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY wins DESC, points DESC, team) AS place FROM tk) SELECT team, avg(CASE WHEN place <= 4 THEN 1.0::DOUBLE ELSE 0 END) AS playoff_odds, avg(wins) AS mean_wins FROM pk GROUP BY team")
+def input_outcomes(t):
+    drawn, strength = _season(t)
+    known = strength.where("team > 0").select(F.col("team").cast("long").alias("game"), F.lit(1e6).alias("home_score"), F.lit(0.0).alias("away_score"))
+    return simulate.odds(simulate.standings(simulate.with_results(drawn, known)), 4)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN o < 0 THEN -o / (-o + 100) WHEN o > 0 THEN 100 / (o + 100) END, 9) AS p FROM (SELECT *, (l_quantity - 25) * 10 AS o FROM lineitem)")
 def american_odds(t):
-    return t.lineitem.where("l_quantity > 48").withColumn("o", (F.col("l_quantity") - 25) * 10).select("l_orderkey", "l_linenumber", "l_partkey", F.round(e.american_to_probability("o"), 9).alias("p"))
+    return t.lineitem.withColumn("o", (F.col("l_quantity") - 25) * 10).select("l_orderkey", "l_linenumber", "l_partkey", F.round(e.american_to_probability("o"), 9).alias("p"))
 
 
 _MK = "mk AS (SELECT l_partkey, l_returnflag AS side, avg(l_extendedprice) AS odds FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY ALL), pr AS (SELECT *, 1 / odds AS ip FROM mk), nv AS (SELECT *, ip / sum(ip) OVER (PARTITION BY l_partkey) AS p FROM pr)"

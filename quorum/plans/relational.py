@@ -10,9 +10,9 @@ from .registry import query
 
 
 
-@query("WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 10000 DAY AS at FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'), x AS (SELECT o.o_orderkey, e.event_id, e.value, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY e.ts DESC, e.event_id DESC) AS rn FROM o LEFT JOIN events e ON e.user_id = o.o_custkey AND e.ts <= o.at) SELECT o_orderkey, event_id, value FROM x WHERE rn = 1")
+@query("WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 10000 DAY AS at FROM orders), x AS (SELECT o.o_orderkey, e.event_id, e.value, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY e.ts DESC, e.event_id DESC) AS rn FROM o LEFT JOIN events e ON e.user_id = o.o_custkey AND e.ts <= o.at) SELECT o_orderkey, event_id, value FROM x WHERE rn = 1")
 def asof_backward(t):
-    o = t.orders.where("o_orderdate < TIMESTAMP_NTZ '1997-01-01'").select("o_orderkey", F.col("o_custkey").alias("user_id"), F.expr("o_orderdate + INTERVAL 10000 DAYS").alias("at"))
+    o = t.orders.select("o_orderkey", F.col("o_custkey").alias("user_id"), F.expr("o_orderdate + INTERVAL 10000 DAYS").alias("at"))
     ev = t.events.select("user_id", "ts", "event_id", "value")
     return joins.asof_backward(o, ev, "user_id", "at", "ts", ["event_id", "value"], "event_id").select("o_orderkey", "event_id", "value")
 
@@ -97,9 +97,9 @@ def full_outer_indicator(t):
     return c.join(s, "nation", "full").withColumn("side", F.when(F.col("n_c").isNull(), "right_only").when(F.col("n_s").isNull(), "left_only").otherwise("both"))
 
 
-@query("SELECT r_name, p_type, CAST(coalesce(n, 0) AS BIGINT) AS n FROM region CROSS JOIN (SELECT DISTINCT p_type FROM part) LEFT JOIN (SELECT n_regionkey AS rk, p_type AS pt, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity > 49 GROUP BY ALL) ON rk = r_regionkey AND pt = p_type")
+@query("SELECT r_name, p_type, CAST(coalesce(n, 0) AS BIGINT) AS n FROM region CROSS JOIN (SELECT DISTINCT p_type FROM part) LEFT JOIN (SELECT n_regionkey AS rk, p_type AS pt, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL) ON rk = r_regionkey AND pt = p_type")
 def densify_grid(t):
-    n = t.lineitem.where("l_quantity > 49").join(F.broadcast(t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("r_regionkey"))), F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("r_regionkey", "p_type").agg(F.count("*").alias("n"))
+    n = t.lineitem.join(t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("r_regionkey")), F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("r_regionkey", "p_type").agg(F.count("*").alias("n"))
     return shape.densify(n, t.region, t.part.select("p_type").distinct(), ["r_regionkey", "p_type"], {"n": 0}).select("r_name", "p_type", "n")
 
 
@@ -151,7 +151,7 @@ def name_key(t):
     return t.part.select("p_partkey", e.name_key("p_name").alias("key"))
 
 
-@query()
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(upper(replace(strip_accents(text), 'ß', 'ss')), '[.''`‘’]', '', 'g'), '[^A-Z0-9]+', ' ', 'g')), ' (JR|SR|II|III|IV|V)$', ''), ' +', ' ', 'g')) AS key FROM documents")
 def name_key_folded(t):
     return t.documents.select("doc_id", e.name_key("text").alias("key"))
 
@@ -270,4 +270,4 @@ def latest_contract(t):
 @query("SELECT s_suppkey, round(coalesce(CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END, median(CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END) OVER (PARTITION BY s_nationkey), median(CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END) OVER ()), 6) AS filled FROM supplier")
 def median_fill(t):
     x = t.supplier.withColumn("v", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal")))
-    return x.select("s_suppkey", F.round(windows.fill_median("v", "s_nationkey"), 6).alias("filled"))
+    return windows.fill_median(x, "v", "s_nationkey", "filled").select("s_suppkey", F.round("filled", 6).alias("filled"))
