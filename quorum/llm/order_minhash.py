@@ -9,7 +9,7 @@ Documents with one word sequence are copies and count once.  Documents that shar
    copies, the one most like all others): as many pairs as members.
 2. Verified pairs are joined to components.  In buckets whose members then still belong to several components, all
    pairs across components are estimated from a one-permutation sketch of BINS bins (nearly exact up to a few hundred
-   k-mers, a standard deviation of 0.018 beyond) and those estimated at NEAR or more, five such deviations below the threshold, are verified too.  Buckets of over
+   k-mers, a standard deviation of 0.018 beyond) and those estimated at NEAR or more, over three such deviations below the threshold, are verified too.  Buckets of over
    LARGE members are compared in blocks, over many tasks.
 A pair is verified by aligning the labelled k-mers within the band that the threshold leaves: with m aligned, the
 similarity is m / (n1 + n2 - m), 0.8 or more.  Components are found by Spark; nothing of them reaches the driver.
@@ -35,7 +35,7 @@ SKETCHES = 28
 PICK = 4
 LARGE = 16384
 BINS = 512
-NEAR = 0.7
+NEAR = 0.74
 WHOLE, START, OUTER, MAIN = range(4)
 U = np.uint64
 _ORDERS = (c.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * U(0xA24BAED4963EE407)) | U(1))[:, None]
