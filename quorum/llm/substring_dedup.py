@@ -177,13 +177,21 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, texts: bool = True) ->
         keys, _, back = x.core_keys(2)
         hit = c.flags(rows, 0, keys, buckets)[back] if len(x.starts) else np.zeros(0, bool)
         keys, many, inv = x.window_keys(hit)
-        out = c.key_rows(own, 1, keys, many, buckets)
-        # the candidates travel to the last step as a row of a bucket of their own, which only passes on: where they start, and
-        # which of the keys each has, counted as the buckets' answers will stand one after another
-        place = np.empty(len(keys), np.int32)
-        place[np.argsort(c.bucket_of(keys[:, 0], buckets), kind="stable")] = np.arange(len(keys))
-        blobs = pa.array([np.packbits(hit).tobytes()], pa.binary()), pa.array([place[inv].tobytes()], pa.binary())
-        note = pa.record_batch([pa.array([-1 - own], pa.int32()), pa.array([own], pa.int32()), pa.array([2], pa.int32()), *blobs], names=out.schema.names)
+        # keys are sent in order of their first windows, so that the last step needs no names to find a window's answer: only
+        # the bucket of each first window, and of each later one which key it repeats
+        first = np.full(len(keys), len(inv), np.int64)
+        first[inv[::-1]] = np.arange(len(inv))[::-1]
+        order = np.argsort(first)
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        inv = rank[inv]
+        new = np.zeros(len(inv), bool)
+        new[first] = True
+        out = c.key_rows(own, 1, keys[order], many[order], buckets)
+        place = c.bucket_of(keys[order, 0], buckets).astype(np.min_scalar_type(buckets))
+        blobs = [np.packbits(hit).tobytes(), b"".join([np.packbits(new).tobytes(), place.tobytes(), inv[~new].astype(np.int32).tobytes()])]
+        # this note travels as a row of a bucket of its own, which only passes it on
+        note = pa.record_batch([pa.array([-1 - own], pa.int32()), pa.array([own], pa.int32()), pa.array([2], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=out.schema.names)
         return pa.Table.from_batches([out, note])
 
     def count_windows(t: pa.Table) -> pa.Table:
@@ -202,7 +210,14 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, texts: bool = True) ->
         if len(x.starts) and got[0][0] == 1:
             hit = np.unpackbits(np.frombuffer(got[-1][2], np.uint8), count=len(x.starts)).astype(bool)
             again = np.concatenate([np.unpackbits(np.frombuffer(bits, np.uint8), count=int(np.frombuffer(n, np.int32)[0])) for kind, _, bits, n in got[:-1]]).astype(bool)
-            gone = c.covered(x.starts[hit][again[np.frombuffer(got[-1][3], np.int32)]], width, len(x.s))
+            m, note = int(hit.sum()), got[-1][3]
+            new = np.unpackbits(np.frombuffer(note, np.uint8, (m + 7) // 8), count=m).astype(bool)
+            place = np.frombuffer(note, np.min_scalar_type(buckets), len(again), (m + 7) // 8)
+            mine = np.empty(len(again), bool)
+            mine[np.argsort(place, kind="stable")] = again
+            key = np.empty(m, np.int64)
+            key[new], key[~new] = np.arange(len(again)), np.frombuffer(note, np.int32, -1, (m + 7) // 8 + place.nbytes) if len(again) < m else 0
+            gone = c.covered(x.starts[hit][mine[key]], width, len(x.s))
         kept, removed = [], np.bincount(x.doc, weights=gone, minlength=x.t.num_rows).astype(np.int64)
         raw = x.data.tobytes()
         for i in range(x.t.num_rows):
