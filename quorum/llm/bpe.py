@@ -66,6 +66,18 @@ def from_ranks(path: str):
     return tok
 
 
+def _reordered(pattern: str) -> str:
+    """The same pattern with frequent alternatives first: those after the contractions that cannot match where a contraction does."""
+    import regex
+
+    parts = pattern.split("|")
+    if any(x in pattern for x in ("(?:", "(?=", "\\|")):  # alternatives inside groups: left as it is
+        return pattern
+    first = next((i for i, x in enumerate(parts) if not x.startswith("'")), len(parts))
+    last = next((i for i in range(first, len(parts)) if regex.match(parts[i], "'")), len(parts))
+    return "|".join([*parts[first:last], *parts[:first], *parts[last:]])
+
+
 class Encoder:
     """Encodes texts of UTF-8 bytes; one per Python worker."""
 
@@ -83,7 +95,7 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.pattern = regex.compile(_reordered(public_tokenizers.PATTERN))
         self.tok = Tokenizer.from_file(path) if path.endswith(".json") else from_ranks(path)
         self.tok.encode_special_tokens = True  # of single matches; special ones are taken out before
         own = self.tok.get_added_tokens_decoder() if special else {}
