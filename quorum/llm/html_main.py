@@ -186,7 +186,7 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
 
 
 PAGE_RANGE = 100_000
-PLACE = "STRUCT<host: STRING, path: STRING, digest: STRING>"
+PLACE = "STRUCT<host: STRING, path: STRING, digest: BIGINT>"
 
 
 def pairs(pages: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def pairs(pages: DataFrame) -> DataFrame:
     return full.select("here.host", "here.digest", pick.alias("partner")).where("partner IS NOT NULL")
 
 
-PLACED = "page_id long, url string, host string, path string, digest string"
+PLACED = "page_id long, url string, host string, path string, digest long"
 
 
 def _keys(text: list[str]) -> np.ndarray:
@@ -246,7 +246,7 @@ def parsed(pages: DataFrame, text: bool) -> DataFrame:
     def run(batches):
         for b in c.slices(batches, "html"):
             got = [lines(x or "") for x in b.column("html").to_pylist()]
-            digest = pa.array([xxhash.xxh3_128_hexdigest("\n".join(t)) for t, _ in got], pa.string())
+            digest = pa.array(np.fromiter((xxhash.xxh3_64_intdigest("\n".join(t)) for t, _ in got), np.uint64, len(got)).view(np.int64))
             more = [pa.array([t for t, _ in got], pa.list_(pa.string())), pa.array([m for _, m in got], pa.list_(pa.bool_()))] if text else [pa.array([_keys(t).tobytes() for t, _ in got], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("page_id", "url", "host", "path")), digest, *more], names=["page_id", "url", "host", "path", "digest", *(("text", "main") if text else ("keys",))])
 
@@ -271,8 +271,8 @@ def extract(pages: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(spread)).cast("int").alias("salt")
     k = c.stored(parsed(pages, text=False).select("host", "path", "digest", "keys", salt))
     lines_of = k.groupBy("host", "digest").agg(F.first("keys").alias("other")).withColumnRenamed("digest", "partner")
-    partner = pairs(k.select("host", "path", "digest")).join(lines_of, ["host", "partner"]).select("host", "digest", "other")
-    partner = k.select("host", "digest", "salt").distinct().join(partner, ["host", "digest"])
+    partner = k.select("host", "digest", "salt").distinct().join(pairs(k.select("host", "path", "digest")), ["host", "digest"])
+    partner = partner.join(lines_of, ["host", "partner"]).select("host", "digest", "salt", "other")
 
     def run(batches):
         for b in batches:
