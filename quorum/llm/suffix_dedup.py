@@ -203,18 +203,34 @@ def sort_shard(n: np.ndarray, low: np.ndarray, raw: np.ndarray, width: int, memo
     base = np.cumsum(n) - n
     string = np.full(size + 1, -1, np.int32)  # of the places where a string starts, its number
     string[c.ragged(ends - length + np.arange(len(n)), n)] = np.arange(int(n.sum()))
-    run = np.cumsum(shared < width)
-    k = string[sa]
-    ok = k >= 0
-    k, run = k[ok], run[ok]
-    own = np.repeat(low, n)[k]
-    new = np.r_[True, run[1:] != run[:-1]]
-    best = np.minimum.reduceat(own, np.flatnonzero(new))
-    out = np.empty(len(k), np.int64)
-    out[k] = best[np.cumsum(new) - 1]
+    out = np.empty(int(n.sum()), np.int64)
+    low = np.repeat(low, n)
+    for lo, hi in stretches(shared, width):
+        k = string[sa[lo:hi]]
+        ok = k >= 0
+        k, run = k[ok], np.cumsum(shared[lo:hi] < width)[ok]
+        if not len(k):
+            continue
+        new = np.r_[True, run[1:] != run[:-1]]
+        out[k] = np.minimum.reduceat(low[k], np.flatnonzero(new))[np.cumsum(new) - 1]
     return out
 
 
+def stretches(shared: np.ndarray, width: int, most: int = 1 << 20):
+    """Parts of a suffix array that end where neighbours share less than `width`."""
+    at = 0
+    while at < len(shared):
+        stop = at
+        while True:
+            lo, stop = max(stop, at + 1), min(len(shared), max(stop, at + 1) + most)
+            cut = np.flatnonzero(shared[lo:stop] < width)
+            if stop == len(shared) or len(cut):
+                break
+        stop = len(shared) if stop == len(shared) else lo + int(cut[-1])
+        yield at, stop
+        at = stop
+
+
 def _shard(width: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
