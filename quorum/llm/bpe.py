@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -78,6 +79,33 @@ def _reordered(pattern: str) -> str:
     return "|".join([*parts[first:last], *parts[:first], *parts[last:]])
 
 
+def _below_256(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _narrow(pattern: str) -> re.Pattern | None:
+    """The pattern for texts of code points below 256, whose classes are then lists of characters that the faster standard engine takes; None where it holds other escapes."""
+    import regex
+
+    every = "".join(map(chr, range(256)))
+    listed = {k: "".join(f"\\x{ord(x):02x}" for x in regex.findall(k, every)) for k in (r"\p{L}", r"\p{N}", r"\s")}
+    out, inside = [], False
+    for x in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.S):
+        if x in listed:
+            x = listed[x] if inside else f"[{listed[x]}]"
+        elif x == r"\S" and not inside:
+            x = f"[^{listed[chr(92) + 's']}]"
+        elif x.startswith("\\"):
+            return None
+        inside = x == "[" or inside and x != "]"
+        out.append(x)
+    return re.compile("".join(out))
+
+
 class Encoder:
     """Encodes texts of UTF-8 bytes; one per Python worker."""
 
@@ -96,6 +124,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.pattern = regex.compile(_reordered(public_tokenizers.PATTERN))
+        self.narrow = _narrow(_reordered(public_tokenizers.PATTERN))
         self.tok = Tokenizer.from_file(path) if path.endswith(".json") else from_ranks(path)
         self.tok.encode_special_tokens = True  # of single matches; special ones are taken out before
         own = self.tok.get_added_tokens_decoder() if special else {}
@@ -116,7 +145,7 @@ class Encoder:
     def matches(self, text: str) -> Iterator[list[str]]:
         """The pattern's matches, a part of a long text at a time; matches in a part's last characters may be others in the whole text, so the next part begins with them."""
         if len(text) <= PART:
-            yield self.pattern.findall(text)
+            yield (self.narrow if self.narrow and _below_256(text) else self.pattern).findall(text)
             return
         at, size = 0, PART
         while at < len(text):
