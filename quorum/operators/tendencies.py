@@ -19,9 +19,9 @@ def timing(df: DataFrame, actor: str, kind: str, season: str, at: str, last: int
     return x.groupBy(actor, kind).agg(F.avg("dev").alias("mean_dev"), F.avg("_same").alias("consistency"), F.count("*").alias("seasons"))
 
 
-def share_against_room(df: DataFrame, actor: str, kind: str, season: str) -> DataFrame:
-    """An actor's share of each kind per season less the mean share of the season's others, averaged."""
-    n = df.groupBy(season, actor, kind).agg(F.count("*").alias("n"))
+def share_against_room(df: DataFrame, actor: str, kind: str, season: str, weight: str | None = None) -> DataFrame:
+    """An actor's share of each kind per season (of rows, or of a weight) less the mean share of the season's others, averaged."""
+    n = df.groupBy(season, actor, kind).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
     grid = densify(n, df.select(season, actor).distinct(), df.select(kind).distinct(), [season, actor, kind], {"n": 0})
     x = grid.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(season, actor)))
     x = x.withColumn("delta", F.col("share") - leave_one_out("share", [season, kind]))
@@ -66,3 +66,26 @@ def traits(df: DataFrame, actor: str, kind: str, score: str, text, k: int = 3) -
     best = Window.partitionBy(actor).orderBy(F.abs(score).desc(), "_text")
     x = df.withColumn("_text", text).withColumn("_k", F.row_number().over(one)).where("_k = 1").withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k)
     return x.groupBy(actor).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_text"))), lambda s: s["_text"]), "; ").alias("traits"))
+
+
+def early_build(df: DataFrame, actor: str, kind: str, season: str, at: str, rounds: int) -> DataFrame:
+    """share_against_room() of the first rounds' picks."""
+    return share_against_room(df.where(F.col(at) <= rounds), actor, kind, season)
+
+
+def auction_spend(df: DataFrame, actor: str, kind: str, season: str, price: str, k: int = 3) -> DataFrame:
+    """Budget shares by kind against the room, with the share of the k dearest and the room's."""
+    w = Window.partitionBy(season, actor).orderBy(F.col(price).desc())
+    s = df.withColumn("_rn", F.row_number().over(w)).groupBy(season, actor).agg(F.sum(price).alias("_all"), F.sum(F.when(F.col("_rn") <= k, F.col(price))).alias("_top")).where("_all > 0")
+    s = s.withColumn("top_share", F.col("_top") / F.col("_all")).withColumn("room_top_share", leave_one_out("top_share", [season]))
+    top = s.groupBy(actor).agg(F.avg("top_share").alias("top_share"), F.avg("room_top_share").alias("room_top_share"))
+    return share_against_room(df, actor, kind, season, weight=price).join(top, actor, "left")
+
+
+def all_habits(df: DataFrame, actor: str, season: str, against: str, plain: list[str]) -> DataFrame:
+    """Rate of one flag against the room (seasons without a room left out), and rates and counts of others; actors of either side."""
+    r = df.where(F.col(against).isNotNull()).groupBy(season, actor).agg(F.avg(F.col(against).cast("double")).alias("rate"))
+    x = r.withColumn("room", leave_one_out("rate", [season])).where("room IS NOT NULL")
+    own = x.groupBy(actor).agg(F.avg("rate").alias(f"{against}_rate"), F.avg("room").alias(f"room_{against}_rate"))
+    other = df.groupBy(actor).agg(*(F.avg(F.col(c).cast("double")).alias(f"{c}_rate") for c in plain), *(F.count_if(F.col(c)).alias(f"{c}_n") for c in plain))
+    return own.join(other, actor, "full").withColumn(f"{against}_delta", F.col(f"{against}_rate") - F.col(f"room_{against}_rate"))

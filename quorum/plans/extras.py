@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import expr as e
-from ..operators import evaluate, history, joins, shape, windows
+from ..operators import evaluate, history, joins, shape, tendencies, windows
 from ..sources import landed
-from .modelling import _GAMES, _facts
+from .modelling import _GAMES, _PICKS, _facts, _picks
 from .registry import query
 
 r = lambda c, n=4: F.round(c, n).alias(c)
@@ -200,3 +200,30 @@ def team_measures(t):
 def weight_finder(t):
     g = t.lineitem.groupBy("l_returnflag").agg(F.regr_slope("l_extendedprice", "l_quantity").alias("slope"), F.regr_r2("l_extendedprice", "l_quantity").alias("r2"))
     return g.select("l_returnflag", r("slope", 5), r("r2", 9))
+
+
+# ---------------------------------------------------------------- more tendencies
+
+
+@query(f"WITH {_PICKS}, e AS (SELECT * FROM pk WHERE round <= 3), n AS (SELECT season, owner, kind, count(*) AS n FROM e GROUP BY ALL), g AS (SELECT a.season, a.owner, k.kind FROM (SELECT DISTINCT season, owner FROM e) a CROSS JOIN (SELECT DISTINCT kind FROM e) k), x AS (SELECT g.*, coalesce(n.n, 0) AS n FROM g LEFT JOIN n ON n.season = g.season AND n.owner = g.owner AND n.kind = g.kind), s AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY season, owner) AS share FROM x), d AS (SELECT *, share - (sum(share) OVER w - share) / nullif(count(*) OVER w - 1, 0) AS delta FROM s WINDOW w AS (PARTITION BY season, kind)) SELECT owner, kind, round(avg(share), 7) AS share, round(avg(delta), 7) AS delta FROM d GROUP BY owner, kind")
+def early_build(t):
+    return tendencies.early_build(_picks(t), "owner", "kind", "season", "round", 3).select("owner", "kind", r("share", 7), r("delta", 7))
+
+
+@query(f"WITH {_PICKS}, n AS (SELECT season, owner, kind, sum(price) AS n FROM pk GROUP BY ALL), g AS (SELECT a.season, a.owner, k.kind FROM (SELECT DISTINCT season, owner FROM pk) a CROSS JOIN (SELECT DISTINCT kind FROM pk) k), x AS (SELECT g.*, coalesce(n.n, 0) AS n FROM g LEFT JOIN n ON n.season = g.season AND n.owner = g.owner AND n.kind = g.kind), s AS (SELECT *, n / sum(n) OVER (PARTITION BY season, owner) AS share FROM x), d AS (SELECT *, share - (sum(share) OVER w - share) / nullif(count(*) OVER w - 1, 0) AS delta FROM s WINDOW w AS (PARTITION BY season, kind)), f AS (SELECT owner, kind, avg(share) AS share, avg(delta) AS delta FROM d GROUP BY owner, kind), k AS (SELECT *, row_number() OVER (PARTITION BY season, owner ORDER BY price DESC) AS rn FROM pk), c AS (SELECT season, owner, sum(CASE WHEN rn <= 3 THEN price END) / sum(price) AS ts FROM k GROUP BY ALL), o AS (SELECT *, CASE WHEN count(ts) OVER w > 1 THEN (sum(ts) OVER w - ts) / (count(ts) OVER w - 1) END AS room FROM c WINDOW w AS (PARTITION BY season)) SELECT f.owner, f.kind, round(share, 7) AS share, round(delta, 7) AS delta, round(ts, 7) AS top_share, round(room, 7) AS room_top_share FROM f JOIN (SELECT owner, avg(ts) AS ts, avg(room) AS room FROM o GROUP BY owner) q ON q.owner = f.owner")
+def auction_spend(t):
+    x = tendencies.auction_spend(_picks(t), "owner", "kind", "season", "price")
+    return x.select("owner", "kind", r("share", 7), r("delta", 7), r("top_share", 7), r("room_top_share", 7))
+
+
+@query(f"WITH {_PICKS}, h AS (SELECT season, owner, CASE WHEN kind <> '5-LOW' THEN kind = '1-URGENT' END AS rookie, price > 200000 AS auto, o_orderkey % 5 = 0 AS keeper FROM pk), q AS (SELECT season, owner, avg(CASE WHEN rookie THEN 1.0::DOUBLE ELSE 0 END) AS rate FROM h WHERE rookie IS NOT NULL GROUP BY ALL), x AS (SELECT *, CASE WHEN count(*) OVER w > 1 THEN (sum(rate) OVER w - rate) / (count(*) OVER w - 1) END AS room FROM q WINDOW w AS (PARTITION BY season)), a AS (SELECT owner, avg(rate) AS rr, avg(room) AS ro FROM x WHERE room IS NOT NULL GROUP BY owner), b AS (SELECT owner, avg(CASE WHEN auto THEN 1.0::DOUBLE ELSE 0 END) AS ar, avg(CASE WHEN keeper THEN 1.0::DOUBLE ELSE 0 END) AS kr, count(*) FILTER (WHERE auto) AS an FROM h GROUP BY owner) SELECT coalesce(a.owner, b.owner) AS owner, round(rr, 7) AS rookie_rate, round(rr - ro, 7) AS rookie_delta, round(ar, 7) AS auto_rate, an AS auto_n, round(kr, 7) AS keeper_rate FROM a FULL JOIN b ON a.owner = b.owner")
+def all_habits(t):
+    x = _picks(t).withColumns({"rookie": F.when(F.col("kind") != "5-LOW", F.col("kind") == "1-URGENT"), "auto": F.col("price") > 200000, "keeper": F.col("o_orderkey") % 5 == 0})
+    h = tendencies.all_habits(x, "owner", "season", "rookie", ["auto", "keeper"])
+    return h.select("owner", r("rookie_rate", 7), r("rookie_delta", 7), r("auto_rate", 7), "auto_n", r("keeper_rate", 7))
+
+
+@query("SELECT l_orderkey, l_linestatus AS slot, round(avg(l_quantity), 7) AS mean_points FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL")
+def slot_averages(t):
+    x = t.lineitem.where("l_returnflag <> 'R'").groupBy("l_orderkey", F.col("l_linestatus").alias("slot"))
+    return x.agg(F.round(F.avg("l_quantity"), 7).alias("mean_points"))

@@ -30,3 +30,17 @@ def windowed_counts(stream: DataFrame, at: str, key: str, late: str = "10 minute
 
 def first_seen(stream: DataFrame, at: str, keys: list[str], late: str = "1 hour") -> DataFrame:
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+
+
+def latest_board(stream: DataFrame, path: str, checkpoint: str, keys: list[str], at: str) -> StreamingQuery:
+    """The newest row per key of dated boards as they arrive: upsert_stream() by their date."""
+    return upsert_stream(stream, path, checkpoint, keys, [F.col(at).desc()])
+
+
+def nightly_boards(stream: DataFrame, path: str, checkpoint: str, at: str) -> StreamingQuery:
+    """One dated partition a night: a batch replaces the partitions of the dates that it holds and leaves others alone."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.withColumn("date", F.to_date(at).cast("string")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
