@@ -7,7 +7,8 @@ smallest hashes of their ids), then calibrated (Platt) on a fifth of the sample
 if it passes the base rules and its probability of good quality reaches the fixed threshold.
 
 Nulls and empty texts have no words and fail the base rules.  Where no labels of both kinds exist, the base rules decide alone.
-Rows with one id all count for themselves.  Whole texts are scored.
+Rows with one id all count for themselves, repeated rows too; labelled rows that tie in the sample's order are taken by id and text.  Whole
+texts are scored, in slices of whole texts, and equal lines and windows are compared as they are, not by a hash.
 """
 
 from __future__ import annotations

@@ -1,4 +1,8 @@
-"""The subpackage's queries by name, each over its whole table, and oracle SQL where SQL can say the same."""
+"""The subpackage's queries by name, each over its whole table, and oracle SQL where SQL can say the same.
+
+All of them read the columns that they name and no others, give one row per row (op5: per piece), also for repeated rows, take null and empty
+texts as their operators say, and give no row for an empty table.
+"""
 
 from __future__ import annotations
 
