@@ -31,12 +31,12 @@ from . import common as c
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-SLICE = 2 << 20
+SLICE = 1 << 20
 PART = 1 << 20
 MARGIN = 3  # characters of the longest match that a shorter one can stand for
 LONG = 8 << 20
 GROUP = 1000
-CACHE = 600_000
+CACHE = 400_000
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -218,6 +218,8 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, col: str = "text", spe
     for b in c.slices(batches, col, SLICE):
         data, off = c.flat(b.column(col))
         yield tok, b, data, off, *tok.encode(data, off)
+    tok.known.clear()  # the worker may go on to other work
+    c.trim()
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

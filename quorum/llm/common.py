@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 GROUP_BYTES = 3 << 20
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U = np.uint64
 _M1, _M2, _BASE = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15 | 3)
 
@@ -50,7 +50,7 @@ def plainly(stage: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFra
     """stage(docs) for a stage that keeps all columns, with columns other than a document's under names that clash with nothing."""
     names = {c: f"_extra{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT}
     out = stage(docs.withColumnsRenamed(names)) if names else stage(docs)
-    return out.withColumnsRenamed({v: k for k, v in names.items()}).select(docs.columns)
+    return out.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
 
 
 def text_bytes(df: DataFrame, col: str = "text") -> int:
@@ -82,11 +82,27 @@ def cuts(lengths: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, i
         yield lo, len(lengths)
 
 
+_trim: list = []
+
+
+def trim() -> None:
+    """Gives memory that freed arrays have left in this worker back to the system, where the C library can."""
+    if not _trim:
+        import ctypes
+
+        try:
+            _trim.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):
+            _trim.append(lambda _: 0)
+    _trim[0](0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], col: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n = pc.fill_null(pc.binary_length(b.column(col)), 0).to_numpy(zero_copy_only=False)
         for lo, hi in cuts(n, limit):
             yield b.slice(lo, hi - lo)
+        trim()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -60,6 +60,7 @@ def features(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np
     head = (data & 0xC0) != 0x80
     cp = data if head.all() else np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-" + ("le" if sys.byteorder == "little" else "be")), np.uint32)
     v = c.mix(cp.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(3))
+    del cp
     of = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(np.r_[0, np.cumsum(head)][off]))
     for block, k in ((2, 1), (3, 3)):
         gram = v[: len(v) - k + 1] if k == 1 else v[:-2] * U(9) + v[1:-1] * U(3) + v[2:]

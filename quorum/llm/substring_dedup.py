@@ -127,6 +127,7 @@ class Group:
     """One group's words, and its windows of `width` words."""
 
     def __init__(self, t: pa.Table, width: int):
+        c.trim()
         self.t, self.width = c.in_order(t), width
         self.data, self.off = c.flat(self.t.column("text"))
         self.s, self.e, self.doc = c.words(self.data, self.off)

@@ -91,6 +91,7 @@ class Group:
     """The distinct texts of a group; `ids` has the smallest doc_id of each."""
 
     def __init__(self, t: pa.Table, width: int):
+        c.trim()
         self.t, self.width = t, width
         col = t.column("text").combine_chunks()
         col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
