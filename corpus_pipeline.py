@@ -1,4 +1,9 @@
-"""A corpus through five stages: quality rules, language ID, near-duplicate removal, repeated strings, packing."""
+"""A corpus through five stages: quality rules, language ID, near-duplicate removal, repeated strings, packing.
+
+Null and empty texts fail the quality rules.  Null and repeated ids stay, with their own texts: near-duplicate removal keeps one row of each
+class of texts, that of smallest id (null last).  Columns beyond those of documents pass through unread, whatever their names, up
+to packing.  An empty table gives an empty one at every stage, and texts of any length are read whole.
+"""
 
 from __future__ import annotations
 
