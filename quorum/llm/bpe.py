@@ -168,11 +168,14 @@ class Encoder:
             else:
                 yield from self.matches(x)
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.known.update(self.special)
+
     def _learn(self, got: Iterable[list[str]]) -> None:
         known = self.known
         if len(known) > CACHE:
-            known.clear()
-            known.update(self.special)
+            self.forget()
         new = [x for x in set(chain.from_iterable(got)) if x not in known]
         groups = [new[i : i + GROUP] for i in range(0, len(new), GROUP)]
         for words, e in zip(groups, self.tok.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)):
@@ -218,7 +221,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, col: str = "text", spe
     for b in c.slices(batches, col, SLICE):
         data, off = c.flat(b.column(col))
         yield tok, b, data, off, *tok.encode(data, off)
-    tok.known.clear()  # the worker may go on to other work
+    tok.forget()  # the worker may go on to other work
     c.trim()
 
 
