@@ -108,8 +108,9 @@ def test_order_of_many_names():
     assert (np.diff(r[sa]) >= 0).all()
 
 
-@pytest.mark.parametrize("memory", [64, 1 << 20])
-def test_suffix_array(memory):
+@pytest.mark.parametrize("memory, rows", [(64, 16), (64, 1 << 13), (4096, 16), (1 << 20, 16)])
+def test_suffix_array(monkeypatch, memory, rows):
+    monkeypatch.setattr(induced, "LEAST_ROWS", rows)
     r = random.Random(1)
     for _ in range(150):
         t = [r.randint(1, r.choice([1, 3, 200])) + 1 for _ in range(r.randint(0, 50))]
@@ -122,6 +123,43 @@ def test_suffix_array(memory):
             assert shared[i] == next((k for k, (p, q) in enumerate(zip(keys[i - 1], keys[i])) if p != q), min(len(keys[i - 1]), len(keys[i])))
 
 
+def test_suffix_array_beyond_memory():
+    """Shards of 64 times the budget (with their arrays 2,000 times) sort within memory that does not grow with them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    peaks = []
+    for n in (1 << 20, 4 << 20):
+        t = np.r_[rng.integers(97, 123, n).astype(np.uint8), np.uint8(0)]
+        t[n // 2 : n // 2 + n // 4] = t[: n // 4]
+        tracemalloc.start()
+        sa, shared = induced.suffix_array(t, 50, 1 << 16)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 12 << 20 and peaks[1] < 1.3 * peaks[0]
+    at = rng.integers(1, len(sa) - 1, 3000)
+    raw = t.tobytes()
+    for i in at.tolist():
+        a, b = (raw[sa[k] : sa[k] + 50] for k in (i - 1, i))
+        assert a <= b and shared[i] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert np.bincount(np.asarray(sa), minlength=len(t)).max() == 1
+
+
+@pytest.mark.parametrize("memory", [1 << 12, 1 << 28])
+def test_sort_shard(memory):
+    r = random.Random(memory)
+    runs = ["".join(r.choice("ab") for _ in range(r.randint(9, 14))) for _ in range(300)]
+    n, low = np.array([len(x) - 8 for x in runs]), np.array([r.randint(0, 50) for _ in runs])
+    best = {}
+    for x, i in zip(runs, low.tolist()):
+        for k in range(len(x) - 8):
+            best[x[k : k + 9]] = min(i, best.get(x[k : k + 9], 99))
+    got = suffix_dedup.sort_shard(n, low, np.frombuffer("".join(runs).encode(), np.uint8), 9, memory)
+    assert got.tolist() == [best[x[k : k + 9]] for x in runs for k in range(len(x) - 8)]
+    cuts = list(suffix_dedup.stretches(np.array([0, 9, 9, 3, 9, 9, 9, 2, 9]), 9, most=2))
+    assert cuts[0][0] == 0 and cuts[-1][1] == 9 and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:])) and {a for a, _ in cuts} <= {0, 3, 7}
+
+
 def test_flac(docs, rows):
     rng = np.random.default_rng(0)
     payloads = [rng.integers(0, 256, 1152).astype(np.uint8), np.full(576, 7, np.uint8), np.cumsum(rng.integers(-2, 3, 576)).astype(np.uint8), (128 + 60 * np.sin(np.arange(576) / 9)).astype(np.uint8)]
