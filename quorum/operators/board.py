@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType
 
-from .present import global_rank
+from .present import global_ranks
 
 
 def flex_ranks(df: DataFrame, group: str, points: str, ident: str, slots: DataFrame, openings: int) -> DataFrame:
@@ -150,9 +150,7 @@ def market_comparison(df: DataFrame, value: str, price: str, place: str, group:
     Positive says that the board rates a row higher than the market, or another's ranking (place), does.
     """
     ok = F.coalesce(priced & ~streamed, F.lit(False))
-    x = global_rank(df, F.col(value), ident, "vor_rank", ties=True)
-    x = global_rank(x, F.when(ok, F.col(price)), ident, "_adp", desc=False, ties=True)
-    x = global_rank(x, F.when(ok, F.col(value)), ident, "_vor", ties=True)
+    x = global_ranks(df, ident, {"vor_rank": (F.col(value), True), "_adp": (F.when(ok, F.col(price)), False), "_vor": (F.when(ok, F.col(value)), True)})
     own = F.rank().over(Window.partitionBy(group).orderBy(F.col(place).asc_nulls_last()))
     x = x.withColumns({"value": F.col("_adp") - F.col("_vor"), "rank_delta": F.col(place) - F.col("vor_rank"), "pos_rank_delta": F.when(F.col(place).isNotNull(), own) - F.col(pos_rank)})
     return x.drop("_adp", "_vor")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.scratch import written
+
 MIN_BID = 1.0
 
 
@@ -63,24 +65,28 @@ def positions_needed(needs: DataFrame, team: str, flex: dict[str, list[str]]) ->
     return needs.withColumn("p", F.explode(F.split(which, ","))).groupBy(team).agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("positions"))
 
 
-def global_rank(df: DataFrame, value: Column, ident: str, out: str, desc: bool = True, ties: bool = False) -> DataFrame:
-    """df with a rank over the whole table: ordinal, or with `ties` the smallest of equals; null values have none.
+def global_ranks(df: DataFrame, ident: str, ranks: dict[str, tuple[Column, bool]], ties: bool = True) -> DataFrame:
+    """df with ranks over the whole table, out: (value, descending): the smallest of equals, or with ties=False by ident; null values have none.
 
     Values are cut into ranges by their distribution, ranked inside each, and shifted by the rows of the ranges before: no task sees
-    the whole table.  Equal values stand in one range.
+    the whole table, and equal values stand in one range.  The cuts, one a shuffle partition, are fixed on the driver, since a sketch
+    of the distribution may come out otherwise when it is made again.
     """
-    spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = (-value if desc else value).cast("double")
-    x = df.withColumn("_key", key)
-    cuts = x.agg(F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.5], 10000).alias("c")).select(F.coalesce("c", F.array().cast("array<double>")).alias("_cuts"))
-    part = F.size(F.filter("_cuts", lambda c: c < F.col("_key")))
-    x = x.crossJoin(cuts).withColumn("_part", F.when(F.col("_key").isNotNull(), part)).drop("_cuts")
-    sizes = x.where("_part IS NOT NULL").groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a range
-    w = Window.partitionBy("_part")
-    own = F.rank().over(w.orderBy("_key")) if ties else F.row_number().over(w.orderBy("_key", ident))
-    return x.join(before, "_part", "left").withColumn(out, F.when(F.col("_key").isNotNull(), own + F.col("_before"))).drop("_key", "_part", "_before")
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = list(ranks)
+    x = written(df.withColumns({f"_k_{o}": (-v if desc else v).cast("double") for o, (v, desc) in ranks.items()}))  # read for the cuts, the ranges and the ranks
+    at = x.agg(*(F.percentile_approx(f"_k_{o}", [i / n for i in range(1, n)], 10000).alias(o) for o in names)).first()
+    part = lambda o: sum(((F.col(f"_k_{o}") > c).cast("int") for c in sorted(set(at[o] or []))), F.lit(0))
+    x = x.withColumns({f"_p_{o}": F.when(F.col(f"_k_{o}").isNotNull(), part(o)) for o in names})
+    rows = F.explode(F.array(*(F.struct(F.lit(o).alias("_out"), F.col(f"_p_{o}").alias("_part")) for o in names)))
+    sizes = x.select(rows.alias("r")).select("r.*").where("_part IS NOT NULL").groupBy("_out", "_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_out", "_part", F.coalesce(F.sum("_n").over(Window.partitionBy("_out").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    for o in names:
+        w = Window.partitionBy(f"_p_{o}")
+        own = F.rank().over(w.orderBy(f"_k_{o}")) if ties else F.row_number().over(w.orderBy(f"_k_{o}", ident))
+        mine = before.where(F.col("_out") == o).select(F.col("_part").alias(f"_p_{o}"), "_before")  # a row a range
+        x = x.withColumn(o, own).join(mine, f"_p_{o}", "left").withColumn(o, F.when(F.col(f"_k_{o}").isNotNull(), F.col(o) + F.col("_before"))).drop("_before")
+    return x.drop(*(f"_{c}_{o}" for c in "kp" for o in names))
 
 
 def outliers(df: DataFrame, z: str, ident: str, limit: int, by: str | None = None) -> DataFrame:

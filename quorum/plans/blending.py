@@ -208,8 +208,7 @@ def cash_value_pool(t):
 
 @query("WITH d AS (SELECT p_partkey, p_type, rank() OVER (ORDER BY p_retailprice DESC) - rank() OVER (ORDER BY p_size DESC) AS delta FROM part), g AS (SELECT p_type, avg(delta) AS m, stddev_samp(delta) AS sd, count(*) AS n FROM d GROUP BY p_type) SELECT d.p_partkey, round(CASE WHEN n >= 8 AND sd >= 0.5 THEN (delta - m) / sd END, 6) AS z, coalesce(abs(CASE WHEN n >= 8 AND sd >= 0.5 THEN (delta - m) / sd END) >= 1.5, false) AS outlier FROM d JOIN g ON d.p_type = g.p_type")
 def agreement_z(t):
-    x = present.global_rank(t.part, F.col("p_retailprice"), "p_partkey", "_a", ties=True)
-    x = present.global_rank(x, F.col("p_size"), "p_partkey", "_b", ties=True)
+    x = present.global_ranks(t.part, "p_partkey", {"_a": (F.col("p_retailprice"), True), "_b": (F.col("p_size"), True)})
     x = board.agreement(x.withColumn("delta", (F.col("_a") - F.col("_b")).cast("double")), "delta", "p_type")
     return x.select("p_partkey", F.round("z", 6).alias("z"), F.coalesce(F.abs("z") >= 1.5, F.lit(False)).alias("outlier"))
 
