@@ -36,7 +36,7 @@ PART = 1 << 20
 MARGIN = 3  # characters of the longest match that a shorter one can stand for
 LONG = 8 << 20
 GROUP = 1000
-CACHE = 400_000
+CACHE = 250_000
 
 
 def vocabulary(name: str = VOCABULARY) -> str:

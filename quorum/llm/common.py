@@ -86,7 +86,7 @@ _trim: list = []
 
 
 def trim() -> None:
-    """Gives memory that freed arrays have left in this worker back to the system, where the C library can."""
+    """Gives memory that freed arrays and batches have left in this worker back to the system, where the libraries can."""
     if not _trim:
         import ctypes
 
@@ -94,6 +94,7 @@ def trim() -> None:
             _trim.append(ctypes.CDLL("libc.so.6").malloc_trim)
         except (OSError, AttributeError):
             _trim.append(lambda _: 0)
+    pa.default_memory_pool().release_unused()
     _trim[0](0)
 
 
