@@ -31,12 +31,12 @@ from . import common as c
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-SLICE = 1 << 20
+SLICE = 2 << 20
 PART = 1 << 20
 MARGIN = 3  # characters of the longest match that a shorter one can stand for
 LONG = 8 << 20
 GROUP = 1000
-CACHE = 250_000
+CACHE = 400_000
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
