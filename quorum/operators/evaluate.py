@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.expr import col
 from .windows import rank
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation over rows that have both; null where one side does not vary."""
+    a, b = col(x), col(y)
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def spearman(df: DataFrame, by: str, x: str, y: str, least: int = 3) -> DataFrame:
     """Rank correlation per group with average ranks; null below `least` rows."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = d.select(by, rank("average", x, by).alias("_x"), rank("average", y, by).alias("_y"))
-    return d.groupBy(by).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("_r")).select(by, "n", F.when(F.col("n") >= least, F.col("_r")).alias("rho"))
+    return d.groupBy(by).agg(F.count("*").alias("n"), correlation("_x", "_y").alias("_r")).select(by, "n", F.when(F.col("n") >= least, F.col("_r")).alias("rho"))
 
 
 def partial_corr(xy, xz, yz):
@@ -44,7 +52,7 @@ def top_n_hits_by_season(df: DataFrame, season: str, by: str, ident: str, predic
 def residual_correlations(df: DataFrame, keys: list[str], source: str, residual: str) -> DataFrame:
     """Pearson correlation of every pair of sources' residuals on common keys."""
     a, b = df.select(*keys, F.col(source).alias("a"), F.col(residual).alias("_x")), df.select(*keys, F.col(source).alias("b"), F.col(residual).alias("_y"))
-    return a.join(b, keys).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("r"))
+    return a.join(b, keys).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), correlation("_x", "_y").alias("r"))
 
 
 def frame_diff(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-9) -> DataFrame:

@@ -52,7 +52,7 @@ def scored(t: Tables) -> DataFrame:
     return blend.score(blend.weighted(opinions(t), weights(t), KEYS), rules(t), KEYS)
 
 
-@query(f"WITH {OPINIONS}, x AS (SELECT p.p_partkey, p.p_brand, sc.points, rank() OVER (PARTITION BY p_brand ORDER BY points DESC) AS pos_rank FROM sc JOIN part p ON p.p_partkey = sc.p_partkey), y AS (SELECT p_brand, max(points) AS base FROM x WHERE pos_rank >= 10 GROUP BY p_brand) SELECT x.p_partkey, x.p_brand, round(x.points, 4) AS points, CAST(x.pos_rank AS INTEGER) AS pos_rank, round(x.points - y.base, 4) AS vor FROM x JOIN y ON x.p_brand = y.p_brand WHERE x.pos_rank <= 20")
+@query(f"WITH {OPINIONS}, x AS (SELECT p.p_partkey, p.p_brand, sc.points, rank() OVER (PARTITION BY p_brand ORDER BY points DESC) AS pos_rank FROM sc JOIN part p ON p.p_partkey = sc.p_partkey), y AS (SELECT p_brand, coalesce(max(CASE WHEN pos_rank >= 10 THEN points END), min(points)) AS base FROM x GROUP BY p_brand) SELECT x.p_partkey, x.p_brand, round(x.points, 4) AS points, CAST(x.pos_rank AS INTEGER) AS pos_rank, round(x.points - y.base, 4) AS vor FROM x JOIN y ON x.p_brand = y.p_brand WHERE x.pos_rank <= 20")
 def flagship_board(t: Tables) -> DataFrame:
     brands = t.part.select("p_brand").distinct().withColumn("rank", F.lit(10))
     x = scored(t).join(t.part.select("p_partkey", "p_brand"), "p_partkey")

@@ -136,14 +136,14 @@ def calibration_bands(t):
     return evaluate.calibration(x, b, "l_quantity", "guess", "l_extendedprice").select("band", "n", r("bias"), r("sd"), r("share_over", 7), r("median"))
 
 
-_RANKS = "rk AS (SELECT p_brand, p_type, corr(p_size, p_retailprice) AS base_rho, corr(p_size + p_partkey % 7 * 0.5, p_retailprice) AS rho, avg(CASE WHEN p_size > 25 THEN 1.0::DOUBLE ELSE 0 END) AS base_top, avg(CASE WHEN p_size + p_partkey % 7 * 0.5 > 26.5 THEN 1.0::DOUBLE ELSE 0 END) AS top FROM part GROUP BY ALL), er AS (SELECT p_brand, l_returnflag AS stat, avg(abs(l_extendedprice - 1500 * l_quantity)) AS base_mae, avg(abs(l_extendedprice - 1490 * l_quantity)) AS mae FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
+_RANKS = "rk AS (SELECT p_brand, p_type, CASE WHEN stddev_pop(p_size) > 0 AND stddev_pop(p_retailprice) > 0 THEN corr(p_size, p_retailprice) END AS base_rho, CASE WHEN stddev_pop(p_size + p_partkey % 7 * 0.5) > 0 AND stddev_pop(p_retailprice) > 0 THEN corr(p_size + p_partkey % 7 * 0.5, p_retailprice) END AS rho, avg(CASE WHEN p_size > 25 THEN 1.0::DOUBLE ELSE 0 END) AS base_top, avg(CASE WHEN p_size + p_partkey % 7 * 0.5 > 26.5 THEN 1.0::DOUBLE ELSE 0 END) AS top FROM part GROUP BY ALL), er AS (SELECT p_brand, l_returnflag AS stat, avg(abs(l_extendedprice - 1500 * l_quantity)) AS base_mae, avg(abs(l_extendedprice - 1490 * l_quantity)) AS mae FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
 
 
 @query(f"WITH {_RANKS}, r AS (SELECT p_brand, avg(rho - base_rho) AS mean_gain, min(rho - base_rho) AS worst_gain, sum(CASE WHEN top < base_top THEN 1 ELSE 0 END) AS regressions FROM rk GROUP BY 1), e AS (SELECT p_brand, avg(100 * (mae - base_mae) / base_mae) AS mean_mae, max(100 * (mae - base_mae) / base_mae) AS worst_mae FROM er GROUP BY 1), x AS (SELECT r.*, e.mean_mae, e.worst_mae, CASE WHEN mean_gain IS NULL THEN 'nothing comparable' WHEN mean_gain < 0.005 THEN 'mean gain' WHEN worst_gain < -0.005 THEN 'group loss' WHEN regressions > 1 THEN 'hit rates' WHEN mean_mae > 0.5 THEN 'mean error' WHEN worst_mae > 2 THEN 'stat error' ELSE 'passed' END AS clause FROM r LEFT JOIN e ON e.p_brand = r.p_brand) SELECT p_brand, round(mean_gain, 9) AS mean_gain, round(worst_mae, 7) AS worst_mae, CAST(regressions AS BIGINT) AS regressions, clause, CASE WHEN clause = 'passed' THEN 'merge' ELSE 'reject' END AS verdict FROM x")
 def decision_rule(t):
     s = F.col("p_size") + F.col("p_partkey") % 7 * 0.5
     share = lambda c: F.avg(c.cast("double"))
-    ranks = t.part.groupBy("p_brand", "p_type").agg(F.corr("p_size", "p_retailprice").alias("base_rho"), F.corr(s, F.col("p_retailprice")).alias("rho"), share(F.col("p_size") > 25).alias("base_top"), share(s > 26.5).alias("top"))
+    ranks = t.part.groupBy("p_brand", "p_type").agg(evaluate.correlation("p_size", "p_retailprice").alias("base_rho"), evaluate.correlation(s, "p_retailprice").alias("rho"), share(F.col("p_size") > 25).alias("base_top"), share(s > 26.5).alias("top"))
     off = lambda k: F.avg(F.abs(F.col("l_extendedprice") - k * F.col("l_quantity")))
     errors = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", F.col("l_returnflag").alias("stat")).agg(off(1500).alias("base_mae"), off(1490).alias("mae"))
     return evaluate.verdict(ranks, errors, ["p_brand"]).select("p_brand", F.round("mean_gain", 9).alias("mean_gain"), F.round("worst_mae", 7).alias("worst_mae"), "regressions", "clause", "verdict")

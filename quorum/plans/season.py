@@ -271,9 +271,9 @@ def _line(t):
     return handcuff.fit_line(handcuff.seconds(x, ["season", "team"], "_v", "c_custkey").join(_strength(t), ["season", "team"]), "strength", "carries")
 
 
-@query(f"WITH {_GAMES} SELECT season, CAST(team AS INTEGER) AS team, round(strength, 4) AS strength FROM ts")
+@query(f"WITH {_GAMES} SELECT season, CAST(team AS INTEGER) AS team, round(strength / 7, 6) AS strength FROM ts")
 def team_strength(t):
-    return _strength(t).select("season", "team", r("strength"))
+    return _strength(t).select("season", "team", F.round(F.col("strength") / 7, 6).alias("strength"))
 
 
 @query(f"WITH {_GAMES}, {_SECOND} SELECT n, round(intercept, 4) AS intercept, round(slope, 4) AS slope, round(r2, 8) AS r2, round(sd, 4) AS sd FROM ln")

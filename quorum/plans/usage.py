@@ -52,7 +52,7 @@ def rate_baselines(t):
     return usage.weighted_line(_lines(t), ["pos"], "depth", "own", "den", 60).select("pos", r("intercept", 8), r("slope", 9), "n")
 
 
-@query(f"WITH {_LINES}, x AS (SELECT mw.id, mw.pos, rate, den, greatest(0, least(wl.my - slope * wl.mx + slope * depth, 3 * base_rate)) AS prior FROM mw JOIN ba USING (pos) JOIN wl USING (pos)) SELECT id, pos, round(prior, 8) AS prior, round((den * rate + 500000 * prior) / (den + 500000), 8) AS rate FROM x")
+@query(f"WITH {_LINES}, x AS (SELECT mw.id, mw.pos, rate, den, CASE WHEN slope IS NULL THEN base_rate ELSE greatest(0, least(wl.my - slope * wl.mx + slope * depth, 3 * base_rate)) END AS prior FROM mw JOIN ba USING (pos) LEFT JOIN wl USING (pos)) SELECT id, pos, round(prior, 8) AS prior, round((den * rate + 500000 * prior) / (den + 500000), 8) AS rate FROM x")
 def efficiency(t):
     x = _lines(t)
     base = features.pooled_rate(x, ["pos"], "num", "den")
@@ -226,9 +226,9 @@ def _ev(t):
     return t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("l_partkey").alias("k"), F.col("p_type").alias("pos"), F.col("p_brand").alias("season")).agg(F.avg(q).alias("a"), F.avg(F.when(F.col("l_returnflag") != "A", q)).alias("b"), F.avg(F.when(F.col("l_linestatus") == "O", q)).alias("y"))
 
 
-@query(f"WITH {_EV}, c AS (SELECT season, pos, corr(a, y) AS r, count(*) FILTER (WHERE y IS NOT NULL) AS n FROM ev GROUP BY ALL) SELECT pos, round(sum(r * n) / sum(n), 8) AS mean_r, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY pos")
+@query(f"WITH {_EV}, c AS (SELECT season, pos, CASE WHEN stddev_pop(CASE WHEN y IS NOT NULL THEN a END) > 0 AND stddev_pop(y) > 0 THEN corr(a, y) END AS r, count(*) FILTER (WHERE y IS NOT NULL) AS n FROM ev GROUP BY ALL) SELECT pos, round(sum(r * n) / sum(CASE WHEN r IS NOT NULL THEN n END), 8) AS mean_r, CAST(sum(CASE WHEN r IS NOT NULL THEN n END) AS BIGINT) AS n FROM c GROUP BY pos")
 def weighted_correlation(t):
-    c = _ev(t).groupBy("season", "pos").agg(F.corr("a", "y").alias("r"), F.count("y").alias("n"))
+    c = _ev(t).groupBy("season", "pos").agg(evaluate.correlation("a", "y").alias("r"), F.count("y").alias("n"))
     return evaluate.weighted_mean(c, ["pos"], "r", "n").select("pos", r("mean_r", 8), "n")
 
 
@@ -289,7 +289,7 @@ def counterfactual_variants(t):
 @query(f"WITH {_BASE} SELECT a.pos, count(*) AS n, round(corr(a.pg, b.pg), 8) AS r FROM se a JOIN se b ON b.id = a.id AND b.season = a.season - 1 GROUP BY a.pos")
 def stickiness(t):
     x = features.lags(_seasons(t), "id", "season", ["pg"], by=(1,)).where("p1_pg IS NOT NULL")
-    return x.groupBy("pos").agg(F.count("*").alias("n"), F.round(F.corr("pg", "p1_pg"), 8).alias("r"))
+    return x.groupBy("pos").agg(F.count("*").alias("n"), F.round(evaluate.correlation("pg", "p1_pg"), 8).alias("r"))
 
 
 @query(f"WITH {_BASE}, b AS (SELECT id, team, season, CASE WHEN week <= 5 THEN 'rz5' WHEN week <= 10 THEN 'rz10' ELSE 'rz20' END AS band, count(*) AS own FROM ga WHERE week <= 20 GROUP BY ALL) SELECT id, season, band, own, CAST(sum(own) OVER (PARTITION BY team, season, band) AS BIGINT) AS team_total, round(own / sum(own) OVER (PARTITION BY team, season, band), 8) AS share FROM b")
