@@ -1,18 +1,19 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is cut into text lines (blocks).  Scripts, styles, forms, and elements that their name, role or class marks as menu,
-header, footer, sidebar, notice, advert or reader comments give none.  A class marks an element by a whole token: a word
-of WORDS ("sidebar"), or words of WORDS and PLACES together ("site-footer", not "has-sidebar"); on a page without a declared article,
-an element that holds over half of the page's text is no boilerplate, whatever its class.
-
-Pages of a host with the same lines are copies and count once.  Each is paired with the one whose URL path stands next to
-its own in path order and shares the longest prefix; every page's lines are aligned with its partner's by longest
-common subsequence, and shared lines are deleted, in and outside of what a page declares as its article (article,
-main).  One check follows: an article that shares over half of its characters is an edition of the same text under another URL, and keeps
-them.
-
-Pages are parsed twice, for the lines' hashes and for their text, so that the text moves once and is stored nowhere.  Pairing sorts (host, path) by range and joins the ends of neighbouring ranges, so a host with a third of all
-pages is spread over many tasks.  Nulls are empty pages; a page alone on its host (copies aside) has no partner; repeated
+A page is cut into text lines (blocks), those of menus and footers included.  Pages of a host with the same lines are copies and count once.
+Each is paired with the one whose URL path stands next to its own in path order and shares the longest prefix; all lines are aligned with
+the partner's by longest common subsequence, and shared lines are deleted.  Two checks follow.  Lines of what a page declares as its article
+(article, main) come back.  A page without a declared article that shares over EDITION of its text, or all of it, is an edition of its
+partner: it takes the neighbour on its other side instead, and keeps its lines if that is an edition too, or there is none.
+
+Then marks delete what pages of a host do not share.  Scripts, styles, and elements named as menu, header, footer, sidebar or form give no
+text.  A class, id or role marks an element by a whole token: a word of WORDS ("sidebar"), or words of WORDS and PLACES together
+("site-footer", not "has-sidebar"); on a page without a declared article, an element that holds over half of the page's text is no
+boilerplate, whatever its class.  Inside a declared article such a mark deletes only lines that the partner shares too.
+
+Pages are parsed twice, for the lines' hashes and for their text, so that the text moves once and is stored nowhere; what a page deletes is
+decided once for all its copies, from hashes.  Pairing sorts (host, path) by range and joins the ends of neighbouring ranges, so a host with a
+third of all pages is spread over many tasks.  Nulls are empty pages; a page alone on its host (copies aside) has no partner; repeated
 rows, and rows that share a page_id, are pages of their own; ties of path go by the lines' digest.  Very long pages are read whole;
 the alignment keeps one row of bits for every square root of their lines.  Other columns of pages are not read.
 """
@@ -33,7 +34,7 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?
 ATTR = re.compile(r"(class|id|role|hidden|itemprop|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 # Names of elements, and words in class, id and role.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "option", "math", "canvas", "audio", "video"}
-BOILER = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "label", "datalist", "head"}
+BOILER = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "datalist", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
 IMPLIED = {"p", "li", "dt", "dd", "option", "tr", "td", "th"}
@@ -59,12 +60,16 @@ def _marks(attrs: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> tuple[list[str], list[bool]]:
-    """Text lines outside of boilerplate elements, and whether each lies in an article or main element."""
+ARTICLE, ELEMENT, CLASS = 1, 2, 4  # what a line lies in: a declared article, an element named as boilerplate, one marked by class, id or role
+
+
+def lines(page: str) -> tuple[list[str], list[int]]:
+    """All text lines of a page, and what each lies in."""
     out, main, marks = [], [], []  # with each line, the marked elements around it
     stack: list[tuple[str, int]] = []  # open elements other than inline ones, and the number of a marked one
     around: tuple[int, ...] = ()
     firm: set[int] = {0}
+    named: set[int] = set()
     number = inside = declared = 0
     parts: list[str] = []
     at = 0
@@ -110,7 +115,8 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
                 at = len(page)
             continue
         inline = name in INLINE
-        bad = not ending and (name in BOILER or name == "header" and not inside or (name not in ("html", "body") and name not in MAIN and bool(attrs) and _marks(attrs, inside > 0)))
+        element = not ending and (name in BOILER or name == "header" and not inside)
+        bad = element or not ending and name not in ("html", "body") and name not in MAIN and bool(attrs) and _marks(attrs, inside > 0)
         if not inline or bad:
             flush()
         if name in VOID:
@@ -135,6 +141,8 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
             mark, around = number, (*around, number)
             if name in ALWAYS:
                 firm.add(number)
+            if element:
+                named.add(number)
         stack.append((name, mark))
         inside += name in MAIN
         declared += name in MAIN
@@ -144,8 +152,11 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
         for k in around:
             held[k] += len(text)
     wrapper = {k for k in range(1, number + 1) if not declared and k not in firm and 2 * held[k] > total}
-    keep = [wrapper.issuperset(x) for x in marks]
-    return [x for x, k in zip(out, keep) if k], [x for x, k in zip(main, keep) if k]
+    kinds = []
+    for m, around in zip(main, marks):
+        rest = set(around) - wrapper
+        kinds.append(ARTICLE * m | ELEMENT * bool(rest & named) | CLASS * bool(rest - named))
+    return out, kinds
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[int]:
@@ -190,7 +201,7 @@ PLACE = "STRUCT<host: STRING, path: STRING, digest: BIGINT>"
 
 
 def pairs(pages: DataFrame) -> DataFrame:
-    """host, digest, partner (a digest) of distinct pages (host, path, digest): the neighbour in path order with the longer common path; of equals the one before."""
+    """host, digest, partner, other (digests) of distinct pages (host, path, digest): the neighbours in path order, first that with the longer common path; of equals the one before."""
     spark = pages.sparkSession
     # copies stand where their first path is
     k = pages.groupBy("host", "digest").agg(F.min("path").alias("path")).select(F.struct("host", "path", "digest").alias("here"))
@@ -226,42 +237,96 @@ def pairs(pages: DataFrame) -> DataFrame:
         return F.when(F.col(f"{x}.host") == F.col("here.host"), same)
 
     full = full.withColumns({"cb": common("before"), "ca": common("after")})
-    pick = F.when(F.col("cb").isNotNull() & (F.col("ca").isNull() | (F.col("cb") >= F.col("ca"))), F.col("before.digest")).when(F.col("ca").isNotNull(), F.col("after.digest"))
-    return full.select("here.host", "here.digest", pick.alias("partner")).where("partner IS NOT NULL")
+    ahead = F.col("cb").isNotNull() & (F.col("ca").isNull() | (F.col("cb") >= F.col("ca")))
+    b, a = F.when(F.col("cb").isNotNull(), F.col("before.digest")), F.when(F.col("ca").isNotNull(), F.col("after.digest"))
+    return full.select("here.host", "here.digest", F.when(ahead, b).otherwise(a).alias("partner"), F.when(ahead, a).otherwise(b).alias("other")).where("partner IS NOT NULL")
 
 
 PLACED = "page_id long, url string, host string, path string, digest long"
 
 
-def _keys(text: list[str]) -> np.ndarray:
+LINE = np.dtype([("key", "<u8"), ("chars", "<u4"), ("kind", "u1")])
+
+
+def _lines(text: list[str], kinds: list[int]) -> bytes:
     import xxhash
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(y) for y in text), np.uint64, len(text))
+    out = np.zeros(len(text), LINE)
+    out["key"] = [xxhash.xxh3_64_intdigest(y) for y in text]
+    out["chars"], out["kind"] = [len(y) for y in text], kinds
+    return out.tobytes()
 
 
 def parsed(pages: DataFrame, text: bool) -> DataFrame:
-    """page_id, url, host, path and digest of the lines of each page; with `text` its lines and whether each is in the declared article, else the lines' hashes."""
+    """page_id, url, host, path and digest of the lines of each page; with `text` its lines and what each lies in, else the lines' hashes, lengths and that."""
     import xxhash
 
     def run(batches):
         for b in c.slices(batches, "html"):
             got = [lines(x or "") for x in b.column("html").to_pylist()]
             digest = pa.array(np.fromiter((xxhash.xxh3_64_intdigest("\n".join(t)) for t, _ in got), np.uint64, len(got)).view(np.int64))
-            more = [pa.array([t for t, _ in got], pa.list_(pa.string())), pa.array([m for _, m in got], pa.list_(pa.bool_()))] if text else [pa.array([_keys(t).tobytes() for t, _ in got], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("page_id", "url", "host", "path")), digest, *more], names=["page_id", "url", "host", "path", "digest", *(("text", "main") if text else ("keys",))])
+            more = [pa.array([t for t, _ in got], pa.list_(pa.string())), pa.array([m for _, m in got], pa.list_(pa.int8()))] if text else [pa.array([_lines(*x) for x in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("page_id", "url", "host", "path")), digest, *more], names=["page_id", "url", "host", "path", "digest", *(("text", "kinds") if text else ("lines",))])
 
     rest = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     own = pages.selectExpr("CAST(page_id AS LONG) page_id", "CAST(url AS STRING) url", "CAST(html AS STRING) html")
-    return own.withColumns({"host": F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)}).mapInArrow(run, PLACED + (", text array<string>, main array<boolean>" if text else ", keys binary"))
+    return own.withColumns({"host": F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)}).mapInArrow(run, PLACED + (", text array<string>, kinds array<byte>" if text else ", lines binary"))
+
+
+EDITION = 0.75
+
+
+def shared(page: bytes, partner: bytes) -> tuple[bytes, bool]:
+    """A bit for each of the page's lines, whether the partner shares it, and whether the page is an edition of it."""
+    a, b = np.frombuffer(page, LINE), np.frombuffer(partner, LINE)
+    gone = np.zeros(len(a), bool)
+    gone[shared_lines(a["key"].tolist(), b["key"].tolist())] = True
+    text = a["kind"] & (ELEMENT | CLASS) == 0
+    held, lost = int(a["chars"][text].sum()), int(a["chars"][text & gone].sum())
+    edition = not (a["kind"] & ARTICLE).any() and lost > 0 and (lost > EDITION * held or lost == held)
+    return np.packbits(gone).tobytes(), edition
+
+
+def choose(text: list[str], kinds: list[int], bits: bytes | None) -> list[str]:
+    """A page's main text lines, given which of them its partner shares."""
+    gone = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(text)).tolist() if bits is not None else [0] * len(text)
+
+    def stays(kind: int, shared: int) -> bool:
+        if kind & ELEMENT:
+            return False
+        return not (kind & CLASS and shared) if kind & ARTICLE else not (kind & CLASS or shared)
 
+    return [t for t, k, g in zip(text, kinds, gone) if stays(k, g)]
 
-def choose(text: list[str], main: list[bool], other: np.ndarray | None) -> list[str]:
-    """A page's main text lines: those that its partner does not share; a declared article of which most is shared stays."""
-    gone = set(shared_lines(_keys(text).tolist(), other.tolist())) if other is not None else set()
-    whole = sum(len(t) for t, m in zip(text, main) if m)
-    if 2 * sum(len(text[i]) for i in gone if main[i]) > whole:
-        gone = {i for i in gone if not main[i]}
-    return [t for i, t in enumerate(text) if i not in gone]
+
+def _aligned(frame: DataFrame, keep: str) -> DataFrame:
+    """host, digest and the columns of `keep` (name type, ...) with the bits of shared() for rows of (lines, other_lines)."""
+    names = ["host", "digest", *(x.split()[0] for x in keep.split(", ") if x)]
+
+    def run(batches):
+        for b in batches:
+            for x in c.slices(iter([b]), "lines"):
+                got = [shared(p, q) for p, q in zip(x.column("lines").to_pylist(), x.column("other_lines").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(x.column(n) for n in names), pa.array([g for g, _ in got], pa.binary()), pa.array([e for _, e in got], pa.bool_())], names=[*names, "gone", "edition"])
+
+    return frame.select(*names, "lines", "other_lines").mapInArrow(run, f"host string, digest long, {keep + ', ' if keep else ''}gone binary, edition boolean")
+
+
+def decided(k: DataFrame) -> DataFrame:
+    """host, digest, gone: which lines of each distinct page (host, path, digest, lines) with a partner are shared."""
+    lines_of = k.groupBy("host", "digest").agg(F.first("lines").alias("lines"))
+
+    def of(by: str) -> DataFrame:
+        return lines_of.select("host", F.col("digest").alias(by), F.col("lines").alias("other_lines"))
+
+    near = pairs(k.select("host", "path", "digest"))
+    first = c.stored(_aligned(lines_of.join(near, ["host", "digest"]).join(of("partner"), ["host", "partner"]), "other long"))
+    out = first.select("host", "digest", F.when(~F.col("edition"), F.col("gone")).alias("gone"))
+    again = first.where("edition AND other IS NOT NULL").select("host", "digest", "other")
+    if again.isEmpty():
+        return out
+    second = _aligned(again.join(lines_of, ["host", "digest"]).join(of("other"), ["host", "other"]), "").where("NOT edition").select("host", "digest", F.col("gone").alias("instead"))
+    return out.join(second, ["host", "digest"], "left").select("host", "digest", F.coalesce("gone", "instead").alias("gone"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -269,17 +334,13 @@ def extract(pages: DataFrame) -> DataFrame:
     # copies are spread: a group of them has as many rows here as salts that its pages have
     spread = max(64, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(spread)).cast("int").alias("salt")
-    k = c.stored(parsed(pages, text=False).select("host", "path", "digest", "keys", salt))
-    lines_of = k.groupBy("host", "digest").agg(F.first("keys").alias("other")).withColumnRenamed("digest", "partner")
-    partner = k.select("host", "digest", "salt").distinct().join(pairs(k.select("host", "path", "digest")), ["host", "digest"])
-    partner = partner.join(lines_of, ["host", "partner"]).select("host", "digest", "salt", "other")
+    k = c.stored(parsed(pages, text=False).select("host", "path", "digest", "lines", salt))
+    gone = k.select("host", "digest", "salt").distinct().join(decided(k).where("gone IS NOT NULL"), ["host", "digest"])
 
     def run(batches):
         for b in batches:
-            out = []
-            for t, m, o in zip(*(b.column(x).to_pylist() for x in ("text", "main", "other"))):
-                out.append("\n\n".join(choose(t, m, None if o is None else np.frombuffer(o, np.uint64))))
+            out = ["\n\n".join(choose(t, m, g)) for t, m, g in zip(*(b.column(x).to_pylist() for x in ("text", "kinds", "gone")))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    p = parsed(pages, text=True).select("page_id", "url", "text", "main", "host", "digest", salt)
-    return p.join(partner, ["host", "digest", "salt"], "left").select("page_id", "url", "text", "main", "other").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    p = parsed(pages, text=True).select("page_id", "url", "text", "kinds", "host", "digest", salt)
+    return p.join(gone, ["host", "digest", "salt"], "left").select("page_id", "url", "text", "kinds", "gone").mapInArrow(run, "page_id long, url string, text string, n_chars long")

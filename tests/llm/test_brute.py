@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -240,53 +241,117 @@ def test_shared_lines_against_the_table():
     tracemalloc.stop()
 
 
+class Plain(HTMLParser):
+    """The standard library's parser as a second one: blocks of text, and whether each stands in the article or in an element that never holds main text."""
+
+    BLOCKS = {"p", "div", "li", "ul", "nav", "article", "footer", "header", "h1", "h2", "h3", "aside", "section", "body", "html", "head", "form"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.parts, self.open = [], [], []
+        self.feed(page)
+        self.close()
+        self.cut()
+
+    def cut(self):
+        text = " ".join("".join(self.parts).split())
+        self.parts = []
+        if text:
+            tags = [t for t, _ in self.open]
+            self.out.append((text, "article" in tags, bool({"nav", "footer", "header", "aside", "form", "head"} & set(tags)) or any(dict(a).get("class") == "ad" for _, a in self.open)))
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        if tag in self.BLOCKS | {"script", "style", "title"}:
+            self.cut()
+        if tag not in ("br", "meta", "link", "img"):
+            if tag == "p" and self.open and self.open[-1][0] == "p":
+                self.open.pop()
+            self.open.append((tag, attrs))
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.cut()
+        at = [i for i, (t, _) in enumerate(self.open) if t == tag]
+        if at:
+            del self.open[at[-1] :]
+
+    def handle_data(self, data):
+        if not self.open or self.open[-1][0] not in ("script", "style", "title"):
+            self.parts.append(data)
+
+
 def test_pages_against_brute_force(spark):
+    """A second parser, all pairs of neighbours by sorting on one machine, a table for the longest common subsequence: equal texts."""
     path = "/root/testdata/sf0.01/pages.parquet"
-    t = pq.read_table(path).to_pylist()
     page = {}
-    for x in t:
+    for x in pq.read_table(path).to_pylist():
         rest = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", x["url"] or "")
         m = re.match(r"([^/?#]*)([^?#]*)", rest)
-        lines, main = html_main.lines(x["html"] or "")
-        page[x["page_id"]] = (m[1].lower(), m[2], tuple(lines), main)
-    import xxhash
-
-    digest = lambda lines: int(np.array(xxhash.xxh3_64_intdigest("\n".join(lines)), np.uint64).view(np.int64))
+        page[x["page_id"]] = (m[1].lower(), m[2], Plain(x["html"] or "").out)
     first = {}
-    for host, p, lines, _ in page.values():
-        first[host, lines] = min(first.get((host, lines), p), p)
-    order = sorted((host, p, digest(lines), lines) for (host, lines), p in first.items())
-    at = {(h, lines): i for i, (h, _, _, lines) in enumerate(order)}
-    partner = {}
+    for host, p, lines in page.values():
+        key = host, tuple(t for t, _, _ in lines)
+        first[key] = min(first.get(key, p), p)
+    order = sorted((host, p, lines) for (host, lines), p in first.items())
+    at = {(h, lines): i for i, (h, _, lines) in enumerate(order)}
     common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    for i, (h, p, _, lines) in enumerate(order):
-        near = [(common(p.split("/"), order[j][1].split("/")), -k, order[j][3]) for k, j in enumerate((i - 1, i + 1)) if 0 <= j < len(order) and order[j][0] == h]
-        if near:
-            partner[h, lines] = max(near)[2]
     got = {r.page_id: r for r in html_main.extract(spark.read.parquet(path)).collect()}
+    assert set(got) == set(page)
     paired = 0
-    for i, (h, _, lines, main) in page.items():
-        other = partner.get((h, lines))
-        paired += other is not None
-        assert (h, lines) in at
-        k = lcs_shared(list(lines), list(other)) if other else 0
-        kept = got[i].text.split("\n\n") if got[i].text else []
-        assert len(kept) in (len(lines) - k, len(lines)) and got[i].n_chars == len(got[i].text)
-        it = iter(lines)
-        assert all(x in it for x in kept)
-        if k and len(kept) == len(lines):  # what most of an article shares stays
-            assert all(main) and other
+    for i, (h, _, lines) in page.items():
+        texts = [t for t, _, _ in lines]
+        j = at[h, tuple(texts)]
+        near = [(common(order[j][1].split("/"), order[k][1].split("/")), -n, order[k][2]) for n, k in enumerate((j - 1, j + 1)) if 0 <= k < len(order) and order[k][0] == h]
+        other = max(near)[2] if near else ()
+        paired += bool(near)
+        article = [t for t, inside, bad in lines if inside and not bad]
+        outside = [t for t, inside, bad in lines if not inside and not bad]
+        assert article  # every page of this table declares one, so its lines all come back
+        kept = got[i].text.split("\n\n")
+        extra = [t for t in outside if t not in other]
+        assert kept == [t for t, inside, bad in lines if not bad and (inside or t in extra)]
+        assert got[i].n_chars == len(got[i].text)
     assert paired > 50
 
 
+def test_pages_are_their_documents(spark):
+    """Articles come out whole: every page's text is some document's, but for the title line before it and white space."""
+    docs = {"".join((r.text or "").split()) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = html_main.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
+    assert len(got) == 250
+    for r in got:
+        assert "".join(r.text.split("\n\n", 1)[1].split()) in docs, r.page_id
+
+
+def test_editions_keep_their_text(spark):
+    body = "".join(f"<p>Paragraph {i} of a text that two addresses hold, with words of its own.</p>" for i in range(6))
+    other = "".join(f"<p>Another text, line {i}, of quite some length to make up a page of its own.</p>" for i in range(6))
+    rows = [(1, "http://h/a/1", body), (2, "http://h/a/2", body + "<p>Correction added later.</p>")]
+    rows += [(3, "http://i/a/1", f"<p>Site of many things</p>{body}"), (4, "http://i/a/2", f"<p>Site of many things</p>{body}<p>Correction.</p>"), (5, "http://i/a/3", f"<p>Site of many things</p>{other}")]
+    rows += [(6, "http://j/1", "<article><p>Shared words.</p><div class='related'>Related and shared.</div><div class='share'>The share of each page.</div><label>Kept</label></article>")]
+    rows += [(7, "http://j/2", "<article><p>Shared words.</p><div class='related'>Related and shared.</div><div class='share'>Another one.</div></article>")]
+    got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = "\n\n".join(f"Paragraph {i} of a text that two addresses hold, with words of its own." for i in range(6))
+    assert got[1] == text and got[2] == text + "\n\nCorrection added later."
+    assert got[4] == text + "\n\nCorrection."  # its other neighbour shows what is the site's
+    assert got[3] == "Site of many things\n\n" + text  # it has no other
+    assert got[5].startswith("Another text, line 0")
+    assert got[6] == "Shared words.\n\nThe share of each page.\n\nKept" and got[7] == "Shared words.\n\nAnother one."
+
+
 def test_marks_by_whole_tokens(spark):
+    def unmarked(page):
+        return [t for t, k in zip(*html_main.lines(page)) if not k & (html_main.ELEMENT | html_main.CLASS)]
+
     body = "<p>Body text of the page, which is long enough to be most of it.</p>"
     for mark in ('class="layout has-sidebar"', 'class="post no-ads"', 'id="search-results"', 'class="legal-news"', 'class="sidebar"'):
-        assert html_main.lines(f"<div {mark}>{body}</div><p>x</p>")[0][0].startswith("Body text")
-    assert html_main.lines(f'<div class="sidebar">menu</div>{body}<div class="post-comments"><p>first!</p></div><div class="site-footer">c</div><div class="cookie-notice">ok</div>')[0] == ["Body text of the page, which is long enough to be most of it."]
-    assert html_main.lines(f"<nav>{body * 9}</nav><p>short</p>")[0] == ["short"]
-    assert html_main.lines(f'<article><p>short</p></article><div class="comments">{body * 9}</div>')[0] == ["short"]
-    assert html_main.lines("<article>teaser</article><div>long body</div>")[0] == ["teaser", "long body"]
+        assert unmarked(f"<div {mark}>{body}</div><p>x</p>")[0].startswith("Body text")
+    assert unmarked(f'<div class="sidebar">menu</div>{body}<div class="post-comments"><p>first!</p></div><div class="site-footer">c</div><div class="cookie-notice">ok</div>') == ["Body text of the page, which is long enough to be most of it."]
+    assert unmarked(f"<nav>{body * 9}</nav><p>short</p>") == ["short"]
+    assert unmarked(f'<article><p>short</p></article><div class="comments">{body * 9}</div>') == ["short"]
+    assert unmarked("<article>teaser</article><div>long body</div>") == ["teaser", "long body"]
 
 
 def test_copies_give_the_same_result(spark):

