@@ -111,15 +111,6 @@ def test_store(spark, tmp_path):
     assert store.optional(spark, f"{tmp_path}/none", "a int").count() == 0
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = spark.createDataFrame([(i % 5, i, f"v{i}") for i in range(40)], "k int, at int, v string")
-    rows.repartition(4).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    incremental.upsert_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp", ["k"], [F.col("at").desc()]).awaitTermination()
-    last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[2:]))
-    assert vals(spark.read.parquet(str(last)), "k", "v") == vals(windows.latest_per(rows, ["k"], F.col("at").desc()), "k", "v")
-
-
 def test_every_oracle_has_a_query():
     from quorum import catalogue
 

@@ -96,7 +96,7 @@ def test_nightly_boards(spark, tmp_path):
     incremental.nightly_boards(stream(), out, str(tmp_path / "c"), "at").awaitTermination()
     assert {(r.k, str(r.date)) for r in spark.read.parquet(out).collect()} == {(1, "2024-01-01"), (2, "2024-01-02")}
     incremental.latest_board(stream(), str(tmp_path / "l"), str(tmp_path / "c2"), ["k"], "at").awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "l/v=0")).count() == 2
+    assert incremental.table(spark, str(tmp_path / "l"), ["k"], ["at"], "k int, at timestamp").count() == 2
 
 
 def test_model_files_and_variance(spark, tmp_path):
