@@ -148,25 +148,6 @@ def spearman_without(df: DataFrame, by: str, blend: str, without: str, actual: s
     return spearman(d, by, blend, actual).withColumnRenamed("rho", "rho_with").join(spearman(d, by, without, actual).select(by, F.col("rho").alias("rho_without")), by)
 
 
-def split_half(df: DataFrame, key: str, a: str, b: str, actual: str) -> DataFrame:
-    """Moments of two sources for non-negative least squares, per half of the keys (odd and even)."""
-    x, y, z = (F.col(c).cast("double") for c in (a, b, actual))
-    d = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (a, b, actual)))
-    return d.groupBy((F.col(key) % 2).cast("int").alias("half")).agg(F.count("*").alias("n"), F.sum(x * x).alias("aa"), F.sum(x * y).alias("ab"), F.sum(y * y).alias("bb"), F.sum(x * z).alias("az"), F.sum(y * z).alias("bz"))
-
-
-def nnls_weights(moments: DataFrame) -> DataFrame:
-    """Weights of two sources, none negative, from their moments: the free solution, or the better one-sided one."""
-    c = F.col
-    det = c("aa") * c("bb") - c("ab") * c("ab")
-    p, q = (c("az") * c("bb") - c("bz") * c("ab")) / F.nullif(det, F.lit(0.0)), (c("bz") * c("aa") - c("az") * c("ab")) / F.nullif(det, F.lit(0.0))
-    alone_a, alone_b = F.greatest(F.lit(0.0), F.try_divide(c("az"), c("aa"))), F.greatest(F.lit(0.0), F.try_divide(c("bz"), c("bb")))
-    gain = lambda w, y, m: w * y - w * w * m / 2
-    free = (p >= 0) & (q >= 0)
-    first = gain(alone_a, c("az"), c("aa")) >= gain(alone_b, c("bz"), c("bb"))
-    return moments.withColumns({"weight_a": F.when(free, p).when(first, alone_a).otherwise(0.0), "weight_b": F.when(free, q).when(first, 0.0).otherwise(alone_b)})
-
-
 def common_mask(column: str, rule: str):
     """Populations of an evaluation: all rows, rows whose team played, rows that played themselves."""
     return {"all": F.lit(True), "team": F.coalesce(F.col("team_played"), F.lit(False)), "played": F.coalesce(F.col(column), F.lit(False))}[rule]

@@ -1,78 +1,128 @@
-"""Small regressions per group by moments: one aggregate job, a tiny solve per group, Column arithmetic to score."""
+"""Small regressions per group by moments: one aggregate job, a tiny solve per group, Column arithmetic to score.
+
+Moments are counts, means and centred products, which one pass gives without cancellation and which add up over groups.
+"""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
-
-
-def moments(df: DataFrame, by: str, xs: list[str], y: str) -> DataFrame:
-    """n, sums and cross products of a group's complete rows: all that least squares needs."""
-    cols = ["_one", *xs, y]
-    ok = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*xs, y))).withColumn("_one", F.lit(1.0))
-    return ok.groupBy(by).agg(*(F.sum(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"{a}|{b}") for i, a in enumerate(cols) for b in cols[i:]))
-
-
-def solve(rows: list, by: str, xs: list[str], y: str, ridge: float = 0.0, least: int = 1) -> list[tuple]:
-    """(group, term, value): ordinary least squares, or ridge on standardised terms with a free intercept."""
-    out, terms = [], ["_one", *xs]
-    cols = [*terms, y]
-    for r in rows:
-        m = np.array([[r[f"{a}|{b}"] if f"{a}|{b}" in r else r[f"{b}|{a}"] for b in cols] for a in cols], float)
-        n = m[0, 0]
-        if n < least:
-            continue
-        mean = m[0] / n
-        c = m / n - np.outer(mean, mean)
-        sd = np.sqrt(np.maximum(np.diag(c)[1:-1], 0))
-        use = sd > 1e-12
-        beta = np.zeros(len(xs))
-        if use.any():
-            z = c[1:-1, 1:-1][np.ix_(use, use)] / np.outer(sd[use], sd[use])
-            beta[use] = np.linalg.lstsq(z + ridge / n * np.eye(int(use.sum())), c[1:-1, -1][use] / sd[use], rcond=None)[0] / sd[use]
-        out += [(r[by], t, float(v)) for t, v in zip(["intercept", *xs], [mean[-1] - beta @ mean[1:-1], *beta])]
-    return out
-
-
-def _solved(m: DataFrame, by: str, xs: list[str], y: str, ridge: float, least: int, centre: dict[str, float]) -> DataFrame:
-    """Coefficients (group, term, value) of moments taken around `centre`, solved where the groups are."""
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+
+def moments(df: DataFrame, by: str | list[str], cols: list[str]) -> DataFrame:
+    """by, n, mean (array) and products (array of the upper triangle's centred sums) of the rows complete in cols."""
+    x = [F.col(c).cast("double") for c in cols]
+    ok = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in cols))
+    n = F.count("*").cast("double")
+    return ok.groupBy(*([by] if isinstance(by, str) else by)).agg(
+        n.alias("n"), F.array(*(F.avg(a) for a in x)).alias("mean"), F.array(*(F.covar_pop(a, b) * n for i, a in enumerate(x) for b in x[i:])).alias("products")
+    )
+
+
+def symmetric(products: list[float], k: int) -> np.ndarray:
+    """The matrix of its upper triangle, row by row."""
+    m = np.zeros((k, k))
+    m[np.triu_indices(k)] = products
+    return m + np.triu(m, 1).T
+
+
+def running(m: DataFrame, order: str, by: list[str]) -> DataFrame:
+    """Moments of all rows of the groups before each one, from the groups' own: one row a group, no data row is read again."""
+    def merge(acc: Column, g: Column) -> Column:
+        n = acc["n"] + g["n"]
+        d = F.zip_with(g["mean"], acc["mean"], lambda p, q: p - q)
+        mean = F.zip_with(acc["mean"], d, lambda p, q: p + q * g["n"] / n)
+        outer = F.flatten(F.transform(d, lambda a, i: F.transform(F.slice(d, i + 1, F.size(d)), lambda b: a * b * acc["n"] * g["n"] / n)))
+        both = F.zip_with(F.zip_with(acc["products"], g["products"], lambda p, q: p + q), outer, lambda p, q: p + q)
+        return F.struct(n.alias("n"), mean.alias("mean"), both.alias("products"))
+
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    x = m.withColumn("_before", F.collect_list(F.struct("n", "mean", "products")).over(w)).where(F.size("_before") > 0)
+    first = F.get("_before", F.lit(0))
+    x = x.withColumn("_sum", F.aggregate(F.slice("_before", 2, F.greatest(F.size("_before") - 1, F.lit(0))), first, merge))
+    return x.select(*by, order, "_sum.*")
+
+
+def solve(n: float, mean: np.ndarray, products: np.ndarray, ridge: float = 0.0) -> tuple[np.ndarray, float]:
+    """Intercept and slopes of the last column on the others by least squares, or ridge on standardised terms with a free intercept, and the sum of squared residuals."""
+    c = products / n
+    sd = np.sqrt(np.maximum(np.diag(c)[:-1], 0))
+    use = sd > 1e-12
+    beta = np.zeros(len(sd))
+    if use.any():
+        z = c[:-1, :-1][np.ix_(use, use)] / np.outer(sd[use], sd[use])
+        beta[use] = np.linalg.lstsq(z + ridge / n * np.eye(int(use.sum())), c[:-1, -1][use] / sd[use], rcond=None)[0] / sd[use]
+    rest = n * float(c[-1, -1] - 2 * beta @ c[:-1, -1] + beta @ c[:-1, :-1] @ beta)
+    return np.r_[mean[-1] - beta @ mean[:-1], beta], max(rest, 0.0)
+
+
+def _solved(m: DataFrame, by: str, xs: list[str], ridge: float, least: int) -> DataFrame:
+    """Coefficients (group, term, value), solved where the groups are."""
     kind = m.schema[by].dataType.simpleString()
 
-    def run(frames):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = solve([Row(**r) for r in pdf.to_dict("records")], by, xs, y, ridge, least)
-            out = pd.DataFrame(rows, columns=[by, "term", "value"])
-            for g, part in out.groupby(by):
-                b = dict(zip(part["term"], part["value"]))
-                out.loc[(out[by] == g) & (out["term"] == "intercept"), "value"] = b["intercept"] + centre[y] - sum(b[x] * centre[x] for x in xs)
-            yield out
-
-    return m.mapInPandas(run, f"`{by}` {kind}, term string, value double")
+            out = []
+            for g, n, mean, products in zip(pdf[by], pdf["n"], pdf["mean"], pdf["products"]):
+                if n >= least:
+                    out += [(g, t, float(v)) for t, v in zip(["intercept", *xs], solve(n, np.asarray(mean), symmetric(products, len(xs) + 1), ridge)[0])]
+            yield pd.DataFrame(out, columns=[by, "term", "value"])
 
-
-def _centre(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, float]]:
-    """df with the columns less their means, so that second moments do not cancel."""
-    mean = df.agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in columns)).first()
-    centre = {c: float(mean[c] or 0.0) for c in columns}
-    return df.withColumns({c: F.col(c).cast("double") - centre[c] for c in columns}), centre
+    return m.select(by, "n", "mean", "products").mapInPandas(run, f"`{by}` {kind}, term string, value double")
 
 
 def fit(df: DataFrame, by: str, xs: list[str], y: str, ridge: float = 0.0, least: int = 1) -> DataFrame:
-    """Coefficients as rows (group, term, value); one row of moments a group is solved in Python, none reaches the driver."""
-    x, centre = _centre(df.select(by, *xs, y), [*xs, y])
-    return _solved(moments(x, by, xs, y), by, xs, y, ridge, least, centre)
+    """Coefficients as rows (group, term, value) from one pass; one row of moments a group is solved in Python, none reaches the driver."""
+    return _solved(moments(df, by, [*xs, y]), by, xs, ridge, least)
 
 
 def fit_before(df: DataFrame, season: str, xs: list[str], y: str, least: int = 1) -> DataFrame:
     """Coefficients for every season from all seasons before it: moments add up, so no row is read twice."""
-    x, centre = _centre(df.select(season, *xs, y), [*xs, y])
-    m = moments(x, season, xs, y)
-    w = Window.orderBy(season).rowsBetween(Window.unboundedPreceding, -1)  # one row a season
-    m = m.select(season, *(F.sum(c).over(w).alias(c) for c in m.columns if c != season)).where("`_one|_one` > 0")
-    return _solved(m, season, xs, y, 0.0, least, centre)
+    return _solved(running(moments(df, season, [*xs, y]), season, []), season, xs, 0.0, least)
+
+
+def walk_forward(df: DataFrame, season: str, arm: str, terms: dict[str, list[str]], y: str, z: float, least: int = 3, low: float | None = 0.0) -> DataFrame:
+    """season, arm, n, spoke, covered, below, above, mae, sigma: how predictions and their intervals of z deviations fare, season by season.
+
+    Every arm has its own terms (veterans last season's figures, rookies what is known of them) and is fitted on its earlier seasons; the
+    deviation is that of the residuals of the same fit, which the moment matrices give (yy - 2 b xy + b xx b over the rows less the terms), so
+    all seasons' fits and intervals take one pass, and scoring one more.  n counts rows with an outcome, spoke those of them with a prediction.
+    """
+    per = None
+    for name, xs in terms.items():
+        rows = df.where(F.col(arm) == name)
+        m = running(moments(rows.select(season, *dict.fromkeys([*xs, y])), season, [*xs, y]), season, []).withColumn("arm", F.lit(name))
+        per = m if per is None else per.unionByName(m)
+    kind = df.schema[season].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for s, a, n, mean, products in zip(pdf[season], pdf["arm"], pdf["n"], pdf["mean"], pdf["products"]):
+                k = len(terms[a]) + 1
+                if n >= max(least, k + 1):
+                    beta, rest = solve(n, np.asarray(mean), symmetric(products, k))
+                    out.append((s, a, beta.tolist(), float(np.sqrt(rest / (n - k)))))
+            yield pd.DataFrame(out, columns=["_season", "_arm", "_beta", "_sigma"])
+
+    fits = per.select(season, "arm", "n", "mean", "products").mapInPandas(run, f"_season {kind}, _arm string, _beta array<double>, _sigma double")
+    x = df.where(F.col(y).isNotNull()).join(fits, (F.col(season) == F.col("_season")) & (F.col(arm) == F.col("_arm")), "left")
+    guess = None
+    for name, xs in terms.items():
+        line = F.get("_beta", F.lit(0))
+        for i, c in enumerate(xs):
+            line = line + F.get("_beta", F.lit(i + 1)) * F.col(c)
+        guess = F.when(F.col(arm) == name, line) if guess is None else guess.when(F.col(arm) == name, line)
+    x = x.withColumn("_guess", guess if low is None else F.when(guess.isNotNull(), F.greatest(guess, F.lit(low))))
+    under, over = F.col("_guess") - z * F.col("_sigma"), F.col("_guess") + z * F.col("_sigma")
+    under = under if low is None else F.greatest(under, F.lit(low))
+    return x.groupBy(F.col(season).alias("season"), F.col(arm).alias("arm")).agg(
+        F.count("*").alias("n"), F.count("_guess").alias("spoke"), F.count_if((F.col(y) >= under) & (F.col(y) <= over)).alias("covered"),
+        F.count_if(F.col(y) < under).alias("below"), F.count_if(F.col(y) > over).alias("above"), F.avg(F.abs(F.col(y) - F.col("_guess"))).alias("mae"), F.max("_sigma").alias("sigma"),
+    )
 
 
 def predict(df: DataFrame, coefs: DataFrame, by: str, xs: list[str], low: float | None = 0.0) -> DataFrame:
@@ -85,124 +135,104 @@ def predict(df: DataFrame, coefs: DataFrame, by: str, xs: list[str], low: float
     return df.join(wide, by, "left").withColumn("prediction", z).drop(*wide.columns[1:])
 
 
-def nnls2(aa: float, ab: float, bb: float, ay: float, by: float) -> tuple[float, float]:
-    """Non-negative least squares of two variables from their moments."""
-    det = aa * bb - ab * ab
-    if det > 1e-12:
-        p, q = (ay * bb - by * ab) / det, (by * aa - ay * ab) / det
-        if p >= 0 and q >= 0:
-            return p, q
-    return max([(max(0.0, ay / aa) if aa else 0.0, 0.0), (0.0, max(0.0, by / bb) if bb else 0.0)], key=lambda w: w[0] * ay + w[1] * by - (w[0] ** 2 * aa + w[1] ** 2 * bb) / 2)
-
-
-# ---------------------------------------------------------------- Beta-Binomial, gamma, negative binomial
-
-
-def betabinomial_pmf(n: int, mu: float, rho: float) -> np.ndarray:
-    """P(0..n) with mean n mu and intra-class correlation rho (0: binomial)."""
-    mu = min(max(mu, 1e-6), 1 - 1e-6)
-    k = np.arange(n + 1)
-    comb = np.array([math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in k])
-    if rho <= 1e-9:
-        return np.exp(comb + k * math.log(mu) + (n - k) * math.log(1 - mu))
-    s = (1 - rho) / rho
-    a, b = mu * s, (1 - mu) * s
-    lb = lambda p, q: math.lgamma(p) + math.lgamma(q) - math.lgamma(p + q)
-    return np.exp(comb + np.array([lb(i + a, n - i + b) - lb(a, b) for i in k]))
-
-
-def betabinomial_quantile(n: int, mu: float, rho: float, q: float) -> int:
-    """Number of values whose distribution function lies below q."""
-    return int((np.cumsum(betabinomial_pmf(n, mu, rho)) < q - 1e-12).sum())
-
-
-def gamma_cdf(x: float, shape: float) -> float:
-    """Regularised lower incomplete gamma function, by series or continued fraction."""
-    if x <= 0:
-        return 0.0
-    lead = math.exp(shape * math.log(x) - x - math.lgamma(shape))
-    if x < shape + 1:
-        term = total = 1 / shape
-        i = shape
-        while abs(term) > 1e-15 * abs(total):
-            i += 1
-            term *= x / i
-            total += term
-        return min(1.0, lead * total)
-    b, c = x + 1 - shape, 1e300
-    d = h = 1 / b
-    i = 0
-    while True:  # terms shrink geometrically once i exceeds x
-        i += 1
-        an = -i * (i - shape)
-        b += 2
-        d = 1 / (an * d + b)
-        c = b + an / c
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return max(0.0, 1 - lead * h)
-
-
-def gamma_quantile(q: float, mean: float, var: float) -> float:
-    """Quantile of the gamma distribution with this mean and variance, by bisection."""
-    if mean <= 0 or var <= 0:
-        return max(mean, 0.0)
-    shape, scale = mean * mean / var, var / mean
-    low, high = 0.0, 1.0
-    while gamma_cdf(high, shape) < q:
-        high *= 2
-    for _ in range(100):
-        mid = (low + high) / 2
-        low, high = (mid, high) if gamma_cdf(mid, shape) < q else (low, mid)
-    return (low + high) / 2 * scale
-
-
-def negative_binomial_quantile(q: float, mean: float, var: float) -> int:
-    if mean <= 0:
-        return 0
-    var = max(var, mean * 1.000001)
-    r, p = mean * mean / (var - mean), mean / var
-    k, term = 0, math.exp(r * math.log(p))
-    total = term
-    if mean > 1e4 or not term:  # steps of one would be many, or the first term is below the smallest number
-        return _by_halves(q, r, p, mean, var)
-    while total < q:
-        term *= (k + r) / (k + 1) * (1 - p)
-        k += 1
-        total += term
-        if k > mean and term < 1e-18:  # what is left cannot reach q in these numbers
+# ---------------------------------------------------------------- weights of sources
+
+
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weights w >= 0 that minimise w a w / 2 - b w, by active sets (Lawson and Hanson): a source enters while the gradient says so, and leaves where its weight would be negative."""
+    k = len(b)
+    w, on = np.zeros(k), np.zeros(k, bool)
+    scale = np.abs(b).max(initial=0.0)
+    for _ in range(30 * k + 30):
+        slope = b - a @ w
+        slope[on] = -np.inf
+        if on.all() or slope.max() <= 1e-12 * scale:
             break
-    return k
+        on[slope.argmax()] = True
+        while True:
+            s = np.zeros(k)
+            s[on] = np.linalg.lstsq(a[np.ix_(on, on)], b[on], rcond=None)[0]
+            bad = on & (s <= 0)
+            if not bad.any():
+                w = s
+                break
+            step = (w[bad] / (w[bad] - s[bad])).min()
+            w = np.maximum(w + step * (s - w), 0)
+            on &= w > 1e-14 * max(w.max(initial=0.0), 1e-300)
+            if not on.any():
+                break
+    return w
+
+
+def nnls_weights(df: DataFrame, by: list[str], sources: list[str], actual: str, normalise: bool = False) -> DataFrame:
+    """by, n, weights (map of source to weight): non-negative least squares of any number of sources without intercept, on rows that have all of them, from one pass."""
+    cols = [*sources, actual]
+    x = [F.col(c).cast("double") for c in cols]
+    m = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in cols)).groupBy(*by).agg(F.count("*").alias("n"), F.array(*(F.sum(a * b) for i, a in enumerate(x) for b in x[i:])).alias("products"))
+
+    @F.pandas_udf("array<double>")
+    def run(products: pd.Series) -> pd.Series:
+        out = []
+        for p in products:
+            q = symmetric(p, len(cols))
+            w = nnls(q[:-1, :-1], q[:-1, -1])
+            out.append((w / w.sum() if normalise and w.sum() > 0 else w).tolist())
+        return pd.Series(out)
+
+    return m.select(*by, "n", F.map_from_arrays(F.array(*map(F.lit, sources)), run("products")).alias("weights"))
+
+
+def sweep(m: np.ndarray, k: int) -> np.ndarray:
+    """Sweeps row and column k of a symmetric matrix in; the same again, with the sign of its pivot turned, takes it out."""
+    d = m[k, k]
+    out = m - np.outer(m[:, k], m[k]) / d
+    out[k], out[:, k] = m[k] / d, m[:, k] / d
+    out[k, k] = -1 / d
+    return out
+
 
+def subsets(n: float, mean: np.ndarray, products: np.ndarray, most: int) -> Iterator[tuple[tuple[int, ...], np.ndarray, float]]:
+    """(columns, coefficients with intercept, R2) of least squares on every subset of at most `most` columns: each is its parent with one more swept in, and a column
+    that the parent explains (by all but 1e-10 of its variance) makes no new subset."""
+    k = len(mean) - 1
+    total = products[-1, -1]
 
-def _by_halves(q: float, r: float, p: float, mean: float, var: float) -> int:
-    """The smallest k whose distribution function reaches q, summed outwards from the mode over 40 deviations."""
-    mode = max(0, math.floor((r - 1) * (1 - p) / p)) if r > 1 else 0
-    wide = math.ceil(40 * math.sqrt(var)) + 10
-    k = np.arange(max(0, mode - wide), mode + wide + 1, dtype=float)
-    steps = np.log(k[:-1] + r) - np.log(k[1:]) + math.log1p(-p)
-    logs = np.r_[0.0, np.cumsum(steps)]
-    f = np.exp(logs - logs.max())
-    return int(k[np.searchsorted(np.cumsum(f) / f.sum(), q)])
+    def grow(cols: tuple[int, ...], m: np.ndarray):
+        if cols:
+            b = m[list(cols), -1]
+            yield cols, np.r_[mean[-1] - b @ mean[list(cols)], b], float(1 - m[-1, -1] / total) if total > 0 else float("nan")
+        if len(cols) < most:
+            for j in range(cols[-1] + 1 if cols else 0, k):
+                if m[j, j] > 1e-10 * max(products[j, j], 1e-300):
+                    yield from grow((*cols, j), sweep(m, j))
 
+    yield from grow((), products.copy())
 
-def interval(mean: str, var: str, q: float, family: str = "gamma") -> Column:
-    """A quantile column by an Arrow UDF: inverse distribution functions have no built-in form."""
-    one = gamma_quantile if family == "gamma" else negative_binomial_quantile
 
-    @F.pandas_udf("double")
-    def run(m: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(a) or pd.isna(b) else float(one(q, a, b)) for a, b in zip(m, v)], dtype="float64")
+def weight_finder(df: DataFrame, by: str, sources: list[str], actual: str, most: int | None = None) -> DataFrame:
+    """by, sources (names joined by +), n, term, value, r2 of least squares of `actual` on every combination of sources, from one moment matrix a group."""
+    most = len(sources) if most is None else most
+    kind = df.schema[by].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for g, n, mean, products in zip(pdf[by], pdf["n"], pdf["mean"], pdf["products"]):
+                out = []
+                for cols, beta, r2 in subsets(n, np.asarray(mean), symmetric(products, len(sources) + 1), most):
+                    names = [sources[c] for c in cols]
+                    out += [(g, "+".join(names), int(n), t, float(v), r2) for t, v in zip(["intercept", *names], beta)]
+                yield pd.DataFrame(out, columns=[by, "sources", "n", "term", "value", "r2"])
 
-    return run(mean, var)
+    return moments(df, by, [*sources, actual]).mapInPandas(run, f"`{by}` {kind}, sources string, n long, term string, value double, r2 double")
 
 
 def fit_variance(df: DataFrame, mean: str, residual: str) -> tuple[float, float]:
     """phi, 1/k of Var = phi mu + mu^2 / k, both non-negative, from one aggregate."""
     m, v = F.col(mean), F.col(residual) ** 2
     r = df.where(F.col(mean).isNotNull() & F.col(residual).isNotNull()).agg(F.sum(m * m).alias("aa"), F.sum(m * m * m).alias("ab"), F.sum(m * m * m * m).alias("bb"), F.sum(m * v).alias("ay"), F.sum(m * m * v).alias("by")).first()
-    return nnls2(*(float(r[k] or 0) for k in ("aa", "ab", "bb", "ay", "by")))
+    aa, ab, bb, ay, by = (float(r[k] or 0) for k in ("aa", "ab", "bb", "ay", "by"))
+    phi, inverse = nnls(np.array([[aa, ab], [ab, bb]]), np.array([ay, by]))
+    return float(phi), float(inverse)
 
 
 def save(coefs: DataFrame, path: str) -> None:

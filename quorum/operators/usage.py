@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expr import clip, nan_to_null, safe_ratio, shrunk
@@ -168,16 +167,6 @@ def evidence(df: DataFrame, by: str, arm: str, volume: str, games: str, changed:
     return x.withColumn("usg_evidence", text).withColumn("usg_thin", F.col("usg_evidence") != "").drop("_at", "_cut")
 
 
-def games_interval(mean: str, slate: int, rho: float, q: float):
-    """Quantile of games played, Beta-Binomial with the expected share of the slate, by an Arrow UDF."""
-
-    @F.pandas_udf("int")
-    def run(m: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(x) else model.betabinomial_quantile(slate, min(max(x / slate, 0.0), 1.0), rho, q) for x in m], dtype="Int32")
-
-    return run(mean)
-
-
 def dispersion(df: DataFrame, by: str, expected: str, actual: str, slate: float) -> DataFrame:
     """by, rho: the intra-class correlation that a Beta-Binomial needs for the residuals' spread, by moments, within [0, 0.95]."""
     p = F.col(expected) / slate

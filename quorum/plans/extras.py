@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import expr as e
-from ..operators import evaluate, history, joins, shape, tendencies, windows
+from ..operators import evaluate, history, joins, model, shape, tendencies, windows
 from ..sources import landed
 from .modelling import _GAMES, _PICKS, _facts, _picks
 from .registry import query
@@ -196,10 +196,24 @@ def team_measures(t):
     return _facts(t).groupBy("team").agg(m(s).alias("score"), m(a).alias("against"), F.count_if(o == 1).alias("wins"), F.count_if(o == 0).alias("ties"), F.count_if(o == -1).alias("losses"), F.round(F.stddev_samp(s), 6).alias("sd"), F.max(s).alias("best"), F.min(s).alias("worst"), F.round(F.median(s), 6).alias("median"), m(s - a).alias("margin"), m(F.abs(s - a)).alias("closeness"), F.count_if(F.abs(s - a) < 50).alias("close_games"), F.count_if(s > 600).alias("big_games"), F.sum(s).alias("total"), F.count_distinct("opponent").alias("opponents"))
 
 
-@query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 5) AS slope, round(regr_r2(l_extendedprice, l_quantity), 9) AS r2 FROM lineitem GROUP BY 1")
+def _pair(a, b):
+    """Least squares of two regressors by Cramer's rule on their covariances."""
+    return f"SELECT l_returnflag, '{a}+{b}' AS sources, n, unnest(['intercept', '{a}', '{b}']) AS term, unnest([my - p * m{a} - q * m{b}, p, q]) AS value, (p * c{a}y + q * c{b}y) / cyy AS r2 FROM (SELECT *, (c{a}y * c{b}{b} - c{b}y * c{a}{b}) / (c{a}{a} * c{b}{b} - c{a}{b} * c{a}{b}) AS p, (c{b}y * c{a}{a} - c{a}y * c{a}{b}) / (c{a}{a} * c{b}{b} - c{a}{b} * c{a}{b}) AS q FROM (SELECT l_returnflag, count(*) AS n, avg(y) AS my, avg({a}) AS m{a}, avg({b}) AS m{b}, var_pop({a}) AS c{a}{a}, var_pop({b}) AS c{b}{b}, covar_pop({a}, {b}) AS c{a}{b}, covar_pop({a}, y) AS c{a}y, covar_pop({b}, y) AS c{b}y, var_pop(y) AS cyy FROM d GROUP BY 1))"
+
+
+def _single(a):
+    return f"SELECT l_returnflag, '{a}' AS sources, count(*) AS n, unnest(['intercept', '{a}']) AS term, unnest([regr_intercept(y, {a}), regr_slope(y, {a})]) AS value, regr_r2(y, {a}) AS r2 FROM d GROUP BY 1"
+
+
+_SOURCES = ("q", "d", "s")
+_D = "WITH d AS (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS d, CAST(l_suppkey % 17 AS DOUBLE) AS s FROM lineitem)"
+
+
+@query(f"{_D} SELECT l_returnflag, sources, n, term, round(value, 4) AS value, round(r2, 9) AS r2 FROM ({' UNION ALL '.join([*(_single(a) for a in _SOURCES), *(_pair(a, b) for a, b in (('q', 'd'), ('q', 's'), ('d', 's')))])})")
 def weight_finder(t):
-    g = t.lineitem.groupBy("l_returnflag").agg(F.regr_slope("l_extendedprice", "l_quantity").alias("slope"), F.regr_r2("l_extendedprice", "l_quantity").alias("r2"))
-    return g.select("l_returnflag", r("slope", 5), r("r2", 9))
+    """Every single source and pair; all three are in the operator's tests."""
+    x = t.lineitem.select("l_returnflag", F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), (F.col("l_suppkey") % 17).alias("s"))
+    return model.weight_finder(x, "l_returnflag", list(_SOURCES), "y", most=2).withColumns({"value": F.round("value", 4), "r2": F.round("r2", 9)})
 
 
 # ---------------------------------------------------------------- more tendencies

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import expr as e
+from ..functions import distributions, expr as e
 from ..operators import evaluate, history, model, simulate, tendencies
 from ..sources.scratch import written
 from .registry import query
@@ -93,6 +93,23 @@ def walk_forward(t):
     return evaluate.mae(p, "season", "l_extendedprice", ["prediction"]).select("season", F.round("mae_prediction", 3).alias("mae"), "n")
 
 
+# a customer's year against its year before: a veteran has one, a rookie is known by its account alone
+_CAREERS = "ca AS (SELECT o_custkey AS id, CAST(year(o_orderdate) AS INTEGER) AS season, sum(o_totalprice) / 1000 AS y, CAST(max(c_acctbal) AS DOUBLE) AS known FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), cf AS (SELECT c.*, p.y AS last, CASE WHEN p.y IS NULL THEN 'rookie' ELSE 'veteran' END AS arm FROM ca c LEFT JOIN ca p ON p.id = c.id AND p.season = c.season - 1)"
+
+
+def _careers(t):
+    x = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("season")).agg((F.sum("o_totalprice") / 1000).alias("y"), F.max("c_acctbal").cast("double").alias("known"))
+    w = Window.partitionBy("id").orderBy("season").rangeBetween(-1, -1)
+    x = x.withColumn("last", F.max("y").over(w))
+    return written(x.withColumn("arm", F.when(F.col("last").isNull(), "rookie").otherwise("veteran")))
+
+
+@query(f"WITH {_CAREERS}, x AS (SELECT *, CASE arm WHEN 'veteran' THEN last ELSE known END AS q FROM cf), m AS (SELECT s.season, s.arm, count(*) AS n, regr_slope(x.y, x.q) AS b, regr_intercept(x.y, x.q) AS a, regr_syy(x.y, x.q) - regr_slope(x.y, x.q) * regr_sxy(x.y, x.q) AS rest FROM (SELECT DISTINCT season, arm FROM x) s JOIN x ON x.arm = s.arm AND x.season < s.season GROUP BY ALL HAVING count(*) >= 3), p AS (SELECT x.*, CASE WHEN a IS NOT NULL THEN greatest(0, a + b * q) END AS g, sqrt(rest / (m.n - 2)) AS sd FROM x LEFT JOIN m ON m.season = x.season AND m.arm = x.arm) SELECT season, arm, count(*) AS n, count(g) AS spoke, count(*) FILTER (WHERE y >= greatest(0, g - 1.2815515655446004::DOUBLE * sd) AND y <= g + 1.2815515655446004::DOUBLE * sd) AS covered, count(*) FILTER (WHERE y < greatest(0, g - 1.2815515655446004::DOUBLE * sd)) AS below, count(*) FILTER (WHERE y > g + 1.2815515655446004::DOUBLE * sd) AS above, round(avg(abs(y - g)), 5) AS mae, round(max(sd), 5) AS sigma FROM p GROUP BY ALL")
+def walk_forward_coverage(t):
+    x = model.walk_forward(_careers(t), "season", "arm", {"veteran": ["last"], "rookie": ["known"]}, "y", 1.2815515655446004)
+    return x.select("season", "arm", "n", "spoke", "covered", "below", "above", F.round("mae", 5).alias("mae"), F.round("sigma", 5).alias("sigma"))
+
+
 @query("WITH r AS (SELECT p_type, rank() OVER (PARTITION BY p_type ORDER BY p_size DESC) + (count(*) OVER (PARTITION BY p_type, p_size) - 1) / 2.0 AS x, rank() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC) + (count(*) OVER (PARTITION BY p_type, p_retailprice) - 1) / 2.0 AS y FROM part) SELECT p_type, count(*) AS n, round(corr(x::DOUBLE, y::DOUBLE), 9) AS rho FROM r GROUP BY p_type")
 def spearman_in_group(t):
     return evaluate.spearman(t.part, "p_type", "p_size", "p_retailprice").withColumn("rho", F.round("rho", 9))
@@ -152,7 +169,7 @@ def decision_rule(t):
 @query()
 def stat_intervals(t):
     x = t.lineitem.groupBy("l_partkey").agg(F.avg("l_quantity").alias("m"), F.var_samp("l_quantity").alias("v"))
-    return x.select("l_partkey", model.interval("m", "v", 0.1).alias("low"), model.interval("m", "v", 0.9).alias("high"), model.interval("m", "v", 0.9, "negative binomial").alias("high_count"))
+    return x.select("l_partkey", distributions.interval("m", "v", 0.1).alias("low"), distributions.interval("m", "v", 0.9).alias("high"), distributions.interval("m", "v", 0.9, "negative binomial").alias("high_count"))
 
 
 # ---------------------------------------------------------------- history: nations meet in pairs every month, by their order values

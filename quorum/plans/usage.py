@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import expr as e
+from ..functions import distributions, expr as e
 from ..operators import evaluate, features, model, usage
 from .registry import query
 
@@ -189,7 +189,7 @@ def thin_evidence(t):
 @query()
 def games_intervals(t):
     x = _predicted(t).where("expected_games IS NOT NULL")
-    return x.select("id", "season", usage.games_interval("expected_games", 20, 0.05, 0.1).alias("low"), usage.games_interval("expected_games", 20, 0.05, 0.9).alias("high"))
+    return x.select("id", "season", distributions.games_interval("expected_games", 20, 0.05, 0.1).alias("low"), distributions.games_interval("expected_games", 20, 0.05, 0.9).alias("high"))
 
 
 _HELD = f"{_FRAME}, m AS (SELECT pos, regr_slope(games, p1_games) AS b, regr_intercept(games, p1_games) AS a FROM fr WHERE season <= (SELECT max(season) FROM fr) - 2 AND p1_games IS NOT NULL GROUP BY pos), ho AS (SELECT fr.*, greatest(0, a + b * p1_games) AS guess FROM fr JOIN m USING (pos) WHERE season > (SELECT max(season) FROM fr) - 2 AND p1_games IS NOT NULL)"
@@ -245,7 +245,8 @@ def spearman_without(t):
 
 @query(f"WITH {_EV}, m AS (SELECT CAST(k % 2 AS INTEGER) AS half, count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS by_ FROM ev WHERE b IS NOT NULL AND y IS NOT NULL GROUP BY 1), s AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS p, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS q, greatest(0, ay / aa) AS wa, greatest(0, by_ / bb) AS wb FROM m) SELECT half, n, round(CASE WHEN p >= 0 AND q >= 0 THEN p WHEN wa * ay - wa * wa * aa / 2 >= wb * by_ - wb * wb * bb / 2 THEN wa ELSE 0 END, 6) AS weight_a, round(CASE WHEN p >= 0 AND q >= 0 THEN q WHEN wa * ay - wa * wa * aa / 2 >= wb * by_ - wb * wb * bb / 2 THEN 0 ELSE wb END, 6) AS weight_b FROM s")
 def split_half_weights(t):
-    return evaluate.nnls_weights(evaluate.split_half(_ev(t), "k", "a", "b", "y")).select("half", "n", r("weight_a", 6), r("weight_b", 6))
+    x = _ev(t).withColumn("half", (F.col("k") % 2).cast("int"))
+    return model.nnls_weights(x, ["half"], ["a", "b"], "y").select("half", "n", F.round(F.col("weights")["a"], 6).alias("weight_a"), F.round(F.col("weights")["b"], 6).alias("weight_b"))
 
 
 @query(f"WITH {_BASE}, p AS (SELECT pos, quantile_cont(games, 0.95) AS n FROM se GROUP BY pos) SELECT pos, n, round(6 / (n + 6), 8) AS prior_weight FROM p")

@@ -2,10 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quorum.functions import expr as e
+from quorum.functions import distributions, expr as e
 from quorum.operators import blend, board, features, history, joins, model, windows
 from quorum.sources import store
-from quorum.streaming import incremental
 
 
 def vals(df, *cols):
@@ -73,9 +72,8 @@ def test_models(spark):
     x = spark.createDataFrame([("g", float(i), float(i % 3), 2.0 * i - (i % 3) + 1) for i in range(30)], "g string, a double, b double, y double")
     c = {r.term: round(r.value, 6) for r in model.fit(x, "g", ["a", "b"], "y").collect()}
     assert c == {"intercept": 1.0, "a": 2.0, "b": -1.0}
-    assert abs(model.betabinomial_pmf(17, 0.7, 0.2).sum() - 1) < 1e-9
-    assert abs(model.gamma_cdf(model.gamma_quantile(0.3, 4, 2) / 0.5, 8) - 0.3) < 1e-9
-    assert model.nnls2(1, 0, 1, -1, 2) == (0.0, 2.0)
+    assert abs(distributions.gamma_cdf(distributions.gamma_quantile(0.3, 4, 2) / 0.5, 8)[0] - 0.3) < 1e-9
+    assert model.nnls(np.array([[1.0, 0], [0, 1]]), np.array([-1.0, 2])).tolist() == [0.0, 2.0]
 
 
 def test_leak_guard(spark):

@@ -4,7 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quorum.operators import board, model, usage
+from quorum.functions import distributions
+from quorum.operators import board, model
 from quorum.sources import landed, store
 from quorum.streaming import incremental
 
@@ -110,17 +111,6 @@ def test_model_files_and_variance(spark, tmp_path):
     assert abs(phi - 2) < 1e-6 and abs(inv - 0.25) < 1e-6
 
 
-def test_quantiles():
-    import math
-
-    for mean, var in ((3.0, 9.0), (200.0, 900.0), (250_000.0, 4e6), (0.5, 0.5)):
-        k = model.negative_binomial_quantile(0.9, mean, var)
-        assert abs(k - mean) <= 4 * math.sqrt(var) and k >= 0
-    assert abs(model.negative_binomial_quantile(0.5, 250_000.0, 4e6) - 250_000) < 20
-    assert model.negative_binomial_quantile(0.9, 9_000.0, 1e6) == model._by_halves(0.9, 9_000.0**2 / (1e6 - 9_000.0), 9_000.0 / 1e6, 9_000.0, 1e6)
-    assert abs(model.gamma_cdf(50.0, 50.0) - 0.5188) < 1e-3
-
-
 def test_tiers_match_brute_force():
     import itertools
 
@@ -142,7 +132,7 @@ def test_tiers_match_brute_force():
 
 def test_games_interval(spark):
     df = spark.createDataFrame([(0.0,), (8.5,), (17.0,), (None,)], "m double")
-    got = [r[0] for r in df.select(usage.games_interval("m", 17, 0.05, 0.5)).collect()]
+    got = [r[0] for r in df.select(distributions.games_interval("m", 17, 0.05, 0.5)).collect()]
     assert got[0] == 0 and 8 <= got[1] <= 9 and got[2] == 17 and got[3] is None
 
 
