@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import IntegerType
 
 from .present import global_ranks
+from .ranges import clusters
 
 
 def flex_ranks(df: DataFrame, group: str, points: str, ident: str, slots: DataFrame, openings: int) -> DataFrame:
@@ -59,56 +57,12 @@ def value_over_replacement(df: DataFrame, group: str, points: str, ranks: DataFr
     return x.withColumn("vor", F.col(points) - base)
 
 
-def exact_tiers(values: np.ndarray, low: int = 2, high: int = 8) -> np.ndarray:
-    """Tiers of one group: exact one-dimensional k-means by dynamic programming, tier 1 the highest; k = round(n / 6) in [low, high]."""
-    n = len(values)
-    distinct = np.unique(values)
-    if len(distinct) < 2:
-        return np.ones(n, int)
-    k = int(min(max(low, min(high, round(n / 6))), len(distinct)))
-    x, w = np.unique(values, return_counts=True)
-    c0, c1, c2 = (np.r_[0, np.cumsum(v)] for v in (w, w * x, w * x * x))
-
-    def cost(i, j):  # of x[i:j]
-        m = c0[j] - c0[i]
-        return c2[j] - c2[i] - (c1[j] - c1[i]) ** 2 / m
-
-    m = len(x)
-    best = np.r_[0.0, cost(np.zeros(m, int), np.arange(1, m + 1))]
-    cuts = []
-    for t in range(2, k + 1):
-        new, arg = np.full(m + 1, np.inf), np.zeros(m + 1, int)
-        # the best cut never moves left as the end moves right: halves of the range search halves of the cuts
-        todo = [(t, m, t - 1, m - 1)]
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
-            j = (lo + hi) // 2
-            i = np.arange(a, min(b, j - 1) + 1)
-            v = best[i] + cost(i, j)
-            at = int(v.argmin())
-            new[j], arg[j] = v[at], i[at]
-            todo += [(lo, j - 1, a, int(i[at])), (j + 1, hi, int(i[at]), b)]
-        best = new
-        cuts.append(arg)
-    label, j = np.zeros(m, int), m
-    for t, arg in zip(range(k, 1, -1), cuts[::-1]):
-        label[arg[j] : j] = t - 1
-        j = arg[j]
-    return (k - label)[np.searchsorted(x, values)]
-
-
 def assign_tiers(df: DataFrame, group: str, points: str, keep: list[str]) -> DataFrame:
-    """keep, group, points and tier; O(k m log m) for a group of m distinct values, which one task holds."""
-    schema = df.select(*keep, group, points).schema.add("tier", IntegerType())
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf.copy()
-        out["tier"] = exact_tiers(pdf[points].to_numpy(float))
-        return out
-
-    return df.select(*keep, group, points).where(F.col(points).isNotNull()).groupBy(group).applyInPandas(run, schema)
+    """keep, group, points and tier, 1 the highest: exact one-dimensional k-means of each group (ranges.clusters), of which no task holds the rows."""
+    x = df.select(*keep, group, points).where(F.col(points).isNotNull())
+    cuts = clusters(x, group, points).select(F.col(group).alias("_g"), "cuts")
+    tier = 1 + F.size(F.filter("cuts", lambda c: c > F.col(points).cast("double")))
+    return x.join(cuts, F.col(group).eqNullSafe(F.col("_g"))).withColumn("tier", tier.cast("int")).drop("_g", "cuts")
 
 
 def plateau(df: DataFrame, value: str, by: str, least: float = 0.05) -> DataFrame:

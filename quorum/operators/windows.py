@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranges import quantiles
+
 
 def _by(keys) -> list:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -49,10 +51,10 @@ def running_sum(value: str, by, order) -> Column:
 
 
 def fill_median(df: DataFrame, value: str, by: str, out: str, default: float | None = None) -> DataFrame:
-    """Group median, else the whole median, else a constant, in place of null; the whole median is one aggregated row."""
-    g = df.groupBy(by).agg(F.median(value).alias("_group"))
-    whole = df.agg(F.median(value).alias("_whole"))
-    x = df.join(g.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left").crossJoin(whole)
+    """Group median, else the whole median, else a constant, in place of null; medians are exact and no buffer holds a group's values (ranges.quantiles)."""
+    g = quantiles(df, by, value, [0.5]).select(F.col(by).alias("_by"), F.col("quantiles")[0].alias("_group"))
+    whole = quantiles(df, None, value, [0.5]).agg(F.max(F.col("quantiles")[0]).alias("_whole"))  # one row, also of an empty table
+    x = df.join(g, F.col(by).eqNullSafe(F.col("_by")), "left").crossJoin(whole)
     return x.withColumn(out, F.coalesce(value, "_group", "_whole", F.lit(default).cast("double"))).drop("_by", "_group", "_whole")
 
 
