@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .present import global_ranks
 from .ranges import clusters
+from .shape import constants
 
 
 def flex_ranks(df: DataFrame, group: str, points: str, ident: str, slots: DataFrame, openings: int) -> DataFrame:
@@ -38,7 +39,7 @@ def replacement_ranks(df: DataFrame, group: str, points: str, ident: str, slots:
     opened = {r["slot"]: teams * int(r["n"]) for r in slots.where(F.col("slot").isin(*flex)).groupBy("slot").agg(F.sum("count").alias("n")).collect()}  # a handful of slots
     by = Window.partitionBy(group).orderBy(F.col(points).desc(), ident)
     for slot, n in sorted(opened.items()):
-        even = df.sparkSession.createDataFrame([(g, n / len(flex[slot])) for g in flex[slot]], f"`{group}` string, _even double")
+        even = constants(df.sparkSession, [(g, n / len(flex[slot])) for g in flex[slot]], f"`{group}` string, _even double")
         x = df.where(F.col(group).isin(*flex[slot]) & F.col(points).isNotNull()).join(own, group, "left").withColumn("_beyond", F.row_number().over(by) - F.coalesce("_ded", F.lit(0)))
         won = x.where((F.col("_beyond") >= 1) & (F.col("_beyond") <= n)).orderBy(F.col(points).desc(), ident).limit(n).groupBy(group).agg(F.count("*").alias("_won"))
         filled = won.agg(F.coalesce(F.sum("_won"), F.lit(0)).alias("_filled"))

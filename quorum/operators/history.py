@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def team_facts(games: DataFrame, period: str, home: str, away: str, home_score: str, away_score: str) -> DataFrame:
@@ -102,13 +102,26 @@ def luck(facts: DataFrame, period: str, week: str) -> DataFrame:
     return x.select(*facts.columns, *(f"luck_{k}" for k in terms), total.alias("luck"))
 
 
-def remaining_difficulty(schedule: DataFrame, strength: DataFrame) -> DataFrame:
-    """Mean of the opponents' strengths still to come, each scaled to [0, 1] over all opponents."""
-    names = [c for c in strength.columns if c != "opponent"]
-    w = Window.partitionBy()
-    s = strength.select("opponent", *(F.try_divide(F.col(n) - F.min(n).over(w), F.max(n).over(w) - F.min(n).over(w)).alias(n) for n in names))
-    x = schedule.join(s, "opponent").groupBy("team").agg(*(F.avg(n).alias(n) for n in names))
-    return x.withColumn("difficulty", sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names))
+def remaining_difficulty(schedule: DataFrame, played: DataFrame, power: DataFrame) -> DataFrame:
+    """team, opp_points_for, opp_win_pct, opp_power_rank, difficulty: what the opponents still to come have shown, per team of a schedule (team, opponent).
+
+    played: team, score, outcome of games so far; power: team, power.  Means pool the opponents' games (win percentage: decided ones), an opponent counts as often
+    as it is met.  Each mean is scaled over the teams' means onto the range of the teams' own values, the lower end where it does not vary; difficulty is the mean
+    of the three.
+    """
+    won, lost = F.count_if(F.col("outcome") == 1), F.count_if(F.col("outcome") == -1)
+    own = played.groupBy(F.col("team").alias("opponent")).agg(F.count("*").alias("_n"), F.sum("score").alias("_points"), won.alias("_won"), (won + lost).alias("_decided")).join(power.withColumnRenamed("team", "opponent"), "opponent")
+    pct = lambda w, d: F.coalesce(F.try_divide(w, d), F.lit(0.0))
+    values = {"opp_points_for": F.col("_points") / F.col("_n"), "opp_win_pct": pct(F.col("_won"), F.col("_decided")), "opp_power_rank": F.col("power")}
+    bounds = own.agg(*(f(v).alias(f"{p}{c}") for c, v in values.items() for p, f in (("_low_", F.min), ("_high_", F.max))))  # one row
+    x = schedule.join(own, "opponent").groupBy("team").agg((F.sum("_points") / F.sum("_n")).alias("opp_points_for"), pct(F.sum("_won"), F.sum("_decided")).alias("opp_win_pct"), F.avg("power").alias("opp_power_rank"))
+    w = Window.partitionBy()  # a row a team
+
+    def scaled(c: str) -> Column:
+        low, high = F.min(c).over(w), F.max(c).over(w)
+        return F.col(f"_low_{c}") + F.coalesce(F.try_divide(F.col(c) - low, high - low), F.lit(0.0)) * (F.col(f"_high_{c}") - F.col(f"_low_{c}"))
+
+    return x.crossJoin(bounds).select("team", *values, (sum((scaled(c) for c in values), F.lit(0.0)) / 3).alias("difficulty"))
 
 
 def year_adjusted(df: DataFrame, year: str, score: str, base_year: int):
@@ -168,14 +181,21 @@ def division_standings(facts: DataFrame, division: str) -> DataFrame:
     return g.withColumn("place", F.row_number().over(Window.partitionBy(division).orderBy(F.col("wins").desc(), F.col("points").desc(), "team")))
 
 
-def power_ranking(facts: DataFrame, period: str, last: int) -> DataFrame:
-    """Dominance: own wins and those of the teams beaten (two steps), scaled by recency of the last periods, per team."""
-    won = facts.where((F.col("outcome") == 1)).select("team", "opponent", F.col(period).alias("_p"))
-    one = won.groupBy("team").agg(F.count("*").alias("_one"))
-    two = won.alias("a").join(won.select(F.col("team").alias("opponent"), F.col("opponent").alias("_next")).alias("b"), "opponent").groupBy("team").agg(F.count("*").alias("_two"))
-    recent = facts.groupBy("team").agg(F.avg(F.when(F.col(period) > last, F.col("score"))).alias("_recent"), F.avg("score").alias("_mean"))
-    x = recent.join(one, "team", "left").join(two, "team", "left")
-    return x.select("team", (F.coalesce("_one", F.lit(0)) + F.coalesce("_two", F.lit(0)) / 10 + F.coalesce("_recent", "_mean") / 100).alias("power"))
+# The weights of dominance, mean score and mean margin.
+DOMINANCE, SCORED, MARGIN = 0.8, 0.15, 0.05
+
+
+def power_ranking(facts: DataFrame) -> DataFrame:
+    """team, power: two-step dominance (row sums of the matrix of wins and of its square), with the whole parts of mean score and mean margin.
+
+    A row sum of the square is the wins over each opponent times that opponent's wins, so counts per pair meet totals per team and no win meets another.
+    """
+    pairs = facts.where(F.col("outcome") == 1).groupBy("team", "opponent").agg(F.count("*").alias("_n"))
+    wins = pairs.groupBy(F.col("team").alias("opponent")).agg(F.sum("_n").alias("_wins"))
+    dominance = pairs.join(wins, "opponent", "left").groupBy("team").agg(F.sum(F.col("_n") * (1 + F.coalesce("_wins", F.lit(0)))).alias("_d"))
+    mean = facts.groupBy("team").agg(F.avg("score").alias("_s"), F.avg(F.col("score") - F.col("against")).alias("_m"))
+    power = DOMINANCE * F.coalesce("_d", F.lit(0)) + SCORED * F.col("_s").cast("long") + MARGIN * F.col("_m").cast("long")
+    return mean.join(dominance, "team", "left").select("team", F.round(power, 2).alias("power"))
 
 
 def expected_standings(facts: DataFrame, period: str) -> DataFrame:

@@ -24,7 +24,7 @@ def misses(df: DataFrame, source: DataFrame, key: str, points: str, ident: str,
     gone = df.join(source.select(key).distinct(), key, "left_anti")
     w = Window.partitionBy(by).orderBy(F.col(points).desc_nulls_last(), ident)
     x = gone.withColumn("_rn", F.row_number().over(w))
-    listed = F.array_sort(F.collect_list(F.when(F.col("_rn") <= top, F.struct("_rn", F.col(ident).cast("string").alias("i")))))
+    listed = F.array_sort(F.collect_list(F.when(F.col("_rn") <= top, F.struct("_rn", F.col(ident).cast("string").alias("i")))))  # nulls are not collected: `top` at most
     return x.groupBy(by).agg(F.count("*").alias("missing"), F.array_join(F.transform(listed, lambda s: s["i"]), ", ").alias("highest"))
 
 

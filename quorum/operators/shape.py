@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import NumericType
 
 
@@ -45,3 +45,18 @@ def sum_numeric(df: DataFrame, by: list[str]) -> DataFrame:
     """Sums of all numeric columns."""
     names = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in by]
     return df.groupBy(*by).agg(*(F.sum(c).alias(c) for c in names))
+
+
+def constants(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of constants as VALUES, whose size the planner knows; a table made from Python rows counts as of unknown size and is never broadcast."""
+    def literal(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return str(v).upper()
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else str(v)
+
+    fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
+    names = [n.strip("`") for n, _ in fields]
+    values = ", ".join(f"({', '.join(map(literal, r))})" for r in rows)
+    return spark.sql(f"SELECT {', '.join(f'CAST(c{i} AS {k}) AS `{n}`' for i, (n, (_, k)) in enumerate(zip(names, fields)))} FROM VALUES {values} AS v({', '.join(f'c{i}' for i in range(len(fields)))})")

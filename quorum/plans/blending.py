@@ -41,11 +41,11 @@ def opinions(t: Tables) -> DataFrame:
 
 
 def weights(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(list(WEIGHTS.items()), "source string, weight double")
+    return t.constants(list(WEIGHTS.items()), "source string, weight double")
 
 
 def rules(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(list(RULES.items()), "stat string, points double")
+    return t.constants(list(RULES.items()), "stat string, points double")
 
 
 def scored(t: Tables) -> DataFrame:
@@ -110,7 +110,7 @@ SELECT l_partkey, p_brand, round(sum(value * CASE WHEN o.slot IS NOT NULL THEN o
 def score_by_slot(t):
     x = t.lineitem.groupBy("l_partkey").agg(F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("price")).join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     y = x.unpivot(["l_partkey", "p_brand"], ["qty", "price"], "stat", "value")
-    r = t.spark.createDataFrame(SLOT_RULES, "slot string, stat string, points double")
+    r = t.constants(SLOT_RULES, "slot string, stat string, points double")
     return blend.score_by_slot(y, r, ["l_partkey", "p_brand"], "p_brand", "BASE").withColumn("points", F.round("points", 3))
 
 
@@ -249,6 +249,6 @@ def assign_tiers_kmeans(t):
 @query("WITH n AS (SELECT p_type, p_brand, count(*) AS have FROM part WHERE p_size > 40 GROUP BY ALL), need AS (SELECT * FROM (VALUES ('ECONOMY', 16), ('PROMO', 18), ('LARGE', 14)) v(p_type, want)), g AS (SELECT b.p_brand, need.p_type, need.want FROM need CROSS JOIN (SELECT DISTINCT p_brand FROM part) b) SELECT g.p_brand, g.p_type, CAST(greatest(0, g.want - coalesce(n.have, 0)) AS BIGINT) AS open FROM g LEFT JOIN n ON n.p_type = g.p_type AND n.p_brand = g.p_brand")
 def roster_needs(t):
     have = t.part.where("p_size > 40").groupBy("p_type", "p_brand").agg(F.count("*").alias("have"))
-    need = t.spark.createDataFrame([("ECONOMY", 16), ("PROMO", 18), ("LARGE", 14)], "p_type string, want int")
+    need = t.constants([("ECONOMY", 16), ("PROMO", 18), ("LARGE", 14)], "p_type string, want int")
     g = t.part.select("p_brand").distinct().crossJoin(F.broadcast(need))
     return g.join(have, ["p_type", "p_brand"], "left").select("p_brand", "p_type", F.greatest(F.lit(0).cast("long"), F.col("want") - F.coalesce("have", F.lit(0).cast("long"))).alias("open"))

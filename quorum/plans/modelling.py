@@ -147,7 +147,7 @@ def frame_diff_tolerance(t):
 
 @query("WITH b AS (SELECT * FROM (VALUES ('a', 0, 10), ('b', 10, 30), ('c', 30, 50)) v(band, low, high)), e AS (SELECT band, l_extendedprice - 1500 * l_quantity AS e FROM lineitem JOIN b ON l_quantity > low AND l_quantity <= high) SELECT band, count(*) AS n, round(avg(-e), 4) AS bias, round(stddev_samp(e), 4) AS sd, round(avg(CASE WHEN -e > 0 THEN 1.0 ELSE 0 END), 7) AS share_over, round(median(-e), 4) AS median FROM e GROUP BY band")
 def calibration_bands(t):
-    b = t.spark.createDataFrame([("a", 0, 10), ("b", 10, 30), ("c", 30, 50)], "band string, low int, high int")
+    b = t.constants([("a", 0, 10), ("b", 10, 30), ("c", 30, 50)], "band string, low int, high int")
     r = lambda c, n=4: F.round(c, n).alias(c)
     x = t.lineitem.withColumn("guess", 1500 * F.col("l_quantity"))
     return evaluate.calibration(x, b, "l_quantity", "guess", "l_extendedprice").select("band", "n", r("bias"), r("sd"), r("share_over", 7), r("median"))
@@ -226,6 +226,10 @@ _ONCE = "op AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period,
 
 
 def _lineup_facts(t):
+    return t.once("lineup_facts", lambda: _lineups_played(t))
+
+
+def _lineups_played(t):
     """Facts with line-up measures, one game a team and period (a team drawn twice keeps its first)."""
     k = [(F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("period"), F.col("c_nationkey").alias("team")]
     p = F.col("o_totalprice")
@@ -260,22 +264,24 @@ def year_adjusted_score(t):
     return history.year_adjusted(x, "yr", "score", 1996).select("period", "team", "opponent", F.round("adjusted", 6).alias("adjusted"))
 
 
-_POWER = "won AS (SELECT team, opponent FROM facts WHERE outcome = 1 AND period < 24000), pw AS (SELECT r.team, coalesce(o.one, 0) + coalesce(w.two, 0) / 10 + coalesce(recent, mn) / 100 AS power FROM (SELECT team, avg(CASE WHEN period > 23994 THEN score END) AS recent, avg(score) AS mn FROM facts WHERE period < 24000 GROUP BY team) r LEFT JOIN (SELECT team, count(*) AS one FROM won GROUP BY team) o ON o.team = r.team LEFT JOIN (SELECT a.team, count(*) AS two FROM won a JOIN won b ON b.team = a.opponent GROUP BY a.team) w ON w.team = r.team)"
+def _power(when="true"):
+    return f"won AS (SELECT team, opponent, count(*) AS n FROM facts WHERE outcome = 1 AND {when} GROUP BY ALL), tw AS (SELECT team, sum(n) AS w FROM won GROUP BY 1), dm AS (SELECT won.team, sum(n * (1 + coalesce(w, 0))) AS d FROM won LEFT JOIN tw ON tw.team = won.opponent GROUP BY 1), pw AS (SELECT f.team, round(0.8::DOUBLE * coalesce(max(d), 0) + 0.15::DOUBLE * trunc(avg(score)) + 0.05::DOUBLE * trunc(avg(score - against)), 2) AS power FROM (SELECT * FROM facts WHERE {when}) f LEFT JOIN dm ON dm.team = f.team GROUP BY f.team)"
 
 
-@query(f"WITH {_GAMES}, {_POWER} SELECT team, round(power, 6) AS power FROM pw")
+@query(f"WITH {_GAMES}, {_power()} SELECT team, power FROM pw")
 def power_ranking(t):
-    return history.power_ranking(_facts(t).where("period < 24000"), "period", 23994).select("team", F.round("power", 6).alias("power"))
+    return history.power_ranking(t.once("facts", lambda: _facts(t)))
+
+
+_SCALED = "CASE WHEN max({0}) OVER () > min({0}) OVER () THEN b.l_{0} + ({0} - min({0}) OVER ()) / (max({0}) OVER () - min({0}) OVER ()) * (b.h_{0} - b.l_{0}) ELSE b.l_{0} END"
 
 
-@query(f"WITH {_GAMES}, {_POWER}, s AS (SELECT team AS opponent, avg(score) AS ppg, count(*) FILTER (WHERE outcome = 1) / nullif(count(*) FILTER (WHERE outcome <> 0), 0) AS pct FROM facts WHERE period < 24000 GROUP BY team), j AS (SELECT s.*, pw.power FROM s JOIN pw ON pw.team = s.opponent), n AS (SELECT opponent, (ppg - min(ppg) OVER ()) / (max(ppg) OVER () - min(ppg) OVER ()) AS ppg, (pct - min(pct) OVER ()) / (max(pct) OVER () - min(pct) OVER ()) AS pct, (power - min(power) OVER ()) / (max(power) OVER () - min(power) OVER ()) AS power FROM j) SELECT team, round((avg(ppg) + avg(pct) + avg(power)) / 3, 6) AS difficulty FROM facts JOIN n ON n.opponent = facts.opponent WHERE period >= 24000 GROUP BY team")
+@query(f"WITH {_GAMES}, {_power('period < 24000')}, s AS (SELECT f.team AS opponent, count(*) AS n, sum(score) AS points, count(*) FILTER (WHERE outcome = 1) AS won, count(*) FILTER (WHERE outcome <> 0) AS decided, max(power) AS power FROM facts f JOIN pw ON pw.team = f.team WHERE period < 24000 GROUP BY 1), b AS (SELECT min(points / n) AS l_ppg, max(points / n) AS h_ppg, min(CASE WHEN decided > 0 THEN won / decided ELSE 0 END) AS l_pct, max(CASE WHEN decided > 0 THEN won / decided ELSE 0 END) AS h_pct, min(power) AS l_power, max(power) AS h_power FROM s), a AS (SELECT team, sum(points) / sum(n) AS ppg, CASE WHEN sum(decided) > 0 THEN sum(won) / sum(decided) ELSE 0 END AS pct, avg(power) AS power FROM facts JOIN s ON s.opponent = facts.opponent WHERE period >= 24000 GROUP BY team) SELECT team, round(ppg, 6) AS opp_points_for, round(pct, 6) AS opp_win_pct, round(power, 6) AS opp_power_rank, round(({_SCALED.format('ppg')} + {_SCALED.format('pct')} + {_SCALED.format('power')}) / 3, 6) AS difficulty FROM a CROSS JOIN b")
 def schedule_difficulty(t):
-    f = written(_facts(t))
+    f = t.once("facts", lambda: _facts(t))
     past = f.where("period < 24000")
-    won, lost = F.count_if(F.col("outcome") == 1), F.count_if(F.col("outcome") == -1)
-    s = past.groupBy(F.col("team").alias("opponent")).agg(F.avg("score").alias("ppg"), F.try_divide(won, won + lost).alias("pct"))
-    s = s.join(history.power_ranking(past, "period", 23994).withColumnRenamed("team", "opponent"), "opponent")
-    return history.remaining_difficulty(f.where("period >= 24000").select("team", "opponent"), s).select("team", F.round("difficulty", 6).alias("difficulty"))
+    x = history.remaining_difficulty(f.where("period >= 24000").select("team", "opponent"), past, history.power_ranking(past))
+    return x.select("team", *(F.round(c, 6).alias(c) for c in ("opp_points_for", "opp_win_pct", "opp_power_rank", "difficulty")))
 
 
 @query("WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice AS p, CASE o_orderpriority WHEN '1-URGENT' THEN 'A' WHEN '2-HIGH' THEN 'B' ELSE '' END AS s FROM orders), a AS (SELECT *, s <> '' AND row_number() OVER (PARTITION BY o_custkey, s ORDER BY p DESC, o_orderkey) = 1 AS used FROM o), b AS (SELECT *, used OR row_number() OVER (PARTITION BY o_custkey, used ORDER BY p DESC, o_orderkey) <= 2 AS in_line FROM a) SELECT o_custkey, round(sum(CASE WHEN in_line THEN p ELSE 0 END), 2) AS best, CAST(sum(CASE WHEN in_line THEN 1 ELSE 0 END) AS INTEGER) AS used FROM b GROUP BY o_custkey")

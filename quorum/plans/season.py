@@ -107,9 +107,9 @@ rk AS (SELECT *, rank() OVER (PARTITION BY p_type ORDER BY round(points, 6) DESC
 
 @query(f"WITH {_SEASON} SELECT rk.p_partkey, p_type, round(points, 4) AS points, CAST(pr AS INTEGER) AS pos_rank, round(floor, 4) AS floor, round(ceiling, 4) AS ceiling, coalesce(n, 0) AS n_sources, CAST(pr - ur AS INTEGER) AS usg_delta FROM rk LEFT JOIN sp USING (p_partkey) LEFT JOIN usg USING (p_partkey)")
 def season_projections(t):
-    model = _withdrawn(t).select("p_partkey", F.lit("qty").alias("stat"), F.lit("USG").alias("source"), F.col("u1").alias("value"), F.col("flag").alias("is_imputed"))
-    q = opinions(t).where("stat = 'qty'").unionByName(model)
-    w = weights(t).union(t.spark.createDataFrame([("USG", 0.25)], "source string, weight double"))
+    model = t.once("withdrawn", lambda: _withdrawn(t)).select("p_partkey", F.lit("qty").alias("stat"), F.lit("USG").alias("source"), F.col("u1").alias("value"), F.col("flag").alias("is_imputed"))
+    q = t.once("season_opinions", lambda: opinions(t).where("stat = 'qty'").unionByName(model))
+    w = weights(t).union(t.constants([("USG", 0.25)], "source string, weight double"))
     x = t.part.select("p_partkey", "p_type", "p_brand", F.col("p_size").cast("double").alias("other")).join(blend.weighted(q, w, KEYS).drop("stat"), "p_partkey")
     x = blend.reconcile(x, "value", "other", "p_brand").withColumn("shown", F.round("value", 6))
     x = x.withColumn("pos_rank", windows.rank("min", "shown", "p_type")).join(blend.spread(q, KEYS), "p_partkey", "left")
@@ -136,7 +136,7 @@ def _lineups(t):
     w = blend.impute(w, "fp", "espn", "fp_is_imputed").withColumn("mean", e.row_sum(["fp", "espn"]) / F.nullif(e.row_count(["fp", "espn"]), F.lit(0)))
     w = blend.impute(w, "book", "mean", "book_is_imputed").withColumn("espn_is_imputed", F.lit(False))
     long = w.select("p_partkey", F.inline(F.array(*(F.struct(F.lit("qty").alias("stat"), F.lit(s).alias("source"), F.col(s).alias("value"), F.col(f"{s}_is_imputed").alias("is_imputed")) for s in ("espn", "fp", "book")))))
-    wt = t.spark.createDataFrame([("espn", 0.4), ("fp", 0.4), ("book", 0.2)], "source string, weight double")
+    wt = t.constants([("espn", 0.4), ("fp", 0.4), ("book", 0.2)], "source string, weight double")
     true = blend.weighted(long, wt, KEYS).select("p_partkey", F.col("value").alias("true"))
     shift = F.col("official") - 2 * F.coalesce("espn", F.lit(0.0))
     pts = lambda c: (2 * F.coalesce(F.col(c), F.lit(0.0)) + shift).alias(f"{c}_points")
@@ -171,7 +171,7 @@ def position_rankings(t):
 
 @query(f"WITH {OPINIONS}, own AS (SELECT * FROM (VALUES ('AF', 'qty', 1.0::DOUBLE), ('NF', 'ext', 0.5)) v(source, stat, weight)), j AS (SELECT o.*, coalesce(own.weight, wt.weight, 0) AS w FROM o LEFT JOIN own ON own.source = o.source AND own.stat = o.stat LEFT JOIN wt ON wt.source = o.source AND wt.source <> 'RO'), sums AS (SELECT p_partkey, stat, sum(CASE WHEN NOT is_imputed AND value IS NOT NULL THEN w ELSE 0 END) AS d, sum(CASE WHEN NOT is_imputed THEN coalesce(value, 0) * w ELSE 0 END) AS n, sum(coalesce(value, 0) * w) AS f FROM j GROUP BY ALL) SELECT p_partkey, stat, round(CASE WHEN d > 0 THEN n / d ELSE f END / 7, 3) AS value FROM sums")
 def blend_stat_weights(t):
-    own = t.spark.createDataFrame([("AF", "qty", 1.0), ("NF", "ext", 0.5)], "source string, stat string, weight double")
+    own = t.constants([("AF", "qty", 1.0), ("NF", "ext", 0.5)], "source string, stat string, weight double")
     w = weights(t).where("source <> 'RO'").withColumn("stat", F.lit(None).cast("string")).unionByName(own)
     return blend.weighted(opinions(t), w, KEYS).withColumn("value", F.round(F.col("value") / 7, 3))
 
@@ -218,7 +218,7 @@ _SLOTS = "(VALUES ('ECONOMY', 1), ('PROMO', 2), ('LARGE', 1), ('FLEX', 2), ('BE'
 
 
 def _slots(t):
-    return board.starting_slots(t.spark.createDataFrame([("ECONOMY", 1), ("PROMO", 2), ("LARGE", 1), ("FLEX", 2), ("BE", 5)], "slot string, count int"))
+    return board.starting_slots(t.constants([("ECONOMY", 1), ("PROMO", 2), ("LARGE", 1), ("FLEX", 2), ("BE", 5)], "slot string, count int"))
 
 
 FLEX = {"FLEX": ["PROMO", "LARGE", "SMALL"]}

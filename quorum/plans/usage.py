@@ -18,6 +18,10 @@ def _games(t):
 
 
 def _seasons(t):
+    return t.once("seasons", lambda: _season_totals(t))
+
+
+def _season_totals(t):
     return _games(t).groupBy("id", "season", "team", "pos").agg(F.count("*").alias("games"), F.sum("price").alias("total"), F.avg("price").alias("pg"))
 
 
