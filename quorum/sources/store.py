@@ -8,11 +8,33 @@ import uuid
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..operators.windows import latest_per
 
 
+def watched(df: DataFrame) -> tuple[Observation, DataFrame]:
+    """df with metrics that the job which consumes it fills: rows, and checksums of their hashes that no order or partitioning of the rows changes.
+
+    Columns count by name.  Two hashes, each summed in halves, tell changed rows, and repeated ones, which would cancel in an exclusive or.
+    """
+    def plain(c: str) -> Column:
+        kind = df.schema[c].dataType.simpleString()
+        return F.to_json(c) if "map<" in kind else F.col(f"`{c}`")
+
+    # a null field hashes to nothing, so which fields are null goes in as well
+    cols = [x for c in sorted(df.columns) for x in (plain(c), F.col(f"`{c}`").isNull())]
+    one, two = F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols)
+    halves = {f"{n}{k}": F.sum(F.shiftrightunsigned(h, 32) if k else h.bitwiseAND(F.lit(0xFFFFFFFF))) for n, h in (("a", one), ("b", two)) for k in (0, 1)}
+    seen = Observation()
+    return seen, df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.coalesce(v, F.lit(0)).alias(k) for k, v in halves.items()))
+
+
+def checksum_of(seen: Observation) -> str:
+    got = seen.get
+    return ":".join(f"{got[k]:x}" for k in ("rows", "a0", "a1", "b0", "b1"))
+
+
 class Store:
     """Artifacts below a root that any Hadoop file system can hold.
 
@@ -35,13 +57,17 @@ class Store:
     def folder(self, season: int, league: str) -> str:
         return f"{self.root}/season={season}/league={league}"
 
-    def write(self, season: int, league: str, **artifacts: DataFrame) -> None:
-        """New files first, metadata last; earlier artifacts keep their entries."""
+    def write(self, season: int, league: str, **artifacts: DataFrame) -> dict[str, bool]:
+        """New files first, metadata last; earlier artifacts keep their entries.  Returns which artifacts hold other rows than before, as the writing job itself saw them."""
         folder, meta = self.folder(season, league), self.meta(season, league) or {"artifacts": {}, "number": 0}
+        moved = {}
         for name, df in artifacts.items():
             file = f"{name}-{uuid.uuid4().hex}.parquet"
-            df.write.parquet(f"{folder}/{file}")
-            meta["artifacts"][name] = {"file": file, **described(self.spark.read.parquet(f"{folder}/{file}"))}
+            seen, out = watched(df)
+            out.write.parquet(f"{folder}/{file}")
+            old, new = meta["artifacts"].get(name, {}), checksum_of(seen)
+            moved[name] = old.get("fingerprint") != new
+            meta["artifacts"][name] = {"file": file, "fingerprint": new, **described(self.spark.read.parquet(f"{folder}/{file}"))}
         meta["written_at"] = datetime.now(timezone.utc).isoformat()
         meta["versions"] = {"spark": self.spark.version}
         meta["number"] += 1
@@ -52,6 +78,7 @@ class Store:
         out.close()
         if not fs.rename(stage, p):
             raise FileExistsError(f"{p} was written meanwhile")
+        return moved
 
     def meta(self, season: int, league: str) -> dict | None:
         """The newest metadata, or None where the store is incomplete."""

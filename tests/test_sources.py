@@ -126,3 +126,41 @@ def test_streams_of_counts_and_first_rows(spark, tmp_path):
         df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
     assert {(str(r.start), r.kind, r.n) for r in spark.table("counts").collect()} == {("2024-01-01 10:00:00", "a", 2), ("2024-01-01 11:00:00", "a", 1), ("2024-01-01 10:00:00", "b", 1)}
     assert sorted(r.k for r in spark.table("first").collect()) == [1, 2, 3]
+
+
+def test_data_moved_is_seen_while_writing(spark, tmp_path):
+    """Equal to comparing the tables, in the job that writes: one scan, no join."""
+    import random
+
+    from quorum.operators import joins
+
+    rnd, schema = random.Random(2), "k int, a double, b string, m map<string,int>"
+    rows = [(i, rnd.choice([None, 1.5, i]) and float(rnd.choice([1.5, i])), rnd.choice([None, "x", ""]), {"n": i % 3}) for i in range(60)]
+
+    def change(i):
+        new = list(rows)
+        if i == 1:
+            rnd.shuffle(new)
+        elif i == 2:
+            new[5] = (5, 99.0, new[5][2], new[5][3])
+        elif i == 3:
+            new.pop()
+        elif i == 4:  # two rows exchange a value
+            new[0], new[1] = (0, 7.0, "x", {"n": 0}), (1, 8.0, "x", {"n": 1})
+        elif i == 5:
+            new[9] = (9, new[9][1], None if new[9][2] is not None else "", new[9][3])
+        return new
+
+    for i in range(6):
+        s, df, new = store.Store(spark, f"{tmp_path}/{i}"), spark.createDataFrame(rows, schema), spark.createDataFrame(change(i), schema)
+        assert s.write(2024, "x", board=df) == {"board": True}
+        plain = [x.drop("m") for x in (df, new)]
+        assert s.write(2024, "x", board=new.repartition(1 + i)) == {"board": joins.data_moved(*plain, ["k"], ["a", "b"]).first().fresh}
+        assert s.write(2024, "x", board=new) == {"board": False}
+    assert s.write(2024, "x", board=new.union(new)) == {"board": True}  # repeated rows do not cancel
+    spark.range(9).write.parquet(f"{tmp_path}/p")
+    seen, out = store.watched(spark.read.parquet(f"{tmp_path}/p"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "CollectMetrics" in plan and "Exchange" not in plan
+    out.write.format("noop").mode("overwrite").save()
+    assert store.checksum_of(seen).startswith("9:")
