@@ -59,8 +59,34 @@ def solve(n: float, mean: np.ndarray, products: np.ndarray, ridge: float = 0.0)
     return np.r_[mean[-1] - beta @ mean[:-1], beta], max(rest, 0.0)
 
 
+def _closed(m: DataFrame, by: str, xs: list[str], least: int) -> DataFrame:
+    """solve() of one or two terms as Column arithmetic, which starts no Python worker: the inverse of their correlation matrix, its pseudo-inverse where they are collinear."""
+    n, mean, p = F.col("n"), F.col("mean"), F.col("products")
+    at = (lambda i: F.get(p, F.lit(i)) / n)
+    sd = lambda c: F.sqrt(F.greatest(c, F.lit(0.0)))
+    if len(xs) == 1:
+        s = sd(at(0))
+        betas = [F.when(s > 1e-12, at(1) / (s * s)).otherwise(0.0)]
+    else:
+        a, b = sd(at(0)), sd(at(3))
+        alone = F.when(a > 1e-12, F.struct((at(2) / (a * a)).alias("a"), F.lit(0.0).alias("b"))).when(b > 1e-12, F.struct(F.lit(0.0).alias("a"), (at(4) / (b * b)).alias("b"))).otherwise(F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")))
+        r, u, v = at(1) / (a * b), at(2) / a, at(4) / b
+        det = 1 - r * r
+        pair = lambda x, y: F.struct((x / a).alias("a"), (y / b).alias("b"))
+        both = F.when(det > 1e-13, pair((u - r * v) / det, (v - r * u) / det)).otherwise(pair((u + r * v) / 4, (v + r * u) / 4))
+        m = m.withColumn("_beta", F.when((a > 1e-12) & (b > 1e-12), both).otherwise(alone))
+        betas = [F.col("_beta.a"), F.col("_beta.b")]
+    first = F.get(mean, F.lit(len(xs)))
+    for i, beta in enumerate(betas):
+        first = first - beta * F.get(mean, F.lit(i))
+    rows = F.array(*(F.struct(F.lit(t).alias("term"), v.alias("value")) for t, v in zip(["intercept", *xs], [first, *betas])))
+    return m.where(n >= least).select(by, F.inline(rows))
+
+
 def _solved(m: DataFrame, by: str, xs: list[str], ridge: float, least: int) -> DataFrame:
     """Coefficients (group, term, value), solved where the groups are."""
+    if not ridge and len(xs) in (1, 2):
+        return _closed(m, by, xs, least)
     kind = m.schema[by].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

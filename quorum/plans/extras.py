@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import expr as e
-from ..operators import evaluate, history, joins, model, shape, tendencies, windows
+from ..operators import evaluate, history, joins, model, shape, tendencies, windows, wording
 from ..sources import landed
 from .modelling import _GAMES, _PICKS, _facts, _picks
 from .registry import query
@@ -216,6 +216,16 @@ def weight_finder(t):
     return model.weight_finder(x, "l_returnflag", list(_SOURCES), "y", most=2).withColumns({"value": F.round("value", 4), "r2": F.round("r2", 9)})
 
 
+_TYPED = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN concat(left(p_name, k), substring(p_name, k + 2)) WHEN 2 THEN concat(left(p_name, k), 'x', substring(p_name, k + 1)) ELSE concat(substring(p_name, 2), 'e') END"
+
+
+@query(f"WITH d AS (SELECT p_partkey, {_TYPED} AS typed FROM (SELECT *, CAST(p_partkey % length(p_name) AS INTEGER) AS k FROM part)), n AS (SELECT DISTINCT p_name FROM part), m AS (SELECT typed, p_name, levenshtein(typed, p_name) AS e FROM (SELECT DISTINCT typed FROM d) CROSS JOIN n), w AS (SELECT typed, min(e) AS e FROM m WHERE e <= CASE WHEN length(typed) <= 3 THEN 0 WHEN length(typed) <= 6 THEN 1 ELSE 2 END GROUP BY 1), b AS (SELECT w.typed, w.e, count(*) AS c, min(p_name) AS name FROM w JOIN m ON m.typed = w.typed AND m.e = w.e GROUP BY ALL) SELECT d.p_partkey, d.typed, CASE WHEN c = 1 THEN name END AS name, CAST(CASE WHEN c = 1 THEN e END AS INTEGER) AS edits FROM d LEFT JOIN b ON b.typed = d.typed")
+def name_recovery(t):
+    """Part names with a letter lost, added or moved, against the dictionary of all part names."""
+    d = t.part.withColumn("k", (F.col("p_partkey") % F.length("p_name")).cast("int")).select("p_partkey", F.expr(_TYPED).alias("typed"))
+    return d.join(wording.nearest_names(d, "typed", t.part, "p_name").withColumnRenamed("p_name", "name"), "typed", "left").select("p_partkey", "typed", "name", "edits")
+
+
 # ---------------------------------------------------------------- more tendencies
 
 

@@ -94,3 +94,20 @@ def test_every_combination_from_one_matrix(spark, most):
 def test_a_source_that_repeats_another(spark):
     df = spark.createDataFrame([("g", float(i), 2.0 * i, float(i) + 1) for i in range(9)], "g string, a double, b double, y double")
     assert {q.sources for q in model.weight_finder(df, "g", ["a", "b"], "y").collect()} == {"a", "b"}
+
+
+def test_closed_forms_equal_the_solver(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for g in range(6):
+        a, b = r.normal(size=30) * 5 + 100, r.normal(size=30)
+        b = {1: 2 * a, 2: np.full(30, 3.0), 3: -a + 7}.get(g, b)
+        a = np.full(30, 1.0) if g in (4, 5) else a
+        b = np.full(30, 4.0) if g == 5 else b
+        rows += [(g, float(x), float(y), float(2 * x - y + z)) for x, y, z in zip(a, b, r.normal(size=30))]
+    df = spark.createDataFrame(rows, "g int, a double, b double, y double")
+    for xs in (["a"], ["a", "b"]):
+        got = {(q.g, q.term): q.value for q in model.fit(df, "g", xs, "y").collect()}
+        for q in model.moments(df, "g", [*xs, "y"]).collect():
+            want, _ = model.solve(q.n, np.array(q["mean"]), model.symmetric(q.products, len(xs) + 1))
+            assert all(abs(got[q.g, t] - v) < 1e-6 * max(1, abs(v)) for t, v in zip(["intercept", *xs], want)), (q.g, xs)
