@@ -41,6 +41,13 @@ def weighted(df: DataFrame, weights: DataFrame, keys: list[str], renormalise: bo
     return g.select(*keys, "stat", value.alias("value"))
 
 
+def variants(df: DataFrame, weights: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """weighted() under several weight tables (weights: variant, source, weight and perhaps stat) in one pass, with a column `variant`; every variant of `names` has every key."""
+    both = F.concat_ws("\x1f", "variant", "source")
+    x = df.withColumn("variant", F.explode(F.array(*map(F.lit, names)))).withColumn("source", both)
+    return weighted(x, weights.withColumn("source", both).drop("variant"), [*keys, "variant"])
+
+
 def _total(x: DataFrame, keys: list[str], points, ruled) -> DataFrame:
     g = x.groupBy(*keys).agg(F.sum(F.when(ruled, F.coalesce("value", F.lit(0.0)) * points)).alias("_p"), F.count(F.when(ruled, F.col("value"))).alias("_n"), F.count_if(ruled & points.isNull()).alias("_bad"))
     return g.select(*keys, F.when((F.col("_n") > 0) & (F.col("_bad") == 0), F.col("_p")).alias("points"))
@@ -73,7 +80,7 @@ def halve_doubled(value: str, other: str, ratio: float = 1.75, least: float = 40
     return F.when((v > ratio * o) & (v > least), v / 2).otherwise(v)
 
 
-def reconcile(df: DataFrame, left: str, right: str, by: str) -> DataFrame:
+def reconcile(df: DataFrame, left: str, right: str, by: str | list[str]) -> DataFrame:
     """Both columns scaled per group so that their sums meet in the middle, where both sums are positive."""
     w = Window.partitionBy(by)
     a, b = F.sum(left).over(w), F.sum(right).over(w)

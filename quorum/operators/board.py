@@ -109,3 +109,19 @@ def market_comparison(df: DataFrame, value: str, price: str, place: str, group:
     own = F.rank().over(Window.partitionBy(group).orderBy(F.col(place).asc_nulls_last()))
     x = x.withColumns({"value": F.col("_adp") - F.col("_vor"), "rank_delta": F.col(place) - F.col("vor_rank"), "pos_rank_delta": F.when(F.col(place).isNotNull(), own) - F.col(pos_rank)})
     return x.drop("_adp", "_vor")
+
+
+def filtered(df: DataFrame, keep: dict[str, list] | None = None, without: list[str] | None = None, only: list[str] | None = None, most: dict[str, float] | None = None, search: tuple[str, str] | None = None) -> DataFrame:
+    """The rows of a board that pass every filter that is set; columns that the board lacks, and empty selections, filter nothing.
+
+    keep: column to the values that stay (unknown ones go); without: flags whose rows go (unknown ones stay); only: flags whose rows stay (unknown ones too); most: column
+    to its greatest value (unknown ones stay); search: column and a text it contains, literally, in either case.  All are plain predicates, which reach the scan.
+    """
+    has = set(df.columns)
+    tests = [F.col(c).isin(list(v)) for c, v in (keep or {}).items() if v and c in has]
+    tests += [~F.coalesce(F.col(c), F.lit(False)) for c in without or [] if c in has]
+    tests += [F.coalesce(F.col(c), F.lit(True)) for c in only or [] if c in has]
+    tests += [F.col(c).isNull() | (F.col(c) <= v) for c, v in (most or {}).items() if v is not None and c in has]
+    if search and search[1].strip() and search[0] in has:
+        tests.append(F.contains(F.lower(search[0]), F.lit(search[1].strip().lower())))
+    return df.where(reduce(lambda a, b: a & b, tests)) if tests else df

@@ -5,12 +5,14 @@ Moments are counts, means and centred products, which one pass gives without can
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..sources.store import Store
+
 
 def moments(df: DataFrame, by: str | list[str], cols: list[str]) -> DataFrame:
     """by, n, mean (array) and products (array of the upper triangle's centred sums) of the rows complete in cols."""
@@ -267,3 +269,23 @@ def save(coefs: DataFrame, path: str) -> None:
 
 def load(spark: SparkSession, path: str, by: str, kind: str = "string") -> DataFrame:
     return spark.read.schema(f"`{by}` {kind}, term string, value double").json(path)
+
+
+def _trained(spark: SparkSession, path: str) -> int | None:
+    """The last season that a saved model has seen."""
+    return max((int(x.split("=")[1]) for x in Store(spark, path)._names(path) if x.startswith("through=")), default=None)
+
+
+def is_stale(spark: SparkSession, path: str, season: int) -> bool:
+    """Whether the saved model, if there is one, has not seen all seasons before this one."""
+    through = _trained(spark, path)
+    return through is None or through < season - 1
+
+
+def load_or_fit(spark: SparkSession, path: str, season: int, by: str, kind: str, fit: Callable[[int], DataFrame], refit: bool = False) -> DataFrame:
+    """Coefficients for a season: the saved ones where they are current, else fit(season - 1), which is saved under the last season it has seen.  A model that has seen
+    the season itself, or a later one, is none for it."""
+    through = season - 1
+    if refit or through not in [int(x.split("=")[1]) for x in Store(spark, path)._names(path) if x.startswith("through=")]:
+        save(fit(through), f"{path}/through={through}")
+    return load(spark, f"{path}/through={through}", by, kind)

@@ -68,25 +68,48 @@ def positions_needed(needs: DataFrame, team: str, flex: dict[str, list[str]]) ->
 def global_ranks(df: DataFrame, ident: str, ranks: dict[str, tuple[Column, bool]], ties: bool = True) -> DataFrame:
     """df with ranks over the whole table, out: (value, descending): the smallest of equals, or with ties=False by ident; null values have none.
 
-    Values are cut into ranges by their distribution, ranked inside each, and shifted by the rows of the ranges before: no task sees
-    the whole table, and equal values stand in one range.  The cuts, one a shuffle partition, are fixed on the driver, since a sketch
-    of the distribution may come out otherwise when it is made again.
+    With ties a rank is one more than the rows of smaller values, so values are counted, not rows sorted: a value that a third of all rows hold is one count,
+    and such values (at most four a shuffle partition) are looked up by a broadcast, the others by a join.  Without ties, rows are ranked inside value ranges.
     """
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    names = list(ranks)
-    x = written(df.withColumns({f"_k_{o}": (-v if desc else v).cast("double") for o, (v, desc) in ranks.items()}))  # read for the cuts, the ranges and the ranks
-    at = x.agg(*(F.percentile_approx(f"_k_{o}", [i / n for i in range(1, n)], 10000).alias(o) for o in names)).first()
-    part = lambda o: sum(((F.col(f"_k_{o}") > c).cast("int") for c in sorted(set(at[o] or []))), F.lit(0))
-    x = x.withColumns({f"_p_{o}": F.when(F.col(f"_k_{o}").isNotNull(), part(o)) for o in names})
-    rows = F.explode(F.array(*(F.struct(F.lit(o).alias("_out"), F.col(f"_p_{o}").alias("_part")) for o in names)))
-    sizes = x.select(rows.alias("r")).select("r.*").where("_part IS NOT NULL").groupBy("_out", "_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_out", "_part", F.coalesce(F.sum("_n").over(Window.partitionBy("_out").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    for o in names:
-        w = Window.partitionBy(f"_p_{o}")
-        own = F.rank().over(w.orderBy(f"_k_{o}")) if ties else F.row_number().over(w.orderBy(f"_k_{o}", ident))
-        mine = before.where(F.col("_out") == o).select(F.col("_part").alias(f"_p_{o}"), "_before")  # a row a range
-        x = x.withColumn(o, own).join(mine, f"_p_{o}", "left").withColumn(o, F.when(F.col(f"_k_{o}").isNotNull(), F.col(o) + F.col("_before"))).drop("_before")
-    return x.drop(*(f"_{c}_{o}" for c in "kp" for o in names))
+    x = written(df.withColumns({f"_k_{o}": v for o, (v, _) in ranks.items()}))  # read for the counts and the ranks
+    for o, (_, desc) in ranks.items():
+        x = _tied(x, f"_k_{o}", o, desc, n) if ties else _ordinal(x, f"_k_{o}", o, desc, n, ident)
+    return x.drop(*(f"_k_{o}" for o in ranks))
+
+
+def _cut(x: DataFrame, key: str, desc: bool, n: int) -> Column:
+    """The number of a row's value range, in order.  Cuts are fixed on the driver, since a sketch may come out otherwise when it is made again; as doubles they
+    only part the values, equal ones stay together."""
+    at = x.agg(F.percentile_approx(F.col(key).cast("double"), [i / n for i in range(1, n)], 10000).alias("at")).first()["at"]
+    cuts = sorted(set(at or []))
+    above = sum(((F.col(key).cast("double") > c).cast("int") for c in cuts), F.lit(0))
+    return F.lit(len(cuts)) - above if desc else above
+
+
+def _tied(x: DataFrame, key: str, out: str, desc: bool, n: int) -> DataFrame:
+    counts = x.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_v")).agg(F.count("*").alias("_n"))
+    counts = written(counts)
+    counts = counts.withColumn("_part", _cut(counts, "_v", desc, n))
+    sizes = counts.groupBy("_part").agg(F.sum("_n").alias("_rows"))
+    before = sizes.select("_part", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
+    inside = Window.partitionBy("_part").orderBy(F.desc("_v") if desc else F.asc("_v")).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1
+    table = written(counts.join(F.broadcast(before), "_part").select("_v", "_n", rank.alias(out)))  # `before` has at most a row a partition
+    most = (x.count() // (4 * n)) + 1
+    hot = F.broadcast(table.where(F.col("_n") > most).select("_v", out))  # fewer than 4 n values can hold so many rows
+    known = x.join(hot, F.col(key) == F.col("_v"), "left").drop("_v")
+    rest = F.col(out).isNull() & F.col(key).isNotNull()
+    cold = known.where(rest).drop(out).join(table.where(F.col("_n") <= most).select("_v", out), F.col(key) == F.col("_v")).drop("_v")
+    return known.where(~rest).unionByName(cold)
+
+
+def _ordinal(x: DataFrame, key: str, out: str, desc: bool, n: int, ident: str) -> DataFrame:
+    x = x.withColumn("_part", F.when(F.col(key).isNotNull(), _cut(x, key, desc, n)))
+    sizes = x.where("_part IS NOT NULL").groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = sizes.select("_part", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(key) if desc else F.asc(key), ident))
+    return x.withColumn(out, own).join(F.broadcast(before), "_part", "left").withColumn(out, F.when(F.col(key).isNotNull(), F.col(out) + F.col("_before"))).drop("_part", "_before")
 
 
 def outliers(df: DataFrame, z: str, ident: str, limit: int, by: str | None = None) -> DataFrame:

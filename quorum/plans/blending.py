@@ -65,6 +65,21 @@ def blend_weighted(t):
     return blend.weighted(opinions(t), weights(t), KEYS).withColumn("value", F.round("value", 6))
 
 
+VARIANTS = {"shipped": WEIGHTS, "without": WEIGHTS | {"NO": 0.0}}
+_VARIANTS = ", ".join(f"('{v}', '{s}', {w}::DOUBLE)" for v, ws in VARIANTS.items() for s, w in ws.items())
+
+
+@query(f"WITH {OPINIONS}, wv AS (SELECT * FROM (VALUES {_VARIANTS}) t(variant, source, weight)), x AS (SELECT p_partkey, variant, stat, weight, coalesce(value, 0) AS v, CASE WHEN is_imputed OR value IS NULL THEN 0 ELSE 1 END AS real FROM o JOIN wv ON o.source = wv.source), y AS (SELECT p_partkey, variant, stat, CASE WHEN sum(weight * real) > 0 THEN sum(v * weight * real) / sum(weight * real) ELSE sum(v * weight) END AS value FROM x GROUP BY ALL), z AS (SELECT y.p_partkey, variant, max(CASE WHEN stat = 'qty' THEN value END) AS qty, max(CASE WHEN stat = 'ext' THEN value END) / 1000 AS ext FROM y GROUP BY ALL), g AS (SELECT z.*, p_type, sum(qty) OVER w AS a, sum(ext) OVER w AS b FROM z JOIN part USING (p_partkey) WINDOW w AS (PARTITION BY variant, p_brand)), cf AS (SELECT p_partkey, p_type, variant, round(CASE WHEN a > 0 AND b > 0 THEN 2 * qty * (a + b) / 2 / a + ext * (a + b) / 2 / b ELSE 2 * qty + ext END, 5) AS points FROM g) SELECT p_partkey, variant, points, CAST(rank() OVER (PARTITION BY variant, p_type ORDER BY points DESC) AS INTEGER) AS pos_rank FROM cf")
+def counterfactual_blends(t):
+    """The board under the weights in use and under those without one source: blended, reconciled per brand, priced, ranked."""
+    w = t.constants([(v, s, x) for v, ws in VARIANTS.items() for s, x in ws.items()], "variant string, source string, weight double")
+    x = blend.variants(opinions(t), w, KEYS, list(VARIANTS))
+    x = x.groupBy("p_partkey", "variant").agg(F.max(F.when(F.col("stat") == "qty", F.col("value"))).alias("qty"), (F.max(F.when(F.col("stat") == "ext", F.col("value"))) / 1000).alias("ext"))
+    x = blend.reconcile(x.join(t.part.select("p_partkey", "p_type", "p_brand"), "p_partkey"), "qty", "ext", ["variant", "p_brand"])
+    x = x.withColumn("points", F.round(2 * F.col("qty") + F.col("ext"), 5))
+    return x.select("p_partkey", "variant", "points", F.rank().over(Window.partitionBy("variant", "p_type").orderBy(F.col("points").desc())).alias("pos_rank"))
+
+
 @query(f"WITH {OPINIONS} SELECT p_partkey, stat, round(sum(coalesce(value, 0) * weight), 6) AS value FROM o JOIN wt ON o.source = wt.source GROUP BY p_partkey, stat HAVING sum(weight * CASE WHEN is_imputed THEN 0 ELSE 1 END) = 0")
 def blend_face_fallback(t):
     o = opinions(t)
@@ -231,8 +246,8 @@ def keeper_price(t):
 
 @query("SELECT p_partkey, p_name, p_type FROM part WHERE p_size >= 5 AND p_type IN ('ECONOMY', 'PROMO') AND p_brand NOT IN ('Brand#1', 'Brand#2') AND contains(lower(p_name), 'red') AND (p_size // 10 <= 3 OR p_size IS NULL)")
 def filter_board(t):
-    p = F.col
-    return t.part.where((p("p_size") >= 5) & p("p_type").isin("ECONOMY", "PROMO") & F.coalesce(~p("p_brand").isin("Brand#1", "Brand#2"), F.lit(True)) & F.lower("p_name").contains("red") & (p("p_size").isNull() | (F.floor(p("p_size") / 10) <= 3))).select("p_partkey", "p_name", "p_type")
+    b = t.part.where("p_size >= 5").withColumns({"held": F.col("p_brand").isin("Brand#1", "Brand#2"), "tier": F.floor(F.col("p_size") / 10)})
+    return board.filtered(b, keep={"p_type": ["ECONOMY", "PROMO"]}, without=["held"], most={"tier": 3}, search=("p_name", " Red ")).select("p_partkey", "p_name", "p_type")
 
 
 @query("WITH x AS (SELECT p_type, quantile_cont(abs(p_retailprice - 1400), 0.9) AS scale FROM part GROUP BY p_type) SELECT p_partkey, CAST(least(3, greatest(-3, round_even(3 * (p_retailprice - 1400) / scale, 0))) AS INTEGER) AS step FROM part JOIN x ON part.p_type = x.p_type")
