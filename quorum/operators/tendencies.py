@@ -89,3 +89,42 @@ def all_habits(df: DataFrame, actor: str, season: str, against: str, plain: list
     own = x.groupBy(actor).agg(F.avg("rate").alias(f"{against}_rate"), F.avg("room").alias(f"room_{against}_rate"))
     other = df.groupBy(actor).agg(*(F.avg(F.col(c).cast("double")).alias(f"{c}_rate") for c in plain), *(F.count_if(F.col(c)).alias(f"{c}_n") for c in plain))
     return own.join(other, actor, "full").withColumn(f"{against}_delta", F.col(f"{against}_rate") - F.col(f"room_{against}_rate"))
+
+
+# How far from the room a tendency has to be, what it rests on, and how much is said.
+TIMING_DELTA, TIMING_CONSISTENCY, TIMING_SEASONS = 1.0, 0.6, 2
+BUILD_DELTA, TEAM_Z = 0.08, 2.0
+MOST_TRAITS, MOST_OF_KIND = 3, {"timing": 2}
+
+
+def timing_traits(df: DataFrame, actor: str, kind: str, least: float = TIMING_DELTA) -> DataFrame:
+    """Candidates (actor, kind, score, text) from timing(): kinds taken steadily earlier or later than the room does."""
+    x = df.where((F.abs("mean_dev") >= least) & (F.col("seasons") >= TIMING_SEASONS) & (F.col("consistency") >= TIMING_CONSISTENCY))
+    return x.select(actor, F.lit("timing").alias("kind"), (F.abs("mean_dev") / least).alias("score"), F.when(F.col("mean_dev") < 0, F.concat(F.lit("takes "), F.col(kind), F.lit(" early"))).otherwise(F.concat(F.lit("waits on "), F.col(kind))).alias("text"))
+
+
+def build_traits(df: DataFrame, actor: str, kind: str, least: float = BUILD_DELTA) -> DataFrame:
+    """Candidates from share_against_room() of the first rounds."""
+    x = df.where(F.abs("delta") >= least)
+    return x.select(actor, F.lit("build").alias("kind"), (F.abs("delta") / least).alias("score"), F.concat(F.when(F.col("delta") > 0, "leans on ").otherwise("skips "), F.col(kind), F.lit(" early")).alias("text"))
+
+
+def team_traits(df: DataFrame, actor: str, kind: str, least: float = TEAM_Z) -> DataFrame:
+    """Candidates from lean(): teams picked more often than chance."""
+    return df.where(F.col("z") >= least).select(actor, F.lit("team").alias("kind"), (F.col("z") / least).alias("score"), F.concat_ws(" ", F.lit("has"), "observed", kind, F.lit("picks")).alias("text"))
+
+
+def compose(candidates: DataFrame, seasons: DataFrame, actor: str, least: int = 2) -> DataFrame:
+    """actor, seasons, traits, headline: per actor of `seasons` (actor, seasons) up to MOST_TRAITS sentences, strongest first, one of a kind but MOST_OF_KIND of some, or that there is
+    nothing to say.  Scores are compared to 6 places, ties by kind and text."""
+    s = F.round("score", 6).desc()
+    of_kind = F.row_number().over(Window.partitionBy(actor, "kind").orderBy(s, "text"))
+    caps = F.create_map(*(F.lit(v) for kv in MOST_OF_KIND.items() for v in kv))
+    x = candidates.withColumn("_k", of_kind).where(F.col("_k") <= F.coalesce(F.try_element_at(caps, F.col("kind")), F.lit(1)))
+    x = x.withColumn("_rn", F.row_number().over(Window.partitionBy(actor).orderBy(s, "kind", "text"))).where(F.col("_rn") <= MOST_TRAITS)
+    text = F.concat(F.upper(F.substring("text", 1, 1)), F.col("text").substr(F.lit(2), F.length("text")), F.lit("."))
+    said = x.groupBy(actor).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", text.alias("t")))), lambda r: r["t"]), " ").alias("_said"), F.min_by("kind", "_rn").alias("headline"))
+    out = seasons.join(said, actor, "left")
+    thin = F.col("seasons") < least
+    traits = F.when(thin, "One draft on record: nothing here is a tendency yet.").when(F.col("_said").isNull(), F.concat(F.lit("Drafts near consensus over "), "seasons", F.lit(" drafts."))).otherwise(F.concat("_said", F.lit(" ("), "seasons", F.lit(" drafts)")))
+    return out.select(actor, "seasons", traits.alias("traits"), F.when(~thin, F.col("headline")).alias("headline"))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.distributions import games_interval
 from ..functions.expr import clip, nan_to_null, safe_ratio, shrunk
 from . import model
 
@@ -175,6 +176,15 @@ def dispersion(df: DataFrame, by: str, expected: str, actual: str, slate: float)
     return g.select(by, "n", clip((safe_ratio("_ss", "_v") - 1) / (slate - 1), 0.0, 0.95).alias("rho"))
 
 
+def calibration(df: DataFrame, by: list[str], expected: str, actual: str, slate: int, rho: float, lower: float = 0.1, upper: float = 0.9) -> DataFrame:
+    """by, n, covered, below, above, coverage, nominal: how often the games played lie inside the Beta-Binomial interval of the games expected, against the share it was built for."""
+    x = df.where(F.col(expected).isNotNull() & F.col(actual).isNotNull())
+    x = x.withColumns({"_low": games_interval(expected, slate, rho, lower), "_high": games_interval(expected, slate, rho, upper)})
+    y = F.col(actual)
+    g = x.groupBy(*by).agg(F.count("*").alias("n"), F.count_if((y >= F.col("_low")) & (y <= F.col("_high"))).alias("covered"), F.count_if(y < F.col("_low")).alias("below"), F.count_if(y > F.col("_high")).alias("above"))
+    return g.withColumns({"coverage": F.try_divide("covered", "n"), "nominal": F.lit(upper - lower)})
+
+
 def holdout(df: DataFrame, season: str, by: str, xs: list[str], y: str, last: int) -> DataFrame:
     """The last seasons' rows with predictions of a fit that is blind to them."""
     top = df.agg(F.max(season).alias("_top"))

@@ -57,6 +57,31 @@ def trait_sentences(t):
     return tendencies.traits(x, "owner", "kind", "z", text)
 
 
+_COMPOSED = """
+ti AS (WITH f AS (SELECT season, owner, kind, min(round)::DOUBLE AS first FROM pk GROUP BY ALL), g AS (SELECT a.season, a.owner, k.kind FROM (SELECT DISTINCT season, owner FROM pk) a CROSS JOIN (SELECT DISTINCT kind FROM pk) k), x AS (SELECT g.*, coalesce(f.first, 13) AS first FROM g LEFT JOIN f ON f.season = g.season AND f.owner = g.owner AND f.kind = g.kind), d AS (SELECT season, owner, kind, first - (sum(first) OVER w - first) / (count(*) OVER w - 1) AS dev, count(*) OVER w AS n FROM x WINDOW w AS (PARTITION BY season, kind)), m AS (SELECT *, avg(dev) OVER (PARTITION BY owner, kind) AS mean FROM d WHERE n > 1) SELECT owner, kind, avg(dev) AS mean_dev, avg(CASE WHEN sign(dev) = sign(mean) THEN 1.0 ELSE 0 END) AS consistency, count(*) AS seasons FROM m GROUP BY owner, kind),
+bu AS (WITH n AS (SELECT season, owner, kind, count(*) AS n FROM pk WHERE round <= 3 GROUP BY ALL), g AS (SELECT a.season, a.owner, k.kind FROM (SELECT DISTINCT season, owner FROM pk WHERE round <= 3) a CROSS JOIN (SELECT DISTINCT kind FROM pk WHERE round <= 3) k), x AS (SELECT g.*, coalesce(n.n, 0) AS n FROM g LEFT JOIN n ON n.season = g.season AND n.owner = g.owner AND n.kind = g.kind), s AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY season, owner) AS share FROM x), d AS (SELECT *, share - (sum(share) OVER w - share) / nullif(count(*) OVER w - 1, 0) AS delta FROM s WINDOW w AS (PARTITION BY season, kind)) SELECT owner, kind, avg(delta) AS delta FROM d GROUP BY owner, kind),
+le AS (WITH n AS (SELECT season, owner, count(*) AS n FROM pk GROUP BY ALL), p AS (SELECT season, kind, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY season) AS p FROM pk GROUP BY season, kind), g AS (SELECT season, owner, kind, count(*) AS got FROM pk GROUP BY ALL), x AS (SELECT n.owner, p.kind, coalesce(got, 0) AS got, n * p AS e, n * p * (1 - p) AS v FROM n JOIN p ON p.season = n.season LEFT JOIN g ON g.season = n.season AND g.owner = n.owner AND g.kind = p.kind), a AS (SELECT owner, kind, sum(got) AS observed, sum(e) AS expected, sum(v) AS var FROM x GROUP BY ALL) SELECT owner, kind, CAST(observed AS BIGINT) AS observed, CASE WHEN var > 0 THEN (observed - expected) / sqrt(var) END AS z FROM a WHERE observed > 0),
+ca AS (SELECT owner, 'timing' AS kind, abs(mean_dev) / 0.25 AS score, CASE WHEN mean_dev < 0 THEN 'Takes ' || kind || ' early.' ELSE 'Waits on ' || kind || '.' END AS text FROM ti WHERE abs(mean_dev) >= 0.25 AND seasons >= 2 AND consistency >= 0.6
+ UNION ALL SELECT owner, 'build', abs(delta) / 0.01, CASE WHEN delta > 0 THEN 'Leans on ' ELSE 'Skips ' END || kind || ' early.' FROM bu WHERE abs(delta) >= 0.01 UNION ALL SELECT owner, 'team', z / 1.0, 'Has ' || observed || ' ' || kind || ' picks.' FROM le WHERE z >= 1),
+ok AS (SELECT *, row_number() OVER (PARTITION BY owner, kind ORDER BY round(score, 6) DESC, text) AS k FROM ca),
+oc AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY round(score, 6) DESC, kind, text) AS rn FROM ok WHERE k <= CASE kind WHEN 'timing' THEN 2 ELSE 1 END),
+ag AS (SELECT owner, string_agg(text, ' ' ORDER BY rn) AS said, min_by(kind, rn) AS headline FROM oc WHERE rn <= 3 GROUP BY owner),
+sn AS (SELECT owner, count(DISTINCT season) AS seasons FROM pk GROUP BY owner)"""
+
+
+@query(f"WITH {_PICKS}, {_COMPOSED} SELECT sn.owner, seasons, CASE WHEN seasons < 2 THEN 'One draft on record: nothing here is a tendency yet.' WHEN said IS NULL THEN 'Drafts near consensus over ' || seasons || ' drafts.' ELSE said || ' (' || seasons || ' drafts)' END AS traits, CASE WHEN seasons >= 2 THEN headline END AS headline FROM sn LEFT JOIN ag ON ag.owner = sn.owner")
+def trait_composition(t):
+    """Three kinds of tendency, each with its own threshold, made one description per owner."""
+    pk = t.once("picks", lambda: _picks(t))
+    parts = [
+        tendencies.timing_traits(tendencies.timing(pk, "owner", "kind", "season", "round", 12), "owner", "kind", 0.25),
+        tendencies.build_traits(tendencies.early_build(pk, "owner", "kind", "season", "round", 3), "owner", "kind", 0.01),
+        tendencies.team_traits(tendencies.lean(pk, "owner", "kind", "season"), "owner", "kind", 1.0),
+    ]
+    seasons = pk.groupBy("owner").agg(F.count_distinct("season").alias("seasons"))
+    return tendencies.compose(parts[0].unionByName(parts[1]).unionByName(parts[2]), seasons, "owner")
+
+
 # ---------------------------------------------------------------- models and evaluation
 
 
@@ -168,8 +193,8 @@ def decision_rule(t):
 
 @query()
 def stat_intervals(t):
-    x = t.lineitem.groupBy("l_partkey").agg(F.avg("l_quantity").alias("m"), F.var_samp("l_quantity").alias("v"))
-    return x.select("l_partkey", distributions.interval("m", "v", 0.1).alias("low"), distributions.interval("m", "v", 0.9).alias("high"), distributions.interval("m", "v", 0.9, "negative binomial").alias("high_count"))
+    x = t.lineitem.groupBy("l_partkey").agg(F.avg("l_quantity").alias("m"), F.var_samp("l_quantity").alias("v"), F.avg((F.col("l_quantity") < 3).cast("double")).alias("bust"))
+    return x.select("l_partkey", distributions.interval("m", "v", 0.1).alias("low"), distributions.interval("m", "v", 0.9).alias("high"), distributions.interval("m", "v", 0.9, "negative binomial").alias("high_count"), distributions.interval("m", "v", 0.1, bust="bust").alias("low_with_bust"), distributions.interval("m", "v", 0.9, bust="bust").alias("high_with_bust"))
 
 
 # ---------------------------------------------------------------- history: nations meet in pairs every month, by their order values

@@ -196,6 +196,11 @@ def games_intervals(t):
     return x.select("id", "season", distributions.games_interval("expected_games", 20, 0.05, 0.1).alias("low"), distributions.games_interval("expected_games", 20, 0.05, 0.9).alias("high"))
 
 
+@query()
+def games_calibration(t):
+    return usage.calibration(_predicted(t), ["usg_arm"], "expected_games", "games", 20, 0.05)
+
+
 _HELD = f"{_FRAME}, m AS (SELECT pos, regr_slope(games, p1_games) AS b, regr_intercept(games, p1_games) AS a FROM fr WHERE season <= (SELECT max(season) FROM fr) - 2 AND p1_games IS NOT NULL GROUP BY pos), ho AS (SELECT fr.*, greatest(0, a + b * p1_games) AS guess FROM fr JOIN m USING (pos) WHERE season > (SELECT max(season) FROM fr) - 2 AND p1_games IS NOT NULL)"
 
 

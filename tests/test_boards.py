@@ -68,3 +68,26 @@ def test_models_are_loaded_where_current(spark, tmp_path):
     assert calls == [2023, 2024]
     model.load_or_fit(spark, path, 2025, "g", "string", fit, refit=True)
     assert calls == [2023, 2024, 2024]
+
+
+def test_traits_are_chosen_as_one_by_one(spark):
+    """Equal to going through the candidates from the strongest, with two timing sentences and one of any other kind, until three are chosen."""
+    from quorum.operators import tendencies
+
+    rnd = random.Random(5)
+    some = [(o, rnd.choice(["timing", "build", "team", "auto"]), float(rnd.choice([1, 1.5, 2, 3])), f"text {rnd.randrange(9)}") for o in range(12) for _ in range(rnd.randrange(8))]
+    some = list(dict.fromkeys(some))
+    owners = [(o, o % 4) for o in range(14)]
+    got = {r.owner: (r.traits, r.headline) for r in tendencies.compose(spark.createDataFrame(some, "owner int, kind string, score double, text string"), spark.createDataFrame(owners, "owner int, seasons int"), "owner").collect()}
+    for o, seasons in owners:
+        chosen, used = [], {}
+        for _, kind, score, text in sorted((x for x in some if x[0] == o), key=lambda x: (-x[2], x[1], x[3])):
+            if used.get(kind, 0) < {"timing": 2}.get(kind, 1) and len(chosen) < 3:
+                used[kind] = used.get(kind, 0) + 1
+                chosen.append((kind, text[0].upper() + text[1:] + "."))
+        if seasons < 2:
+            assert got[o] == ("One draft on record: nothing here is a tendency yet.", None)
+        elif not chosen:
+            assert got[o] == (f"Drafts near consensus over {seasons} drafts.", None)
+        else:
+            assert got[o] == (" ".join(t for _, t in chosen) + f" ({seasons} drafts)", chosen[0][0])

@@ -98,3 +98,23 @@ def test_beta_binomial():
     assert np.allclose(cdf[:, -1], 1)
     assert abs((17 - cdf[1, :-1].sum()) - 17 * 0.3) < 1e-9  # the mean is the sum of the tails
     assert np.allclose(d.beta_binomial_cdf(5, np.array([0.5]), 0.0)[0], np.cumsum([math.comb(5, k) / 32 for k in range(6)]))
+
+
+def test_calibration_of_what_it_generated(spark):
+    """Games drawn from the distribution itself are covered about as often as the interval claims, a discrete one somewhat more; those of a wider one less."""
+    from quorum.operators import usage
+
+    r = np.random.default_rng(6)
+    share = np.repeat([0.3, 0.6, 0.8], 400)
+
+    def games(rho):
+        s = (1 - rho) / rho
+        return r.binomial(17, r.beta(share * s, (1 - share) * s))
+
+    rows = [(k, float(17 * p), int(g)) for k, rho in (("same", 0.1), ("wider", 0.5)) for p, g in zip(share, games(rho))] + [("same", None, 3), ("same", 4.0, None)]
+    got = {x.k: x for x in usage.calibration(spark.createDataFrame(rows, "k string, m double, g int"), ["k"], "m", "g", 17, 0.1).collect()}
+    assert got["same"].n == 1200 and 0.8 <= got["same"].coverage <= 0.92 and got["wider"].coverage < 0.7
+    for x in got.values():
+        low, high = (d.beta_binomial_quantile(17, share, 0.1, q) for q in (0.1, 0.9))
+        g = np.array([v for k, m, v in rows if k == x.k and m is not None and v is not None])
+        assert (x.covered, x.below, x.above) == (int(((g >= low) & (g <= high)).sum()), int((g < low).sum()), int((g > high).sum())) and abs(x.nominal - 0.8) < 1e-12
