@@ -55,7 +55,8 @@ def test_joins(spark):
 
 
 def test_tiers_and_vor(spark):
-    assert board.exact_tiers(np.array([100.0, 99.0, 98.0, 3.0, 1.0, 2.0])).tolist() == [1, 1, 1, 2, 2, 2]
+    t = board.assign_tiers(spark.createDataFrame(list(enumerate([100.0, 99.0, 98.0, 3.0, 1.0, 2.0])), "id int, p double").withColumn("g", F.lit("q")), "g", "p", ["id"])
+    assert vals(t, "id", "tier") == list(enumerate([1, 1, 1, 2, 2, 2]))
     x = spark.createDataFrame([("q", i, 30.0 - i) for i in range(5)], "g string, id int, p double")
     v = board.value_over_replacement(x, "g", "p", spark.createDataFrame([("q", 3)], "g string, rank int"))
     assert vals(v, "vor") == [(-2.0,), (-1.0,), (0.0,), (1.0,), (2.0,)]
