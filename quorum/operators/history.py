@@ -124,11 +124,12 @@ def remaining_difficulty(schedule: DataFrame, played: DataFrame, power: DataFram
     return x.crossJoin(bounds).select("team", *values, (sum((scaled(c) for c in values), F.lit(0.0)) / 3).alias("difficulty"))
 
 
-def year_adjusted(df: DataFrame, year: str, score: str, base_year: int):
-    """Scores in units of the base year's median."""
+def year_adjusted(df: DataFrame, year: str, score: str, base_year: int, also: dict[str, str] | None = None):
+    """Scores in units of the base year's median; also: further columns in the same units, under new names."""
     m = df.groupBy(year).agg(F.median(score).alias("_m"))
     b = m.where(F.col(year) == base_year).select(F.col("_m").alias("_b"))
-    return df.join(m, year).crossJoin(F.broadcast(b)).withColumn("adjusted", F.col(score) / (F.col("_m") / F.col("_b"))).drop("_m", "_b")
+    unit = F.col("_m") / F.col("_b")
+    return df.join(m, year).crossJoin(F.broadcast(b)).withColumns({"adjusted": F.col(score) / unit} | {out: F.col(c) / unit for c, out in (also or {}).items()}).drop("_m", "_b")
 
 
 def best_lineup(df: DataFrame, team: list[str], player: str, points: str, eligible: str, slots: dict[str, int]) -> DataFrame:
