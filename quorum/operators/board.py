@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .handcuff import attach_handcuff
 from .present import global_ranks
 from .ranges import clusters
 from .shape import constants
@@ -82,6 +83,47 @@ def missing_period(df: DataFrame, entity: str, period: str) -> DataFrame:
     return gone.groupBy(entity).agg(F.count("*").alias("_n"), F.min(period).alias("missing")).where("_n = 1").drop("_n")
 
 
+def bye_periods(games: DataFrame, home: str, away: str, period: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """team, bye: the one period in which a team is on neither side; aliases (another's spelling to the games') get their team's too, over a team of that name."""
+    played = games.select(F.explode(F.array(home, away)).alias("team"), period)
+    byes = missing_period(played, "team", period).select("team", F.col("missing").alias("bye"))
+    if not aliases:
+        return byes
+    spelt = constants(games.sparkSession, sorted(aliases.items()), "alias string, team string").join(byes, "team").select(F.col("alias").alias("team"), "bye")
+    return byes.join(spelt, "team", "left_anti").unionByName(spelt)
+
+
+def build(projections: DataFrame, market: DataFrame, slots: DataFrame, flex: dict[str, list[str]], teams: int, *, ident: str, group: str, points: str, team: str, price: str = "adp", place: str = "place", auction: tuple[str, str] = ("auction_value", "suggested_value"), opinions: tuple[str, ...] = (), streamed: tuple[str, ...] = (), byes: DataFrame | None = None, ids: DataFrame | None = None, handcuffs: tuple[DataFrame, DataFrame, str] | None = None) -> DataFrame:
+    """A draft board: one row per projection, with what the market, the schedule and the backfield say of it.
+
+    projections: ident (unique), group, points, team, and columns of single opinions; market: ident (unique), price, place (another's ranking), two auction values;
+    slots (slot, count) and flex (slot to its groups) of a line-up; byes: team, bye; ids: ident and whatever else the board carries over; handcuffs: strength by team,
+    a fitted line, and the group it is of.
+
+    Adds pos_rank, replacement_rank, startable, vor, vor_rank, tier, plateau (of the prices), priced, price_rank, is_streamed, value, rank_delta, pos_rank_delta,
+    auction, missing (no opinion, or no points), bye, teams, and with handcuffs backfield_rank, handcuff_carries, handcuff_premium and handcuff_r2.  A market's columns
+    that the projections have too are not taken; rows without points have no rank, tier or value.
+    """
+    known = set(projections.columns) - {ident}
+    x = projections.join(market.select(*(c for c in market.columns if c not in known)), ident, "left")
+    ranks = replacement_ranks(projections, group, points, ident, slots, flex, teams)
+    x = value_over_replacement(x, group, points, ranks).withColumnRenamed("rank", "replacement_rank")
+    level = plateau(market.select(price, F.lit(1).alias("_all")), price, "_all").select("plateau")
+    x = x.join(level, F.lit(True), "left")  # one row at most
+    priced = F.col(price).isNotNull() & F.coalesce(F.col(price) < F.col("plateau"), F.lit(True))
+    x = x.withColumns({"priced": priced, "is_streamed": F.coalesce(F.col(group).isin(*streamed), F.lit(False)), "startable": F.col("replacement_rank").isNotNull()})
+    x = market_comparison(x, "vor", price, place, group, "pos_rank", ident, F.col("priced"), F.col("is_streamed"), price_rank=True)
+    x = x.join(assign_tiers(projections, group, points, [ident]).select(ident, "tier"), ident, "left")
+    none = reduce(lambda a, b: a & b, (F.col(c).isNull() for c in opinions), F.lit(bool(opinions)))
+    x = x.withColumns({"missing": none | F.col(points).isNull(), "auction": F.coalesce(*auction), "teams": F.lit(teams)})
+    x = x.join(byes.withColumnRenamed("team", team), team, "left") if byes is not None else x.withColumn("bye", F.lit(None).cast("int"))
+    x = x.join(ids, ident, "left") if ids is not None else x
+    if handcuffs is None:
+        return x
+    strength, line, of = handcuffs
+    return attach_handcuff(x, strength.withColumnRenamed("team", team), line, team, points, ident, F.col(group) == of)
+
+
 def cash_value(df: DataFrame, by: str, value: str, ident: str, budget: float, spots: int, least: float = 1.0) -> DataFrame:
     """A group's budget over its best `spots` rows: each gets `least`, the rest goes by positive value."""
     w = Window.partitionBy(by)
@@ -99,13 +141,14 @@ def agreement(df: DataFrame, delta: str, by: str, least: int = 8, spread: float
     return df.withColumn("z", F.when((n >= least) & (sd >= spread), (F.col(delta) - F.avg(delta).over(w)) / sd))
 
 
-def market_comparison(df: DataFrame, value: str, price: str, place: str, group: str, pos_rank: str, ident: str, priced, streamed) -> DataFrame:
-    """df with vor_rank, value (rank by price less rank by value, over priced rows that are not streamed), rank_delta and pos_rank_delta.
+def market_comparison(df: DataFrame, value: str, price: str, place: str, group: str, pos_rank: str, ident: str, priced, streamed, price_rank: bool = False) -> DataFrame:
+    """df with vor_rank, value (rank by price less rank by value, over priced rows that are not streamed), rank_delta, pos_rank_delta and, where asked for, price_rank.
 
     Positive says that the board rates a row higher than the market, or another's ranking (place), does.
     """
     ok = F.coalesce(priced & ~streamed, F.lit(False))
-    x = global_ranks(df, ident, {"vor_rank": (F.col(value), True), "_adp": (F.when(ok, F.col(price)), False), "_vor": (F.when(ok, F.col(value)), True)})
+    more = {"price_rank": (F.when(F.coalesce(priced, F.lit(False)), F.col(price)), False)} if price_rank else {}
+    x = global_ranks(df, ident, more | {"vor_rank": (F.col(value), True), "_adp": (F.when(ok, F.col(price)), False), "_vor": (F.when(ok, F.col(value)), True)})
     own = F.rank().over(Window.partitionBy(group).orderBy(F.col(place).asc_nulls_last()))
     x = x.withColumns({"value": F.col("_adp") - F.col("_vor"), "rank_delta": F.col(place) - F.col("vor_rank"), "pos_rank_delta": F.when(F.col(place).isNotNull(), own) - F.col(pos_rank)})
     return x.drop("_adp", "_vor")

@@ -87,10 +87,53 @@ def roster_context(rosters: DataFrame, prior: DataFrame, ident: str, season: str
     return x.withColumns({"team_changed": F.when(F.col("prior_team").isNotNull(), F.col(team) != F.col("prior_team")), "is_rookie": F.col(entry) >= F.col(season), "age": F.datediff(day, F.col(born)) / 365.25})
 
 
-def preseason_depth(charts: DataFrame, ident: str, season: str, at: str, team: str, position: str, place: str, cutoff: Column) -> DataFrame:
-    """Each season's last chart before the cutoff (its last of all where there is none): best place per entity, and how many share its team and position."""
+def depth_charts(coarse: DataFrame, fine: DataFrame, ident: str, starters: dict[str, int], most: int = 3) -> DataFrame:
+    """season, team, ident, position, depth_rank, as_of: charts of two schemas on the coarser one's scale.
+
+    coarse: season, club, ident, position, depth (text, 1 for every starter) and week; fine: season, team, ident, position, place (a strict order) and at.  A strict
+    order is shifted so that all of a position's starters (else one) are first; ranks end at `most`.  as_of is text: a week of two digits, which sorts before all
+    times, or the time.  Rows without an entity or a rank go.
+    """
+    week = F.col("week").cast("string")
+    a = coarse.select("season", F.col("club").alias("team"), ident, "position", F.trim("depth").try_cast("int").alias("_rank"), F.when(F.length(week) < 2, F.lpad(week, 2, "0")).otherwise(week).alias("as_of"))
+    first = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for kv in starters.items() for v in kv)), F.col("position")), F.lit(1))
+    b = fine.select("season", "team", ident, "position", F.when(F.col("place").isNotNull(), F.greatest(F.col("place").cast("int") - first + 1, F.lit(1))).alias("_rank"), F.col("at").cast("string").alias("as_of"))
+    x = a.unionByName(b).where(F.col(ident).isNotNull() & F.col("_rank").isNotNull())
+    return x.select("season", "team", ident, "position", F.least("_rank", F.lit(most)).alias("depth_rank"), "as_of")
+
+
+def before_opening(as_of: str, season: str, opener: str = "09-01") -> Column:
+    """Whether a chart is from before a season's opening day; charts of weeks are."""
+    return (F.col(as_of) < F.concat(F.col(season).cast("string"), F.lit(f"-{opener}"))) | (F.col(as_of) < "1000")
+
+
+def season_staff(games: DataFrame, season: str, team: str, coach: str, source: str) -> DataFrame:
+    """A row per season and team: the coach of most games (the first by name of equals), of how many, and whether there was more than one."""
+    n = games.groupBy(season, team, coach).agg(F.count("*").alias("_n"))
+    key = F.struct((-F.col("_n")).alias("less"), F.col(coach))
+    g = n.groupBy(season, team).agg(F.min(key).alias("_m"), F.sum("_n").alias("team_games"), F.count(coach).alias("_k"))
+    return g.select(season, team, F.col(f"_m.{coach}").alias("head_coach"), (-F.col("_m.less")).alias("games_coached"), "team_games", (F.col("_k") > 1).alias("changed_midseason"), F.lit(source).alias("source"))
+
+
+def merge_staff(played: DataFrame, live: DataFrame, crawled: DataFrame, season: str, team: str, roles: list[str]) -> DataFrame:
+    """played with the rows that live has for the same season and team in their place, and roles (null so far) from crawled.
+
+    A team that live could not resolve keeps its played row, and `source` says so; crawled has one row per season and team.
+    """
+    keys = [season, team]
+    x = played.join(live.select(*keys), keys, "left_anti").unionByName(live, allowMissingColumns=True)
+    c = crawled.select(*keys, *(F.col(r).alias(f"_{r}") for r in roles))
+    return x.join(c, keys, "left").withColumns({r: F.coalesce(F.col(r), F.col(f"_{r}")) for r in roles}).drop(*(f"_{r}" for r in roles))
+
+
+def preseason_depth(charts: DataFrame, ident: str, season: str, at: str, team: str, position: str, place: str, cutoff: Column, positions: tuple[str, ...] = ()) -> DataFrame:
+    """Each season's last chart before the cutoff (its last of all where there is none): best place per entity, and how many share its team and position.
+
+    Only then do `positions`, where given, choose its rows, so that someone listed elsewhere too keeps the place that matters.
+    """
     w = Window.partitionBy(season)
     x = charts.withColumn("_last", F.coalesce(F.max(F.when(cutoff, F.col(at))).over(w), F.max(at).over(w))).where(F.col(at) == F.col("_last"))
+    x = x.where(F.col(position).isin(*positions)) if positions else x
     best = Window.partitionBy(season, ident).orderBy(place, team, position)
     x = x.withColumn("_rn", F.row_number().over(best)).where("_rn = 1")
     n = F.count("*").over(Window.partitionBy(season, team, position)).cast("int")
