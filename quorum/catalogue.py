@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import blending, boards, extras, modelling, relational, reports, season, usage  # noqa: F401  (registers their queries)
+from .plans import assembled, blending, boards, extras, modelling, relational, reports, season, usage  # noqa: F401  (registers their queries)
 from .plans.registry import QUERIES, SQL
 
 
