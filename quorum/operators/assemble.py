@@ -79,17 +79,17 @@ def reconciled(x: DataFrame, team: str, identities: list[tuple[str, str]], value
     return y.withColumn(value, F.col(value) * F.coalesce(ratio, F.lit(1.0))).drop(*sums.columns)
 
 
-def scored(x: DataFrame, keys: list[str], carry: list[str], rules: DataFrame, slot: str, base: str, of: list[str]) -> DataFrame:
+def scored(x: DataFrame, keys: list[str], carry: list[str], rules: DataFrame, slot: str, base: str, of: list[str], flags: dict[str, Column] | None = None) -> DataFrame:
     """keys, carry and <source>_points for all sources in one aggregation: the rule (slot, stat, points) of the row's slot, else of the base slot (0 is a rule).
 
-    A line without any ruled value has null points; other unknown values count as 0.
+    flags: conditions on a row, by the name of a column that says whether any row of the line meets it.  A line without any ruled value has null points; other unknown values count as 0.
     """
     own = rules.select(F.col("slot").alias(slot), "stat", F.col("points").alias("_own"))
     common = rules.where(F.col("slot") == base).select("stat", F.col("points").alias("_base"))
     y = x.join(own, [slot, "stat"], "left").join(common, "stat", "left").withColumn("_p", F.coalesce("_own", "_base"))
     ruled = F.col("_p").isNotNull()
     points = [F.when(F.count(F.when(ruled, F.col(s))) > 0, F.sum(F.coalesce(F.col(s), F.lit(0.0)) * F.col("_p"))).alias(f"{s}_points") for s in of]
-    return y.groupBy(*keys).agg(*(F.first(c).alias(c) for c in carry), *points)
+    return y.groupBy(*keys).agg(*(F.first(c).alias(c) for c in carry), *points, *(F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in (flags or {}).items()))
 
 
 def clean_lineups(lineups: DataFrame, estimates: DataFrame, keys: list[str], stats: list[str], src: Sources, rules: DataFrame, slot: str, base: str, official: str, actual: str, within: list[str], digits: int = 9) -> DataFrame:
@@ -120,8 +120,7 @@ def season_projections(players: DataFrame, estimates: DataFrame, keys: list[str]
     carry = list(dict.fromkeys([slot, team, position]))
     x = reconciled(lines(players, estimates, keys, stats, src, carry), team, identities) if identities else lines(players, estimates, keys, stats, src, carry)
     spoke = {f"_r_{s}": ~F.col(f"{s}_imputed") & (F.col(s) != 0) for s in src.all}
-    g = x.groupBy(*keys).agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in spoke.items()))
-    y = players.join(scored(x, keys, [], rules, slot, base, of), keys, "left").join(g, keys, "left")
+    y = players.join(scored(x, keys, [], rules, slot, base, of, spoke), keys, "left")
     real = F.filter(F.array(*(F.when(F.col(f"_r_{s}"), F.col(f"{s}_points")) for s in src.all)), lambda v: v.isNotNull())
     y = y.withColumn("_real", real)
     two = F.size("_real") >= 2

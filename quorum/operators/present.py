@@ -73,9 +73,10 @@ def global_ranks(df: DataFrame, ident: str, ranks: dict[str, tuple[Column, bool]
     """
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     x = written(df.withColumns({f"_k_{o}": v for o, (v, _) in ranks.items()}))  # read for the counts and the ranks
+    y, rows = x, x.count() if ties else 0
     for o, (_, desc) in ranks.items():
-        x = _tied(x, f"_k_{o}", o, desc, n) if ties else _ordinal(x, f"_k_{o}", o, desc, n, ident)
-    return x.drop(*(f"_k_{o}" for o in ranks))
+        y = _tied(x, y, rows, f"_k_{o}", o, desc, n, ident) if ties else _ordinal(y, f"_k_{o}", o, desc, n, ident)
+    return y.drop(*(f"_k_{o}" for o in ranks))
 
 
 def _cut(x: DataFrame, key: str, desc: bool, n: int) -> Column:
@@ -87,7 +88,8 @@ def _cut(x: DataFrame, key: str, desc: bool, n: int) -> Column:
     return F.lit(len(cuts)) - above if desc else above
 
 
-def _tied(x: DataFrame, key: str, out: str, desc: bool, n: int) -> DataFrame:
+def _tied(x: DataFrame, to: DataFrame, rows: int, key: str, out: str, desc: bool, n: int, ident: str) -> DataFrame:
+    """to (the rows of x, with other ranks) with the rank of key; values are counted in x, so that no rank waits for another's joins."""
     counts = x.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_v")).agg(F.count("*").alias("_n"))
     counts = written(counts)
     counts = counts.withColumn("_part", _cut(counts, "_v", desc, n))
@@ -96,12 +98,14 @@ def _tied(x: DataFrame, key: str, out: str, desc: bool, n: int) -> DataFrame:
     inside = Window.partitionBy("_part").orderBy(F.desc("_v") if desc else F.asc("_v")).rowsBetween(Window.unboundedPreceding, -1)
     rank = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1
     table = written(counts.join(F.broadcast(before), "_part").select("_v", "_n", rank.alias(out)))  # `before` has at most a row a partition
-    most = (x.count() // (4 * n)) + 1
-    hot = F.broadcast(table.where(F.col("_n") > most).select("_v", out))  # fewer than 4 n values can hold so many rows
-    known = x.join(hot, F.col(key) == F.col("_v"), "left").drop("_v")
-    rest = F.col(out).isNull() & F.col(key).isNotNull()
-    cold = known.where(rest).drop(out).join(table.where(F.col("_n") <= most).select("_v", out), F.col(key) == F.col("_v")).drop("_v")
-    return known.where(~rest).unionByName(cold)
+    most = rows // (4 * n) + 1
+    hot = F.broadcast(table.where(F.col("_n") > most).select(F.col("_v").alias("_h"), F.col(out).alias("_hot")))  # fewer than 4 n values can hold so many rows
+    cold = table.where(F.col("_n") <= most).select(F.col("_v").alias("_c"), F.lit(0).alias("_zero"), F.col(out).alias("_cold"))
+    y = to.join(hot, F.col(key) == F.col("_h"), "left")
+    done = F.col("_hot").isNotNull() | F.col(key).isNull()  # such rows find nothing, wherever they go, so they are spread
+    y = y.withColumn("_salt", F.when(done, 1 + F.pmod(F.xxhash64(ident), F.lit(1 << 20)).cast("int")).otherwise(0))
+    y = y.join(cold, (F.col(key) == F.col("_c")) & (F.col("_salt") == F.col("_zero")), "left")
+    return y.withColumn(out, F.coalesce("_hot", "_cold")).drop("_h", "_hot", "_c", "_cold", "_zero", "_salt")
 
 
 def _ordinal(x: DataFrame, key: str, out: str, desc: bool, n: int, ident: str) -> DataFrame:
