@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -180,6 +181,24 @@ def test_flac(docs, rows):
     assert [r.sample_offset for r in one] == [576 * i for i in range(len(one))]
 
 
+def test_media_table_takes_little_more_than_its_texts(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(path)
+    media = stored(flac.store(docs))
+    assert sum(os.path.getsize(f.removeprefix("file://")) for f in media.inputFiles()) <= 1.2 * os.path.getsize(path)
+    want = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in media.collect():
+        assert flac.decode([bytes(r.media)])[0].tobytes()[: r.n_bytes] == want[r.doc_id]
+
+
+def test_stored_frames_are_predicted_where_that_saves_most():
+    text = np.random.default_rng(1).integers(97, 123, 576).astype(np.uint8)
+    slope = (np.arange(576) // 6 + 32).astype(np.uint8)
+    kinds = lambda bits: [m[42 + len(flac._header(0))] >> 1 for m in flac.encode([text, slope, np.full(576, 255, np.uint8)], bits)]
+    stored_kinds, plain_kinds = kinds(flac.STORED_BITS), kinds(8)
+    assert stored_kinds == [1, plain_kinds[1], 0] and min(plain_kinds[:2]) > 1
+
+
 def test_bpe(docs, rows):
     tiktoken = pytest.importorskip("tiktoken")
     import base64
