@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expr import clip, shrunk
+from .windows import with_group
 
 
 class LeakError(ValueError):
@@ -52,7 +53,7 @@ def lags(df: DataFrame, entity: str, season: str, values: list[str], by: tuple[i
 
 def first_snapshot(df: DataFrame, season: str, week: str) -> DataFrame:
     """The rows of each season's first week."""
-    return df.withColumn("_w", F.min(week).over(Window.partitionBy(season))).where(F.col(week) == F.col("_w")).drop("_w")
+    return with_group(df, season, _w=F.min(week)).where(F.col(week) == F.col("_w")).drop("_w")
 
 
 def latest_contract(df: DataFrame, entity: str, signed: str, target: str, tie: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.distributions import games_interval
 from ..functions.expr import clip, nan_to_null, safe_ratio, shrunk
 from . import model
+from .windows import beside, latest_per, with_group
 
 
 def outer_totals(frames: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -80,7 +81,7 @@ def lead(df: DataFrame, first: str, second: str, out: str) -> DataFrame:
 
 def roster_context(rosters: DataFrame, prior: DataFrame, ident: str, season: str, week: str, team: str, entry: str, born: str, opener: str = "09-01") -> DataFrame:
     """Each season's first roster with the team of the season before, whether it changed (unknown where there was none), rookies and ages."""
-    first = rosters.withColumn("_w", F.min(week).over(Window.partitionBy(season))).where(F.col(week) == F.col("_w")).drop("_w")
+    first = with_group(rosters, season, _w=F.min(week)).where(F.col(week) == F.col("_w")).drop("_w")
     last = prior.select(ident, (F.col(season) + 1).alias(season), F.col(team).alias("prior_team"))
     x = first.join(last, [ident, season], "left")
     day = F.concat(F.col(season).cast("string"), F.lit(f"-{opener}")).cast("date")
@@ -131,13 +132,15 @@ def preseason_depth(charts: DataFrame, ident: str, season: str, at: str, team: s
 
     Only then do `positions`, where given, choose its rows, so that someone listed elsewhere too keeps the place that matters.
     """
-    w = Window.partitionBy(season)
-    x = charts.withColumn("_last", F.coalesce(F.max(F.when(cutoff, F.col(at))).over(w), F.max(at).over(w))).where(F.col(at) == F.col("_last"))
+    early = F.coalesce(cutoff & F.col(at).isNotNull(), F.lit(False)).alias("_early")
+    dates = charts.select(season, at, early).distinct()  # hashed, where the greatest text of all rows would be found by sorting them
+    last = latest_per(dates, season, F.col("_early").desc(), F.col(at).desc_nulls_last()).select(season, F.col(at).alias("_last"))
+    x = beside(charts, last, season).where(F.col(at) == F.col("_last"))
     x = x.where(F.col(position).isin(*positions)) if positions else x
     best = Window.partitionBy(season, ident).orderBy(place, team, position)
     x = x.withColumn("_rn", F.row_number().over(best)).where("_rn = 1")
-    n = F.count("*").over(Window.partitionBy(season, team, position)).cast("int")
-    return x.select(season, ident, F.col(place).alias("depth_rank"), (F.col(place) == 1).alias("is_first"), n.alias("depth_group"), F.col(team).alias("depth_team"))
+    x = with_group(x, [season, team, position], _n=F.count("*").cast("int"))
+    return x.select(season, ident, F.col(place).alias("depth_rank"), (F.col(place) == 1).alias("is_first"), F.col("_n").alias("depth_group"), F.col(team).alias("depth_team"))
 
 
 def severity(column: str, order: dict[str, int]) -> Column:

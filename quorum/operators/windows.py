@@ -46,6 +46,21 @@ def leave_one_out(value: str, by) -> Column:
     return F.when(n > 1, (F.sum(value).over(w) - F.col(value)) / (n - 1))
 
 
+def beside(df: DataFrame, groups: DataFrame, by) -> DataFrame:
+    """df with the columns of groups, a row per key of df; null keys are one group.
+
+    For few groups of any size, as seasons: groups is broadcast, so no task sorts or holds a group as it would under a window.
+    """
+    keys = _by(by)
+    g = groups.withColumnsRenamed({k: f"_by_{k}" for k in keys})
+    return df.join(F.broadcast(g), [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in keys]).drop(*(f"_by_{k}" for k in keys))
+
+
+def with_group(df: DataFrame, by, **aggs: Column) -> DataFrame:
+    """df with aggregates of its groups, which are few (beside)."""
+    return beside(df, df.groupBy(*_by(by)).agg(*(c.alias(name) for name, c in aggs.items())), by)
+
+
 def running_sum(value: str, by, order) -> Column:
     return F.sum(value).over(Window.partitionBy(*_by(by)).orderBy(*_by(order)).rowsBetween(Window.unboundedPreceding, 0))
 

@@ -1,11 +1,12 @@
 """Pipelines in one call, boards, charts and staff, against plain computations and edge cases."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from quorum.operators import assemble, board, usage
+from quorum.operators import assemble, board, features, usage
 from quorum.operators.assemble import Sources
 
 STATS = ["a", "b", "c"]
@@ -138,6 +139,21 @@ def test_depth_of_both_schemas(spark):
     assert usage.depth_charts(coarse.limit(0), fine.limit(0), "id", {"WR": 3}).count() == 0
 
 
+def test_no_window_holds_a_season(spark):
+    rows = [(s, "T%d" % (i % 2), "p%d" % (i % 5), "WR", i % 3 + 1, at) for s, dates in ((None, ["2020-01-01", None]), (2021, ["2021-10-01", "2021-11-01"]), (2022, ["2022-08-01", "2022-08-09", "2022-09-01"])) for at in dates for i in range(6)]
+    x = spark.createDataFrame(rows, "season int, team string, id string, position string, depth_rank int, as_of string")
+    f = usage.preseason_depth(x, "id", "season", "as_of", "team", "position", "depth_rank", usage.before_opening("as_of", "season"))
+    best = {"p0": (1, "T0", 3), "p1": (2, "T1", 2), "p2": (3, "T0", 3), "p3": (1, "T1", 2), "p4": (2, "T0", 3)}
+    assert {(r.season, r.id): (r.depth_rank, r.depth_team, r.depth_group) for r in f.collect()} == {(s, k): v for s in (None, 2021, 2022) for k, v in best.items()}
+    first = features.first_snapshot(x.select("season", F.month(F.col("as_of").cast("date")).alias("week")), "season", "week")
+    assert sorted(map(tuple, first.distinct().collect()), key=str) == [(2021, 10), (2022, 8), (None, 1)] and first.count() == 6 + 6 + 12
+    rosters = x.select("season", "team", "id", F.month(F.col("as_of").cast("date")).alias("week"), F.lit(2020).alias("entry"), F.lit("2000-01-01").cast("date").alias("born"))
+    context = usage.roster_context(rosters, rosters.groupBy("id", "season").agg(F.max("team").alias("team")), "id", "season", "week", "team", "entry", "born")
+    assert context.where("season = 2022").count() == 12 and context.where("season = 2022 AND prior_team IS NOT NULL").count() == 12
+    for df in (f, first, context):
+        assert not re.search(r"(min|max|count)\([^\n]*windowspecdefinition", df._jdf.queryExecution().toString())
+
+
 def test_staff(spark):
     games = spark.createDataFrame([(2023, "A", "x"), (2023, "A", "y"), (2023, "A", "y"), (2023, "B", "w"), (2023, "B", "v"), (2024, "A", "y"), (2024, "B", "v")], "season int, team string, coach string")
     played = usage.season_staff(games, "season", "team", "coach", "games")
