@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import distributions, expr as e
-from ..operators import evaluate, features, model, usage
+from ..operators import evaluate, features, model, shape, usage
 from .registry import query
 
 r = lambda c, n=4: F.round(c, n).alias(c)
@@ -325,6 +325,10 @@ def anytime_split(t):
 
 @query("WITH g AS (SELECT l_orderkey AS game, l_linenumber % 2 AS side, avg(l_quantity) AS spread, avg(l_discount) AS total FROM lineitem GROUP BY ALL), u AS (SELECT game, side, 'spread' AS market, spread AS line FROM g UNION ALL SELECT game, side, 'total', total FROM g) SELECT game, market, round(max(CASE WHEN side = 0 THEN line END), 6) AS away, round(max(CASE WHEN side = 1 THEN line END), 6) AS home FROM u GROUP BY game, market")
 def game_lines(t):
-    g = t.lineitem.groupBy(F.col("l_orderkey").alias("game"), (F.col("l_linenumber") % 2).alias("side")).agg(F.avg("l_quantity").alias("spread"), F.avg("l_discount").alias("total"))
-    p = g.unpivot(["game", "side"], ["spread", "total"], "market", "line").groupBy("game", "market").pivot("side", [0, 1]).agg(F.max("line"))
-    return p.select("game", "market", F.round("0", 6).alias("away"), F.round("1", 6).alias("home"))
+    """A game has but a few lines, so its rows are dealt first: sums before the shuffle would hold nearly as many groups as rows."""
+    side = F.col("l_linenumber") % 2
+    mean = lambda c, k: F.avg(F.when(side == k, F.col(c)))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("game"), "l_linenumber", "l_quantity", "l_discount").repartition("game")
+    g = lines.groupBy("game").agg(*(F.struct(mean(c, 0).alias("away"), mean(c, 1).alias("home")).alias(m) for m, c in (("spread", "l_quantity"), ("total", "l_discount"))))
+    p = shape.melt(g, ["game"], ["spread", "total"], "market", "line")
+    return p.select("game", "market", F.round("line.away", 6).alias("away"), F.round("line.home", 6).alias("home"))

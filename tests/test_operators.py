@@ -132,3 +132,16 @@ def test_name_key_takes_all_lines(spark, tmp_path):
 
     spark.createDataFrame([(1, "\nAndré Smith-Jones\nand O'Neil Jr.\n"), (2, "One"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert vals(catalogue.queries()["name_key_folded"](spark, str(tmp_path)), "doc_id", "key") == [(1, "ANDRE SMITH JONES AND ONEIL"), (2, "ONE"), (3, None)]
+
+
+def test_game_lines_shuffle_once(spark, tmp_path):
+    from quorum import catalogue
+
+    rows = [(1, 1, 10.0, 0.1), (1, 2, 4.0, None), (1, 3, 20.0, 0.2), (2, 2, 5.0, 0.05), (3, 1, None, None), (None, 4, 7.0, 0.5), (4, None, 1.0, 1.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalogue.queries()["game_lines"](spark, str(tmp_path))
+    want = {(1, "spread"): (4.0, 15.0), (1, "total"): (None, 0.15), (2, "spread"): (5.0, None), (2, "total"): (0.05, None), (None, "spread"): (7.0, None), (None, "total"): (0.5, None)}
+    want |= {(k, m): (None, None) for k in (3, 4) for m in ("spread", "total")}
+    assert {(r.game, r.market): (r.away, r.home) for r in got.collect()} == want and got.count() == len(want)
+    plan = got._jdf.queryExecution().executedPlan().initialPlan().toString()
+    assert plan.count("Exchange ") == 1 and "HashAggregate" not in plan[plan.index("Exchange ") :]  # one shuffle, below all sums
